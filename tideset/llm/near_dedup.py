@@ -4,9 +4,10 @@ Each text's set of word shingles gets a MinHash sample. Bands of the sample make
 sample (a bitmap in which each sampled value flips one bit) estimates their similarity from the population count of an XOR; pairs
 that it does not rule out are confirmed on the full sets. Texts with equal sets form a class that takes part once.
 
-Buckets never emit all their pairs. In each of a few rounds a bucket's members meet one hub of the bucket, unless they are
-already in its component; found links merge components. What then still stands apart inside a bucket (other components
-than that of the bulk) meets all of the bucket in a join that keeps only pairs which the sketch admits, so no proposed link is lost.
+Buckets never emit all their pairs. In each round a bucket's members meet one hub of the bucket, drawn anew by a hash, unless they are
+already in its component; found links merge components. Rounds go on while they find links and the pairs that stand apart (in one
+bucket, but in different components) outnumber the buckets' members by far. The pairs still apart then meet in a join
+that keeps only those which the sketch admits, so no proposed link is lost.
 """
 
 from __future__ import annotations
@@ -88,7 +89,7 @@ def _flips(x: str, y: str) -> Column:
     return sum((F.bit_count(F.col(x)[i].bitwiseXOR(F.col(y)[i])) for i in range(1, BITS // 64)), F.bit_count(F.col(x)[0].bitwiseXOR(F.col(y)[0])))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 75, bands: int = 24, rows: int = 4, rounds: int = 2) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 75, bands: int = 24, rows: int = 4, apart_per_member: int = 4) -> DataFrame:
     """One row (id_col, n_shingles, component_id, kept) for each row of `docs`.
 
     Words are `[^\\x20\\x09-\\x0D]+` with A-Z lower-cased; a text's set holds its distinct shingles of `k` words, the whole sequence
@@ -114,7 +115,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     attributes = cut(reps.select("id", "n", "sketch"))
     inside = cut(keyed.join(shared, "key", "left_semi").distinct().join(attributes, "id"))
 
-    most = most_flips(bands * rows, percent / 100)
+    most = most_flips(bands * rows, percent / 100)  # of 256 bits; far fewer than unlike texts flip
     fits = (F.col("n") * 100 >= F.col("n2") * percent) & (F.col("n2") * 100 >= F.col("n") * percent) & (_flips("sketch", "sketch2") <= most)
     labels = cut(connected(edges))
     tested = None
@@ -127,30 +128,32 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         common = F.size(F.array_intersect("x", "y"))
         return both.where(100 * common >= percent * (F.size("x") + F.size("y") - common)).select("a", "b").distinct()
 
-    for round_ in range(rounds + 1):
-        placed = inside.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-        if round_:
-            placed = cut(placed)
-            apart = cut(placed.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 < c1").select("key"))
-            placed = cut(placed.join(apart, "key", "left_semi"))
-        if round_ < rounds:
-            hub = cut(placed.groupBy("key").agg(F.min_by(F.struct(F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("sketch").alias("sketch2"), F.col("component").alias("c2")), F.xxhash64("id", F.lit(round_)) if round_ else F.col("id")).alias("hub")))
-            met = placed.join(hub.select("key", "hub.*"), "key").where((F.col("component") != F.col("c2")) & fits)
-        else:
+    round_, last = 0, False
+    while True:
+        placed = cut(inside.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id")))
+        held = placed.groupBy("key", "component").agg(F.count("*").alias("c")).groupBy("key").agg(F.sum("c").alias("c"), F.sum(F.col("c") * F.col("c")).alias("cc")).where("c * c > cc")
+        held = cut(held)
+        members, apart = held.agg(F.sum("c"), F.sum((F.col("c").cast("double") * F.col("c") - F.col("cc")) / 2)).first()
+        if not members:
+            break
+        last = last or apart <= apart_per_member * members
+        placed = placed.join(held.select("key"), "key", "left_semi")
+        if last:
             other = placed.select("key", F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("sketch").alias("sketch2"), F.col("component").alias("c2"))
             met = placed.join(other, "key").where((F.col("component") < F.col("c2")) & fits)
+        else:
+            hub = cut(placed.groupBy("key").agg(F.min_by(F.struct(F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("sketch").alias("sketch2"), F.col("component").alias("c2")), F.xxhash64("id", "key", F.lit(round_))).alias("hub")))
+            met = placed.join(hub.select("key", "hub.*"), "key").where((F.col("component") != F.col("c2")) & fits)
         pairs = met.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct()
         pairs = cut(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
-        if pairs.isEmpty():
-            if round_ < rounds:
-                continue
-            break
         found = cut(confirmed(pairs))
+        any_found = not found.isEmpty()
+        if any_found:
+            labels = cut(connected(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).union(found)))
+        if last:
+            break
         tested = pairs if tested is None else tested.union(pairs)
-        if found.isEmpty():
-            continue
-        edges = cut(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).union(found))
-        labels = cut(connected(edges))
+        last, round_ = not any_found, round_ + 1
 
     grouped = signed.select("id", "n", "hi", "lo").join(classes, ["hi", "lo"], "left")
     placed = grouped.join(labels.withColumnRenamed("node", "rep"), "rep", "left")
