@@ -60,10 +60,10 @@ def grams(hashes: np.ndarray, k: int) -> np.ndarray:
     n = len(hashes)
     if not n:
         return hashes
-    k = min(k, n)
+    k, mixed = min(k, n), mix(hashes)
     out = np.zeros(n - k + 1, np.uint64)
     for i in range(k):
-        out = out * np.uint64(0x9E3779B97F4A7C15) + mix(hashes[i : n - k + 1 + i])
+        out = out * np.uint64(0x9E3779B97F4A7C15) + mixed[i : n - k + 1 + i]
     return mix(out + np.uint64(k))
 
 
