@@ -5,9 +5,10 @@ sample (a bitmap in which each sampled value flips one bit) estimates their simi
 that it does not rule out are confirmed on the full sets. Texts with equal sets form a class that takes part once.
 
 Buckets never emit all their pairs. In each round a bucket's members meet one hub of the bucket, drawn anew by a hash, unless they are
-already in its component; found links merge components. Rounds go on while they find links and the pairs that stand apart (in one
-bucket, but in different components) outnumber the buckets' members by far. The pairs still apart then meet in a join
-that keeps only those which the sketch admits, so no proposed link is lost.
+already in its component; found links merge components. Rounds go on while they find links in number. The pairs still apart (in one
+bucket, but in different components) then meet in a join whose condition is a second, finer odd sketch: it folds a MinHash sample
+of up to 512 values (the least value in each bin of one permutation) into 1024 bits, which puts a similarity right to 0.01 or 0.02.
+The join lets through only pairs that may link, so no proposed link is lost and few pairs are written.
 """
 
 from __future__ import annotations
@@ -18,9 +19,10 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, connected, cut, grams, mix, texts, word_hashes
+from .common import WordHashes, connected, cut, grams, mix, small, texts, word_hashes
 
 BITS = 256
+BINS, FINE = 512, 1024
 
 
 def _signatures(k: int, bands: int, rows: int):
@@ -57,16 +59,25 @@ def _signatures(k: int, bands: int, rows: int):
     return run
 
 
-def _sets(k: int):
-    """Arrow batches (id, text) to (id, shingles)."""
+def _bodies(k: int):
+    """Arrow batches (id, text) to (id, shingles, fine, samples): the full set, its finer odd sketch and how many values that folds."""
 
     def run(batches):
         import pyarrow as pa
 
         cache = WordHashes()
         for batch in batches:
-            found = [np.unique(grams(word_hashes(text, cache), k)).view(np.int64) for text in texts(batch)]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(found, pa.list_(pa.int64()))], ["id", "shingles"])
+            sets, fine, samples = [], [], []
+            for text in texts(batch):
+                found = np.unique(grams(word_hashes(text, cache), k))
+                ordered = np.sort(mix(found + np.uint64(5)))  # the upper bits are the bin, so the first of each bin is its least
+                sample = ordered[np.flatnonzero(np.diff(ordered // np.uint64(2**64 // BINS), prepend=np.uint64(BINS)))]
+                flips = np.bincount((mix(sample) % np.uint64(FINE)).astype(np.int64), minlength=FINE) & 1
+                sets.append(found.view(np.int64))
+                fine.append(np.packbits(flips.astype(np.uint8)).view(np.int64))
+                samples.append(len(sample))
+            longs = pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sets, longs), pa.array(fine, longs), pa.array(samples, pa.int64())], ["id", "shingles", "fine", "samples"])
 
     return run
 
@@ -85,11 +96,25 @@ def estimate(flips: str | Column, samples: int) -> Column:
     return 1 + BITS / (4 * samples) * F.log(F.greatest(1 - 2 * F.col(flips) / BITS if isinstance(flips, str) else 1 - 2 * flips / BITS, F.lit(1e-9)))
 
 
-def _flips(x: str, y: str) -> Column:
-    return sum((F.bit_count(F.col(x)[i].bitwiseXOR(F.col(y)[i])) for i in range(1, BITS // 64)), F.bit_count(F.col(x)[0].bitwiseXOR(F.col(y)[0])))
+def _flips(x: str, y: str, bits: int) -> Column:
+    return sum((F.bit_count(F.col(x)[i].bitwiseXOR(F.col(y)[i])) for i in range(1, bits // 64)), F.bit_count(F.col(x)[0].bitwiseXOR(F.col(y)[0])))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 75, bands: int = 24, rows: int = 4, apart_per_member: int = 4) -> DataFrame:
+def _near(similarity: float, deviations: float = 4.0) -> Column:
+    """Whether the finer sketches of n, samples, fine and n2, samples2, fine2 admit the similarity.
+
+    The allowance is `deviations` times the standard deviation of the estimate at that similarity, of the sample (none if it is the whole set) and of the bitmap.
+    """
+    total = (F.col("samples") + F.col("samples2")).cast("double")
+    expected = total * (1 - similarity) / (1 + similarity)
+    of_bits = FINE / 4 * (F.exp(4 * expected / FINE) - 1) - expected
+    of_sample = 2 * similarity * (1 - similarity) / total * F.greatest(1 - total / (F.col("n") + F.col("n2")), F.lit(0.0))
+    slope = 2 * total / ((total + expected) * (total + expected))
+    least = similarity - 0.005 - deviations * F.sqrt(slope * slope * of_bits + of_sample)
+    return _flips("fine", "fine2", FINE) <= FINE / 2 * (1 - F.exp(-2 / FINE * total * (1 - least) / (1 + least)))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 75, bands: int = 24, rows: int = 4) -> DataFrame:
     """One row (id_col, n_shingles, component_id, kept) for each row of `docs`.
 
     Words are `[^\\x20\\x09-\\x0D]+` with A-Z lower-cased; a text's set holds its distinct shingles of `k` words, the whole sequence
@@ -114,46 +139,51 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shared = cut(keyed.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("key"))
     attributes = cut(reps.select("id", "n", "sketch"))
     inside = cut(keyed.join(shared, "key", "left_semi").distinct().join(attributes, "id"))
+    paired = cut(inside.select("id").distinct())
+    bodies = cut(named.join(small(paired), "id", "left_semi").select("id", "text").mapInArrow(_bodies(k), "id long, shingles array<long>, fine array<long>, samples long"))
 
     most = most_flips(bands * rows, percent / 100)  # of 256 bits; far fewer than unlike texts flip
-    fits = (F.col("n") * 100 >= F.col("n2") * percent) & (F.col("n2") * 100 >= F.col("n") * percent) & (_flips("sketch", "sketch2") <= most)
+    sizes = (F.col("n") * 100 >= F.col("n2") * percent) & (F.col("n2") * 100 >= F.col("n") * percent)
+    fits = sizes & (_flips("sketch", "sketch2", BITS) <= most)
     labels = cut(connected(edges))
     tested = None
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         """Those of the pairs (a, b) that link by their full sets."""
-        needed = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-        sets = cut(named.join(needed, "id", "left_semi").select("id", "text").mapInArrow(_sets(k), "id long, shingles array<long>"))
+        needed = cut(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct())
+        sets = bodies.select("id", "shingles").join(small(needed), "id", "left_semi")
         both = pairs.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b").join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a")
         common = F.size(F.array_intersect("x", "y"))
         return both.where(100 * common >= percent * (F.size("x") + F.size("y") - common)).select("a", "b").distinct()
 
     round_, last = 0, False
     while True:
-        placed = cut(inside.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id")))
-        held = placed.groupBy("key", "component").agg(F.count("*").alias("c")).groupBy("key").agg(F.sum("c").alias("c"), F.sum(F.col("c") * F.col("c")).alias("cc")).where("c * c > cc")
-        held = cut(held)
-        members, apart = held.agg(F.sum("c"), F.sum((F.col("c").cast("double") * F.col("c") - F.col("cc")) / 2)).first()
-        if not members:
-            break
-        last = last or apart <= apart_per_member * members
-        placed = placed.join(held.select("key"), "key", "left_semi")
+        placed = inside.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+        if round_:
+            placed = cut(placed)
+            held = cut(placed.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count("*").alias("c")).where("c0 < c1").select("key", "c"))
+            members = held.agg(F.sum("c")).first()[0]
+            if not members:
+                break
+            placed = placed.join(held.select("key"), "key", "left_semi")
+            last = found_links * 50 < members
         if last:
-            other = placed.select("key", F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("sketch").alias("sketch2"), F.col("component").alias("c2"))
-            met = placed.join(other, "key").where((F.col("component") < F.col("c2")) & fits)
+            finer = placed.join(bodies.select("id", "fine", "samples"), "id")
+            other = finer.select("key", *[F.col(x).alias(f"{x}2") for x in ("id", "n", "component", "sketch", "fine", "samples")])
+            met = finer.join(other, "key").where((F.col("component") < F.col("component2")) & fits & _near(percent / 100))
         else:
-            hub = cut(placed.groupBy("key").agg(F.min_by(F.struct(F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("sketch").alias("sketch2"), F.col("component").alias("c2")), F.xxhash64("id", "key", F.lit(round_))).alias("hub")))
-            met = placed.join(hub.select("key", "hub.*"), "key").where((F.col("component") != F.col("c2")) & fits)
+            hub = cut(placed.groupBy("key").agg(F.min_by(F.struct(*[F.col(x).alias(f"{x}2") for x in ("id", "n", "sketch", "component")]), F.xxhash64("id", "key", F.lit(round_))).alias("hub")))
+            met = placed.join(hub.select("key", "hub.*"), "key").where((F.col("component") != F.col("component2")) & fits)
         pairs = met.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct()
         pairs = cut(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
         found = cut(confirmed(pairs))
-        any_found = not found.isEmpty()
-        if any_found:
+        found_links = found.count()
+        if found_links:
             labels = cut(connected(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).union(found)))
         if last:
             break
         tested = pairs if tested is None else tested.union(pairs)
-        last, round_ = not any_found, round_ + 1
+        round_ += 1
 
     grouped = signed.select("id", "n", "hi", "lo").join(classes, ["hi", "lo"], "left")
     placed = grouped.join(labels.withColumnRenamed("node", "rep"), "rep", "left")
