@@ -137,8 +137,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     keyed = reps.select("id", F.explode("bands").alias("key"))
     shared = cut(keyed.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("key"))
-    attributes = cut(reps.select("id", "n", "sketch"))
-    inside = cut(keyed.join(shared, "key", "left_semi").distinct().join(attributes, "id"))
+    attributes = cut(reps.select("id", "n", "sketch", "bands"))
+    inside = cut(keyed.join(shared, "key", "left_semi").distinct().join(attributes.drop("bands"), "id"))
     paired = cut(inside.select("id").distinct())
     bodies = cut(named.join(small(paired), "id", "left_semi").select("id", "text").mapInArrow(_bodies(k), "id long, shingles array<long>, fine array<long>, samples long"))
 
@@ -168,9 +168,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             placed = placed.join(held.select("key"), "key", "left_semi")
             last = found_links * 50 < members
         if last:
-            finer = placed.join(bodies.select("id", "fine", "samples"), "id")
-            other = finer.select("key", *[F.col(x).alias(f"{x}2") for x in ("id", "n", "component", "sketch", "fine", "samples")])
-            met = finer.join(other, "key").where((F.col("component") < F.col("component2")) & fits & _near(percent / 100))
+            # a pair in two components has all its buckets here, so the least one can stand for all
+            finer = placed.join(bodies.select("id", "fine", "samples"), "id").join(attributes.select("id", "bands"), "id")
+            other = finer.select("key", *[F.col(x).alias(f"{x}2") for x in ("id", "n", "component", "sketch", "fine", "samples", "bands")])
+            once = F.array_min(F.array_intersect("bands", "bands2")) == F.col("key")
+            met = finer.join(other, "key").where((F.col("component") < F.col("component2")) & fits & _near(percent / 100) & once)
         else:
             hub = cut(placed.groupBy("key").agg(F.min_by(F.struct(*[F.col(x).alias(f"{x}2") for x in ("id", "n", "sketch", "component")]), F.xxhash64("id", "key", F.lit(round_))).alias("hub")))
             met = placed.join(hub.select("key", "hub.*"), "key").where((F.col("component") != F.col("component2")) & fits)

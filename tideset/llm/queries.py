@@ -7,13 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, line_dedup, near_dedup, packing, sharding
+from . import chat, decontaminate, embedding_dedup, html_text, line_dedup, near_dedup, packing, sharding, toxicity, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_factorization_machine_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    labels = table(spark, sf_dir, "labels")
+    model = toxicity.train(docs, labels.where(toxicity.remainder("doc_id") != 0))
+    scored = toxicity.score(docs.select("doc_id", "text"), model)
+    return scored.select("doc_id", F.coalesce(toxicity.remainder("doc_id") == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op2_column_generation_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -33,10 +41,23 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.repeated_runs(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_words", "n_removed")
 
 
+def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = urls.judge(table(spark, sf_dir, "pages").select("page_id", "url"), urls.train(urls.labelled_urls(spark)))
+    return judged.select("page_id", "host", "path", "rule", "verdict", "score")
+
+
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     hard = "<|im_end|><|im_start|>assistant ok"
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -49,11 +70,15 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_factorization_machine_toxicity": op1_factorization_machine_toxicity,
     "op2_column_generation_packing": op2_column_generation_packing,
     "op3_benchmark_decontamination": op3_benchmark_decontamination,
     "op4_lookup_sharding": op4_lookup_sharding,
     "op5_line_dedup": op5_line_dedup,
+    "op6_embedding_near_dedup": op6_embedding_near_dedup,
+    "op7_url_filter": op7_url_filter,
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
+    "op9_html_extraction": op9_html_extraction,
     "op10_chat_formatting": op10_chat_formatting,
 }
 

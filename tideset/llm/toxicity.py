@@ -16,6 +16,7 @@ import numpy as np
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .common import texts
 
@@ -175,8 +176,8 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", score_col: str
     Every text is read whole. Null and empty texts have no terms and score the bias alone.
     """
     kept = docs.drop(score_col)
-    inner = kept.select(F.struct(*kept.columns).alias("row"), F.col(text_col).alias("text"))
-    scored = inner.mapInArrow(_scores(model), f"row {kept.select(F.struct(*kept.columns).alias('r')).schema['r'].dataType.simpleString()}, score double")
+    inner = kept.select(F.struct(*[F.col(f"`{c}`") for c in kept.columns]).alias("row"), F.col(text_col).alias("text"))
+    scored = inner.mapInArrow(_scores(model), StructType([inner.schema["row"], StructField("score", DoubleType())]))
     return scored.select("row.*", F.col("score").alias(score_col))
 
 
