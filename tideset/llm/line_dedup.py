@@ -14,6 +14,7 @@ import re
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 from .common import WordHashes, cut, grams, texts, word_hashes, words
 
@@ -106,26 +107,32 @@ def _delete(k: int, min_run: int):
                 kept.append(text.decode("utf-8", "replace"))
                 spans.append([{"start": a, "length": b - a} for a, b in merged])
                 counts.append(n)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("h"), pa.array(kept, pa.string()), pa.array(spans, kinds), pa.array(counts, pa.int64())], ["id", "h", "text", "removed", "n_words"])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(kept, pa.string()), pa.array(spans, kinds), pa.array(counts, pa.int64())], ["row", "text", "removed", "n_words"])
 
     return run
 
 
+_SPANS = "array<struct<start:bigint,length:bigint>>"
+
+
 def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_run: int = 50, k: int = 20) -> DataFrame:
-    """One row (id_col, text, removed, n_words, n_removed) for each row of `docs`: its text without later repeated runs.
+    """The rows of `docs` with their texts (in text_col) without later repeated runs, and three columns more: removed, n_words, n_removed.
 
     A run is `min_run` words or more (words `[^\\x20\\x09-\\x0D]+`, A-Z lower-cased) that stand, in the same order, at an earlier place:
-    in a document of a smaller id, or earlier in the same text. removed lists start and length of the deleted runs, counted in words.
+    in a document of a smaller id, or earlier in the same text. removed lists start and length of the deleted runs, counted in words;
+    n_words counts the words before, n_removed those deleted.
 
     Defined cases: a null text gives an empty one. A row with a null id is left as it is and is no source. Rows of equal id and
     text are one document and get the same result; rows of equal id and other text are ordered by a hash of their text.
-    A text that is wholly a repeat becomes empty. Other columns are ignored.
+    A text that is wholly a repeat becomes empty. Other columns stay as they are; those named as the new ones are replaced.
     """
     w = min_run - k + 1
     if w < 1:
         raise ValueError("k must be at most min_run")
     reach = min_run + k
-    source = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    docs = docs.drop("removed", "n_words", "n_removed")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col]).alias("row")
+    source = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), row)
     named = source.where("id IS NOT NULL").select("id", F.xxhash64("text").alias("h"), "text")
     kind = docs.schema[id_col].dataType.simpleString()
     found = named.mapInArrow(_fingerprints(k, w), f"id {kind}, h long, f array<long>, p array<int>")
@@ -138,8 +145,10 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     asked = cut(asked)
     told = asked.join(named.select(F.col("id").alias("sid"), F.col("h").alias("sh"), "text"), ["sid", "sh"]).select("id", "h", F.struct("at", "first", excerpt.alias("excerpt")).alias("r"))
     told = told.groupBy("id", "h").agg(F.collect_set("r").alias("requests"))
-    done = named.join(told, ["id", "h"], "left").mapInArrow(_delete(k, min_run), f"id {kind}, h long, text string, removed array<struct<start:long,length:long>>, n_words long")
-    null = source.where("id IS NULL").select("id", "text", F.array().cast("array<struct<start:bigint,length:bigint>>").alias("removed"), F.size(words("text")).cast("long").alias("n_words"))
-    out = done.select("id", "text", "removed", "n_words").union(null)
+    asking = source.where("id IS NOT NULL").withColumn("h", F.xxhash64("text")).join(told, ["id", "h"], "left").select("row", "text", "requests")
+    kinds = StructType([source.schema["row"], StructField("text", StringType()), StructField("removed", ArrayType(StructType([StructField("start", LongType()), StructField("length", LongType())]))), StructField("n_words", LongType())])
+    done = asking.mapInArrow(_delete(k, min_run), kinds)
+    null = source.where("id IS NULL").select("row", "text", F.array().cast(_SPANS).alias("removed"), F.size(words("text")).cast("long").alias("n_words"))
+    out = done.union(null)
     n_removed = F.aggregate("removed", F.lit(0).cast("long"), lambda n, r: n + r.length)
-    return out.select(F.col("id").alias(id_col), "text", "removed", "n_words", n_removed.alias("n_removed"))
+    return out.select(*[F.col("text").alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns], "removed", "n_words", n_removed.alias("n_removed"))

@@ -194,3 +194,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     out = placed.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), (F.col("id") == component).alias("kept"))
     null = source.where("id IS NULL").mapInArrow(_signatures(k, bands, rows), "id long, n long, hi long, lo long, bands array<long>, sketch array<long>")
     return out.union(null.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"), F.lit(True).alias("kept")))
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+    """The rows of `docs` that `near_duplicates` keeps: of each component the document with the smallest id, and rows with a null id.
+
+    Rows with equal ids are one document, so they stay or go together.
+    """
+    copies = cut(near_duplicates(docs, id_col=id_col, **options).where("NOT kept").select(id_col).distinct())
+    return docs.join(small(copies), id_col, "left_anti")
