@@ -56,15 +56,18 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def grams(hashes: np.ndarray, k: int) -> np.ndarray:
-    """A hash of each run of k word hashes; of the whole sequence if it is shorter; none if it is empty."""
+    """A hash of each run of k word hashes; of the whole sequence if it is shorter; none if it is empty.
+
+    A run's hash is a polynomial modulo 2**64: by differences of prefix sums, divided by the odd base's power where the run begins.
+    """
     n = len(hashes)
     if not n:
         return hashes
-    k, mixed = min(k, n), mix(hashes)
-    out = np.zeros(n - k + 1, np.uint64)
-    for i in range(k):
-        out = out * np.uint64(0x9E3779B97F4A7C15) + mixed[i : n - k + 1 + i]
-    return mix(out + np.uint64(k))
+    k = min(k, n)
+    base, inverse = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum(mix(hashes) * np.multiply.accumulate(np.full(n, base, np.uint64)), out=sums[1:])
+    return mix((sums[k:] - sums[:-k]) * np.multiply.accumulate(np.full(n - k + 1, inverse, np.uint64)) + np.uint64(k))
 
 
 def lower_words(text: bytes) -> list[bytes]:

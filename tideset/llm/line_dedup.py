@@ -4,7 +4,10 @@ The hashes that are winnowed are of word lines: the `k` words from each position
 repeated passages often begin and end inside a line. Of each window of `w` consecutive hashes the least one (the last of equals) is selected, so
 any repeated run of min_run = w + k - 1 words or more shares a selected fingerprint with its source. Each fingerprint's first
 occurrence, in the order of document id and position, is the source of all its others: a join of positions, not of all pairs.
-From there matches are extended both ways word by word, and runs of min_run words or more are deleted; the first occurrence stays.
+
+As w <= k, the fingerprints that two copies of a run share follow each other without a gap between their words, so a chain of them on one
+diagonal needs extension at its two ends only, by less than w words. The `CONTEXT` words beside the ends are fetched from both texts as hashes and
+compared; texts themselves are never sent to other texts. Runs of min_run words or more are deleted, the first occurrence stays.
 """
 
 from __future__ import annotations
@@ -12,23 +15,37 @@ from __future__ import annotations
 import re
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
-from .common import WordHashes, cut, grams, texts, word_hashes, words
+from .common import WordHashes, cut, grams, small, texts, word_hashes
 
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
 def select(hashes: np.ndarray, w: int) -> np.ndarray:
-    """Positions of the minima of all windows of w hashes, the last of equal ones; none if there are fewer than w."""
-    if len(hashes) < w:
+    """Positions of the minima of all windows of w hashes, the last of equal ones; none if there are fewer than w.
+
+    Compares the upper 40 bits, with the position (later is less) below them; each window's minimum is that of two prefix or suffix minima of blocks.
+    """
+    n = len(hashes)
+    if n < w:
         return np.zeros(0, np.int64)
-    windows = np.lib.stride_tricks.sliding_window_view(hashes, w)
-    step = 1 << 15
-    found = [np.arange(at, min(at + step, len(windows))) + w - 1 - windows[at : at + step, ::-1].argmin(1) for at in range(0, len(windows), step)]
-    return np.unique(np.concatenate(found))
+    low = np.uint64((1 << 24) - 1)
+    found = []
+    for at in range(0, n - w + 1, 1 << 23):  # positions must fit their bits
+        part = hashes[at : at + (1 << 23) + w - 1]
+        size = len(part)
+        padded = np.full(-(-size // w) * w, np.uint64(2**64 - 1))
+        padded[:size] = part & ~low | low - np.arange(size, dtype=np.uint64)
+        blocks = padded.reshape(-1, w)
+        before = np.minimum.accumulate(blocks, 1).ravel()
+        after = np.minimum.accumulate(blocks[:, ::-1], 1)[:, ::-1].ravel()
+        least = np.minimum(after[: size - w + 1], before[w - 1 : size])
+        found.append((low - (least & low)).astype(np.int64) + at)
+    places = np.concatenate(found)
+    return places[np.flatnonzero(np.diff(places, prepend=-1))]
 
 
 def _fingerprints(k: int, w: int):
@@ -49,21 +66,29 @@ def _fingerprints(k: int, w: int):
     return run
 
 
-def _extended(own: list[bytes], other: list[bytes], first: int, pairs: list[tuple[int, int]], k: int, min_run: int):
-    """Runs [a, b) of own that other repeats on one diagonal; other begins at its document's word `first`."""
-    end = -1
-    for p, q in sorted(pairs):
-        q -= first
-        if p + k <= end or own[p : p + k] != other[q : q + k]:
-            continue
-        a, b, c, d = p, p + k, q, q + k
-        while a and c and own[a - 1] == other[c - 1]:
-            a, c = a - 1, c - 1
-        while b < len(own) and d < len(other) and own[b] == other[d]:
-            b, d = b + 1, d + 1
-        end = b
-        if b - a >= min_run:
-            yield a, b
+#: Words beside a chain's end that are compared, at least.
+CONTEXT = 32
+
+
+def _contexts(context: int):
+    """Arrow batches (id, h, text, ends) to rows (id, h, place, words) for each end: the words before place >= 0, nearest first, or from ~place on."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        cache = WordHashes()
+        for batch in batches:
+            ids, hs, places, found = [], [], [], []
+            for row, (text, ends) in enumerate(zip(texts(batch), batch.column("ends").to_pylist(), strict=True)):
+                own = (word_hashes(text, cache) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+                for place in ends:
+                    ids.append(row)
+                    places.append(place)
+                    found.append(own[max(0, place - context) : place][::-1] if place >= 0 else own[~place : ~place + context])
+            rows = pa.array(ids, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(rows), batch.column("h").take(rows), pa.array(places, pa.int64()), pa.array(found, pa.list_(pa.int32()))], ["id", "h", "place", "words"])
+
+    return run
 
 
 def without(text: bytes, runs: list[tuple[int, int]]) -> tuple[bytes, list[tuple[int, int]], int]:
@@ -86,36 +111,53 @@ def without(text: bytes, runs: list[tuple[int, int]]) -> tuple[bytes, list[tuple
     return b"".join([*out, text[at:]]), [(a, b) for a, b in merged], len(spans)
 
 
-def _delete(k: int, min_run: int):
-    def run(batches):
-        import pyarrow as pa
-
-        kinds = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))
-        for batch in batches:
-            kept, spans, counts = [], [], []
-            for text, requests in zip(texts(batch), batch.column("requests").to_pylist(), strict=True):
-                runs = []
-                if requests:
-                    own = text.lower().split()
-                    for r in requests:
-                        other = [x.encode() for x in r["excerpt"]]
-                        runs += _extended(own, other, r["first"], [(x["p"], x["sp"]) for x in r["at"]], k, min_run)
-                if runs:
-                    text, merged, n = without(text, runs)
-                else:
-                    merged, n = [], len(text.split())
-                kept.append(text.decode("utf-8", "replace"))
-                spans.append([{"start": a, "length": b - a} for a, b in merged])
-                counts.append(n)
-            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(kept, pa.string()), pa.array(spans, kinds), pa.array(counts, pa.int64())], ["row", "text", "removed", "n_words"])
-
-    return run
-
+def _delete(batches):
+    import pyarrow as pa
 
-_SPANS = "array<struct<start:bigint,length:bigint>>"
+    kinds = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))
+    for batch in batches:
+        kept, spans, counts = [], [], []
+        for text, runs in zip(texts(batch), batch.column("runs").to_pylist(), strict=True):
+            if runs:
+                text, merged, n = without(text, [(r["start"], r["end"]) for r in runs])
+            else:
+                merged, n = [], len(text.split())
+            kept.append(text.decode("utf-8", "replace"))
+            spans.append([{"start": a, "length": b - a} for a, b in merged])
+            counts.append(n)
+        yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(kept, pa.string()), pa.array(spans, kinds), pa.array(counts, pa.int64())], ["row", "text", "removed", "n_words"])
 
 
-def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_run: int = 50, k: int = 20) -> DataFrame:
+def _runs(named: DataFrame, kind: str, min_run: int) -> DataFrame:
+    """The runs (id, h, start, end) of `named` (id, h, text) that stand at an earlier place."""
+    k = min_run // 2 + 1
+    w = min_run - k + 1
+    found = named.mapInArrow(_fingerprints(k, w), f"id {kind}, h long, f array<long>, p array<int>")
+    found = cut(found.select("id", "h", F.explode(F.arrays_zip("f", "p")).alias("x")).select("id", "h", "x.f", "x.p"))
+    first = found.groupBy("f").agg(F.min(F.struct("id", "h", "p")).alias("s"), F.max(F.struct("id", "h", "p")).alias("last")).where("s <> last")
+    first = cut(first.select("f", F.col("s.id").alias("sid"), F.col("s.h").alias("sh"), F.col("s.p").alias("sp")))
+    met = found.join(small(first, 1_000_000), "f").where("NOT (id = sid AND h = sh AND p = sp)").select("id", "h", "sid", "sh", (F.col("sp") - F.col("p")).alias("shift"), "p")
+    diagonal = Window.partitionBy("id", "h", "sid", "sh", "shift").orderBy("p")
+    chained = met.withColumn("fresh", (F.col("p") - F.coalesce(F.lag("p").over(diagonal), F.lit(-k - 1)) > k).cast("long"))
+    chained = chained.withColumn("chain", F.sum("fresh").over(diagonal.rowsBetween(Window.unboundedPreceding, 0)))
+    chains = cut(chained.groupBy("id", "h", "sid", "sh", "shift", "chain").agg(F.min("p").cast("long").alias("start"), (F.max("p") + k).cast("long").alias("end")))
+
+    # an end is named by one number: the place of its first word, or the complement of the place after its last
+    sides = F.explode(F.array(F.struct(F.col("start").alias("place"), (F.col("start") + F.col("shift")).alias("splace")), F.struct((-F.col("end") - 1).alias("place"), (-(F.col("end") + F.col("shift")) - 1).alias("splace"))))
+    ends = chains.select("id", "h", "sid", "sh", "shift", "chain", sides.alias("x")).select("id", "h", "sid", "sh", "shift", "chain", "x.place", "x.splace")
+    asked = ends.select("id", "h", "place").union(ends.select("sid", "sh", "splace"))
+    asked = cut(asked.groupBy("id", "h").agg(F.collect_set("place").alias("ends")))
+    context = max(CONTEXT, w)
+    told = named.join(small(asked), ["id", "h"]).mapInArrow(_contexts(context), f"id {kind}, h long, place long, words array<int>")
+    told = cut(told.groupBy("id", "h", "place").agg(F.first("words").alias("words")))  # a document may have several rows
+    both = ends.join(told, ["id", "h", "place"]).join(told.select(F.col("id").alias("sid"), F.col("h").alias("sh"), F.col("place").alias("splace"), F.col("words").alias("swords")), ["sid", "sh", "splace"])
+    equal = F.zip_with("words", "swords", lambda x, y: x.eqNullSafe(y))
+    more = F.when(F.array_position(equal, False) > 0, F.array_position(equal, False) - 1).otherwise(F.size(equal))
+    extended = both.groupBy("id", "h", "sid", "sh", "shift", "chain").agg(F.max(F.when(F.col("place") >= 0, F.col("place") - more)).alias("start"), F.max(F.when(F.col("place") < 0, -F.col("place") - 1 + more)).alias("end"))
+    return extended.where(F.col("end") - F.col("start") >= min_run).select("id", "h", "start", "end")
+
+
+def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_run: int = 50) -> DataFrame:
     """The rows of `docs` with their texts (in text_col) without later repeated runs, and three columns more: removed, n_words, n_removed.
 
     A run is `min_run` words or more (words `[^\\x20\\x09-\\x0D]+`, A-Z lower-cased) that stand, in the same order, at an earlier place:
@@ -126,29 +168,14 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     text are one document and get the same result; rows of equal id and other text are ordered by a hash of their text.
     A text that is wholly a repeat becomes empty. Other columns stay as they are; those named as the new ones are replaced.
     """
-    w = min_run - k + 1
-    if w < 1:
-        raise ValueError("k must be at most min_run")
-    reach = min_run + k
     docs = docs.drop("removed", "n_words", "n_removed")
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col]).alias("row")
-    source = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), row)
-    named = source.where("id IS NOT NULL").select("id", F.xxhash64("text").alias("h"), "text")
-    kind = docs.schema[id_col].dataType.simpleString()
-    found = named.mapInArrow(_fingerprints(k, w), f"id {kind}, h long, f array<long>, p array<int>")
-    found = cut(found.select("id", "h", F.explode(F.arrays_zip("f", "p")).alias("x")).select("id", "h", "x.f", "x.p"))
-    first = found.groupBy("f").agg(F.min(F.struct("id", "h", "p")).alias("s"), F.max(F.struct("id", "h", "p")).alias("last")).where("s <> last")
-    first = cut(first.select("f", F.col("s.id").alias("sid"), F.col("s.h").alias("sh"), F.col("s.p").alias("sp")))
-    met = found.join(first, "f").where("NOT (id = sid AND h = sh AND p = sp)").distinct()
-    asked = met.groupBy("id", "h", "sid", "sh", (F.col("sp") - F.col("p")).alias("shift")).agg(F.collect_list(F.struct("p", "sp")).alias("at"), F.greatest(F.min("sp") - reach, F.lit(0)).alias("first"), (F.max("sp") + k + reach).alias("end"))
-    excerpt = F.slice(words("text"), F.col("first") + 1, F.col("end") - F.col("first"))
-    asked = cut(asked)
-    told = asked.join(named.select(F.col("id").alias("sid"), F.col("h").alias("sh"), "text"), ["sid", "sh"]).select("id", "h", F.struct("at", "first", excerpt.alias("excerpt")).alias("r"))
-    told = told.groupBy("id", "h").agg(F.collect_set("r").alias("requests"))
-    asking = source.where("id IS NOT NULL").withColumn("h", F.xxhash64("text")).join(told, ["id", "h"], "left").select("row", "text", "requests")
-    kinds = StructType([source.schema["row"], StructField("text", StringType()), StructField("removed", ArrayType(StructType([StructField("start", LongType()), StructField("length", LongType())]))), StructField("n_words", LongType())])
-    done = asking.mapInArrow(_delete(k, min_run), kinds)
-    null = source.where("id IS NULL").select("row", "text", F.array().cast(_SPANS).alias("removed"), F.size(words("text")).cast("long").alias("n_words"))
-    out = done.union(null)
+    source = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), row).withColumn("h", F.xxhash64("text"))
+    runs = _runs(source.where("id IS NOT NULL").select("id", "h", "text"), docs.schema[id_col].dataType.simpleString(), min_run)
+    told = cut(runs.groupBy("id", "h").agg(F.collect_set(F.struct("start", "end")).alias("runs")))
+    asking = source.join(small(told), ["id", "h"], "left").select("row", "text", "runs")
+    spans = ArrayType(StructType([StructField("start", LongType()), StructField("length", LongType())]))
+    kinds = StructType([source.schema["row"], StructField("text", StringType()), StructField("removed", spans), StructField("n_words", LongType())])
+    done = asking.mapInArrow(_delete, kinds)
     n_removed = F.aggregate("removed", F.lit(0).cast("long"), lambda n, r: n + r.length)
-    return out.select(*[F.col("text").alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns], "removed", "n_words", n_removed.alias("n_removed"))
+    return done.select(*[F.col("text").alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns], "removed", "n_words", n_removed.alias("n_removed"))
