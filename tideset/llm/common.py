@@ -6,7 +6,6 @@ import tempfile
 from collections.abc import Iterator
 
 import numpy as np
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,18 +35,6 @@ def words(text: str | Column) -> Column:
     return F.filter(F.split(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), WHITE), lambda w: w != "")
 
 
-class WordHashes(dict):
-    """bytes to an unsigned 64-bit hash that is the same in every process; forgets everything when it grows too large."""
-
-    limit = 1_000_000
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.limit:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """The splitmix64 finalizer on unsigned 64-bit values."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -70,14 +57,55 @@ def grams(hashes: np.ndarray, k: int) -> np.ndarray:
     return mix((sums[k:] - sums[:-k]) * np.multiply.accumulate(np.full(n - k + 1, inverse, np.uint64)) + np.uint64(k))
 
 
-def lower_words(text: bytes) -> list[bytes]:
-    """The same words as `words`, of UTF-8 bytes: both lower() and split() of bytes know only ASCII."""
-    return text.lower().split()
+_BASE = 0xD6E8FEB86659FD93  # odd
+_POWERS: dict[str, np.ndarray] = {}
+_BLOCK = 1 << 20
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of the base modulo 2**64, and of its inverse."""
+    if len(_POWERS.get("up", ())) < n:
+        size = max(n, 1 << 14)
+        for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
+            _POWERS[name] = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(size - 1, base, np.uint64)]))
+    return _POWERS["up"][:n], _POWERS["down"][:n]
 
 
-def word_hashes(text: bytes, cache: WordHashes) -> np.ndarray:
-    found = lower_words(text)
-    return np.fromiter(map(cache.__getitem__, found), np.uint64, len(found))
+_SPACE = np.zeros(256, bool)
+_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+_LETTERS = mix(np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], np.uint64) + np.uint64(1))
+
+
+def word_hashes(text: bytes) -> np.ndarray:
+    """A hash of each word `[^\\x20\\x09-\\x0D]+` of UTF-8 bytes, A-Z lower-cased, the same in every process.
+
+    A word's hash is a polynomial of its bytes modulo 2**64, taken as a difference of prefix sums; long texts go in blocks that end at white space.
+    """
+    parts, at = [], 0
+    while len(text) - at > _BLOCK:
+        end = at + _BLOCK
+        while end < len(text) and not _SPACE[text[end]]:
+            end += 1
+        parts.append(_hashed(text[at:end]))
+        at = end
+    parts.append(_hashed(text[at:]))
+    return np.concatenate(parts) if len(parts) > 1 else parts[0]
+
+
+def _hashed(text: bytes) -> np.ndarray:
+    data = np.frombuffer(text, np.uint8)
+    n = len(data)
+    if not n:
+        return np.zeros(0, np.uint64)
+    edge = np.empty(n + 2, bool)
+    edge[0] = edge[-1] = True
+    np.take(_SPACE, data, out=edge[1:-1])
+    turns = np.flatnonzero(edge[1:] != edge[:-1])
+    start, end = turns[::2], turns[1::2]
+    up, down = _powers(n + 1)
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum(_LETTERS[data] * up[:n], out=sums[1:])
+    return mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64))
 
 
 def texts(batch, name: str = "text") -> Iterator[bytes]:

@@ -6,7 +6,7 @@ any repeated run of min_run = w + k - 1 words or more shares a selected fingerpr
 occurrence, in the order of document id and position, is the source of all its others: a join of positions, not of all pairs.
 
 As w <= k, the fingerprints that two copies of a run share follow each other without a gap between their words, so a chain of them on one
-diagonal needs extension at its two ends only, by less than w words. The `CONTEXT` words beside the ends are fetched from both texts as hashes and
+diagonal needs extension at its two ends only, by less than w words. The w words beside the ends are fetched from both texts as hashes and
 compared; texts themselves are never sent to other texts. Runs of min_run words or more are deleted, the first occurrence stays.
 """
 
@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
-from .common import WordHashes, cut, grams, small, texts, word_hashes
+from .common import cut, grams, small, texts, word_hashes
 
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
@@ -52,11 +52,10 @@ def _fingerprints(k: int, w: int):
     def run(batches):
         import pyarrow as pa
 
-        cache = WordHashes()
         for batch in batches:
             f, p = [], []
             for text in texts(batch):
-                found = word_hashes(text, cache)
+                found = word_hashes(text)
                 found = grams(found, k) if len(found) >= k + w - 1 else found[:0]
                 at = select(found, w)
                 f.append(found[at].view(np.int64))
@@ -66,33 +65,33 @@ def _fingerprints(k: int, w: int):
     return run
 
 
-#: Words beside a chain's end that are compared, at least.
-CONTEXT = 32
-
-
 def _contexts(context: int):
-    """Arrow batches (id, h, text, ends) to rows (id, h, place, words) for each end: the words before place >= 0, nearest first, or from ~place on."""
+    """Arrow batches (id, h, text, ends) to (id, h, found): for each end the words before place >= 0, nearest first, or from ~place on."""
 
     def run(batches):
         import pyarrow as pa
 
-        cache = WordHashes()
         for batch in batches:
-            ids, hs, places, found = [], [], [], []
-            for row, (text, ends) in enumerate(zip(texts(batch), batch.column("ends").to_pylist(), strict=True)):
-                own = (word_hashes(text, cache) >> np.uint64(32)).astype(np.uint32).view(np.int32)
-                for place in ends:
-                    ids.append(row)
-                    places.append(place)
-                    found.append(own[max(0, place - context) : place][::-1] if place >= 0 else own[~place : ~place + context])
-            rows = pa.array(ids, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("id").take(rows), batch.column("h").take(rows), pa.array(places, pa.int64()), pa.array(found, pa.list_(pa.int32()))], ["id", "h", "place", "words"])
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                places, starts, taken, rows = [], [0], [], [0]
+                for text, ends in zip(texts(part), part.column("ends").to_pylist(), strict=True):
+                    own = (word_hashes(text) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+                    for place in ends:
+                        near = own[max(0, place - context) : place][::-1] if place >= 0 else own[~place : ~place + context]
+                        taken.append(near)
+                        starts.append(starts[-1] + len(near))
+                    places += ends
+                    rows.append(len(places))
+                words = pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(np.concatenate(taken) if taken else np.zeros(0, np.int32)))
+                found = pa.ListArray.from_arrays(pa.array(rows, pa.int32()), pa.StructArray.from_arrays([pa.array(places, pa.int64()), words], ["place", "words"]))
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("h"), found], ["id", "h", "found"])
 
     return run
 
 
-def without(text: bytes, runs: list[tuple[int, int]]) -> tuple[bytes, list[tuple[int, int]], int]:
-    """The text without the runs of words [a, b), these runs merged, and how many words it had. A line break beside a run stays."""
+def without(text: bytes, runs: list[tuple[int, int]]) -> tuple[bytes, list[tuple[int, int]]]:
+    """The text without the runs of words [a, b), and these runs merged. A line break beside a run stays."""
     spans = [m.span() for m in _WORD.finditer(text)]
     merged: list[list[int]] = []
     for a, b in sorted(runs):
@@ -108,7 +107,7 @@ def without(text: bytes, runs: list[tuple[int, int]]) -> tuple[bytes, list[tuple
         if a and b < len(spans):
             out.append(before if b"\n" in before else after)
         at = spans[b - 1][1] + len(after)
-    return b"".join([*out, text[at:]]), [(a, b) for a, b in merged], len(spans)
+    return b"".join([*out, text[at:]]), [(a, b) for a, b in merged]
 
 
 def _delete(batches):
@@ -116,16 +115,12 @@ def _delete(batches):
 
     kinds = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))
     for batch in batches:
-        kept, spans, counts = [], [], []
+        kept, spans = [], []
         for text, runs in zip(texts(batch), batch.column("runs").to_pylist(), strict=True):
-            if runs:
-                text, merged, n = without(text, [(r["start"], r["end"]) for r in runs])
-            else:
-                merged, n = [], len(text.split())
+            text, merged = without(text, [(r["start"], r["end"]) for r in runs])
             kept.append(text.decode("utf-8", "replace"))
             spans.append([{"start": a, "length": b - a} for a, b in merged])
-            counts.append(n)
-        yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(kept, pa.string()), pa.array(spans, kinds), pa.array(counts, pa.int64())], ["row", "text", "removed", "n_words"])
+        yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(kept, pa.string()), pa.array(spans, kinds)], ["row", "text", "removed"])
 
 
 def _runs(named: DataFrame, kind: str, min_run: int) -> DataFrame:
@@ -147,9 +142,9 @@ def _runs(named: DataFrame, kind: str, min_run: int) -> DataFrame:
     ends = chains.select("id", "h", "sid", "sh", "shift", "chain", sides.alias("x")).select("id", "h", "sid", "sh", "shift", "chain", "x.place", "x.splace")
     asked = ends.select("id", "h", "place").union(ends.select("sid", "sh", "splace"))
     asked = cut(asked.groupBy("id", "h").agg(F.collect_set("place").alias("ends")))
-    context = max(CONTEXT, w)
-    told = named.join(small(asked), ["id", "h"]).mapInArrow(_contexts(context), f"id {kind}, h long, place long, words array<int>")
-    told = cut(told.groupBy("id", "h", "place").agg(F.first("words").alias("words")))  # a document may have several rows
+    told = named.join(small(asked), ["id", "h"]).mapInArrow(_contexts(w), f"id {kind}, h long, found array<struct<place:long,words:array<int>>>")
+    told = cut(told.groupBy("id", "h").agg(F.first("found").alias("found")))  # a document may have several rows
+    told = told.select("id", "h", F.inline("found"))
     both = ends.join(told, ["id", "h", "place"]).join(told.select(F.col("id").alias("sid"), F.col("h").alias("sh"), F.col("place").alias("splace"), F.col("words").alias("swords")), ["sid", "sh", "splace"])
     equal = F.zip_with("words", "swords", lambda x, y: x.eqNullSafe(y))
     more = F.when(F.array_position(equal, False) > 0, F.array_position(equal, False) - 1).otherwise(F.size(equal))
@@ -158,24 +153,24 @@ def _runs(named: DataFrame, kind: str, min_run: int) -> DataFrame:
 
 
 def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_run: int = 50) -> DataFrame:
-    """The rows of `docs` with their texts (in text_col) without later repeated runs, and three columns more: removed, n_words, n_removed.
+    """The rows of `docs` with their texts (in text_col) without later repeated runs, and two columns more: removed and n_removed.
 
     A run is `min_run` words or more (words `[^\\x20\\x09-\\x0D]+`, A-Z lower-cased) that stand, in the same order, at an earlier place:
     in a document of a smaller id, or earlier in the same text. removed lists start and length of the deleted runs, counted in words;
-    n_words counts the words before, n_removed those deleted.
+    n_removed is how many words they hold.
 
     Defined cases: a null text gives an empty one. A row with a null id is left as it is and is no source. Rows of equal id and
     text are one document and get the same result; rows of equal id and other text are ordered by a hash of their text.
     A text that is wholly a repeat becomes empty. Other columns stay as they are; those named as the new ones are replaced.
     """
-    docs = docs.drop("removed", "n_words", "n_removed")
+    docs = docs.drop("removed", "n_removed")
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col]).alias("row")
     source = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), row).withColumn("h", F.xxhash64("text"))
     runs = _runs(source.where("id IS NOT NULL").select("id", "h", "text"), docs.schema[id_col].dataType.simpleString(), min_run)
     told = cut(runs.groupBy("id", "h").agg(F.collect_set(F.struct("start", "end")).alias("runs")))
     asking = source.join(small(told), ["id", "h"], "left").select("row", "text", "runs")
     spans = ArrayType(StructType([StructField("start", LongType()), StructField("length", LongType())]))
-    kinds = StructType([source.schema["row"], StructField("text", StringType()), StructField("removed", spans), StructField("n_words", LongType())])
-    done = asking.mapInArrow(_delete, kinds)
+    kinds = StructType([source.schema["row"], StructField("text", StringType()), StructField("removed", spans)])
+    done = asking.where("runs IS NOT NULL").mapInArrow(_delete, kinds).union(asking.where("runs IS NULL").select("row", "text", F.array().cast(spans)))
     n_removed = F.aggregate("removed", F.lit(0).cast("long"), lambda n, r: n + r.length)
-    return done.select(*[F.col("text").alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns], "removed", "n_words", n_removed.alias("n_removed"))
+    return done.select(*[F.col("text").alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns], "removed", n_removed.alias("n_removed"))

@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, connected, cut, grams, mix, small, texts, word_hashes
+from .common import connected, cut, grams, mix, small, texts, word_hashes
 
 BITS = 256
 BINS, FINE = 512, 1024
@@ -31,13 +31,12 @@ def _signatures(k: int, bands: int, rows: int):
     def run(batches):
         import pyarrow as pa
 
-        cache = WordHashes()
         seeds = mix(np.arange(1, bands * rows + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
         odd, ordinal = (seeds | np.uint64(1))[:, None], np.arange(bands * rows, dtype=np.uint64)
         for batch in batches:
             size, hi, lo, keys, sketches = [], [], [], [], []
             for text in texts(batch):
-                found = np.unique(grams(word_hashes(text, cache), k))
+                found = np.unique(grams(word_hashes(text), k))
                 size.append(len(found))
                 hi.append(int(np.bitwise_xor.reduce(mix(found + np.uint64(7)), initial=np.uint64(len(found))).view(np.int64)))
                 lo.append(int(found.sum(dtype=np.uint64).view(np.int64)))
@@ -65,11 +64,10 @@ def _bodies(k: int):
     def run(batches):
         import pyarrow as pa
 
-        cache = WordHashes()
         for batch in batches:
             sets, fine, samples = [], [], []
             for text in texts(batch):
-                found = np.unique(grams(word_hashes(text, cache), k))
+                found = np.unique(grams(word_hashes(text), k))
                 ordered = np.sort(mix(found + np.uint64(5)))  # the upper bits are the bin, so the first of each bin is its least
                 sample = ordered[np.flatnonzero(np.diff(ordered // np.uint64(2**64 // BINS), prepend=np.uint64(BINS)))]
                 flips = np.bincount((mix(sample) % np.uint64(FINE)).astype(np.int64), minlength=FINE) & 1

@@ -38,7 +38,7 @@ def op4_lookup_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.repeated_runs(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "text", "n_words", "n_removed")
+    return line_dedup.repeated_runs(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "text", "n_removed")
 
 
 def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
