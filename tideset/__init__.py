@@ -1 +1 @@
-"""Spark-native influence tracking in streams of time-decaying interactions."""
+"""Streaming influence analytics on Spark: the most influential k nodes of a stream of interactions that expire."""

@@ -1,0 +1,40 @@
+"""Solvers and rewards on unbounded streams (key, t, u, v, l) with Structured Streaming."""
+
+from __future__ import annotations
+
+import pickle
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..operators.pruned_list import SCHEMA, PrunedList
+
+
+def track_stream(stream: DataFrame, k: int, eps: float, reward: str = "coverage", key_col: str = "key") -> DataFrame:
+    """The rows of `operators.pruned_list.track` of a streaming DataFrame, for each key as its rows arrive (append mode).
+
+    The state of a key (live rows and sieves) is kept in Spark's state store and survives restarts. Within a micro-batch rows are sorted by t; rows that
+    arrive in a later micro-batch than a larger t of their key are late and are left out.
+    """
+    kind = dict(stream.dtypes)[key_col]
+
+    def handle(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        tracker, clock = pickle.loads(state.get[0]) if state.exists else (PrunedList(k, eps, reward), 0)
+        out = []
+        for t, u, v, life in pd.concat(list(batches)).sort_values("t")[["t", "u", "v", "l"]].itertuples(index=False):
+            if t > clock:
+                out.append((key[0], t, *tracker.step(t, u, v, life)))
+                clock = t
+        state.update((pickle.dumps((tracker, clock)),))
+        rows = [(own, t, value, list(nodes), calls, n) for own, t, value, nodes, calls, n in out]
+        yield pd.DataFrame(rows, columns=[key_col, "t", "value", "nodes", "calls", "n_sieves"])
+
+    return stream.groupBy(key_col).applyInPandasWithState(handle, f"{key_col} {kind}, {SCHEMA}", "state binary", "append", "NoTimeout")
+
+
+def alive_counts(stream: DataFrame, time_col: str, lag: str, window: str) -> DataFrame:
+    """(start, end, v, n): arrivals for each venue and time window, late by `lag` at most; a constant lifetime makes sliding windows of these."""
+    windows = stream.withWatermark(time_col, lag).groupBy(F.window(time_col, window).alias("w"), "v").agg(F.count("*").alias("n"))
+    return windows.select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), "v", "n")
