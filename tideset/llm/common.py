@@ -108,6 +108,13 @@ def _hashed(text: bytes) -> np.ndarray:
     return mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64))
 
 
+def sliced(batches, rows: int = 256):
+    """Arrow batches cut to at most `rows` rows, so that what is made of them stays small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def texts(batch, name: str = "text") -> Iterator[bytes]:
     """The UTF-8 bytes of an Arrow batch's text column; null: empty."""
     import pyarrow as pa

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
-from .common import cut, grams, small, texts, word_hashes
+from .common import cut, grams, sliced, small, texts, word_hashes
 
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
@@ -52,7 +52,7 @@ def _fingerprints(k: int, w: int):
     def run(batches):
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in sliced(batches):
             f, p = [], []
             for text in texts(batch):
                 found = word_hashes(text)
@@ -71,21 +71,19 @@ def _contexts(context: int):
     def run(batches):
         import pyarrow as pa
 
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                places, starts, taken, rows = [], [0], [], [0]
-                for text, ends in zip(texts(part), part.column("ends").to_pylist(), strict=True):
-                    own = (word_hashes(text) >> np.uint64(32)).astype(np.uint32).view(np.int32)
-                    for place in ends:
-                        near = own[max(0, place - context) : place][::-1] if place >= 0 else own[~place : ~place + context]
-                        taken.append(near)
-                        starts.append(starts[-1] + len(near))
-                    places += ends
-                    rows.append(len(places))
-                words = pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(np.concatenate(taken) if taken else np.zeros(0, np.int32)))
-                found = pa.ListArray.from_arrays(pa.array(rows, pa.int32()), pa.StructArray.from_arrays([pa.array(places, pa.int64()), words], ["place", "words"]))
-                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("h"), found], ["id", "h", "found"])
+        for part in sliced(batches):
+            places, starts, taken, rows = [], [0], [], [0]
+            for text, ends in zip(texts(part), part.column("ends").to_pylist(), strict=True):
+                own = (word_hashes(text) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+                for place in ends:
+                    near = own[max(0, place - context) : place][::-1] if place >= 0 else own[~place : ~place + context]
+                    taken.append(near)
+                    starts.append(starts[-1] + len(near))
+                places += ends
+                rows.append(len(places))
+            words = pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(np.concatenate(taken) if taken else np.zeros(0, np.int32)))
+            found = pa.ListArray.from_arrays(pa.array(rows, pa.int32()), pa.StructArray.from_arrays([pa.array(places, pa.int64()), words], ["place", "words"]))
+            yield pa.RecordBatch.from_arrays([part.column("id"), part.column("h"), found], ["id", "h", "found"])
 
     return run
 
@@ -114,7 +112,7 @@ def _delete(batches):
     import pyarrow as pa
 
     kinds = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))
-    for batch in batches:
+    for batch in sliced(batches):
         kept, spans = [], []
         for text, runs in zip(texts(batch), batch.column("runs").to_pylist(), strict=True):
             text, merged = without(text, [(r["start"], r["end"]) for r in runs])

@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected, cut, grams, mix, small, texts, word_hashes
+from .common import connected, cut, grams, mix, sliced, small, texts, word_hashes
 
 BITS = 256
 BINS, FINE = 512, 1024
@@ -33,7 +33,7 @@ def _signatures(k: int, bands: int, rows: int):
 
         seeds = mix(np.arange(1, bands * rows + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
         odd, ordinal = (seeds | np.uint64(1))[:, None], np.arange(bands * rows, dtype=np.uint64)
-        for batch in batches:
+        for batch in sliced(batches):
             size, hi, lo, keys, sketches = [], [], [], [], []
             for text in texts(batch):
                 found = np.unique(grams(word_hashes(text), k))
@@ -64,7 +64,7 @@ def _bodies(k: int):
     def run(batches):
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in sliced(batches):
             sets, fine, samples = [], [], []
             for text in texts(batch):
                 found = np.unique(grams(word_hashes(text), k))

@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, small, texts
+from .common import cut, sliced, small, texts
 
 CAPACITY = 1024
 END_ID = 0
@@ -126,37 +126,38 @@ def intervals(used: list[tuple[np.ndarray, int]], classes: int) -> list[tuple[np
     return [tuple(np.array(x, np.int64) for x in o) for o in out]
 
 
+#: The special tokens of `byte_bpe_50k`.
+SPECIAL = {"<|endoftext|>": 50_256}
+
+
 @cache
-def _encoder(path: str):
+def _encoder(path: str | None, special: tuple[tuple[str, int], ...]):
     """The vocabulary as a tiktoken encoding. Its ids are those of the `tokenizers` file of the same vocabulary (tested), in a third of the time."""
     import base64
 
     import public_tokenizers
     import tiktoken
 
-    with open(path, "rb") as lines:
+    with open(path or public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    return tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=dict(special))
 
 
-def _pieces(path: str | None, capacity: int):
+def _pieces(path: str | None, special: tuple[tuple[str, int], ...], capacity: int):
     """Arrow batches (id, text) to one row of a document with its pieces."""
 
     def run(batches):
-        import public_tokenizers
         import pyarrow as pa
 
-        encode = _encoder(path or public_tokenizers.path("byte_bpe_50k.tiktoken")).encode_ordinary
+        encoder = _encoder(path, special)
         kind = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64()), ("crc", pa.int64())]))
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                pieces, totals = [], []
-                for text in texts(part):
-                    ids = np.array([*encode(text.decode("utf-8", "replace")), END_ID], "<u4")
-                    pieces.append([{"start": i, "length": min(capacity, len(ids) - i), "crc": zlib.crc32(ids[i : i + capacity].tobytes())} for i in range(0, len(ids), capacity)])
-                    totals.append(len(ids))
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(pieces, kind), pa.array(totals, pa.int64())], ["id", "pieces", "total"])
+        for part in sliced(batches):
+            pieces, totals = [], []
+            for text in texts(part):
+                ids = np.array([*encoder.encode(text.decode("utf-8", "replace"), allowed_special="all"), END_ID], "<u4")
+                pieces.append([{"start": i, "length": min(capacity, len(ids) - i), "crc": zlib.crc32(ids[i : i + capacity].tobytes())} for i in range(0, len(ids), capacity)])
+                totals.append(len(ids))
+            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(pieces, kind), pa.array(totals, pa.int64())], ["id", "pieces", "total"])
 
     return run
 
@@ -180,11 +181,11 @@ def _placed(found: list[tuple[np.ndarray, np.ndarray, np.ndarray]]):
     return run
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, grain: int = 4, path: str | None = None, rows_per_salt: int = 100_000) -> DataFrame:
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, grain: int = 4, path: str | None = None, special: dict[str, int] = SPECIAL, rows_per_salt: int = 100_000) -> DataFrame:
     """One row (id_col, start, length, ids_crc32, doc_tokens, sequence_id, offset) for each piece of a document's ids.
 
-    A document's ids are those of its text by the vocabulary file `path` (a byte-level BPE; that of `byte_bpe_50k` by default), where strings
-    of special tokens are ordinary text, then id 0. start counts the document's ids before the piece, offset the sequence's; a sequence's pieces follow each other
+    A document's ids are those of its text by the vocabulary file `path` (a byte-level BPE; that of `byte_bpe_50k` by default), where the
+    strings of `special` give their own ids, then id 0. start counts the document's ids before the piece, offset the sequence's; a sequence's pieces follow each other
     from 0, in at most `capacity` ids.
 
     Defined cases: a null text is empty and gives one piece, id 0. Each row is a document of its own, whether its id is null or repeated.
@@ -192,7 +193,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
     """
     kind = docs.schema[id_col].dataType.simpleString()
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    found = source.mapInArrow(_pieces(path, capacity), f"id {kind}, pieces array<struct<start:long,length:long,crc:long>>, total long")
+    found = source.mapInArrow(_pieces(path, tuple(special.items()), capacity), f"id {kind}, pieces array<struct<start:long,length:long,crc:long>>, total long")
     pieces = cut(found.select("id", F.explode("pieces").alias("p"), "total").select("id", "p.start", "p.length", "p.crc", "total", F.ceil(F.col("p.length") / grain).cast("int").alias("class")))
     histogram = {x["class"]: x["count"] for x in pieces.groupBy("class").count().collect()}  # capacity / grain numbers at most
     classes = math.ceil(capacity / grain)

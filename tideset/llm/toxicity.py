@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import texts
+from .common import sliced, texts
 
 SLOTS = 1 << 22
 _WORD = re.compile(r"\w+")
@@ -131,7 +131,7 @@ def _slots_of(batches):
     import pyarrow as pa
 
     cache = _Terms()
-    for batch in batches:
+    for batch in sliced(batches):
         rows = [sorted({s for w in words_of(text) for s in cache[w]}) for text in texts(batch)]
         yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.int32())), batch.column("label")], ["slots", "label"])
 
@@ -158,7 +158,7 @@ def _scores(model: Model):
         import pyarrow as pa
 
         cache = _Terms({int(s): i for i, s in enumerate(model.slots)})
-        for batch in batches:
+        for batch in sliced(batches):
             out = []
             for text in texts(batch):
                 ids = set()
