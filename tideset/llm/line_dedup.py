@@ -8,6 +8,7 @@ occurrence, in the order of document id and position, is the source of all its o
 As w <= k, the fingerprints that two copies of a run share follow each other without a gap between their words, so a chain of them on one
 diagonal needs extension at its two ends only, by less than w words. The w words beside the ends are fetched from both texts as hashes and
 compared; texts themselves are never sent to other texts. Runs of min_run words or more are deleted, the first occurrence stays.
+Nothing else is ever deleted. Where a fingerprint's first place shares less with a text than a later place does, words at the rim of a run can stay.
 """
 
 from __future__ import annotations

@@ -1,6 +1,6 @@
 """Toxicity by a factorization machine over hashed terms.
 
-A text's terms are its words and the beginnings of its words (4, 5 and 6 letters), hashed into a fixed number of slots; a term counts
+A text's terms are its words and the beginnings of its words (3 to 6 letters), hashed into a fixed number of slots; a term counts
 once. The score is the logistic of w0 + sum w_i + sum over pairs <v_i, v_j>: the factors let pairs of terms (an insult with a group that is mentioned)
 weigh more than their sum. Most weights are exactly zero (L1), so scoring looks only at words that the model knows.
 
@@ -18,11 +18,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import sliced, texts
+from .common import cut, sliced, texts
 
 SLOTS = 1 << 22
 _WORD = re.compile(r"\w+")
-_STEMS = (4, 5, 6)
+_STEMS = (3, 4, 5, 6)
 
 
 def terms(word: str) -> tuple[int, ...]:
@@ -68,29 +68,17 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
-def fit(rows: list[np.ndarray], labels: np.ndarray, rank: int = 4, epochs: int = 30, l1: float = 1.5, l2: float = 0.02, least_rows: int = 3, rate: float = 0.1, seed: int = 7) -> Model:
+def fit(rows: list[np.ndarray], labels: np.ndarray, rank: int = 4, epochs: int = 30, l1: float = 0.3, l2: float = 0.01, rate: float = 0.1, seed: int = 7) -> Model:
     """A factorization machine for texts given as slots: FTRL-proximal for the weights, AdaGrad for the factors, over all rows in batches."""
     if not len(rows) or labels.min() == labels.max():
         share = (labels.sum() + 0.5) / (len(labels) + 1)
         return Model(np.zeros(0, np.int64), np.zeros(0), np.zeros((0, rank)), float(np.log(share / (1 - share))))
-    lengths = np.array([len(x) for x in rows])
-    all_slots = np.concatenate(rows) if lengths.sum() else np.zeros(0, np.int64)
-    slots, where, seen = np.unique(all_slots, return_inverse=True, return_counts=True)
-    # a term seen equally often, in proportion, under both labels says nothing; this keeps the fit to the terms that may matter
-    of_row = np.repeat(np.arange(len(rows)), lengths)
-    positive = np.bincount(where, labels[of_row], len(slots))
-    rate1, rate0 = (positive + 0.5) / (labels.sum() + 1), (seen - positive + 0.5) / ((1 - labels).sum() + 1)
-    useful = (seen >= least_rows) & (np.abs(np.log(rate1 / rate0)) * np.sqrt(seen) > 3)
-    number = np.cumsum(useful) - 1
-    keep = useful[where]
-    of_row, ids = of_row[keep], number[where[keep]]
-    slots, n = slots[useful], int(useful.sum())
-    order = np.argsort(of_row, kind="stable")
-    of_row, ids = of_row[order], ids[order]
-    begin = np.searchsorted(of_row, np.arange(len(rows) + 1))
+    begin = np.concatenate([[0], np.cumsum([len(x) for x in rows])])
+    slots, ids = np.unique(np.concatenate(rows).astype(np.int64), return_inverse=True)
+    n = len(slots)
     rng = np.random.default_rng(seed)
     z, total = np.zeros(n), np.zeros(n)
-    v, v_total = rng.normal(0, 0.01, (n, rank)), np.full((n, rank), 1e-8)
+    v, v_total = rng.normal(0, 0.05, (n, rank)), np.full((n, rank), 1e-8)
     w0, w0_total = float(np.log(labels.mean() / (1 - labels.mean()))), 1.0
 
     def weights() -> np.ndarray:
@@ -119,7 +107,7 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, rank: int = 4, epochs: int =
             np.add.at(dv, i[live], error[own[live], None] * (sums[own[live]] - v[i[live]]))
             dv += l2 * v * (dv != 0)
             v_total += dv * dv
-            v -= rate / 4 * dv / np.sqrt(v_total) * (dv != 0)
+            v -= rate / 2 * dv / np.sqrt(v_total) * (dv != 0)
             w0_total += error.sum() ** 2
             w0 -= rate * error.sum() / np.sqrt(w0_total)
     w = weights()
@@ -136,9 +124,23 @@ def _slots_of(batches):
         yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.int32())), batch.column("label")], ["slots", "label"])
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most_each: int = 4000, **options) -> Model:
+def _only(useful: np.ndarray):
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in sliced(batches):
+            rows = [np.intersect1d(np.array(x, np.int64), useful) for x in batch.column("slots").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.int32())), batch.column("label")], ["slots", "label"])
+
+    return run
+
+
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most_each: int = 4000, evidence: float = 20.0, **options) -> Model:
     """A model from the documents that `labels` covers, at most `most_each` of each label.
 
+    Spark counts the sample's terms by label; only those whose log-likelihood ratio against chance reaches `evidence` are fitted, so that
+    in long texts many weak terms don't outweigh a few strong ones, and the driver gets a few terms of each row.
+
     Labels other than 0 and 1, and null ids, are left out; of several labels of one id the largest counts. With fewer than two labels the
     model scores every text alike, with the share of label 1.
     """
@@ -146,11 +148,18 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     draw = lambda y: one.where(F.col("label") == y).orderBy(F.xxhash64("id"), "id").limit(most_each)
     chosen = draw(0).union(draw(1))
     found = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")
-    rows = found.select("text", "label").mapInArrow(_slots_of, "slots array<int>, label int").toArrow()
-    slots = rows.column("slots").combine_chunks()
-    values, offsets = slots.flatten().to_numpy(), slots.offsets.to_numpy()
-    offsets = offsets - (offsets[0] if len(offsets) else 0)
-    return fit([values[a:b].astype(np.int64) for a, b in zip(offsets[:-1], offsets[1:], strict=True)], rows.column("label").to_numpy().astype(float), **options)
+    held = cut(found.select("text", "label").mapInArrow(_slots_of, "slots array<int>, label int"))
+    totals = {r["label"]: r["count"] for r in held.groupBy("label").count().collect()}
+    zero, ones = totals.get(0, 0), totals.get(1, 0)
+    if not zero or not ones:
+        return fit([np.zeros(0, np.int64)] * (zero + ones), np.repeat([0.0, 1.0], [zero, ones]), **options)
+    counts = held.select(F.explode("slots").alias("slot"), "label").groupBy("slot").agg(F.count("*").alias("n"), F.sum("label").alias("p"))
+    part = lambda seen, of: F.when(seen > 0, seen * F.log(seen * (zero + ones) / of)).otherwise(0.0)
+    n, p = F.col("n").cast("double"), F.col("p").cast("double")
+    ratio = 2 * (part(p, n * ones) + part(n - p, n * zero) + part(ones - p, (zero + ones - n) * ones) + part(zero - n + p, (zero + ones - n) * zero))
+    useful = np.array(sorted(r["slot"] for r in counts.where(ratio >= evidence).select("slot").collect()), np.int64)  # of a bounded sample
+    rows = held.mapInArrow(_only(useful), "slots array<int>, label int").toArrow()
+    return fit([np.array(x, np.int64) for x in rows.column("slots").to_pylist()], rows.column("label").to_numpy().astype(float), **options)
 
 
 def _scores(model: Model):
