@@ -4,9 +4,10 @@ import random
 
 import pytest
 import replay
-from conftest import rows
+from support import rows
 from pyspark.sql import functions as F
 
+from tideset import experiments
 from tideset.functions import activation
 from tideset.operators import baselines, graphs, greedy, influence, lifetimes, pruned_list, rewards, sieve
 from tideset.plans import numbered, running
@@ -214,3 +215,15 @@ def test_random_sets_are_of_the_nodes_and_repeatable(spark):
         own = [v for a, b, v in one if (a, b) == (s, k)]
         assert len(set(own)) == len(own) == min(4, len(held[s])) and set(own) <= held[s]
     assert all(r["calls"] == 4 * r["n_nodes"] for r in baselines.naive_calls(pairs, 4).collect())
+
+
+def test_runs_over_settings(spark):
+    stream = frame(spark, random_stream(12, 120, 10, 8, 9), STREAM)
+    both = experiments.tracked(stream, [(2, 0.2, 5), (4, 0.1, 9)])
+    for k, eps, cap in ((2, 0.2, 5), (4, 0.1, 9)):
+        alone = pruned_list.track(lifetimes.valid(stream, cap), k, eps)
+        assert rows(both.where(F.col("k") == k), *alone.columns) == rows(alone)
+    values = {(s, n): v for s, n, v in rows(experiments.solver_values(stream, 20, 120, 20, 3, 0.2))}
+    assert {s for s, _ in values} == set(range(20, 121, 20))
+    for s in range(20, 121, 20):
+        assert values[s, "random"] <= values[s, "greedy"] and 0.3 * values[s, "greedy"] <= values[s, "reduction"] and 0.13 * values[s, "greedy"] <= values[s, "pruned"]

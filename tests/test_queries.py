@@ -3,7 +3,7 @@ from pathlib import Path
 
 import duckdb
 import pytest
-from conftest import plain, rows
+from support import plain, rows
 
 from tideset.catalog import QUERIES
 from tideset.oracles import ORACLES

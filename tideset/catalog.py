@@ -10,6 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import experiments
 from .functions import activation
 from .operators import baselines, graphs, greedy, influence, lifetimes, pruned_list, rewards, sieve
 from .plans import cut
@@ -169,13 +170,19 @@ def pruned_list_tracking(spark, sf_dir):
 
 
 def solution_quality(spark, sf_dir):
-    """Each solver's value against greedy's on the grid."""
-    best = greedy_per_snapshot(spark, sf_dir).withColumnRenamed("value", "greedy")
-    reduction = lifetime_reduction(spark, sf_dir).withColumnRenamed("value", "reduction")
-    listed = pruned_list_tracking(spark, sf_dir).select(F.col("t").alias("snap"), F.col("value").alias("pruned"))
-    chance = random_baseline(spark, sf_dir).withColumnRenamed("value", "random")
-    both = best.join(reduction, "snap").join(listed, "snap").join(chance, "snap")
-    return both.select("*", F.round(F.col("reduction") / F.col("greedy"), 4).alias("reduction_share"), F.round(F.col("pruned") / F.col("greedy"), 4).alias("pruned_share"))
+    """Each solver's value, and its share of greedy's, on the grid."""
+    values = experiments.solver_values(_stream(spark, sf_dir), *_grid(spark, sf_dir), K, EPS)
+    best = values.where("solver = 'greedy'").select("snap", F.col("value").alias("best"))
+    return values.join(best, "snap").select("snap", "solver", F.round("value", 6).alias("value"), F.round(F.col("value") / F.col("best"), 6).alias("share"))
+
+
+def greedy_by_budget(spark, sf_dir):
+    return experiments.greedy_by_budget(greedy.max_coverage(_on_grid(spark, sf_dir), 10))
+
+
+def pruned_list_sweep(spark, sf_dir):
+    """The pruned list over budgets, eps and longest lifetimes, every 100 steps."""
+    return experiments.tracked(from_events(spark, sf_dir, 200), [(5, 0.2, 100), (10, 0.2, 100), (5, 0.1, 100), (5, 0.2, 200)], 100)
 
 
 def reach_size(spark, sf_dir):
@@ -269,7 +276,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         stream_edges, directed_edges, alive_edges, alive_size_per_step, prefix_reward, batch_steps, venue_reward, max_singleton_per_step, set_reward, set_gain, given_set_eval,
         largest_reward_so_far, threshold_ranges, greedy_at, greedy_per_snapshot, greedy_prefix, greedy_orders, naive_calls, random_baseline, sieve_prefix, sieve_series,
-        lifetime_reduction, pruned_list_tracking, solution_quality, reach_size, reach_gain, greedy_reach, reduction_reach, affected_nodes, scc, scc_edges, sketched_reach,
+        lifetime_reduction, pruned_list_tracking, solution_quality, greedy_by_budget, pruned_list_sweep, reach_size, reach_gain, greedy_reach, reduction_reach, affected_nodes, scc, scc_edges, sketched_reach,
         edge_probabilities, node_degrees, influence_sketches, sketch_weights, sketch_budget, influence_maximization, influence_estimate, sketch_update,
     )
 }

@@ -81,6 +81,7 @@ i AS (SELECT since, until, unnest(generate_series(CAST(floor(ln(0.8 * most) / ln
 SELECT i, min(since) AS since, CASE WHEN bool_or(until IS NULL) THEN -1 ELSE max(until) END AS until FROM i GROUP BY i""",
     "greedy_at": _BASE + "p AS (SELECT m AS snap, v, u FROM alive, middle), " + _greedy("p", 10) + " SELECT snap, CAST(step AS BIGINT) AS rank, v, gain FROM g WHERE step > 0",
     "greedy_per_snapshot": _BASE + _greedy("ongrid", 5) + " SELECT snap, CAST(sum(gain) AS BIGINT) AS value FROM g GROUP BY snap",
+    "greedy_by_budget": _BASE + _greedy("ongrid", 10) + " SELECT snap, CAST(step AS BIGINT) AS budget, CAST(sum(gain) OVER (PARTITION BY snap ORDER BY step) AS BIGINT) AS value FROM g WHERE step > 0",
     "greedy_prefix": _BASE + "p AS (SELECT snap, v, u FROM interactions JOIN grid ON t <= snap), " + _greedy("p", 5) + " SELECT snap, CAST(sum(gain) AS BIGINT) AS value FROM g GROUP BY snap",
     "greedy_orders": _BASE + _ORDERS + ", " + _greedy("op", 5) + " SELECT snap, CAST(sum(gain) AS BIGINT) AS value FROM g GROUP BY snap",
     "naive_calls": _BASE + "x AS (SELECT snap, count(DISTINCT v) AS n_nodes FROM ongrid GROUP BY snap) SELECT snap, n_nodes, n_nodes * 5 AS calls, CAST(sum(n_nodes * 5) OVER (ORDER BY snap) AS BIGINT) AS total FROM x",
