@@ -1,32 +1,19 @@
-"""What several operators share: checkpoints, size-checked broadcasts, word hashes, connected components."""
+"""What several operators share: words and their hashes, Arrow batches, connected components; checkpoints and checked broadcasts as in `plans`."""
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-WHITE = r"[\x20\x09-\x0D]+"
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """`df`, computed once and kept in the shared checkpoint folder, so that a lost executor costs no recomputation.
-
-    The folder is the session's (`spark.checkpoint.dir`); only where none is set, as in local tests, a temporary one is made.
-    """
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tideset-"))
-    return df.checkpoint(eager=True)
+from ..plans import cut, small
 
+__all__ = ["LOWER", "UPPER", "WHITE", "connected", "cut", "grams", "mix", "sliced", "small", "texts", "word_hashes", "words"]
 
-def small(df: DataFrame, rows: int = 200_000) -> DataFrame:
-    """`df` with a broadcast hint if it has at most `rows` rows, else as it is, so that a join shuffles it. Call it on a checkpoint."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+WHITE = r"[\x20\x09-\x0D]+"
 
 
 def words(text: str | Column) -> Column:
