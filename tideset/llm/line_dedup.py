@@ -49,6 +49,20 @@ def select(hashes: np.ndarray, w: int) -> np.ndarray:
     return places[np.flatnonzero(np.diff(places, prepend=-1))]
 
 
+def thinned(places: np.ndarray, found: np.ndarray, w: int) -> np.ndarray:
+    """The selected places without most of those that follow each other with one hash, as in periodic text, where every place is selected.
+
+    Of such a series the first stays, the last, and one in each w / 2 words counted from the last, so that copies keep the same ones.
+    """
+    n = len(places)
+    if not n:
+        return places
+    last = np.append(found[places[:-1]] != found[places[1:]], True)
+    ends = np.flatnonzero(last)
+    far = (places[ends[np.searchsorted(ends, np.arange(n))]] - places) // (w // 2)
+    return places[last | np.append(True, last[:-1]) | np.append(far[:-1] != far[1:], True)]
+
+
 def _fingerprints(k: int, w: int):
     def run(batches):
         import pyarrow as pa
@@ -58,7 +72,7 @@ def _fingerprints(k: int, w: int):
             for text in texts(batch):
                 found = word_hashes(text)
                 found = grams(found, k) if len(found) >= k + w - 1 else found[:0]
-                at = select(found, w)
+                at = thinned(select(found, w), found, w)
                 f.append(found[at].view(np.int64))
                 p.append(at.astype(np.int32))
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("h"), pa.array(f, pa.list_(pa.int64())), pa.array(p, pa.list_(pa.int32()))], ["id", "h", "f", "p"])

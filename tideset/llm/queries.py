@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat, decontaminate, embedding_dedup, html_text, line_dedup, near_dedup, packing, sharding, toxicity, urls
+from .common import LOWER, UPPER, WHITE
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -82,9 +83,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_chat_formatting": op10_chat_formatting,
 }
 
-_ITEMS = r"""
-WITH wd AS (SELECT doc_id, list_filter(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
-wi AS (SELECT item_id, list_filter(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL),
+_ITEMS = rf"""
+WITH wd AS (SELECT doc_id, list_filter(string_split_regex(translate(text, '{UPPER}', '{LOWER}'), '{WHITE}'), lambda x: x <> '') AS w FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+wi AS (SELECT item_id, list_filter(string_split_regex(translate(text, '{UPPER}', '{LOWER}'), '{WHITE}'), lambda x: x <> '') AS w FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL),
 i AS (SELECT DISTINCT item_id, m, array_to_string(w[p:p + m - 1], ' ') AS s FROM (SELECT item_id, w, least(len(w), 5) AS m, unnest(generate_series(1, len(w) - least(len(w), 5) + 1)) AS p FROM wi WHERE len(w) > 0)),
 d AS (SELECT DISTINCT doc_id, m, array_to_string(w[p:p + m - 1], ' ') AS s FROM (SELECT doc_id, w, m, unnest(generate_series(1, len(w) - m + 1)) AS p FROM wd, (SELECT DISTINCT m FROM i) WHERE len(w) >= m)),
 n AS (SELECT item_id, count(*) AS n_item FROM i GROUP BY item_id)
@@ -107,8 +108,31 @@ SELECT doc_id, slot, CAST(string_split('{",".join(map(str, sharding.lookup_table
 FROM (SELECT doc_id, CAST(CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), 'text:' || coalesce(text, ''))), 1, 15) AS BIGINT) % {sharding.SLOTS} AS BIGINT) AS slot FROM documents)
 """
 
+_GROUPS = "SELECT a, b FROM e UNION ALL SELECT b, a FROM e"
+
+_NEAR = rf"""
+WITH RECURSIVE wd AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{WHITE}'), lambda x: x <> '') AS w FROM documents),
+sh AS (SELECT DISTINCT doc_id, array_to_string(w[p:p + m - 1], ' ') AS s FROM (SELECT doc_id, w, least(len(w), 5) AS m, unnest(generate_series(1, len(w) - least(len(w), 5) + 1)) AS p FROM wd WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+c AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM sh x JOIN sh y ON x.s = y.s AND x.doc_id < y.doc_id GROUP BY ALL),
+e AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 75 * (x.n + y.n - c)),
+u AS ({_GROUPS}),
+r(x, y) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.x, u.b FROM r JOIN u ON r.y = u.a)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT x AS doc_id, min(y) AS component_id FROM r GROUP BY x) USING (doc_id)
+"""
+
+_VECTORS = f"""
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
+e AS (SELECT p.vec_id AS a, q.vec_id AS b FROM v p JOIN v q ON p.vec_id < q.vec_id AND list_dot_product(p.x, q.x) >= 0.9 * sqrt(list_dot_product(p.x, p.x)) * sqrt(list_dot_product(q.x, q.x))),
+u AS ({_GROUPS}),
+r(x, y) AS (SELECT vec_id, vec_id FROM v UNION SELECT r.x, u.b FROM r JOIN u ON r.y = u.a)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept FROM v JOIN (SELECT x AS vec_id, min(y) AS component_id FROM r GROUP BY x) USING (vec_id) LEFT JOIN (SELECT a AS vec_id, count(*) AS n FROM u GROUP BY a) USING (vec_id)
+"""
+
 ORACLES: dict[str, str] = {
     "op3_benchmark_decontamination": _ITEMS,
     "op4_lookup_sharding": _SHARDS,
+    "op6_embedding_near_dedup": _VECTORS,
+    "op8_minhash_near_dedup": _NEAR,
     "op10_chat_formatting": _CHATS,
 }
