@@ -27,6 +27,11 @@ def test_what_is_no_part_of_an_article_goes():
     assert text("<p>a<script>x") == "a" and text("<article>a</article><noscript><p>b</noscript>") == "a"
 
 
+def test_what_holds_the_article_stays_whatever_its_name():
+    assert text("<body><form><div class='no-sidebar nav'><article><p>a</article><div class=sidebar>b</div></div></form>") == "a"
+    assert text("<main class=widget><p>a</p><section class=comments><article><p>c</article></section></main>") == "a"
+
+
 def test_subtrees_that_recur_on_a_host_go(spark):
     odd = "<div><p>Subscribe now</p><span>today</span></div>"
     data = [(i, "http://a/x", f"<body>{odd}<div><p>text {i}</p></div><p>the same line</p></body>") for i in range(6)]

@@ -141,8 +141,12 @@ def read(text: str) -> Page:
 
 
 def roles(page: Page) -> tuple[list[bool], list[bool]]:
-    """For each element, whether it lies in the article, and whether it is never part of one."""
-    inside, never = [], []
+    """For each element, whether it lies in the article, and whether it is never part of one. Names don't tell against what holds the page's first article."""
+    inside, never, holds = [], [], set()
+    x = next((x for x, tag in enumerate(page.tag) if tag in ("article", "main") or page.role[x] == "main"), -1)
+    while x >= 0:
+        holds.add(x)
+        x = page.parent[x]
     for x, tag in enumerate(page.tag):
         p = page.parent[x]
         own = p >= 0 and inside[p]
@@ -150,6 +154,7 @@ def roles(page: Page) -> tuple[list[bool], list[bool]]:
         if not gone:
             found = set(_NAMES.findall(page.names[x])) if page.names[x] and tag not in ("html", "body", "main") else set()
             gone = tag in _NEVER or page.hidden[x] or page.role[x] in _ROLES or not found.isdisjoint(_HINTS) or not own and (tag == "header" or not found.isdisjoint(_HEAD_HINTS))
+            gone = gone and (x not in holds or page.hidden[x])
         never.append(gone)
         inside.append(own or not gone and (tag in ("article", "main") or page.role[x] in ("main", "article")))
     return inside, never
