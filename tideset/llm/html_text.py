@@ -28,6 +28,7 @@ _PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre ul ol li dl dt dd table t
 _NEVER = frozenset("head script style title template noscript nav aside footer form button select textarea iframe object svg canvas dialog menu input noembed noframes xmp datalist".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 _HINTS = frozenset("nav navbar navigation menu breadcrumb breadcrumbs sidebar sidebars aside footer ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices alert popup modal overlay comment comments disqus respond reply replies share sharing social related recommended newsletter subscribe signup login search pagination pager skip toolbar widget".split())
+_TALK = frozenset("comment comments disqus respond reply replies".split())
 _HEAD_HINTS = frozenset("header masthead topbar".split())
 _CLOSES = {"li": ("li", "ul ol menu dir"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "tr": ("tr", "table"), "td": ("td th", "tr table"), "th": ("td th", "tr table"), "tbody": ("tbody thead tfoot", "table"), "thead": ("tbody thead tfoot", "table"), "tfoot": ("tbody thead tfoot", "table"), "option": ("option", "select datalist"), "body": ("head", "html")}
 _CLOSES = {k: (frozenset(a.split()), frozenset(b.split())) for k, (a, b) in _CLOSES.items()}
@@ -143,10 +144,15 @@ def read(text: str) -> Page:
 def roles(page: Page) -> tuple[list[bool], list[bool]]:
     """For each element, whether it lies in the article, and whether it is never part of one. Names don't tell against what holds the page's first article."""
     inside, never, holds = [], [], set()
-    x = next((x for x, tag in enumerate(page.tag) if tag in ("article", "main") or page.role[x] == "main"), -1)
-    while x >= 0:
-        holds.add(x)
-        x = page.parent[x]
+    for x, tag in enumerate(page.tag):
+        if tag in ("article", "main") or page.role[x] == "main":
+            chain = []
+            while x >= 0:
+                chain.append(x)
+                x = page.parent[x]
+            if all(_TALK.isdisjoint(_NAMES.findall(page.names[y])) for y in chain if page.names[y]):
+                holds.update(chain)
+                break
     for x, tag in enumerate(page.tag):
         p = page.parent[x]
         own = p >= 0 and inside[p]
