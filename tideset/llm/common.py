@@ -109,18 +109,17 @@ def texts(batch, name: str = "text") -> Iterator[bytes]:
     return (x or b"" for x in batch.column(name).cast(pa.binary()).to_pylist())
 
 
-def connected(edges: DataFrame, salts: int = 16) -> DataFrame:
+def connected(edges: DataFrame) -> DataFrame:
     """Connected components of undirected `edges` (a, b): one row (node, component) for each node, component its smallest node.
 
     Alternates large-star and small-star steps (Kiveris and others, 2014) until every node hangs on one root. Each step takes the
-    least neighbour by a combined aggregate and brings it back by a join on the node and a salt, so that a hub's edges spread over
-    `salts` keys.
+    least neighbour by a combined aggregate and brings it back by a join of checked size: a broadcast, or two shuffled sides, of which Spark splits a hub's rows.
     """
 
     def star(pairs: DataFrame) -> DataFrame:
         """pairs (u, v): with m, the least of u and its v's."""
-        least = pairs.groupBy("u").agg(F.least("u", F.min("v")).alias("m")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        return pairs.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(salts)).cast("int")).join(least, ["u", "salt"]).select("u", "v", "m")
+        least = cut(pairs.groupBy("u").agg(F.least("u", F.min("v")).alias("m")))
+        return pairs.join(small(least), "u").select("u", "v", "m")
 
     edges = cut(edges.where("a <> b").select(F.greatest("a", "b").cast("long").alias("a"), F.least("a", "b").cast("long").alias("b")).distinct())
     while True:

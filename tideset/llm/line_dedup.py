@@ -144,7 +144,7 @@ def _runs(named: DataFrame, kind: str, min_run: int) -> DataFrame:
     found = cut(found.select("id", "h", F.explode(F.arrays_zip("f", "p")).alias("x")).select("id", "h", "x.f", "x.p"))
     first = found.groupBy("f").agg(F.min(F.struct("id", "h", "p")).alias("s"), F.max(F.struct("id", "h", "p")).alias("last")).where("s <> last")
     first = cut(first.select("f", F.col("s.id").alias("sid"), F.col("s.h").alias("sh"), F.col("s.p").alias("sp")))
-    met = found.join(small(first, 1_000_000), "f").where("NOT (id = sid AND h = sh AND p = sp)").select("id", "h", "sid", "sh", (F.col("sp") - F.col("p")).alias("shift"), "p")
+    met = found.join(small(first, 50_000), "f").where("NOT (id = sid AND h = sh AND p = sp)").select("id", "h", "sid", "sh", (F.col("sp") - F.col("p")).alias("shift"), "p")
     diagonal = Window.partitionBy("id", "h", "sid", "sh", "shift").orderBy("p")
     chained = met.withColumn("fresh", (F.col("p") - F.coalesce(F.lag("p").over(diagonal), F.lit(-k - 1)) > k).cast("long"))
     chained = chained.withColumn("chain", F.sum("fresh").over(diagonal.rowsBetween(Window.unboundedPreceding, 0)))
