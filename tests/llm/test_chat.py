@@ -1,7 +1,5 @@
 import random
 
-from support import rows
-
 from tideset.llm import chat
 
 SCHEMA = "conv_id long, turn long, role string, text string, turns string, formatted int"

@@ -1,6 +1,5 @@
 """Plain forms of what the operators compute, and test rows."""
 
-import random
 import re
 
 LETTERS = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
