@@ -16,7 +16,7 @@ import numpy as np
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
 from .common import cut, sliced, texts
 
@@ -121,7 +121,7 @@ def _slots_of(batches):
     cache = _Terms()
     for batch in sliced(batches):
         rows = [sorted({s for w in words_of(text) for s in cache[w]}) for text in texts(batch)]
-        yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.int32())), batch.column("label")], ["slots", "label"])
+        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(rows, pa.list_(pa.int32())), batch.column("label")], ["id", "slots", "label"])
 
 
 def _only(useful: np.ndarray):
@@ -130,7 +130,7 @@ def _only(useful: np.ndarray):
 
         for batch in sliced(batches):
             rows = [np.intersect1d(np.array(x, np.int64), useful) for x in batch.column("slots").to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.int32())), batch.column("label")], ["slots", "label"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(rows, pa.list_(pa.int32())), batch.column("label")], ["id", "slots", "label"])
 
     return run
 
@@ -148,7 +148,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     draw = lambda y: one.where(F.col("label") == y).orderBy(F.xxhash64("id"), "id").limit(most_each)
     chosen = draw(0).union(draw(1))
     found = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")
-    held = cut(found.select("text", "label").mapInArrow(_slots_of, "slots array<int>, label int"))
+    kinds = StructType([found.schema["id"], StructField("slots", ArrayType(IntegerType())), StructField("label", IntegerType())])
+    held = cut(found.select("id", "text", "label").mapInArrow(_slots_of, kinds))
     totals = {r["label"]: r["count"] for r in held.groupBy("label").count().collect()}
     zero, ones = totals.get(0, 0), totals.get(1, 0)
     if not zero or not ones:
@@ -158,8 +159,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     n, p = F.col("n").cast("double"), F.col("p").cast("double")
     ratio = 2 * (part(p, n * ones) + part(n - p, n * zero) + part(ones - p, (zero + ones - n) * ones) + part(zero - n + p, (zero + ones - n) * zero))
     useful = np.array(sorted(r["slot"] for r in counts.where(ratio >= evidence).select("slot").collect()), np.int64)  # of a bounded sample
-    rows = held.mapInArrow(_only(useful), "slots array<int>, label int").toArrow()
-    return fit([np.array(x, np.int64) for x in rows.column("slots").to_pylist()], rows.column("label").to_numpy().astype(float), **options)
+    rows = sorted(tuple(r) for r in held.mapInArrow(_only(useful), kinds).collect())  # in one order, so that a fit can be repeated
+    return fit([np.array(x, np.int64) for _, x, _ in rows], np.array([float(y) for _, _, y in rows]), **options)
 
 
 def _scores(model: Model):
