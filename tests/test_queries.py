@@ -28,7 +28,7 @@ def test_query_gives_the_rows_of_its_sql(spark, tables, name):
     want = [tuple(plain(r[wanted.columns.index(c)]) for c in columns) for r in wanted.fetchall()]
     got = rows(found, *columns)
     assert got == sorted(want, key=lambda r: tuple((x is not None, str(type(x)), x) for x in r))
-    assert got or name in ("affected_nodes", "sketch_update")
+    assert got or name in ("affected_nodes", "scc_edges", "sketch_update")  # few rows there
 
 
 def test_the_entry_names_every_query():
