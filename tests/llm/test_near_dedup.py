@@ -47,3 +47,37 @@ def test_odd_sketches_estimate_similarities(similarity):
         flips = (np.bincount(draw.integers(0, near_dedup.BITS, 2 * differing), minlength=near_dedup.BITS) & 1).sum()
         outside += flips > near_dedup.most_flips(samples, similarity)
     assert outside == 0
+
+
+@pytest.mark.parametrize("n", [300, 700, 1000, 2000, 20_000])
+def test_the_finer_sketch_lets_true_links_through(spark, n):
+    import numpy as np
+    import pyarrow as pa
+
+    draw = np.random.default_rng(n)
+    pairs, told = 60, []
+    for similarity in (0.75, 0.77, 0.8, 0.85):
+        for i in range(pairs):
+            inside = i % 3 == 0  # one set holds the other
+            both = int(np.ceil(n * (similarity if inside else 2 * similarity / (1 + similarity))))
+            salt = int(draw.integers(1 << 40))
+            x = [f"{salt}x{j}" for j in range(n)]
+            y = x[:both] + ([] if inside else [f"{salt}y{j}" for j in range(n - both)])
+            assert len(set(x) & set(y)) >= 0.75 * len(set(x) | set(y))
+            batch = pa.RecordBatch.from_pydict({"id": [0, 1], "text": [" ".join(x), " ".join(y)]})
+            a, b = next(near_dedup._bodies(1)([batch])).to_pylist()
+            told.append((similarity, len(a["shingles"]), a["samples"], a["fine"], len(b["shingles"]), b["samples"], b["fine"]))
+    df = spark.createDataFrame(told, "similarity double, n long, samples long, fine array<long>, n2 long, samples2 long, fine2 array<long>")
+    assert df.where(~near_dedup._near(0.75)).groupBy("similarity").count().collect() == []
+
+
+def test_the_finer_sketch_stops_unlike_texts(spark):
+    import pyarrow as pa
+
+    told = []
+    for n in (300, 1000, 20_000):
+        x, y = [f"x{j}" for j in range(n)], [f"x{j}" if j < n * 0.6 else f"y{j}" for j in range(n)]  # a similarity of 0.43
+        a, b = next(near_dedup._bodies(1)([pa.RecordBatch.from_pydict({"id": [0, 1], "text": [" ".join(x), " ".join(y)]})])).to_pylist()
+        told.append((n, a["samples"], a["fine"], n, b["samples"], b["fine"]))
+    df = spark.createDataFrame(told, "n long, samples long, fine array<long>, n2 long, samples2 long, fine2 array<long>")
+    assert df.where(near_dedup._near(0.75)).count() == 0

@@ -7,8 +7,8 @@ that it does not rule out are confirmed on the full sets. Texts with equal sets
 Buckets never emit all their pairs. In each round a bucket's members meet one hub of the bucket, drawn anew by a hash, unless they are
 already in its component; found links merge components. Rounds go on while they find links in number. The pairs still apart (in one
 bucket, but in different components) then meet in a join whose condition is a second, finer odd sketch: it folds a MinHash sample
-of up to 512 values (the least value in each bin of one permutation) into 1024 bits, which puts a similarity right to 0.01 or 0.02.
-The join lets through only pairs that may link, so no proposed link is lost and few pairs are written.
+of up to 512 values (the least value in each bin of one permutation) into 1024 bits, whose estimate has a standard deviation of 0.024 where
+the bins are full. The join lets through what is within 4 deviations of a link, so a proposed link is lost with a negligible probability.
 """
 
 from __future__ import annotations
@@ -101,15 +101,19 @@ def _flips(x: str, y: str, bits: int) -> Column:
 def _near(similarity: float, deviations: float = 4.0) -> Column:
     """Whether the finer sketches of n, samples, fine and n2, samples2, fine2 admit the similarity.
 
-    The allowance is `deviations` times the standard deviation of the estimate at that similarity, of the sample (none if it is the whole set) and of the bitmap.
+    A bin that holds values of the union has its least value in both sets with the probability `similarity`, be the bins full or nearly
+    empty; all sampled values but these flip a bit. The number of such bins follows that of the samples: half of it where bins are full,
+    1 / (1 + similarity) where they hold whole sets. The allowance is `deviations` times the standard deviation at that similarity, of
+    the sample (none if it is the whole set) and of the bitmap.
     """
-    total = (F.col("samples") + F.col("samples2")).cast("double")
-    expected = total * (1 - similarity) / (1 + similarity)
+    total, n = (F.col("samples") + F.col("samples2")).cast("double"), (F.col("n") + F.col("n2")).cast("double")
+    of_union = 1 - F.exp(-n / (1 + similarity) / BINS)
+    held = total * of_union / (2 - F.exp(-F.col("n") / BINS) - F.exp(-F.col("n2") / BINS))
+    expected = F.greatest(total - 2 * similarity * held, F.lit(0.0))
     of_bits = FINE / 4 * (F.exp(4 * expected / FINE) - 1) - expected
-    of_sample = 2 * similarity * (1 - similarity) / total * F.greatest(1 - total / (F.col("n") + F.col("n2")), F.lit(0.0))
-    slope = 2 * total / ((total + expected) * (total + expected))
-    least = similarity - 0.005 - deviations * F.sqrt(slope * slope * of_bits + of_sample)
-    return _flips("fine", "fine2", FINE) <= FINE / 2 * (1 - F.exp(-2 / FINE * total * (1 - least) / (1 + least)))
+    of_sample = 4 * similarity * (1 - similarity) * held * F.greatest(1 - total / n, F.lit(0.0))
+    most = expected + 0.005 * total + deviations * F.sqrt(of_bits + of_sample)
+    return _flips("fine", "fine2", FINE) <= FINE / 2 * (1 - F.exp(-2 / FINE * most))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 75, bands: int = 24, rows: int = 4) -> DataFrame:
