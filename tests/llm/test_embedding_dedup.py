@@ -49,3 +49,23 @@ def test_awkward_rows(spark):
     again = spark.createDataFrame([(i, v, 1, 2, "c", 3) for i, v in [(None, [1.0, 2.0]), (5, [1.0, 2.0]), (5, [1.0, 2.0]), (5, [-3.0, 1.0]), (9, [-3.0, 1.0])]], schema)
     assert rows(embedding_dedup.near_vectors(again)) == [(None, 0, None, True), (5, 1, 5, True), (5, 1, 5, True), (5, 1, 5, True), (9, 1, 5, False)]
     assert embedding_dedup.near_vectors(df.limit(0)).count() == 0
+
+
+def test_pairs_share_a_cell_among_many():
+    import pyarrow as pa
+
+    draw, n, cosine, cells = np.random.default_rng(4), 10_000, 0.9, 1000
+    x = embedding_dedup.unit(draw.normal(size=(n, 64)))
+    z = draw.normal(size=(n, 64))
+    y = cosine * x + (1 - cosine**2) ** 0.5 * embedding_dedup.unit(z - (z * x).sum(1, keepdims=True) * x)
+    sample = embedding_dedup.unit(draw.normal(size=(16 * cells, 64)))
+    books = [embedding_dedup.codebook(sample, cells, seed, rounds=2) for seed in range(2)]
+
+    def apart(probes):
+        held = []
+        for v in (x, y):
+            batch = pa.RecordBatch.from_arrays([pa.array(range(n)), pa.array(range(n)), pa.array(list(v))], ["rep", "weight", "vector"])
+            held.append(np.concatenate([embedding_dedup._matrix(b.column("cells")) for b in embedding_dedup._assign(books, probes)([batch])]))
+        return sum(not set(a) & set(b) for a, b in zip(*held, strict=True))
+
+    assert apart(4) > 0 and apart(embedding_dedup.enough(4, cells)) <= 1
