@@ -4,21 +4,41 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, DataType, MapType, StringType, StructType
+
+BROADCAST = 32 << 20
 
 
 def cut(df: DataFrame) -> DataFrame:
     """`df`, computed once and kept in the shared checkpoint folder, so that a lost executor costs no recomputation.
 
-    The folder is the session's (`spark.checkpoint.dir`); only where none is set, as in local tests, a temporary one is made.
+    The folder is the session's (`spark.checkpoint.dir`). Only a local session that sets none, as in tests, gets a temporary one.
     """
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tideset-"))
+        at = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not at and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(at or tempfile.mkdtemp(prefix="tideset-"))
     return df.checkpoint(eager=True)
 
 
-def small(df: DataFrame, rows: int = 200_000) -> DataFrame:
-    """`df` with a broadcast hint if it has at most `rows` rows, else as it is, so that a join shuffles it. Call it on a checkpoint."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def _width(column: Column, kind: DataType) -> Column:
+    """About how many bytes a value takes."""
+    if isinstance(kind, (StringType, BinaryType)):
+        return F.coalesce(F.octet_length(column), F.lit(0)) + 16
+    if isinstance(kind, StructType):
+        return sum((_width(column[f.name], f.dataType) for f in kind.fields), F.lit(16))
+    if isinstance(kind, ArrayType) and not isinstance(kind.elementType, (StringType, BinaryType, StructType, ArrayType, MapType)):
+        return F.greatest(F.size(column), F.lit(0)) * 8 + 24
+    if isinstance(kind, (ArrayType, MapType)):
+        return F.coalesce(F.octet_length(F.to_json(F.struct(column.alias("x")))), F.lit(0)) + 24
+    return F.lit(8)
+
+
+def small(df: DataFrame, most: int = BROADCAST) -> DataFrame:
+    """`df` with a broadcast hint if its rows take at most `most` bytes, else as it is, so that a join shuffles it. Call it on a checkpoint."""
+    width = sum((_width(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields), F.lit(16)).cast("long")
+    return F.broadcast(df) if (df.agg(F.sum(width)).first()[0] or 0) <= most else df
