@@ -1,4 +1,5 @@
 import itertools
+import random
 
 import pytest
 from support import rows
@@ -28,6 +29,19 @@ def test_a_large_group_of_near_copies(spark, corpus):
     assert rows(near_dedup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"))) == brute(docs)
 
 
+@pytest.mark.parametrize("block", [2, 5, 128])
+def test_buckets_of_several_components_are_compared_in_blocks(spark, block):
+    draw = random.Random(block)
+    shared = [f"s{i}" for i in range(80)]
+    docs = []
+    for i in range(120):  # some link, some don't, and all are near the limit
+        own = [f"z{i // 3}_{j}" for j in range(draw.randint(10, 24))] + [f"y{i}_{j}" for j in range(draw.randint(0, 6))]
+        docs.append((i, " ".join(shared + own)))
+    want = brute(docs)
+    assert 10 < sum(k for *_, k in want) < 110
+    assert rows(near_dedup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), block=block)) == want
+
+
 def test_awkward_rows(spark, awkward):
     got = rows(near_dedup.near_duplicates(spark.createDataFrame(awkward, AWKWARD)), "doc_id", "component_id", "kept")
     assert got == [(None, None, True)] * 2 + [(1, 1, True), (2, 2, True), (3, 3, True), (4, 4, True), (5, 4, False), (6, 6, True), (7, 6, False), (7, 6, False), (8, 8, True), (9, 8, False), (10, 10, True), (11, 11, True)]
@@ -65,8 +79,8 @@ def test_the_finer_sketch_lets_true_links_through(spark, n):
             y = x[:both] + ([] if inside else [f"{salt}y{j}" for j in range(n - both)])
             assert len(set(x) & set(y)) >= 0.75 * len(set(x) | set(y))
             batch = pa.RecordBatch.from_pydict({"id": [0, 1], "text": [" ".join(x), " ".join(y)]})
-            a, b = next(near_dedup._bodies(1)([batch])).to_pylist()
-            told.append((similarity, len(a["shingles"]), a["samples"], a["fine"], len(b["shingles"]), b["samples"], b["fine"]))
+            a, b = next(near_dedup._signatures(1, 24, 4)([batch])).to_pylist()
+            told.append((similarity, a["n"], a["samples"], a["fine"], b["n"], b["samples"], b["fine"]))
     df = spark.createDataFrame(told, "similarity double, n long, samples long, fine array<long>, n2 long, samples2 long, fine2 array<long>")
     assert df.where(~near_dedup._near(0.75)).groupBy("similarity").count().collect() == []
 
@@ -77,7 +91,7 @@ def test_the_finer_sketch_stops_unlike_texts(spark):
     told = []
     for n in (300, 1000, 20_000):
         x, y = [f"x{j}" for j in range(n)], [f"x{j}" if j < n * 0.6 else f"y{j}" for j in range(n)]  # a similarity of 0.43
-        a, b = next(near_dedup._bodies(1)([pa.RecordBatch.from_pydict({"id": [0, 1], "text": [" ".join(x), " ".join(y)]})])).to_pylist()
+        a, b = next(near_dedup._signatures(1, 24, 4)([pa.RecordBatch.from_pydict({"id": [0, 1], "text": [" ".join(x), " ".join(y)]})])).to_pylist()
         told.append((n, a["samples"], a["fine"], n, b["samples"], b["fine"]))
     df = spark.createDataFrame(told, "n long, samples long, fine array<long>, n2 long, samples2 long, fine2 array<long>")
     assert df.where(near_dedup._near(0.75)).count() == 0

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans import cut, small
+from ..plans.steps import BROADCAST
 
 __all__ = ["LOWER", "UPPER", "WHITE", "connected", "cut", "grams", "mix", "sliced", "small", "texts", "word_hashes", "words"]
 
@@ -112,22 +113,24 @@ def texts(batch, name: str = "text") -> Iterator[bytes]:
 def connected(edges: DataFrame) -> DataFrame:
     """Connected components of undirected `edges` (a, b): one row (node, component) for each node, component its smallest node.
 
-    Alternates large-star and small-star steps (Kiveris and others, 2014) until every node hangs on one root. Each step takes the
-    least neighbour by a combined aggregate and brings it back by a join of checked size: a broadcast, or two shuffled sides, of which Spark splits a hub's rows.
+    Alternates large-star and small-star steps (Kiveris and others, 2014) until every node hangs on one root. No step makes more edges than there
+    are, so one check of size tells whether the least neighbours, taken by a combined aggregate, come back by a broadcast; else the
+    join shuffles both sides and Spark splits a hub's rows.
     """
+    edges = cut(edges.where("a <> b").select(F.greatest("a", "b").cast("long").alias("a"), F.least("a", "b").cast("long").alias("b")).distinct())
+    few = edges.count() * 64 <= BROADCAST
 
     def star(pairs: DataFrame) -> DataFrame:
         """pairs (u, v): with m, the least of u and its v's."""
-        least = cut(pairs.groupBy("u").agg(F.least("u", F.min("v")).alias("m")))
-        return pairs.join(small(least), "u").select("u", "v", "m")
+        least = pairs.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
+        return pairs.join(F.broadcast(least) if few else cut(least), "u").select("u", "v", "m")
 
-    edges = cut(edges.where("a <> b").select(F.greatest("a", "b").cast("long").alias("a"), F.least("a", "b").cast("long").alias("b")).distinct())
     while True:
         ends = edges.select("a", F.lit(1).alias("up"), F.lit(0).alias("down")).union(edges.select("b", F.lit(0), F.lit(1)))
         if ends.groupBy("a").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 OR up = 1 AND down = 1").isEmpty():
             break
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        large = star(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        starred = star(cut(large))
-        edges = cut(starred.select(F.col("v").alias("a"), F.col("m").alias("b")).union(starred.select(F.col("u").alias("a"), F.col("m").alias("b"))).where("a <> b").distinct())
+        large = cut(star(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
+        starred = star(large)
+        edges = cut(starred.select(F.explode(F.array(F.struct(F.col("v").alias("a"), F.col("m").alias("b")), F.struct(F.col("u").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").where("a <> b").distinct())
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
