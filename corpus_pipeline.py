@@ -10,34 +10,53 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideset.llm import decontaminate, line_dedup, near_dedup, packing, toxicity
-from tideset.llm.common import cut
+from tideset.llm.common import cut, unused
 from tideset.llm.queries import table
 
 
 def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents with a toxicity score below 0.5, by a model of the labelled documents (of those that op1 learns from)."""
+    """The documents with a toxicity score below 0.5, by a model of the labelled documents (of those that op1 learns from).
+
+    Null and empty texts score the model's bias and stay, unless most labelled rows are toxic; rows with null ids are scored too. Repeated rows
+    get equal scores. Without labels of both kinds all documents score the share of toxic ones. Other columns stay as they are.
+    """
     model = toxicity.train(docs, table(spark, sf_dir, "labels").where(toxicity.remainder("doc_id") != 0))
-    return toxicity.score(docs, model, score_col="_score").where("_score < 0.5").select(*docs.columns)
+    score = unused(docs, "_score")
+    return toxicity.score(docs, model, score_col=score).where(F.col(score) < 0.5).select(*docs.columns)
 
 
 def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, their texts without runs of 50 words or more that stand at an earlier place; n_chars counts anew."""
-    found = line_dedup.repeated_runs(docs)
+    """All documents, their texts without runs of 50 words or more that stand at an earlier place; n_chars counts anew.
+
+    Null texts become empty ones, texts that are wholly repeats too; rows with null ids stay as they are. Rows of equal id and text get the same
+    result. Other columns stay as they are.
+    """
+    removed, count = unused(docs, "removed"), unused(docs, "n_removed")
+    found = line_dedup.repeated_runs(docs, removed_col=removed, count_col=count)
     return found.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def near_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates."""
+    """One document of each group of near duplicates, that of the smallest id.
+
+    Null and empty texts link with nothing and stay, rows with null ids too; rows of one id stay or go together. Other columns stay as they are.
+    """
     return near_dedup.one_of_each(docs).select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that hold no benchmark item."""
+    """The documents that hold no benchmark item.
+
+    Null and empty texts hold none, and rows with null ids stay; null or empty items are held by none. Other columns stay as they are.
+    """
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark")).select(*docs.columns)
 
 
 def sequence_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the documents' token ids, each with its sequence and offset."""
+    """The pieces of the documents' token ids, each with its sequence and offset.
+
+    Null and empty texts are the closing id alone; repeated rows are packed each. Other columns are left out.
+    """
     return packing.pack(docs)
 
 

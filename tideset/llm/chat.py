@@ -2,7 +2,8 @@
 
 A conversation renders as `<|im_start|>role\\ntext<|im_end|>\\n` for each turn. A deterministic parser reads the text back; where the turns
 that it recovers differ from the source (a text holds control strings, or what looks like an escaped one), the conversation is rendered
-with escapes and then reads back identical. An escape puts one more backslash into each `<|im_end|>`, `<\\|im_end|>` and so on.
+with escapes, read back and compared once more; were it not identical then, the job would fail rather than lose a turn. An escape puts one
+more backslash into each `<|im_end|>`, `<\\|im_end|>` and so on.
 """
 
 from __future__ import annotations
@@ -83,7 +84,9 @@ def format_conversations(rows: DataFrame, conv_col: str = "conv_id", turn_col: s
     plain = whole.withColumn("plain", render(F.col("turns"), False))
     judged = plain.withColumn("escaped", parse(F.col("plain")) != F.col("turns"))
     choose = lambda f: F.when(F.col("escaped"), f(True)).otherwise(f(False))
-    formatted = F.when(F.col("escaped"), render(F.col("turns"), True)).otherwise(F.col("plain"))
+    judged = judged.withColumn("form", F.when(F.col("escaped"), render(F.col("turns"), True)))
+    lost = F.raise_error(F.concat(F.lit("turns are lost in conversation "), F.coalesce(F.col("conv").cast("string"), F.lit("null")))).cast("string")
+    formatted = F.when(~F.col("escaped"), F.col("plain")).when(parse(F.col("form")) == F.col("turns"), F.col("form")).otherwise(lost)
     return judged.select(F.col("conv").alias(conv_col), "turns", formatted.alias("formatted"), "escaped", choose(lambda e: _spans(F.col("turns"), e, learned)).alias("loss_spans"))
 
 

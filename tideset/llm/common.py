@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..plans import cut, small
 from ..plans.steps import BROADCAST
 
-__all__ = ["LOWER", "UPPER", "WHITE", "connected", "cut", "grams", "mix", "sliced", "small", "texts", "word_hashes", "words"]
+__all__ = ["LOWER", "UPPER", "WHITE", "Runs", "connected", "cut", "grams", "mix", "sliced", "small", "texts", "unused", "word_hashes", "words"]
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WHITE = r"[\x20\x09-\x0D]+"
@@ -23,6 +23,14 @@ def words(text: str | Column) -> Column:
     return F.filter(F.split(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), WHITE), lambda w: w != "")
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """`name`, with as many underscores as it takes to clash with no column of `df`."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """The splitmix64 finalizer on unsigned 64-bit values."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -30,19 +38,27 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def grams(hashes: np.ndarray, k: int) -> np.ndarray:
-    """A hash of each run of k word hashes; of the whole sequence if it is shorter; none if it is empty.
+class Runs:
+    """Hashes of runs of a sequence of hashes: polynomials modulo 2**64, by differences of prefix sums, divided by the odd base's power where the run begins."""
 
-    A run's hash is a polynomial modulo 2**64: by differences of prefix sums, divided by the odd base's power where the run begins.
-    """
-    n = len(hashes)
-    if not n:
-        return hashes
-    k = min(k, n)
-    base, inverse = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(mix(hashes) * np.multiply.accumulate(np.full(n, base, np.uint64)), out=sums[1:])
-    return mix((sums[k:] - sums[:-k]) * np.multiply.accumulate(np.full(n - k + 1, inverse, np.uint64)) + np.uint64(k))
+    def __init__(self, hashes: np.ndarray):
+        n, base = len(hashes), 0x9E3779B97F4A7C15
+        self.sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(mix(hashes) * np.multiply.accumulate(np.full(n, base, np.uint64)), out=self.sums[1:])
+        self.powers = np.multiply.accumulate(np.full(n, pow(base, -1, 1 << 64), np.uint64))
+
+    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """The hashes of the runs [start, end), none of them empty."""
+        return mix((self.sums[end] - self.sums[start]) * self.powers[start] + (end - start).astype(np.uint64))
+
+    def grams(self, k: int) -> np.ndarray:
+        """The hash of each run of length k, for k up to the sequence's length."""
+        return mix((self.sums[k:] - self.sums[:-k]) * self.powers[: len(self.sums) - k] + np.uint64(k))
+
+
+def grams(hashes: np.ndarray, k: int) -> np.ndarray:
+    """A hash of each run of k word hashes; of the whole sequence if it is shorter; none if it is empty."""
+    return Runs(hashes).grams(min(k, len(hashes))) if len(hashes) else hashes
 
 
 _BASE = 0xD6E8FEB86659FD93  # odd

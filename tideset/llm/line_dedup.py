@@ -1,14 +1,15 @@
 """Removal of runs of text that repeat, by winnowing.
 
 The hashes that are winnowed are of word lines: the `k` words from each position on, whatever the line breaks, since
-repeated passages often begin and end inside a line. Of each window of `w` consecutive hashes the least one (the last of equals) is selected, so
-any repeated run of min_run = w + k - 1 words or more shares a selected fingerprint with its source. Each fingerprint's first
-occurrence, in the order of document id and position, is the source of all its others: a join of positions, not of all pairs.
-
-As w <= k, the fingerprints that two copies of a run share follow each other without a gap between their words, so a chain of them on one
-diagonal needs extension at its two ends only, by less than w words. The w words beside the ends are fetched from both texts as hashes and
-compared; texts themselves are never sent to other texts. Runs of min_run words or more are deleted, the first occurrence stays.
-Nothing else is ever deleted. Where a fingerprint's first place shares less with a text than a later place does, words at the rim of a run can stay.
+repeated passages often begin and end inside a line. Of each window of `w` consecutive hashes, which is a run of min_run = w + k - 1 words, the least
+one (the last of equals) is selected. A window that stands at two places selects the same fingerprint there, so repeats are sought among the places
+of shared fingerprints only.
+
+A place stands for all the windows that select it, which follow each other: its span is the fingerprint, extended both ways to the first
+word of the first of these windows and to the last word of the last. Places of one fingerprint whose spans are equal hold the same windows: all but the first
+place are repeats as they are. Where spans of one fingerprint differ, at the rims of repeated passages, the first place of each span
+is opened, and the hashes of its single windows are compared instead. So exactly the windows that stand at an earlier place are found, each by two hashes
+of 64 bits, and texts are never sent to other texts. The words of these windows are deleted; the first occurrence stays.
 """
 
 from __future__ import annotations
@@ -16,17 +17,17 @@ from __future__ import annotations
 import re
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
-from .common import cut, grams, sliced, small, texts, word_hashes
+from .common import Runs, cut, mix, sliced, small, texts, word_hashes
 
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
-def select(hashes: np.ndarray, w: int) -> np.ndarray:
-    """Positions of the minima of all windows of w hashes, the last of equal ones; none if there are fewer than w.
+def minima(hashes: np.ndarray, w: int) -> np.ndarray:
+    """For each window of w hashes the position of its least one, the last of equals; none if there are fewer than w.
 
     Compares the upper 40 bits, with the position (later is less) below them; each window's minimum is that of two prefix or suffix minima of blocks.
     """
@@ -45,64 +46,108 @@ def select(hashes: np.ndarray, w: int) -> np.ndarray:
         after = np.minimum.accumulate(blocks[:, ::-1], 1)[:, ::-1].ravel()
         least = np.minimum(after[: size - w + 1], before[w - 1 : size])
         found.append((low - (least & low)).astype(np.int64) + at)
-    places = np.concatenate(found)
+    return np.concatenate(found)
+
+
+def select(hashes: np.ndarray, w: int) -> np.ndarray:
+    """The positions that windows of w hashes select, each once."""
+    places = minima(hashes, w)
     return places[np.flatnonzero(np.diff(places, prepend=-1))]
 
 
-def thinned(places: np.ndarray, found: np.ndarray, w: int) -> np.ndarray:
-    """The selected places without most of those that follow each other with one hash, as in periodic text, where every place is selected.
+class Winnowed:
+    """A text's selected places `p` in ascending order, and the first and the last window that select each; `windows`: how many there are."""
 
-    Of such a series the first stays, the last, and one in each w / 2 words counted from the last, so that copies keep the same ones.
-    """
-    n = len(places)
-    if not n:
-        return places
-    last = np.append(found[places[:-1]] != found[places[1:]], True)
-    ends = np.flatnonzero(last)
-    far = (places[ends[np.searchsorted(ends, np.arange(n))]] - places) // (w // 2)
-    return places[last | np.append(True, last[:-1]) | np.append(far[:-1] != far[1:], True)]
+    def __init__(self, text: bytes, k: int, w: int):
+        hashes = word_hashes(text)
+        self.words, self.length = len(hashes), k + w - 1
+        self.windows = max(0, self.words - self.length + 1)
+        if self.windows:
+            self.runs = Runs(hashes)
+            self.grams = self.runs.grams(k)
+            chosen = minima(self.grams, w)
+            self.first = np.flatnonzero(np.diff(chosen, prepend=-1))
+            self.last = np.append(self.first[1:], self.windows) - 1
+            self.p = chosen[self.first]
+
+    def spans(self) -> np.ndarray:
+        """The hashes of the places' spans, and of where in it the fingerprint stands."""
+        return mix(self.runs.of(self.first, self.last + self.length) + (self.p - self.first).astype(np.uint64))
+
+
+def _place_rows(batch, f, c, p, own):
+    import pyarrow as pa
+
+    longs = pa.list_(pa.int64())
+    return pa.RecordBatch.from_arrays([batch.column("id"), batch.column("h"), pa.array(f, longs), pa.array(c, longs), pa.array(p, pa.list_(pa.int32())), pa.array(own, pa.bool_())], ["id", "h", "f", "c", "p", "own"])
 
 
 def _fingerprints(k: int, w: int):
-    def run(batches):
-        import pyarrow as pa
+    """Arrow batches (id, h, text) to (id, h, f, c, p, own): fingerprints, spans and places; of places of equal span in one text the first only.
+
+    own: whether the text holds a fingerprint twice, as each does that repeats a window of its own.
+    """
 
+    def run(batches):
         for batch in sliced(batches):
-            f, p = [], []
+            f, c, p, own = [], [], [], []
             for text in texts(batch):
-                found = word_hashes(text)
-                found = grams(found, k) if len(found) >= k + w - 1 else found[:0]
-                at = thinned(select(found, w), found, w)
-                f.append(found[at].view(np.int64))
-                p.append(at.astype(np.int32))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("h"), pa.array(f, pa.list_(pa.int64())), pa.array(p, pa.list_(pa.int32()))], ["id", "h", "f", "p"])
+                found = Winnowed(text, k, w)
+                if not found.windows:
+                    for column in (f, c, p):
+                        column.append(())
+                    own.append(False)
+                    continue
+                prints, spans = found.grams[found.p], found.spans()
+                once = np.sort(np.unique(prints ^ mix(spans), return_index=True)[1])
+                f.append(prints[once].view(np.int64))
+                c.append(spans[once].view(np.int64))
+                p.append(found.p[once].astype(np.int32))
+                own.append(len(np.unique(prints)) < len(prints))
+            yield _place_rows(batch, f, c, p, own)
 
     return run
 
 
-def _contexts(context: int):
-    """Arrow batches (id, h, text, ends) to (id, h, found): for each end the words before place >= 0, nearest first, or from ~place on."""
+def _windows(k: int, w: int):
+    """Arrow batches (id, h, text, asked) to (id, h, f, c, p, own) of the single windows that select the places asked for: p is a window's first word."""
 
     def run(batches):
-        import pyarrow as pa
-
-        for part in sliced(batches):
-            places, starts, taken, rows = [], [0], [], [0]
-            for text, ends in zip(texts(part), part.column("ends").to_pylist(), strict=True):
-                own = (word_hashes(text) >> np.uint64(32)).astype(np.uint32).view(np.int32)
-                for place in ends:
-                    near = own[max(0, place - context) : place][::-1] if place >= 0 else own[~place : ~place + context]
-                    taken.append(near)
-                    starts.append(starts[-1] + len(near))
-                places += ends
-                rows.append(len(places))
-            words = pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(np.concatenate(taken) if taken else np.zeros(0, np.int32)))
-            found = pa.ListArray.from_arrays(pa.array(rows, pa.int32()), pa.StructArray.from_arrays([pa.array(places, pa.int64()), words], ["place", "words"]))
-            yield pa.RecordBatch.from_arrays([part.column("id"), part.column("h"), found], ["id", "h", "found"])
+        for batch in sliced(batches):
+            f, c, p = [], [], []
+            for text, asked in zip(texts(batch), batch.column("asked").to_pylist(), strict=True):
+                found = Winnowed(text, k, w)
+                which = np.searchsorted(found.p, np.unique(asked))
+                size = found.last[which] - found.first[which] + 1
+                start = np.repeat(found.first[which] - np.cumsum(size) + size, size) + np.arange(size.sum())
+                f.append(np.repeat(found.grams[found.p[which]], size).view(np.int64))
+                c.append(found.runs.of(start, start + found.length).view(np.int64))
+                p.append(start.astype(np.int32))
+            yield _place_rows(batch, f, c, p, [None] * len(f))
 
     return run
 
 
+def repeats(text: bytes, places: list[int], k: int, w: int) -> list[tuple[int, int]]:
+    """The runs of words [a, b) of the windows in `places` (first words, or ~p for all windows that select p) and of those that the text itself repeats."""
+    found = Winnowed(text, k, w)
+    if not found.windows:
+        return []
+    marked = np.ones(found.windows, bool)
+    marked[np.unique(found.runs.grams(found.length), return_index=True)[1]] = False
+    given = np.array(places, np.int64)
+    marked[given[given >= 0]] = True
+    which = np.searchsorted(found.p, ~given[given < 0])
+    edges = np.zeros(found.words + 1, np.int64)
+    np.add.at(edges, found.first[which], 1)
+    np.add.at(edges, found.last[which] + found.length, -1)
+    own = np.flatnonzero(marked)
+    np.add.at(edges, own, 1)
+    np.add.at(edges, own + found.length, -1)
+    turns = np.flatnonzero(np.diff((np.cumsum(edges) > 0).astype(np.int8), prepend=0, append=0))
+    return list(zip(turns[::2].tolist(), turns[1::2].tolist(), strict=True))
+
+
 def without(text: bytes, runs: list[tuple[int, int]]) -> tuple[bytes, list[tuple[int, int]]]:
     """The text without the runs of words [a, b), and these runs merged. A line break beside a run stays."""
     spans = [m.span() for m in _WORD.finditer(text)]
@@ -123,67 +168,70 @@ def without(text: bytes, runs: list[tuple[int, int]]) -> tuple[bytes, list[tuple
     return b"".join([*out, text[at:]]), [(a, b) for a, b in merged]
 
 
-def _delete(batches):
-    import pyarrow as pa
+def _delete(k: int, w: int):
+    def run(batches):
+        import pyarrow as pa
 
-    kinds = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))
-    for batch in sliced(batches):
-        kept, spans = [], []
-        for text, runs in zip(texts(batch), batch.column("runs").to_pylist(), strict=True):
-            text, merged = without(text, [(r["start"], r["end"]) for r in runs])
-            kept.append(text.decode("utf-8", "replace"))
-            spans.append([{"start": a, "length": b - a} for a, b in merged])
-        yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(kept, pa.string()), pa.array(spans, kinds)], ["row", "text", "removed"])
+        kinds = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))
+        for batch in sliced(batches):
+            kept, spans = [], []
+            for text, places in zip(texts(batch), batch.column("places").to_pylist(), strict=True):
+                text, merged = without(text, repeats(text, places, k, w))
+                kept.append(text.decode("utf-8", "replace"))
+                spans.append([{"start": a, "length": b - a} for a, b in merged])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(kept, pa.string()), pa.array(spans, kinds)], ["row", "text", "removed"])
 
+    return run
 
-def _runs(named: DataFrame, kind: str, min_run: int) -> DataFrame:
-    """The runs (id, h, start, end) of `named` (id, h, text) that stand at an earlier place."""
-    k = min_run // 2 + 1
-    w = min_run - k + 1
-    found = named.mapInArrow(_fingerprints(k, w), f"id {kind}, h long, f array<long>, p array<int>")
-    found = cut(found.select("id", "h", F.explode(F.arrays_zip("f", "p")).alias("x")).select("id", "h", "x.f", "x.p"))
-    first = found.groupBy("f").agg(F.min(F.struct("id", "h", "p")).alias("s"), F.max(F.struct("id", "h", "p")).alias("last")).where("s <> last")
-    first = cut(first.select("f", F.col("s.id").alias("sid"), F.col("s.h").alias("sh"), F.col("s.p").alias("sp")))
-    met = found.join(small(first, 50_000), "f").where("NOT (id = sid AND h = sh AND p = sp)").select("id", "h", "sid", "sh", (F.col("sp") - F.col("p")).alias("shift"), "p")
-    diagonal = Window.partitionBy("id", "h", "sid", "sh", "shift").orderBy("p")
-    chained = met.withColumn("fresh", (F.col("p") - F.coalesce(F.lag("p").over(diagonal), F.lit(-k - 1)) > k).cast("long"))
-    chained = chained.withColumn("chain", F.sum("fresh").over(diagonal.rowsBetween(Window.unboundedPreceding, 0)))
-    chains = cut(chained.groupBy("id", "h", "sid", "sh", "shift", "chain").agg(F.min("p").cast("long").alias("start"), (F.max("p") + k).cast("long").alias("end")))
-
-    # an end is named by one number: the place of its first word, or the complement of the place after its last
-    sides = F.explode(F.array(F.struct(F.col("start").alias("place"), (F.col("start") + F.col("shift")).alias("splace")), F.struct((-F.col("end") - 1).alias("place"), (-(F.col("end") + F.col("shift")) - 1).alias("splace"))))
-    ends = chains.select("id", "h", "sid", "sh", "shift", "chain", sides.alias("x")).select("id", "h", "sid", "sh", "shift", "chain", "x.place", "x.splace")
-    asked = ends.select("id", "h", "place").union(ends.select("sid", "sh", "splace"))
-    asked = cut(asked.groupBy("id", "h").agg(F.collect_set("place").alias("ends")))
-    told = named.join(small(asked), ["id", "h"]).mapInArrow(_contexts(w), f"id {kind}, h long, found array<struct<place:long,words:array<int>>>")
-    told = cut(told.groupBy("id", "h").agg(F.first("found").alias("found")))  # a document may have several rows
-    told = told.select("id", "h", F.inline("found"))
-    both = ends.join(told, ["id", "h", "place"]).join(told.select(F.col("id").alias("sid"), F.col("h").alias("sh"), F.col("place").alias("splace"), F.col("words").alias("swords")), ["sid", "sh", "splace"])
-    equal = F.zip_with("words", "swords", lambda x, y: x.eqNullSafe(y))
-    more = F.when(F.array_position(equal, False) > 0, F.array_position(equal, False) - 1).otherwise(F.size(equal))
-    extended = both.groupBy("id", "h", "sid", "sh", "shift", "chain").agg(F.max(F.when(F.col("place") >= 0, F.col("place") - more)).alias("start"), F.max(F.when(F.col("place") < 0, -F.col("place") - 1 + more)).alias("end"))
-    return extended.where(F.col("end") - F.col("start") >= min_run).select("id", "h", "start", "end")
-
-
-def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_run: int = 50) -> DataFrame:
-    """The rows of `docs` with their texts (in text_col) without later repeated runs, and two columns more: removed and n_removed.
+
+def _later(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of rows (id, h, f, c, p): the first place (f, c, s, n) of each f and c, and the rows (id, h, p) that stand at another one."""
+    firsts = cut(rows.groupBy("f", "c").agg(F.min(F.struct("id", "h", "p")).alias("s"), F.count("*").alias("n")))
+    again = cut(firsts.where("n > 1").select("f", "c", "s"))
+    return firsts, rows.join(small(again), ["f", "c"]).where("NOT (id = s.id AND h = s.h AND p = s.p)").select("id", "h", "p")
+
+
+def _places(named: DataFrame, kind: str, k: int, w: int) -> DataFrame:
+    """(id, h, places) of the texts of `named` (id, h, text) that hold repeats; places as in `repeats`."""
+    kinds = f"id {kind}, h long, f array<long>, c array<long>, p array<int>, own boolean"
+    single = lambda df: df.select("id", "h", F.explode(F.arrays_zip("f", "c", "p")).alias("x")).select("id", "h", "x.f", "x.c", "x.p")
+    winnowed = cut(named.mapInArrow(_fingerprints(k, w), kinds))
+    held = single(winnowed)
+    shared = cut(held.groupBy("f").count().where("count > 1").select("f"))
+    met = cut(held.join(small(shared), "f", "left_semi"))
+    firsts, later = _later(met)
+
+    # fingerprints with several spans: their windows one by one
+    mixed = cut(firsts.groupBy("f").count().where("count > 1").select("f"))
+    asked = firsts.join(small(mixed), "f", "left_semi").select("s.id", "s.h", "s.p")
+    asked = cut(asked.groupBy("id", "h").agg(F.collect_list("p").alias("asked")))
+    opened = cut(single(named.join(small(asked), ["id", "h"]).mapInArrow(_windows(k, w), kinds)))
+    _, single_later = _later(opened)
+
+    found = later.select("id", "h", (-F.col("p") - 1).alias("p")).union(single_later).union(winnowed.where("own").select("id", "h", F.lit(None).cast("int")))
+    return cut(found.groupBy("id", "h").agg(F.collect_set("p").alias("places")))
+
+
+def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_run: int = 50, removed_col: str = "removed", count_col: str = "n_removed") -> DataFrame:
+    """The rows of `docs` with their texts (in text_col) without later repeated runs, and two columns more, removed_col and count_col.
 
     A run is `min_run` words or more (words `[^\\x20\\x09-\\x0D]+`, A-Z lower-cased) that stand, in the same order, at an earlier place:
-    in a document of a smaller id, or earlier in the same text. removed lists start and length of the deleted runs, counted in words;
-    n_removed is how many words they hold.
+    in a document of a smaller id, or earlier in the same text; every such run goes. removed_col lists start and length of the deleted runs,
+    counted in words; count_col is how many words they hold.
 
     Defined cases: a null text gives an empty one. A row with a null id is left as it is and is no source. Rows of equal id and
     text are one document and get the same result; rows of equal id and other text are ordered by a hash of their text.
     A text that is wholly a repeat becomes empty. Other columns stay as they are; those named as the new ones are replaced.
     """
-    docs = docs.drop("removed", "n_removed")
+    docs = docs.drop(removed_col, count_col)
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col]).alias("row")
     source = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), row).withColumn("h", F.xxhash64("text"))
-    runs = _runs(source.where("id IS NOT NULL").select("id", "h", "text"), docs.schema[id_col].dataType.simpleString(), min_run)
-    told = cut(runs.groupBy("id", "h").agg(F.collect_set(F.struct("start", "end")).alias("runs")))
-    asking = source.join(small(told), ["id", "h"], "left").select("row", "text", "runs")
+    k = min_run // 2 + 1
+    w = min_run - k + 1
+    places = _places(source.where("id IS NOT NULL").select("id", "h", "text"), docs.schema[id_col].dataType.simpleString(), k, w)
+    asking = source.join(small(places), ["id", "h"], "left").select("row", "text", "places")
     spans = ArrayType(StructType([StructField("start", LongType()), StructField("length", LongType())]))
     kinds = StructType([source.schema["row"], StructField("text", StringType()), StructField("removed", spans)])
-    done = asking.where("runs IS NOT NULL").mapInArrow(_delete, kinds).union(asking.where("runs IS NULL").select("row", "text", F.array().cast(spans)))
+    done = asking.where("places IS NOT NULL").mapInArrow(_delete(k, w), kinds).union(asking.where("places IS NULL").select("row", "text", F.array().cast(spans)))
     n_removed = F.aggregate("removed", F.lit(0).cast("long"), lambda n, r: n + r.length)
-    return done.select(*[F.col("text").alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns], "removed", n_removed.alias("n_removed"))
+    return done.select(*[F.col("text").alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns], F.col("removed").alias(removed_col), n_removed.alias(count_col))
