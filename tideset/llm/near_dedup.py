@@ -180,6 +180,8 @@ def _sifted(similarity: float, most: int):
 
         for table in _groups(batches):
             n, samples = table.column("n").to_numpy().astype(float), table.column("samples").to_numpy().astype(float)
+            key, bands = table.column("key").to_numpy(), table.column("bands").chunk(0)
+            bands = bands.flatten().to_numpy(zero_copy_only=False).reshape(table.num_rows, -1)
             sketch, fine = _matrix(table.column("sketch").chunk(0), BITS // 64), _matrix(table.column("fine").chunk(0), FINE // 64)
             taken = np.zeros(table.num_rows, bool)
             for r, s in _pairs(table):
@@ -189,6 +191,9 @@ def _sifted(similarity: float, most: int):
                 r, s = r[fits], s[fits]
                 bound = _expected(n[r], n[s], samples[r], samples[s], similarity, 4.0, np.exp, np.sqrt, np.maximum)
                 fits = np.bitwise_count(fine[r] ^ fine[s]).sum(1) <= FINE / 2 * (1 - np.exp(-2 / FINE * bound))
+                r, s = r[fits], s[fits]
+                shared = (bands[r] == bands[s]).argmax(1)
+                fits = bands[r, shared] == key[r]  # a pair counts in the first of the buckets that it shares, all of which hold both components
                 taken[r[fits]] = taken[s[fits]] = True
             kept = table.select(["key", "i", "j", "left", "rest", "id", "component"]).filter(pa.array(taken))
             yield from kept.to_batches()
@@ -265,7 +270,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     other = reps.select(F.col("id").alias("hub"), *[F.col(c).alias(f"{c}2") for c in ("n", "sketch", "fine", "samples")])
     sizes = (F.col("n") * 100 >= F.col("n2") * percent) & (F.col("n2") * 100 >= F.col("n") * percent)
     fits = sizes & (_flips("sketch", "sketch2", BITS) <= most) & _near(similarity)
-    pairs = cut(pairs.join(reps.select("id", "n", "sketch", "fine", "samples"), "id").join(other, "hub").where(fits).select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct())
+    pairs = cut(pairs.join(reps.select("id", "n", "sketch", "fine", "samples"), "id").join(other, "hub").where(fits).select(F.col("hub").alias("a"), F.col("id").alias("b")))
     sets = cut(sets_of(cut(pairs.select("a").union(pairs.select("b")).distinct().toDF("id"))))
     both = pairs.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b").join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a")
     common = F.size(F.array_intersect("x", "y"))
@@ -284,7 +289,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     dealt = dealt.select("key", "x.i", "x.j", "x.left", "rest", "id", "component")
     grouped = lambda df: df.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     kept = "key long, i int, j int, left boolean, rest boolean, id long, component long"
-    sifted = cut(grouped(dealt.join(reps.select("id", "n", "sketch", "fine", "samples"), "id")).mapInArrow(_sifted(similarity, most), kept))
+    sifted = cut(grouped(dealt.join(reps.select("id", "n", "bands", "sketch", "fine", "samples"), "id")).mapInArrow(_sifted(similarity, most), kept))
     sets = sets_of(cut(sifted.select("id").distinct()))
     found = grouped(sifted.join(sets, "id")).mapInArrow(_linked(percent), "a long, b long")
     labels = cut(connected(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).union(found)))
