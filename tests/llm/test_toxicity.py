@@ -39,6 +39,45 @@ def test_pairs_of_terms_matter():
     assert sum(right) > 0.95 * len(right)
 
 
+def test_training_finds_words_that_tell_in_pairs_only(spark):
+    """The same through train(), where neither word tells anything alone; scores agree with a plain sum over pairs."""
+    draw = random.Random(4)
+
+    def sample(i):
+        a, b = draw.random() < 0.5, draw.random() < 0.5
+        w = [draw.choice("pqrstuvw") * 3 for _ in range(6)] + ["insult"] * a + ["group"] * b
+        draw.shuffle(w)
+        return i, " ".join(w), int(a != b)
+
+    df = spark.createDataFrame([sample(i) for i in range(3000)], "doc_id long, text string, toxic int")
+    model = toxicity.train(df.where("doc_id < 2400"), df.select("doc_id", "toxic"))
+    out = toxicity.score(df.where("doc_id >= 2400"), model).collect()
+    assert sum((r["score"] >= 0.5) == (r["toxic"] == 1) for r in out) > 0.95 * len(out)
+    number = {int(s): i for i, s in enumerate(model.slots)}
+    for r in out[:200]:
+        own = sorted({number[t] for w in set(r["text"].split()) for t in toxicity.terms(w) if t in number})
+        z = model.w0 + sum(model.w[i] for i in own) + sum(float(model.v[i] @ model.v[j]) for i in own for j in own if i < j)
+        assert abs(r["score"] - 1 / (1 + np.exp(-z))) < 1e-9
+
+
+def test_pairs_that_tell_are_those_of_a_plain_count():
+    draw = np.random.default_rng(6)
+    x = draw.random((400, 12)) < 0.4
+    y = (x[:, 2] ^ x[:, 7]).astype(float)
+    found = toxicity.pairs_that_tell([np.flatnonzero(r) for r in x], y, 12, 40.0)
+
+    def tells(cells):
+        total = 0.0
+        for c in np.unique(cells):
+            for label in (0, 1):
+                seen, share = ((cells == c) & (y == label)).sum(), (y == label).mean()
+                total += 2 * seen * np.log(seen / ((cells == c).sum() * share)) if seen else 0
+        return total
+
+    want = [any(i != j and tells(x[:, i] * 2 + x[:, j]) - tells(x[:, i]) - tells(x[:, j]) >= 40 for j in range(12)) for i in range(12)]
+    assert found.tolist() == want and found[2] and found[7]
+
+
 def test_awkward_rows(spark, awkward):
     df = spark.createDataFrame(awkward, AWKWARD)
     labels = [(None, 1), (4, 1), (6, 0), (6, 1), (7, 0), (8, None), (9, 7), (10, 0)]
