@@ -1,6 +1,10 @@
 import html
+import random
 import re
+import time
+from html.parser import HTMLParser
 
+import pytest
 from support import rows
 
 from tideset.llm import html_text
@@ -62,3 +66,91 @@ def test_awkward_rows(spark):
     got = rows(html_text.extract(df), "page_id", "n_chars")
     assert got[:4] == [(None, 0), (1, 0), (2, 1), (2, 1)] and got[4] == (3, 4) and got[5] == (4, 30_000 * 4 - 2) and len(got) == 8
     assert html_text.extract(df.limit(0)).count() == 0
+
+
+def test_near_copies_of_an_article_are_no_template(spark):
+    body = "".join(f"<div><p>A paragraph of the copied article, number {j}.</p></div>" for j in range(4))
+    menu = "<div><a>Home</a> <a>About</a></div>"
+    data = [(i, "http://a/x", f"<head><title>{i}</title></head><body>{menu}<h1>Title {i}</h1>{body}</body>") for i in range(8)]
+    data += [(100 + i, "http://a/x", f"<body>{menu}<p>Other text of its own, {i}.</p></body>") for i in range(20)]
+    got = {r["page_id"]: r["text"] for r in html_text.extract(spark.createDataFrame([(*r, None, None, None) for r in data], PAGE)).collect()}
+    assert got[3] == "Title 3\n\n" + "\n\n".join(f"A paragraph of the copied article, number {j}." for j in range(4))
+    assert got[104] == "Other text of its own, 4."
+    alone = [(i, "http://b/x", "<body><div>Nothing but this</div><div>and that</div></body>" + "<!-- -->" * i) for i in range(9)]
+    got = {r["page_id"]: r["text"] for r in html_text.extract(spark.createDataFrame([(*r, None, None, None) for r in alone], PAGE)).collect()}
+    assert set(got.values()) == {"Nothing but this\n\nand that"}
+
+
+class Tree(HTMLParser):
+    """Each element of a well-formed page as nested lists [tag, attributes, children]."""
+
+    def __init__(self, text):
+        super().__init__()
+        self.stack = [["", [], []]]
+        self.feed(text)
+
+    def handle_starttag(self, tag, attrs):
+        self.stack[-1][2].append([tag, attrs, []])
+        self.stack.append(self.stack[-1][2][-1])
+
+    def handle_endtag(self, tag):
+        self.stack.pop()
+
+    def handle_data(self, data):
+        self.stack[-1][2].append(data)
+
+
+def plainly(data, min_pages=5):
+    """Texts after removal of the div, ul and p that recur on min_pages pages of their host, told apart by their longest p that is not on most pages."""
+    trees = {i: Tree(markup).stack[0] for i, _, markup in data}
+
+    def walk(node):
+        for child in node[2]:
+            if isinstance(child, list):
+                yield child
+                yield from walk(child)
+
+    out = {}
+    for host in {h for _, h, _ in data}:
+        ids = [i for i, h, _ in data if h == host]
+        held = {i: {repr(x) for x in walk(trees[i]) if x[0] in ("div", "ul", "li", "p")} for i in ids}
+        most = {x for i in ids for x in held[i] if 2 * sum(x in held[j] for j in ids) > len(ids)}
+        keys = {i: max((x for x in held[i] - most if x.startswith("['p'")), key=len, default=i) for i in ids}
+        gone = {x for i in ids for x in held[i] if len({keys[j] for j in ids if x in held[j]}) >= min_pages}
+
+        def texts(node, gone=gone):
+            for child in node[2]:
+                if isinstance(child, str):
+                    yield child
+                elif repr(child) not in gone:
+                    yield from texts(child)
+
+        out |= {i: "\n\n".join(texts(trees[i])) for i in ids}
+    return out
+
+
+def test_template_counts_are_those_of_a_plain_count(spark):
+    """Pages without an article element, a class or a telling tag: only what recurs tells menus and footers from texts."""
+    draw = random.Random(3)
+    word = lambda: "".join(draw.choice("abcdefgh") for _ in range(5))
+    data = []
+    for i in range(240):
+        host = f"http://h{i % 4}"
+        items = "".join(f"<li>{x}</li>" for x in draw.sample(["Home page", "All news", "Contact us", "Legal notes", "Our shop"], 4))
+        paragraphs = [" ".join(word() for _ in range(draw.randint(12, 30))) for _ in range(draw.randint(1, 4))]
+        again = ["<p>A line that all pages of the host end with</p>"] * (i % 4 != 3) + [f"<p>Seen {i // 60} times so far, no more than that</p>"] * (i % 3 == 0)
+        data.append((i, host, f"<body><div><ul>{items}</ul></div><div><div>{''.join(f'<p>{p}</p>' for p in paragraphs)}</div></div><div>{''.join(again) or 'x'}</div></body>"))
+    want = plainly(data)
+    out = html_text.extract(spark.createDataFrame([(*r, None, None, None) for r in data], PAGE), by_name=False, by_article=False)
+    got = {r["page_id"]: r["text"] for r in out.collect()}
+    assert got == want
+    assert sum("Home page" in t or "All news" in t or "all pages of the host" in t for t in got.values()) == 0 and all("Home" in m or "All news" in m for _, _, m in data)
+
+
+@pytest.mark.parametrize("page", ["<div>x" * 170_000, "<div>x" * 80_000 + "</div>" * 80_000, "<a " * 340_000, "<a b='c" * 140_000, "<a \"x>y\" " * 100_000, "<a b=\"x>y\" " * 90_000, "</i>" * 250_000, "<b>" * 150_000 + "</i>" * 150_000, "<p><i>" * 170_000, "<td></td>" * 110_000, "<!" * 500_000, "<!--" * 250_000, "<script>" * 120_000, "<" * 1_000_000, "<li><ul>" * 120_000, "<a b=" + " " * 1_000_000, "&amp;" * 200_000])
+def test_a_megabyte_of_broken_markup_takes_seconds(page):
+    begin = time.process_time()
+    read = html_text.read(page)
+    html_text.subtrees(read, html_text.roles(read)[0])
+    html_text.main_text(read, {1})
+    assert time.process_time() - begin < 12  # a second or two on an idle machine; forms that read parts again take minutes

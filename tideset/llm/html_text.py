@@ -1,23 +1,29 @@
 """Main text of web pages by removal of site templates.
 
-Each page is read into elements. Every element outside the article, and every container within it, is hashed with all that it holds;
-Spark counts these hashes per host over distinct pages (copies of a page count once), and subtrees that recur on `min_pages` pages of a host or more
-are deleted as its template. Elements that are never part of an article (menus, forms, scripts, comments of readers and so on, told by tag,
-role or class) go even where they stand on one page only. Running text of an article (paragraphs, headings, lists) is
-never taken for a template, however often it recurs.
+Each page is read into elements, and every block element gets a hash of all that it holds, built bottom-up from those of the elements in it.
+Spark counts these hashes per host, and subtrees that recur on many pages of a host (`min_pages`, and a share of `min_share` of its pages) are
+deleted as its template. Pages are told apart by their longest block, but for blocks that stand on most of the host's pages: copies of one article
+count once, though their titles, links or scripts differ, so an article is no template of a host that copies it. Running text of an article (paragraphs, headings, lists)
+is never taken for a template, however often it recurs, and a page that is nothing but templates keeps them.
+
+What stands on one page only can't be told by counts. Elements that are never part of an article (menus, forms, scripts, comments of readers
+and so on) go by tag, role or class (`by_name`), and where what is left lies in part in an `article` or `main` element, that part is taken (`by_article`).
+
+Reading takes time in proportion to the page: nothing is read twice, and elements deeper than 512 levels become siblings, as in browsers.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, small
+from .common import cut, sliced, small
 from .urls import split_url
 
 # Tags and class names of HTML.
@@ -29,11 +35,16 @@ _NEVER = frozenset("head script style title template noscript nav aside footer f
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 _HINTS = frozenset("nav navbar navigation menu breadcrumb breadcrumbs sidebar sidebars aside footer ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices alert popup modal overlay comment comments disqus respond reply replies share sharing social related recommended newsletter subscribe signup login search pagination pager skip toolbar widget".split())
 _TALK = frozenset("comment comments disqus respond reply replies".split())
+_TEXT = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre".split())
 _HEAD_HINTS = frozenset("header masthead topbar".split())
 _CLOSES = {"li": ("li", "ul ol menu dir"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "tr": ("tr", "table"), "td": ("td th", "tr table"), "th": ("td th", "tr table"), "tbody": ("tbody thead tfoot", "table"), "thead": ("tbody thead tfoot", "table"), "tfoot": ("tbody thead tfoot", "table"), "option": ("option", "select datalist"), "body": ("head", "html")}
+_UNSEEN = frozenset("head script style title template noscript iframe object svg canvas noembed noframes".split())
+DEPTH, SALTS = 512, 16
 _CLOSES = {k: (frozenset(a.split()), frozenset(b.split())) for k, (a, b) in _CLOSES.items()}
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|</([a-zA-Z][^\s/>]*)[^>]*>|<([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
+_MARKUP = re.compile(r"<(?:!--|[!?]|/[a-zA-Z]|[a-zA-Z])")
+_NAME = re.compile(r"[^\s/>]+")
+_STOP = re.compile(r""">|=\s*(["'])""")
 _ATTRIBUTE = re.compile(r"""([^\s"'=<>/]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _NAMES = re.compile(r"[a-z]+")
 _END = {t: re.compile(rf"</{t}(?=[\s/>])", re.I) for t in _RAW}
@@ -41,107 +52,191 @@ _END = {t: re.compile(rf"</{t}(?=[\s/>])", re.I) for t in _RAW}
 
 @dataclass
 class Page:
-    """Elements in page order (parent, tag, class and id, role, whether hidden, range of `flow`); `flow` holds (element, text), None for a block's edge."""
+    """Elements in page order: parent, tag, class and id, words of these that tell, role, whether hidden, hash (None: no text in it, or no block), length of
+    its own text without that of blocks in it.
+
+    `flow` holds (element, text), and None for a block's edge.
+    """
 
     parent: list[int] = field(default_factory=list)
     tag: list[str] = field(default_factory=list)
     names: list[str] = field(default_factory=list)
+    marks: list[frozenset[str]] = field(default_factory=list)
     role: list[str] = field(default_factory=list)
     hidden: list[bool] = field(default_factory=list)
-    start: list[int] = field(default_factory=list)
-    end: list[int] = field(default_factory=list)
+    hash: list[int | None] = field(default_factory=list)
+    size: list[int] = field(default_factory=list)
     flow: list[tuple[int, str | None]] = field(default_factory=list)
 
 
-def read(text: str) -> Page:
-    """The page's elements. Missing end tags are implied as browsers do for paragraphs, list items and tables; stray end tags are ignored."""
-    page, stack, at = Page(), [], 0
-    flow, tags = page.flow, page.tag
-
-    def close(depth: int) -> None:
-        while len(stack) > depth:
-            x = stack.pop()
-            if tags[x] in _BLOCK:
+def _marks(classes: str, id_: str) -> frozenset[str]:
+    """The words of a class, and of an id that is made of nothing but words that tell (headings bear ids made of their own words)."""
+    own = _NAMES.findall(id_)
+    return frozenset(_NAMES.findall(classes)) | (frozenset(own) if own and all(w in _HINTS or w in _HEAD_HINTS for w in own) else frozenset())
+
+
+class _Reader:
+    """Reads a page. Missing end tags are implied as browsers do for paragraphs, list items and tables; stray end tags are ignored."""
+
+    def __init__(self, text: str):
+        self.text, self.page, self.stack, self.open = text, Page(), [], Counter()
+        self.parts: list[list[str]] = []  # of each open element, what its hash is made of
+        self.full: list[bool] = []  # whether it holds text
+        self.plain = False  # after an attribute that does not end, tags end at the next > whatever their quotes
+        self.lacking: set[str] = set()  # quotes of which no more follow
+
+    def words(self, text: str) -> None:
+        self.page.flow.append((self.stack[-1] if self.stack else -1, text))
+        if self.stack:
+            inner = " ".join(text.split())
+            if inner:
+                self.parts[-1].append(inner)
+                self.full[-1] = True
+                self.page.size[self.stack[-1]] += len(inner)
+
+    def close(self, depth: int) -> None:
+        page, flow = self.page, self.page.flow
+        while len(self.stack) > depth:
+            x, parts, full = self.stack.pop(), self.parts.pop(), self.full.pop()
+            tag = page.tag[x]
+            self.open[tag] -= 1
+            if tag in _BLOCK:
                 flow.append((x, None))
-            page.end[x] = len(flow)
-
-    def implied(ends: frozenset, barrier: frozenset) -> None:
-        for depth in range(len(stack) - 1, -1, -1):
-            name = tags[stack[depth]]
-            if name in ends:
-                close(depth)
-                return
-            if name in barrier:
-                return
-
-    paragraph, holds = frozenset(("p",)), frozenset("table td th caption button object body article section div".split())
-    while True:
-        m = _TOKEN.search(text, at)
-        if m is None:
-            break
-        if m.start() > at:
-            flow.append((stack[-1] if stack else -1, text[at : m.start()]))
-        at = m.end()
-        if m[1]:
-            name = m[1].lower()
+            digest = xxhash.xxh3_64_intdigest("\x1f".join([tag, page.names[x], *parts]).encode("utf-8", "surrogatepass")) - (1 << 63)
+            if full and tag in _BLOCK:
+                page.hash[x] = digest
+            if self.stack:
+                if tag not in _BLOCK and tag not in _UNSEEN:
+                    page.size[self.stack[-1]] += page.size[x]
+                self.parts[-1].append(f"\x1e{digest}")
+                self.full[-1] = self.full[-1] or full
+
+    def implied(self, ends: frozenset, barrier: frozenset) -> None:
+        if any(self.open[e] for e in ends):
+            for depth in range(len(self.stack) - 1, -1, -1):
+                name = self.page.tag[self.stack[depth]]
+                if name in ends:
+                    self.close(depth)
+                    return
+                if name in barrier:
+                    return
+
+    def ended(self, name: str) -> None:
+        if self.open[name]:
             block = name in _BLOCK
-            for depth in range(len(stack) - 1, -1, -1):
-                other = tags[stack[depth]]
+            for depth in range(len(self.stack) - 1, -1, -1):
+                other = self.page.tag[self.stack[depth]]
                 if other == name:
-                    close(depth)
-                    break
+                    self.close(depth)
+                    return
                 if not block and other in _BLOCK:
-                    break
-            continue
-        name = m[2] or m[4]
-        if name is None:
-            continue
-        name = name.lower()
-        if name == "br":
-            flow.append((stack[-1] if stack else -1, " "))
-            continue
+                    return
+
+    def tag_end(self, at: int) -> int:
+        """Where the tag that goes on at `at` ends, its > included; -1 if it does not."""
+        text, begin = self.text, at
+        while not self.plain:
+            m = _STOP.search(text, at)
+            if m is None:
+                self.plain = True
+            elif m[1] is None:
+                return m.end()
+            elif m[1] in self.lacking:
+                at = m.end()
+            else:
+                found = text.find(m[1], m.end())
+                if found < 0:
+                    self.lacking.add(m[1])
+                at = found + 1 if found >= 0 else m.end()
+        return text.find(">", begin) + 1 or -1
+
+    def element(self, name: str, attributes: str) -> bool:
+        """Opens an element; whether it can hold others or text."""
+        page = self.page
         if name in _BLOCK:
-            implied(paragraph, holds)
+            self.implied(_PARAGRAPH, _HOLDS)
         if name in _CLOSES:
-            implied(*_CLOSES[name])
-        x = len(tags)
-        page.parent.append(stack[-1] if stack else -1)
-        tags.append(name)
-        names = role = ""
-        hidden = False
-        attributes = m[3] if m[2] else m[5]
+            self.implied(*_CLOSES[name])
+        if len(self.stack) >= DEPTH:
+            self.close(DEPTH - 1)
+        x, classes, id_, role, hidden = len(page.tag), "", "", "", False
         if attributes and not attributes.isspace():
             for a, b, c, d in _ATTRIBUTE.findall(attributes):
-                a = a.lower()
-                if a in ("class", "id"):
-                    names = f"{names} {b or c or d}".lower()
+                a, value = a.lower(), (b or c or d).lower()
+                if a == "class":
+                    classes = f"{classes} {value}"
+                elif a == "id":
+                    id_ = value
                 elif a == "role":
-                    role = (b or c or d).lower().strip()
-                elif a == "hidden" or a == "aria-hidden" and (b or c or d).lower() == "true":
+                    role = value.strip()
+                elif a == "hidden" or a == "aria-hidden" and value == "true":
                     hidden = True
-        page.names.append(names)
+        page.parent.append(self.stack[-1] if self.stack else -1)
+        page.tag.append(name)
+        page.names.append(f"{classes} {id_}")
+        page.marks.append(_marks(classes, id_) if classes or id_ else frozenset())
         page.role.append(role)
         page.hidden.append(hidden)
-        page.start.append(len(flow))
-        page.end.append(len(flow))
+        page.hash.append(None)
+        page.size.append(0)
         if name in _BLOCK:
-            flow.append((x, None))
-        if name in _RAW:
-            m = _END[name].search(text, at)
-            stop = m.start() if m else len(text)
-            if stop > at:
-                flow.append((x, text[at:stop]))
-            page.end[x] = len(flow)
-            at = stop
-        elif name not in _VOID and not (attributes and attributes.endswith("/") and name not in _BLOCK and not _ATTRIBUTE.search(attributes)):
-            stack.append(x)
-    if at < len(text):
-        flow.append((stack[-1] if stack else -1, text[at:]))
-    close(0)
-    return page
-
-
-def roles(page: Page) -> tuple[list[bool], list[bool]]:
+            page.flow.append((x, None))
+        if name in _VOID or attributes.endswith("/") and name not in _BLOCK and name not in _RAW and not _ATTRIBUTE.search(attributes):
+            if self.stack:
+                self.parts[-1].append(f"\x1e{name}")
+            return False
+        self.stack.append(x)
+        self.parts.append([])
+        self.full.append(False)
+        self.open[name] += 1
+        return True
+
+    def read(self) -> Page:
+        text, at = self.text, 0
+        while m := _MARKUP.search(text, at):
+            kind = m[0]
+            if kind == "<!--":
+                end = text.find("-->", m.end()) + 3
+                end = end if end > 2 else len(text)
+            elif kind in ("<!", "<?"):
+                end = text.find(">", m.end()) + 1 or len(text)
+            else:
+                closing = kind[1] == "/"
+                name = _NAME.match(text, m.start() + 1 + closing)
+                end = (text.find(">", name.end()) + 1 or -1) if closing else self.tag_end(name.end())
+                if end < 0:
+                    break  # no > follows any more: the rest is text
+            if m.start() > at:
+                self.words(text[at : m.start()])
+            at = end
+            if kind[1] in "!?":
+                continue
+            tag = name[0].lower()
+            if closing:
+                self.ended(tag)
+            elif tag == "br":
+                self.page.flow.append((self.stack[-1] if self.stack else -1, " "))
+            elif self.element(tag, text[name.end() : end - 1]) and tag in _RAW:
+                m = _END[tag].search(text, at)
+                stop = m.start() if m else len(text)
+                if stop > at:
+                    self.words(text[at:stop])
+                at = stop
+                self.close(len(self.stack) - 1)
+        if at < len(text):
+            self.words(text[at:])
+        self.close(0)
+        return self.page
+
+
+_PARAGRAPH, _HOLDS = frozenset(("p",)), frozenset("table td th caption button object body article section div".split())
+
+
+def read(text: str) -> Page:
+    return _Reader(text).read()
+
+
+def roles(page: Page, by_name: bool = True) -> tuple[list[bool], list[bool]]:
     """For each element, whether it lies in the article, and whether it is never part of one. Names don't tell against what holds the page's first article."""
     inside, never, holds = [], [], set()
     for x, tag in enumerate(page.tag):
@@ -150,7 +245,7 @@ def roles(page: Page) -> tuple[list[bool], list[bool]]:
             while x >= 0:
                 chain.append(x)
                 x = page.parent[x]
-            if all(_TALK.isdisjoint(_NAMES.findall(page.names[y])) for y in chain if page.names[y]):
+            if all(_TALK.isdisjoint(page.marks[y]) for y in chain):
                 holds.update(chain)
                 break
     for x, tag in enumerate(page.tag):
@@ -158,9 +253,9 @@ def roles(page: Page) -> tuple[list[bool], list[bool]]:
         own = p >= 0 and inside[p]
         gone = p >= 0 and never[p]
         if not gone:
-            found = set(_NAMES.findall(page.names[x])) if page.names[x] and tag not in ("html", "body", "main") else set()
+            found = frozenset() if tag in ("html", "body", "main") or own and tag in _TEXT else page.marks[x]
             gone = tag in _NEVER or page.hidden[x] or page.role[x] in _ROLES or not found.isdisjoint(_HINTS) or not own and (tag == "header" or not found.isdisjoint(_HEAD_HINTS))
-            gone = gone and (x not in holds or page.hidden[x])
+            gone = gone and (x not in holds or page.hidden[x]) if by_name else tag in _UNSEEN
         never.append(gone)
         inside.append(own or not gone and (tag in ("article", "main") or page.role[x] in ("main", "article")))
     return inside, never
@@ -168,83 +263,98 @@ def roles(page: Page) -> tuple[list[bool], list[bool]]:
 
 def subtrees(page: Page, inside: list[bool]) -> dict[int, int]:
     """Hashes of the elements that may belong to a template: tag, class and id, and all tags and text below."""
-    out = {}
-    for x, tag in enumerate(page.tag):
-        if tag in ("html", "body", "head") or tag not in _BLOCK or inside[x] and tag in _PROSE:
-            continue
-        held = [f"{page.tag[n]}\x1e{' '.join(text.split())}" if text else page.tag[n] for n, text in page.flow[page.start[x] : page.end[x]]]
-        if any(text and not text.isspace() for _, text in page.flow[page.start[x] : page.end[x]]):
-            out[x] = xxhash.xxh3_64_intdigest("\x1f".join([tag, page.names[x], *held]).encode("utf-8", "surrogatepass")) - (1 << 63)
-    return out
-
-
-def main_text(page: Page, templates: set[int]) -> str:
-    """The article's blocks; without an element for it, those of the whole page."""
-    inside, never = roles(page)
-    gone = list(never)
-    if templates:
-        for x, h in subtrees(page, inside).items():
-            if h in templates:
-                gone[x] = True
-    for x, p in enumerate(page.parent):
-        gone[x] = gone[x] or p >= 0 and gone[p]
-
-    def blocks(only: bool) -> list[str]:
-        found, parts = [], []
-        for x, text in page.flow:
-            if text is None:
-                if parts:
-                    found.append("".join(parts))
-                    parts = []
-            elif x >= 0 and (gone[x] or only and not inside[x]) or x < 0 and only:
-                continue
-            else:
-                parts.append(html.unescape(text))
-        found.append("".join(parts))
-        return [b for b in (" ".join(b.split()) for b in found) if b]
+    return {x: h for x, h in enumerate(page.hash) if h is not None and page.tag[x] not in ("html", "body", "head") and not (inside[x] and page.tag[x] in _PROSE)}
+
+
+def _blocks(page: Page, taken) -> list[str]:
+    """The text of the blocks, of the elements that `taken` takes (-1: of none)."""
+    found, parts = [], []
+    for x, text in page.flow:
+        if text is None:
+            if parts:
+                found.append("".join(parts))
+                parts = []
+        elif taken(x):
+            parts.append(html.unescape(text))
+    found.append("".join(parts))
+    return [b for b in (" ".join(b.split()) for b in found) if b]
 
-    return "\n\n".join(blocks(True) or blocks(False))
 
+def main_text(page: Page, templates: set[int], by_name: bool = True, by_article: bool = True) -> str:
+    """What is left without templates and what is never part of an article: the article's blocks, or without an element for it all of them."""
+    inside, never = roles(page, by_name)
 
-def _hashes(batches):
-    import pyarrow as pa
+    def left(templates: set[int]) -> list[str]:
+        gone = list(never)
+        if templates:
+            for x, h in subtrees(page, inside).items():
+                gone[x] = gone[x] or h in templates
+        for x, p in enumerate(page.parent):
+            gone[x] = gone[x] or p >= 0 and gone[p]
+        own = _blocks(page, lambda x: x >= 0 and inside[x] and not gone[x]) if by_article else []
+        return own or _blocks(page, lambda x: x < 0 or not gone[x])
 
-    for batch in batches:
-        for at in range(0, batch.num_rows, 256):
-            part = batch.slice(at, 256)
+    return "\n\n".join(left(templates) or left(set()))
+
+
+def _hashes(by_name: bool):
+    def run(batches):
+        import pyarrow as pa
+
+        for part in sliced(batches):
             found = []
             for text in part.column("html").to_pylist():
                 page = read(text)
-                found.append(sorted(set(subtrees(page, roles(page)[0]).values())))
-            yield pa.RecordBatch.from_arrays([part.column("host"), part.column("h"), pa.array(found, pa.list_(pa.int64()))], ["host", "h", "found"])
+                sizes: dict[int, int] = {}
+                for x, h in subtrees(page, roles(page, by_name)[0]).items():
+                    sizes[h] = max(sizes.get(h, 0), page.size[x])
+                found.append([{"subtree": h, "size": n} for h, n in sorted(sizes.items())])
+            kinds = pa.list_(pa.struct([("subtree", pa.int64()), ("size", pa.int32())]))
+            yield pa.RecordBatch.from_arrays([part.column("host"), part.column("h"), pa.array(found, kinds)], ["host", "h", "found"])
 
+    return run
 
-def _texts(batches):
-    import pyarrow as pa
 
-    for batch in batches:
-        for at in range(0, batch.num_rows, 256):
-            part = batch.slice(at, 256)
-            out = [main_text(read(text), set(t or ())) for text, t in zip(part.column("html").to_pylist(), part.column("templates").to_pylist(), strict=True)]
+def _texts(by_name: bool, by_article: bool):
+    def run(batches):
+        import pyarrow as pa
+
+        for part in sliced(batches):
+            out = [main_text(read(text), set(t or ()), by_name, by_article) for text, t in zip(part.column("html").to_pylist(), part.column("templates").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([part.column("page"), part.column("url"), pa.array(out, pa.string())], ["page", "url", "text"])
 
+    return run
+
 
-def extract(pages: DataFrame, page_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_pages: int = 5) -> DataFrame:
+def extract(pages: DataFrame, page_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_pages: int = 5, min_share: float = 0.001, by_name: bool = True, by_article: bool = True) -> DataFrame:
     """One row (page_col, url_col, text, n_chars) for each row of `pages`.
 
     Blocks of the text are joined by two line breaks; within one, white space is a single space and character references are decoded.
+    With neither `by_name` nor `by_article` only counts per host tell what is not part of a text, but for scripts and other elements that aren't shown.
 
     Defined cases: null or empty HTML gives an empty text. Pages with a null URL, or one without `://`, share the empty host. Pages with equal
-    host and HTML count once and get equal texts; ids may repeat or be null. Other columns are ignored; an empty table gives no rows.
+    host and HTML count once and get equal texts; ids may repeat or be null. Where a tag or comment does not end, the rest of the page is text or comment;
+    elements below 512 levels become siblings, their text stays. Other columns are ignored; an empty table gives no rows.
     """
     host = split_url(url_col)[0]
     source = pages.select(F.col(page_col).alias("page"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"), host.alias("host"))
     source = source.withColumn("h", F.xxhash64("html"))
-    found = source.select("host", "h", "html").mapInArrow(_hashes, "host string, h long, found array<long>")
-    found = cut(found.select("host", "h", F.explode("found").alias("subtree")).distinct())
-    templates = cut(found.groupBy("host", "subtree").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages).select("host", "subtree"))
-    matched = found.join(small(templates), ["host", "subtree"]).groupBy("host", "h").agg(F.collect_list("subtree").alias("templates"))
-    told = source.join(small(cut(matched)), ["host", "h"], "left").select("page", "url", "html", "templates")
+    read_ = cut(source.select("host", "h", "html").mapInArrow(_hashes(by_name), "host string, h long, found array<struct<subtree:long,size:int>>").distinct())
+    found = read_.select("host", "h", F.inline("found")).withColumn("salt", F.pmod("h", F.lit(SALTS)).cast("int"))
+    often = found.groupBy("host", "subtree").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
+    often = cut(often.join(small(cut(read_.groupBy("host").agg(F.count("*").alias("pages")))), "host"))
+
+    # a menu that stands on every page of a large host is one key, so both sides of these joins are salted
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    at = ["host", "subtree", "salt"]
+    everywhere = cut(often.where("2 * n > pages").select("host", "subtree", salts.alias("salt")))
+    told_apart = found.where("size > 0").join(small(everywhere), at, "left_anti").groupBy("host", "h").agg(F.max(F.struct("size", "subtree")).alias("key"))
+    met = cut(found.select("h", *at).join(small(cut(often.select("host", "subtree", salts.alias("salt")))), at))
+    counts = met.join(cut(told_apart), ["host", "h"], "left").select("host", "subtree", F.coalesce("key.subtree", "h").alias("key")).distinct().groupBy("host", "subtree").agg(F.count("*").alias("n"))
+    least = F.greatest(F.lit(min_pages), F.ceil(F.col("pages") * min_share))
+    templates = cut(counts.join(often.select("host", "subtree", "pages"), ["host", "subtree"]).where(F.col("n") >= least).select("host", "subtree", salts.alias("salt")))
+    matched = cut(met.join(small(templates), at, "left_semi").groupBy("host", "h").agg(F.collect_set("subtree").alias("templates")))
+    told = source.join(small(matched), ["host", "h"], "left").select("page", "url", "html", "templates")
     kinds = pages.schema
-    done = told.mapInArrow(_texts, f"page {kinds[page_col].dataType.simpleString()}, url {kinds[url_col].dataType.simpleString()}, text string")
+    done = told.mapInArrow(_texts(by_name, by_article), f"page {kinds[page_col].dataType.simpleString()}, url {kinds[url_col].dataType.simpleString()}, text string")
     return done.select(F.col("page").alias(page_col), F.col("url").alias(url_col), "text", F.length("text").cast("long").alias("n_chars"))
