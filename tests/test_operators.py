@@ -30,7 +30,7 @@ STREAM = "t long, u long, v long, l long"
 
 def test_numbering_follows_the_order_with_ties_and_nulls(spark):
     data = [(random.Random(i).choice([None, 1, 2, 2, 3]), i) for i in range(500)]
-    got = {r["b"]: r["t"] for r in numbered(frame(spark, data, "a long, b long"), ["a", "b"], slices=7).collect()}
+    got = {r["b"]: r["t"] for r in numbered(frame(spark, data, "a long, b long"), ["a", "b"]).collect()}
     want = sorted(data, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
     assert [got[b] for _, b in want] == list(range(1, 501))
     assert numbered(frame(spark, [], "a long, b long"), ["a", "b"]).count() == 0
@@ -144,7 +144,7 @@ def test_solvers_give_the_known_values_on_the_first_rows(spark):
     first = rewards.first_times(each, ["snap"])
     sets, ranges = sieve.sieve(first, each.selectExpr("snap", "v", "t AS n"), 5, 0.2)
     reduced = {r["snap"]: r["value"] for r in sieve.best_set(sets, ranges, first).collect()}
-    listed = pruned_list.track(stream, 5, 0.2).collect()
+    listed = pruned_list.run_list(stream, 5, 0.2).collect()
     assert (sum(best.values()), sum(reduced.values()), sum(r["value"] for r in listed)) == (2209, 2085, 2072)
     assert [best[t] for t in (50, 100, 200, 300, 400)] == [6, 5, 6, 5, 5]
     assert [reduced[t] for t in (50, 100, 200, 300, 400)] == [5, 5, 6, 5, 5]
@@ -155,10 +155,10 @@ def test_solvers_give_the_known_values_on_the_first_rows(spark):
 def test_pruned_lists_of_several_keys_are_independent(spark):
     a, b = random_stream(1, 60, 8, 6, 9), random_stream(2, 60, 8, 6, 9)
     both = frame(spark, [("a", *r) for r in a] + [("b", *r) for r in b], f"key string, {STREAM}")
-    got = rows(pruned_list.track(both, 3, 0.1, ["key"]))
-    alone = [(k, *r) for k, s in (("a", a), ("b", b)) for r in rows(pruned_list.track(frame(spark, s, STREAM), 3, 0.1))]
+    got = rows(pruned_list.run_list(both, 3, 0.1, ["key"]))
+    alone = [(k, *r) for k, s in (("a", a), ("b", b)) for r in rows(pruned_list.run_list(frame(spark, s, STREAM), 3, 0.1))]
     assert got == sorted(alone)
-    reach = pruned_list.track(frame(spark, a, STREAM), 3, 0.1, reward="reach").collect()
+    reach = pruned_list.run_list(frame(spark, a, STREAM), 3, 0.1, reward="reach").collect()
     for r in reach:
         live = [(u, v) for t, u, v, l in a if t <= r["t"] < t + l]
         cover = replay.reach(live)
@@ -219,9 +219,9 @@ def test_random_sets_are_of_the_nodes_and_repeatable(spark):
 
 def test_runs_over_settings(spark):
     stream = frame(spark, random_stream(12, 120, 10, 8, 9), STREAM)
-    both = experiments.tracked(stream, [(2, 0.2, 5), (4, 0.1, 9)])
+    both = experiments.run_settings(stream, [(2, 0.2, 5), (4, 0.1, 9)])
     for k, eps, cap in ((2, 0.2, 5), (4, 0.1, 9)):
-        alone = pruned_list.track(lifetimes.valid(stream, cap), k, eps)
+        alone = pruned_list.run_list(lifetimes.valid(stream, cap), k, eps)
         assert rows(both.where(F.col("k") == k), *alone.columns) == rows(alone)
     values = {(s, n): v for s, n, v in rows(experiments.solver_values(stream, 20, 120, 20, 3, 0.2))}
     assert {s for s, _ in values} == set(range(20, 121, 20))

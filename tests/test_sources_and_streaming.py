@@ -5,7 +5,7 @@ from support import rows
 
 from tideset import sources
 from tideset.operators import pruned_list
-from tideset.streaming import alive_counts, track_stream
+from tideset.streaming import alive_counts, run_stream
 
 
 def test_text_streams_keep_the_order_of_their_lines(spark, tmp_path):
@@ -49,10 +49,10 @@ def test_streaming_gives_the_batch_rows(spark, tmp_path):
     for i in range(3):
         spark.createDataFrame(data[40 * i : 40 * i + 40], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("latestFirst", False).parquet(str(tmp_path / "in"))
-    query = track_stream(source, 3, 0.2).writeStream.format("memory").queryName("tracked").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    query = run_stream(source, 3, 0.2).writeStream.format("memory").queryName("listed").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     query.awaitTermination(120)
-    want = rows(pruned_list.track(spark.createDataFrame(data, schema), 3, 0.2, ["key"]))
-    assert rows(spark.table("tracked")) == want
+    want = rows(pruned_list.run_list(spark.createDataFrame(data, schema), 3, 0.2, ["key"]))
+    assert rows(spark.table("listed")) == want
 
 
 def test_windows_of_arrivals(spark, tmp_path):

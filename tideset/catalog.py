@@ -13,10 +13,11 @@ from pyspark.sql import functions as F
 from . import experiments
 from .functions import activation
 from .operators import baselines, graphs, greedy, influence, lifetimes, pruned_list, rewards, sieve
-from .plans import cut
-from .sources import directed, from_events, from_orders
+from .plans import cut, shared_path
+from .sources import directed, from_events, from_orders, read_edges, read_interactions, read_map, read_nodes, read_weighted, write_nodes, write_series, write_snapshot
+from .streaming import alive_counts, run_stream
 
-K, EPS, SKETCHES, LONG, MIXED = 5, 0.2, 200, 20, 3
+K, EPS, SKETCHES, LONG, MIXED, LANES = 5, 0.2, 200, 20, 3, 64
 
 
 def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -113,11 +114,12 @@ def threshold_ranges(spark, sf_dir):
 
 def greedy_at(spark, sf_dir):
     picks = greedy.max_coverage(_alive(spark, sf_dir).withColumn("snap", F.lit(_middle(spark, sf_dir)).cast("long")), 10)
-    return picks.select("snap", F.col("rank").cast("long").alias("rank"), "v", "gain")
+    return picks.select("snap", F.col("rank").cast("long").alias("rank"), "v", "gain", "calls")
 
 
 def greedy_per_snapshot(spark, sf_dir):
-    return greedy.solution_value(greedy.max_coverage(_on_grid(spark, sf_dir), K)).select("snap", "value")
+    best = greedy.solution_value(greedy.max_coverage(_on_grid(spark, sf_dir), K))
+    return best.select("snap", "value", F.array_join("nodes", ",").alias("nodes"), "calls")
 
 
 def greedy_prefix(spark, sf_dir):
@@ -140,40 +142,51 @@ def random_baseline(spark, sf_dir):
     return baselines.random_value(_on_grid(spark, sf_dir), K, 3).select("snap", F.round("value", 6).alias("value"))
 
 
+def _told(sets, ranges, first, points, by):
+    """The best set with its nodes as text, and the gains weighed for all indices."""
+    calls = sieve.gains_weighed(sets, ranges, points, K, by).groupBy(*by).agg(F.sum("calls").alias("calls"))
+    best = sieve.best_set(sets, ranges, first, by)
+    return best.join(calls, list(by)).select(*by, "value", F.col("i").cast("long").alias("i"), F.array_join("nodes", ",").alias("nodes"), "calls")
+
+
+def _grown(spark, sf_dir):
+    rows = cut(_stream(spark, sf_dir).withColumn("stream", F.lit(0)))
+    return rewards.first_times(rows, ["stream"]), rows.select("stream", "v", F.col("t").alias("n"))
+
+
 def sieve_prefix(spark, sf_dir):
-    rows = _stream(spark, sf_dir).withColumn("stream", F.lit(0))
-    first = rewards.first_times(rows, ["stream"])
-    sets, ranges = sieve.sieve(first, rows.select("stream", "v", F.col("t").alias("n")), K, EPS, ["stream"])
-    return sieve.best_set(sets, ranges, first, ["stream"])
+    first, points = _grown(spark, sf_dir)
+    sets, ranges = sieve.sieve(first, points, K, EPS, ["stream"])
+    return _told(sets, ranges, first, points, ["stream"]).drop("stream")
 
 
 def sieve_series(spark, sf_dir):
-    rows = _stream(spark, sf_dir).withColumn("stream", F.lit(0))
-    first = rewards.first_times(rows, ["stream"])
-    sets, ranges = sieve.sieve(first, rows.select("stream", "v", F.col("t").alias("n")), K, EPS, ["stream"])
-    return sieve.value_per_step(sets, ranges, first, ["stream"])
+    first, points = _grown(spark, sf_dir)
+    sets, ranges = sieve.sieve(first, points, K, EPS, ["stream"])
+    return sieve.value_per_step(sets, ranges, first, ["stream"]).drop("stream")
 
 
-def _reduction(spark, sf_dir):
+def lifetime_reduction(spark, sf_dir):
     rows = cut(_on_grid(spark, sf_dir))
-    first = rewards.first_times(rows, ["snap"])
-    sets, ranges = sieve.sieve(first, rows.select("snap", "v", F.col("t").alias("n")), K, EPS)
-    return sieve.best_set(sets, ranges, first)
+    first, points = rewards.first_times(rows, ["snap"]), rows.select("snap", "v", F.col("t").alias("n"))
+    sets, ranges = sieve.sieve(first, points, K, EPS)
+    return _told(sets, ranges, first, points, ["snap"])
 
 
-def lifetime_reduction(spark, sf_dir):
-    return _reduction(spark, sf_dir).select("snap", "value")
+def _lanes(stream: DataFrame, lanes: int) -> DataFrame:
+    """The stream dealt to groups of venues."""
+    return stream.withColumn("lane", F.pmod("v", F.lit(lanes)).cast("int"))
 
 
-def pruned_list_tracking(spark, sf_dir):
-    return pruned_list.track(_stream(spark, sf_dir), K, EPS)
+def pruned_list_series(spark, sf_dir):
+    return pruned_list.run_list(_lanes(_stream(spark, sf_dir), LANES), K, EPS, ["lane"])
 
 
 def solution_quality(spark, sf_dir):
-    """Each solver's value, and its share of greedy's, on the grid."""
-    values = experiments.solver_values(_stream(spark, sf_dir), *_grid(spark, sf_dir), K, EPS)
-    best = values.where("solver = 'greedy'").select("snap", F.col("value").alias("best"))
-    return values.join(best, "snap").select("snap", "solver", F.round("value", 6).alias("value"), F.round(F.col("value") / F.col("best"), 6).alias("share"))
+    """Each solver's value, and its share of greedy's, on the grid and by groups of venues."""
+    values = experiments.solver_values(_lanes(_stream(spark, sf_dir), 4), *_grid(spark, sf_dir), K, EPS, by=["lane"])
+    best = values.where("solver = 'greedy'").select("lane", "snap", F.col("value").alias("best"))
+    return values.join(best, ["lane", "snap"]).select("lane", "snap", "solver", F.round("value", 6).alias("value"), F.round(F.col("value") / F.col("best"), 6).alias("share"))
 
 
 def greedy_by_budget(spark, sf_dir):
@@ -181,8 +194,8 @@ def greedy_by_budget(spark, sf_dir):
 
 
 def pruned_list_sweep(spark, sf_dir):
-    """The pruned list over budgets, eps and longest lifetimes, every 100 steps."""
-    return experiments.tracked(from_events(spark, sf_dir, 200), [(5, 0.2, 100), (10, 0.2, 100), (5, 0.1, 100), (5, 0.2, 200)], 100)
+    """The pruned list of each group of venues over budgets, eps and longest lifetimes, at every 100th step."""
+    return experiments.run_settings(_lanes(from_events(spark, sf_dir, 200), LANES), [(5, 0.2, 100), (10, 0.2, 100), (5, 0.1, 100), (5, 0.2, 200)], 100, by=["lane"])
 
 
 def reach_size(spark, sf_dir):
@@ -201,9 +214,23 @@ def greedy_reach(spark, sf_dir):
 
 def reduction_reach(spark, sf_dir):
     rows = cut(lifetimes.alive_on(directed(_stream(spark, sf_dir)), *_grid(spark, sf_dir)))
-    first = graphs.reach_times(rows, ["snap"])
-    sets, ranges = sieve.sieve(first, first.select("snap", "v", F.col("ft").alias("n")), K, EPS)
-    return sieve.best_set(sets, ranges, first)
+    first = cut(graphs.reach_times(rows, ["snap"]))
+    points = first.select("snap", "v", F.col("ft").alias("n"))
+    sets, ranges = sieve.sieve(first, points, K, EPS)
+    return _told(sets, ranges, first, points, ["snap"])
+
+
+def reach_of_set(spark, sf_dir):
+    """How many nodes a set reaches together, exact and by the union of sketches (see `sketched_reach`)."""
+    pairs = cut(graphs.reach(graphs.edges(_graph(spark, sf_dir, longer=LONG))))
+    exact, union = rewards.set_reward(pairs, _given(spark)), rewards.sketched_reward(rewards.node_sketches(pairs), _given(spark))
+    both = exact.withColumn("all", F.lit(0)).join(union.select(F.lit(0).alias("all"), F.col("reward").alias("sketched")), "all")
+    return both.select("reward", (F.abs(F.col("sketched") - F.col("reward")) <= 1 + 3 * 1.04 / 64 * F.col("reward")).alias("close"))
+
+
+def reach_gain_longer(spark, sf_dir):
+    """Gains over a set on a graph whose rows live `LONG` times as long, as it grows with the stream."""
+    return rewards.gains(graphs.reach(graphs.edges(_graph(spark, sf_dir, longer=LONG))), _given(spark)).select(F.col("v").alias("x"), "gain")
 
 
 def affected_nodes(spark, sf_dir):
@@ -249,8 +276,9 @@ def sketch_weights(spark, sf_dir):
 
 
 def sketch_budget(spark, sf_dir):
-    held, graph = _sketches(spark, sf_dir)
-    return influence.within_budget(influence.sketch_weights(held, graph), graph, 0.5)
+    """The sketches that a budget of beta = 2 asks for, more than are drawn at first, and their weights."""
+    graph = cut(influence.multiplicities(_graph(spark, sf_dir)))
+    return influence.sketch_weights(influence.enough_sketches(graph, 2.0, SKETCHES), graph)
 
 
 def influence_maximization(spark, sf_dir):
@@ -271,12 +299,101 @@ def sketch_update(spark, sf_dir):
     return gained.union(before.join(after, ["s", "x"], "left_anti").select("s", "x", F.lit("lost").alias("change")))
 
 
+def influence_of_set(spark, sf_dir):
+    held, graph = _sketches(spark, sf_dir)
+    return influence.influence(held, _given(spark).withColumnRenamed("v", "x"), nodes=graphs.nodes(graph)).select(F.round("influence", 6).alias("influence"))
+
+
+def seeds_reach(spark, sf_dir):
+    """Seeds by influence sketches on each snapshot of the grid, and how many nodes these reach together on the last one."""
+    grid = _grid(spark, sf_dir)
+    rows = cut(lifetimes.alive_on(directed(_stream(spark, sf_dir)), *grid).select("snap", "t", "u", "v"))
+    graph = cut(influence.multiplicities(rows, ["snap"]))
+    held = influence.sketch_nodes(graph, SKETCHES, ["snap"])
+    seeds = greedy.max_coverage(held.select("snap", F.col("x").alias("v"), F.col("s").alias("u")), K).select("snap", "v")
+    last = graphs.reach(graphs.edges(rows.where(F.col("snap") == grid[1])))
+    reached = seeds.join(last, "v").groupBy("snap").agg(F.countDistinct("u").alias("reached"))
+    return seeds.groupBy("snap").agg(F.array_join(F.array_sort(F.collect_list("v")), ",").alias("seeds")).join(reached, "snap", "left").select("snap", "seeds", F.coalesce("reached", F.lit(0)).alias("reached"))
+
+
+def _written(df: DataFrame, name: str, sep: str = "\t", **options: str) -> str:
+    at = shared_path(df.sparkSession, name)
+    df.write.options(sep=sep, **options).csv(at)
+    return at
+
+
+def text_stream(spark, sf_dir):
+    """A stream of three columns through compressed text, whose lines number it anew."""
+    return read_interactions(spark, _written(_stream(spark, sf_dir).orderBy("t").select("u", "v", "l"), "stream", compression="gzip"))
+
+
+def text_pairs(spark, sf_dir):
+    """A stream of two columns through text; each row lives one step."""
+    return read_interactions(spark, _written(_stream(spark, sf_dir).orderBy("t").select("u", "v"), "pairs"), lifetimes=False)
+
+
+def text_weighted(spark, sf_dir):
+    graph = influence.multiplicities(_graph(spark, sf_dir, longer=LONG)).select("u", "v", F.round("p", 9).alias("p"))
+    return read_weighted(spark, _written(graph, "weighted", " "))
+
+
+def text_graph(spark, sf_dir):
+    """The distinct edges of a snapshot that was written with its repeats, and how often they stand there."""
+    at, once = shared_path(spark, "snapshot"), shared_path(spark, "graph")
+    alive = cut(_graph(spark, sf_dir, longer=LONG))
+    write_snapshot(alive, at)
+    write_snapshot(alive, once, distinct=True)
+    repeats = read_edges(spark, at, distinct=False).groupBy("u", "v").agg(F.count("*").alias("n"))
+    return read_edges(spark, once).join(repeats, ["u", "v"])
+
+
+def text_nodes(spark, sf_dir):
+    """Greedy's nodes through a file of ids, and their names from a file of `name id`."""
+    at = shared_path(spark, "nodes")
+    write_nodes(greedy.solution_value(greedy.max_coverage(_on_grid(spark, sf_dir), K)), at, "nodes")
+    names = _written(_stream(spark, sf_dir).select((F.col("v") + 1000).alias("value"), F.col("v").alias("key")).distinct(), "names")
+    return influence.renamed(read_nodes(spark, at), read_map(spark, names), "v").select(F.col("v").alias("name"))
+
+
+def text_series(spark, sf_dir):
+    """Result series of two budgets, side by side in one folder, read again."""
+    at = shared_path(spark, "series")
+    for k in (K, 2 * K):
+        best = greedy.solution_value(greedy.max_coverage(_on_grid(spark, sf_dir), k))
+        write_series(best.select("snap", "value", "calls"), at, settings={"solver": "greedy", "k": k})
+    back = spark.read.options(sep="\t", header=True).csv(at)
+    return back.select("solver", F.col("k").cast("long").alias("k"), F.col("snap").cast("long").alias("snap"), "value", F.col("calls").cast("long").alias("calls"))
+
+
+def streamed_windows(spark, sf_dir):
+    """Arrivals for each venue and hour by Structured Streaming, of the hours that the watermark has closed."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    source = spark.readStream.schema(events.schema).parquet(f"{sf_dir}/events.parquet*")
+    rows = source.select(F.col("ts").cast("timestamp").alias("ts"), F.regexp_extract("props", "([0-9]+)", 1).cast("long").alias("v"))
+    at = shared_path(spark, "windows")
+    counted = alive_counts(rows, "ts", "10 minutes", "1 hour").writeStream.outputMode("append").format("parquet").option("checkpointLocation", shared_path(spark, "state"))
+    counted.trigger(availableNow=True).start(at).awaitTermination()
+    return spark.read.schema("start timestamp, `end` timestamp, v long, n long").parquet(at).select(F.unix_seconds("start").alias("start"), "v", "n")
+
+
+def streamed_list(spark, sf_dir):
+    """The pruned list of each group of venues by Structured Streaming with keyed state."""
+    at = shared_path(spark, "arrivals")
+    _lanes(_stream(spark, sf_dir), LANES).write.parquet(at)
+    rows = spark.readStream.schema("t long, u long, v long, l long, lane int").parquet(at)
+    out = shared_path(spark, "listed")
+    listed = run_stream(rows, K, EPS, key_col="lane").writeStream.outputMode("append").format("parquet").option("checkpointLocation", shared_path(spark, "state"))
+    listed.trigger(availableNow=True).start(out).awaitTermination()
+    return spark.read.schema("lane int, t long, value long, nodes array<long>, calls long, n_sieves int").parquet(out)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         stream_edges, directed_edges, alive_edges, alive_size_per_step, prefix_reward, batch_steps, venue_reward, max_singleton_per_step, set_reward, set_gain, given_set_eval,
         largest_reward_so_far, threshold_ranges, greedy_at, greedy_per_snapshot, greedy_prefix, greedy_orders, naive_calls, random_baseline, sieve_prefix, sieve_series,
-        lifetime_reduction, pruned_list_tracking, solution_quality, greedy_by_budget, pruned_list_sweep, reach_size, reach_gain, greedy_reach, reduction_reach, affected_nodes, scc, scc_edges, sketched_reach,
+        lifetime_reduction, pruned_list_series, solution_quality, greedy_by_budget, pruned_list_sweep, reach_size, reach_gain, greedy_reach, reduction_reach, affected_nodes, scc, scc_edges, sketched_reach,
         edge_probabilities, node_degrees, influence_sketches, sketch_weights, sketch_budget, influence_maximization, influence_estimate, sketch_update,
+        reach_of_set, reach_gain_longer, influence_of_set, seeds_reach, text_stream, text_pairs, text_weighted, text_graph, text_nodes, text_series, streamed_windows, streamed_list,
     )
 }

@@ -18,25 +18,31 @@ def greedy_by_budget(picks: DataFrame, by: Sequence[str] = ("snap",)) -> DataFra
     return picks.select(*by, F.col("rank").cast("long").alias("budget"), F.sum("gain").over(upto).alias("value"))
 
 
-def tracked(stream: DataFrame, settings: Iterable[tuple[int, float, int]], every: int = 1, reward: str = "coverage") -> DataFrame:
-    """(k, eps, cap, t, value, nodes, calls, n_sieves) of the pruned list for each (k, eps, cap): the runs are tasks side by side."""
+def run_settings(stream: DataFrame, settings: Iterable[tuple[int, float, int]], every: int = 1, reward: str = "coverage", by: Sequence[str] = ()) -> DataFrame:
+    """(k, eps, cap, by, t, value, nodes, calls, n_sieves) of the pruned list for each (k, eps, cap): the runs, and the keys of each, are tasks side by side."""
     runs = []
     for k, eps, cap in settings:
-        found = pruned_list.track(lifetimes.valid(stream, cap), k, eps, every=every, reward=reward)
+        found = pruned_list.run_list(lifetimes.valid(stream, cap), k, eps, by, every=every, reward=reward)
         runs.append(found.select(F.lit(k).alias("k"), F.lit(eps).alias("eps"), F.lit(cap).alias("cap"), *found.columns))
     return reduce(DataFrame.union, runs)
 
 
-def solver_values(stream: DataFrame, start: int, stop: int, every: int, k: int, eps: float, repeats: int = 3) -> DataFrame:
-    """(snap, solver, value): greedy, per-lifetime reduction, pruned list and random sets on the same snapshots."""
+def solver_values(stream: DataFrame, start: int, stop: int, every: int, k: int, eps: float, repeats: int = 3, by: Sequence[str] = ()) -> DataFrame:
+    """(by, snap, solver, value): greedy, per-lifetime reduction, pruned list and random sets of each key on the same snapshots.
+
+    The pruned list gives the value of a key's last step up to the snapshot, where that step is alive there yet.
+    """
+    by = list(by)
+    group = [*by, "snap"]
     rows = cut(lifetimes.alive_on(stream, start, stop, every))
-    first = rewards.first_times(rows, ["snap"])
-    sets, ranges = sieve.sieve(first, rows.select("snap", "v", F.col("t").alias("n")), k, eps)
-    listed = pruned_list.track(stream, k, eps).where((F.col("t") >= start) & (F.col("t") <= stop) & ((F.col("t") - start) % every == 0))
+    first = rewards.first_times(rows, group)
+    sets, ranges = sieve.sieve(first, rows.select(*group, "v", F.col("t").alias("n")), k, eps, group)
+    latest = rows.groupBy(*group).agg(F.max("t").alias("t"))
+    listed = pruned_list.run_list(stream, k, eps, by).select(*by, "t", "value").join(latest, [*by, "t"])
     found = {
-        "greedy": greedy.solution_value(greedy.max_coverage(rows, k)),
-        "reduction": sieve.best_set(sets, ranges, first),
-        "pruned": listed.withColumnRenamed("t", "snap"),
-        "random": baselines.random_value(rows, k, repeats),
+        "greedy": greedy.solution_value(greedy.max_coverage(rows, k, group), group),
+        "reduction": sieve.best_set(sets, ranges, first, group),
+        "pruned": listed,
+        "random": baselines.random_value(rows, k, repeats, by=group),
     }
-    return reduce(DataFrame.union, [df.select("snap", F.lit(name).alias("solver"), F.col("value").cast("double").alias("value")) for name, df in found.items()])
+    return reduce(DataFrame.union, [df.select(*group, F.lit(name).alias("solver"), F.col("value").cast("double").alias("value")) for name, df in found.items()])

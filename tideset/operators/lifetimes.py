@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans import running
@@ -27,12 +27,12 @@ def alive_at(stream: DataFrame, snap: int) -> DataFrame:
 
 
 def alive_on(stream: DataFrame, start: int, stop: int, every: int) -> DataFrame:
-    """(snap, t, u, v, l): each row once for each snapshot start, start + every, ..., stop within its life. An explode, not a range join."""
+    """`stream` with snap before its columns: each row once for each snapshot start, start + every, ..., stop within its life. An explode, not a range join."""
     first = F.greatest(F.lit(0), F.ceil((F.col("t") - start) / every)).cast("long")
     last = F.least(F.lit(stop), F.col("t") + F.col("l") - 1)
     last = F.floor((last - start) / every).cast("long")
     held = stream.withColumns({"_a": first, "_b": last}).where("_b >= _a")
-    return held.select(F.explode(F.transform(F.sequence("_a", "_b"), lambda i: (i * every + start).cast("long"))).alias("snap"), "t", "u", "v", "l")
+    return held.select(F.explode(F.transform(F.sequence("_a", "_b"), lambda i: (i * every + start).cast("long"))).alias("snap"), *stream.columns)
 
 
 def prefixes(stream: DataFrame, start: int, stop: int, every: int) -> DataFrame:
@@ -46,6 +46,3 @@ def size_per_step(stream: DataFrame) -> DataFrame:
     summed = deltas.groupBy("step").agg(F.sum("d").alias("d")).withColumn("key", F.lit(0))
     return running(summed, ["key"], "step", "d", "n_alive").select("step", F.col("n_alive").cast("long").alias("n_alive"))
 
-
-def expired_by(snap: int) -> Column:
-    return F.col("t") + F.col("l") <= snap

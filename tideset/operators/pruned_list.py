@@ -1,17 +1,19 @@
-"""Tracking by a pruned list of sieves: one pass over an expiring stream, with a state that does not grow with the stream.
+"""A pruned list of sieves: one pass over an expiring stream, with a state that does not grow with the stream.
 
 The list holds sieves by the step at which they expire. A row goes to all sieves that expire no later than it does; a new sieve starts as a copy of its
 successor where the values of neighbours differ by more than a share of eps, and sieves between two of nearly equal value go. The head of the list gives
 the value and the set of a step.
 
-A list depends on each step before, so a key (a stream with its settings) is one task's, but that task reads the key's rows as a stream and
-holds the state only: the live rows and the sieves. Many keys run side by side. `streaming.pruned_list` has the same step on micro-batches.
+A list depends on each step before, so streams are dealt by keys (`by`: a source, a region, a group of venues): a key's list is one task's, which reads
+the key's rows as a stream and holds the state only, the live rows and the sieves. Keys run side by side. `streaming.run_stream` takes the same
+steps on micro-batches.
 """
 
 from __future__ import annotations
 
 import copy
 import math
+from bisect import bisect_left, insort
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
@@ -106,13 +108,14 @@ class PrunedList:
     def __init__(self, k: int, eps: float, reward: str = "coverage"):
         self.k, self.eps, self.reward = k, eps, reward
         self.sieves: list[Sieve] = []
-        self.rows: list[tuple[int, int, int]] = []  # (expire, u, v) of rows that outlive their step
+        self.rows: list[tuple[int, int, int]] = []  # (expire, u, v) of rows that outlive their step, by expire
         self.calls = 0
 
     def step(self, t: int, u: int, v: int, life: int) -> tuple[int, tuple[int, ...], int, int]:
         """Take the row of step t; the value, the nodes, the gains weighed so far and the length of the list."""
         last = t + life - 1
         sieves = self.sieves
+        self._expire(t - 1)  # steps of other keys' rows may lie between
         if not sieves or sieves[-1].expire < last:
             sieves.append(Sieve(self.reward, self.k, self.eps, last))
         before = sum(s.calls for s in sieves)  # a fork counts from 0
@@ -123,21 +126,23 @@ class PrunedList:
         if at < len(sieves) and not (at and sieves[at - 1].expire == last) and (not at or sieves[at].value < sieves[at - 1].value * (1 - self.eps)):
             fresh = sieves[at].fork(last)
             affected = fresh.graph.feed(u, v)
-            for expire, a, b in self.rows:
-                if last <= expire < sieves[at].expire:
-                    affected |= fresh.graph.feed(a, b)
+            for _, a, b in self.rows[bisect_left(self.rows, (last,)) : bisect_left(self.rows, (sieves[at].expire,))]:
+                affected |= fresh.graph.feed(a, b)
             fresh.update(affected)
             sieves.insert(at, fresh)
         self.calls += sum(s.calls for s in sieves) - before
         self._prune()
         if life > 1:
-            self.rows.append((last, u, v))
+            insort(self.rows, (last, u, v))
         result = sieves[0].value, sieves[0].nodes, self.calls, len(sieves)
-        while sieves and sieves[0].expire <= t:
-            sieves.pop(0)
-        self.rows = [r for r in self.rows if r[0] > t]
+        self._expire(t)
         return result
 
+    def _expire(self, t: int) -> None:
+        while self.sieves and self.sieves[0].expire <= t:
+            self.sieves.pop(0)
+        del self.rows[: bisect_left(self.rows, (t + 1,))]
+
     def _prune(self) -> None:
         at = 0
         while at < len(self.sieves):
@@ -151,7 +156,7 @@ class PrunedList:
 SCHEMA = "t long, value long, nodes array<long>, calls long, n_sieves int"
 
 
-def track(stream: DataFrame, k: int, eps: float, by: Sequence[str] = (), reward: str = "coverage", every: int = 1) -> DataFrame:
+def run_list(stream: DataFrame, k: int, eps: float, by: Sequence[str] = (), reward: str = "coverage", every: int = 1) -> DataFrame:
     """(by, t, value, nodes, calls, n_sieves) after every `every`-th step of each key's stream (t, u, v, l).
 
     Rows are dealt by key and sorted within their task; a task walks its rows in batches of bounded size.

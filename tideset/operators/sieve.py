@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import highest_index, lowest_index, threshold
-from ..plans import cut, running
+from ..plans import cut, running, small
 from .rewards import largest_so_far
 
 
@@ -106,11 +106,23 @@ def value_per_step(sets: DataFrame, ranges: DataFrame, first: DataFrame, by: Seq
 
 
 def _spread(spans: DataFrame, changes: DataFrame, by: list[str]) -> DataFrame:
-    """The largest value over the spans (n, to, value) that hold each change. Each index's last value at a change is carried on by a window."""
-    indices = spans.select(*by, "i").distinct()
-    grid = changes.join(indices, by)  # at most as many rows as changes times kept indices
-    marks = spans.select(*by, "i", "n", "value", "to")
-    both = grid.join(marks, [*by, "i", "n"], "left")
-    carry = Window.partitionBy(*by, "i").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
-    held = both.withColumn("x", F.last(F.when(F.col("value").isNotNull(), F.struct("value", "to")), True).over(carry)).where("x IS NOT NULL AND (x.to IS NULL OR x.to >= n)")
-    return held.groupBy(*by, "n").agg(F.max("x.value").alias("value"))
+    """The largest value over the spans (n, to, value) that hold each change. Each index's last span is carried on to every change, in slices."""
+    indices = cut(spans.select(*by, "i").distinct())  # a group has few: their number grows with the logarithm of its largest reward
+    grid = changes.join(small(indices), by)
+    both = grid.join(spans.select(*by, "i", "n", F.struct("n", "value", "to").alias("x")), [*by, "i", "n"], "left")
+    held = running(both, [*by, "i"], "n", "x", "last", "max").where("last IS NOT NULL AND (last.to IS NULL OR last.to >= n)")
+    return held.groupBy(*by, "n").agg(F.max("last.value").alias("value"))
+
+
+def gains_weighed(sets: DataFrame, ranges: DataFrame, points: DataFrame, k: int, by: Sequence[str] = ("snap",)) -> DataFrame:
+    """(by, i, calls): how many gains the sieve weighs for each index, those of indices that it drops later too.
+
+    A point (v, n) costs a gain for each index kept at n whose set is not full yet and has not taken v before.
+    """
+    by = list(by)
+    key = [*by, "i"]
+    stop = sets.groupBy(*key).agg(F.count("*").alias("c"), F.max(F.struct(F.col("ins").alias("n"), "v")).alias("stop")).where(F.col("c") == k).select(*key, "stop")
+    kept = cut(ranges.join(stop, key, "left"))  # few of one group, see _spread
+    looked = points.select(*by, "v", "n").distinct().join(small(kept), by).where("n >= since AND (until IS NULL OR n <= until)").where(F.col("stop").isNull() | (F.struct("n", "v") <= F.col("stop")))
+    asked = looked.join(sets.select(*key, "v", "ins"), [*key, "v"], "left").where("ins IS NULL OR n <= ins")
+    return asked.groupBy(*key).agg(F.count("*").alias("calls"))

@@ -35,32 +35,51 @@ def _multiplicity(longer: int = 1, after: int = 0, graph: str = "a", name: str =
     return f"{_graph(after, longer, graph)}, {name} AS (SELECT u, v, count(*) AS x, 2 / (1 + exp(-0.2 * count(*))) - 1 AS p FROM {graph} GROUP BY u, v)"
 
 
-def _sketches(after: int = 0, suffix: str = "") -> str:
+def _sketches(after: int = 0, suffix: str = "", last: int = 199) -> str:
     a, m, o, tg, rr = (f"{x}{suffix}" for x in ("a", "m2", "o", "tg", "rr"))
     return f"""{_multiplicity(1, after, a, m)}, {o} AS (SELECT x, row_number() OVER (ORDER BY x) - 1 AS rank FROM (SELECT u AS x FROM {a} UNION SELECT v FROM {a})),
-{tg} AS (SELECT s, x FROM (SELECT s, CAST(CAST('0x' || substr(md5('z|' || s), 1, 8) AS UBIGINT) % (SELECT count(*) FROM {o}) AS BIGINT) AS rank FROM (SELECT unnest(generate_series(0, 199)) AS s)) JOIN {o} USING (rank)),
+{tg} AS (SELECT s, x FROM (SELECT s, CAST(CAST('0x' || substr(md5('z|' || s), 1, 8) AS UBIGINT) % (SELECT count(*) FROM {o}) AS BIGINT) AS rank FROM (SELECT unnest(generate_series(0, {last})) AS s)) JOIN {o} USING (rank)),
 {rr} AS (SELECT s, x FROM {tg} UNION SELECT q.s, e.u FROM {rr} q JOIN {m} e ON e.v = q.x WHERE CAST('0x' || substr(md5(q.s || '|' || e.u || '|' || e.v), 1, 8) AS UBIGINT) / 4294967296.0 < e.p)"""
 
 
-_WEIGHTS = f"{_sketches()}, w AS (SELECT s, CAST(sum(1 + coalesce(d, 0)) AS BIGINT) AS weight FROM rr LEFT JOIN (SELECT v AS x, count(*) AS d FROM m2 GROUP BY v) USING (x) GROUP BY s)"
+_W = ", w AS (SELECT s, CAST(sum(1 + coalesce(d, 0)) AS BIGINT) AS weight FROM rr LEFT JOIN (SELECT v AS x, count(*) AS d FROM m2 GROUP BY v) USING (x) GROUP BY s)"
+_WEIGHTS = _sketches() + _W
 
 _ORDERS = """orders_stream AS (SELECT row_number() OVER (ORDER BY o_orderdate, l_orderkey, l_linenumber) AS t, o_custkey AS u, l_suppkey AS v, least(1000, 1 + 20 * CAST(l_quantity AS BIGINT)) AS l FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
 og AS (SELECT unnest(generate_series(e, 20 * e, e)) AS snap FROM (SELECT greatest(1, count(*) // 20) AS e FROM orders_stream)),
 op AS (SELECT snap, v, u FROM orders_stream JOIN og ON t <= snap AND snap < t + l)"""
 
-_REDUCTION = """e AS (SELECT snap, v, u, row_number() OVER (PARTITION BY snap ORDER BY t) AS n FROM ongrid),
-pf AS (SELECT snap, v, u, min(n) AS ft FROM e GROUP BY ALL),
-dg AS (SELECT e.snap, e.n, count(*) AS d FROM e JOIN pf ON pf.snap = e.snap AND pf.v = e.v AND pf.ft <= e.n GROUP BY ALL),
-b AS (SELECT snap, n, CAST(floor(ln(0.8 * big) / ln(1.2)) AS BIGINT) AS lo, CAST(ceil(ln(10 * big) / ln(1.2)) AS BIGINT) AS hi FROM (SELECT snap, n, max(d) OVER (PARTITION BY snap ORDER BY n) AS big FROM dg)),
-ix AS (SELECT DISTINCT snap, unnest(generate_series(lo, hi)) AS i FROM b),
-r AS (SELECT snap, i, CAST(0 AS BIGINT) AS n, CAST([] AS BIGINT[]) AS s FROM ix
-  UNION ALL SELECT r.snap, r.i, e.n, CASE WHEN b.lo <= r.i AND r.i <= b.hi AND len(r.s) < 5 AND NOT list_contains(r.s, e.v)
-      AND (SELECT count(*) FROM pf p WHERE p.snap = r.snap AND p.v = e.v AND p.ft <= e.n AND NOT EXISTS (SELECT 1 FROM pf q WHERE q.snap = r.snap AND list_contains(r.s, q.v) AND q.u = p.u AND q.ft <= e.n)) >= pow(1.2, r.i) / 10
-    THEN list_append(r.s, e.v) ELSE r.s END
-  FROM r JOIN e ON e.snap = r.snap AND e.n = r.n + 1 JOIN b ON b.snap = e.snap AND b.n = e.n),
-z AS (SELECT r.snap, r.i, r.s FROM r JOIN (SELECT snap, max(n) AS n FROM e GROUP BY snap) USING (snap, n) JOIN b USING (snap, n) WHERE b.lo <= r.i AND r.i <= b.hi),
-y AS (SELECT z.snap, z.i, count(DISTINCT pf.u) AS value FROM z JOIN pf ON pf.snap = z.snap AND list_contains(z.s, pf.v) GROUP BY ALL)
-SELECT snap, max(value) AS value FROM y GROUP BY snap"""
+
+def _sieved(k: int, eps: float) -> str:
+    """CTEs from pf (g, v, u, ft) and looks (g, v, n), for groups g: ix (g, i, since, until), mem (g, i, v, ins), fs (g, i, until, s), value and calls of each index."""
+    return f"""dg AS (SELECT g, v, ft AS n, count(*) OVER (PARTITION BY g, v ORDER BY ft) AS d FROM pf),
+bg AS (SELECT g, big, min(n) AS since FROM (SELECT g, n, max(d) OVER (PARTITION BY g ORDER BY n) AS big FROM dg) GROUP BY g, big),
+bt AS (SELECT g, big, since, lead(since) OVER (PARTITION BY g ORDER BY since) - 1 AS until FROM bg),
+ix AS (SELECT g, i, min(since) AS since, CASE WHEN bool_or(until IS NULL) THEN NULL ELSE max(until) END AS until FROM (
+  SELECT g, since, until, unnest(generate_series(CAST(floor(ln({1 - eps} * big) / ln({1 + eps})) AS BIGINT), CAST(ceil(ln({2 * k} * big) / ln({1 + eps})) AS BIGINT))) AS i FROM bt) GROUP BY g, i),
+ev AS (SELECT g, v, ft AS n, u, 0 AS look FROM pf UNION ALL SELECT DISTINCT g, v, n, NULL, 1 FROM looks),
+sv AS (SELECT g, i, since, until, CAST(-1 AS BIGINT) AS ins, CAST(-1 AS BIGINT) AS pos, CAST([] AS BIGINT[]) AS s FROM ix
+  UNION ALL SELECT g, i, since, until, n, v, list_append(s, v) FROM (SELECT *, row_number() OVER (PARTITION BY g, i ORDER BY n, v) AS rn FROM (
+    SELECT g, i, since, until, ins, pos, s, v, n, look, sum(d) OVER (PARTITION BY g, i, v ORDER BY n) AS gain FROM (
+      SELECT x.g, x.i, x.since, x.until, x.ins, x.pos, x.s, x.v, x.look, unnest(CASE WHEN x.look = 1 THEN [x.n] WHEN c.c IS NULL THEN [x.n] ELSE [x.n, greatest(x.n, c.c)] END) AS n, unnest(CASE WHEN x.look = 1 THEN [0] WHEN c.c IS NULL THEN [1] ELSE [1, -1] END) AS d
+      FROM (SELECT sv.*, ev.v, ev.n, ev.u, ev.look FROM sv JOIN ev USING (g) WHERE len(s) < {k} AND NOT list_contains(s, ev.v)) x
+      LEFT JOIN (SELECT sv.g, sv.i, pf.u, min(pf.ft) AS c FROM sv JOIN pf ON pf.g = sv.g AND list_contains(sv.s, pf.v) GROUP BY ALL) c ON c.g = x.g AND c.i = x.i AND c.u = x.u))
+    WHERE look = 1 AND gain >= pow({1 + eps}, i) / {2 * k} AND n >= since AND (until IS NULL OR n <= until) AND (n > ins OR n = ins AND v > pos)) WHERE rn = 1),
+mem AS (SELECT g, i, pos AS v, ins, len(s) AS size FROM sv WHERE len(s) > 0),
+fs AS (SELECT g, i, max(until) AS until, max_by(s, len(s)) AS s FROM sv GROUP BY g, i),
+wz AS (SELECT ix.g, ix.i, count(*) AS calls FROM ix JOIN (SELECT DISTINCT g, v, n FROM looks) l ON l.g = ix.g AND l.n >= ix.since AND (ix.until IS NULL OR l.n <= ix.until)
+  LEFT JOIN mem own ON own.g = ix.g AND own.i = ix.i AND own.v = l.v LEFT JOIN mem full_ ON full_.g = ix.g AND full_.i = ix.i AND full_.size = {k}
+  WHERE (own.ins IS NULL OR l.n <= own.ins) AND (full_.ins IS NULL OR l.n < full_.ins OR l.n = full_.ins AND l.v <= full_.v) GROUP BY ALL),
+vz AS (SELECT fs.g, fs.i, fs.s, count(DISTINCT pf.u) AS value FROM fs JOIN pf ON pf.g = fs.g AND list_contains(fs.s, pf.v) WHERE fs.until IS NULL GROUP BY ALL),
+bz AS (SELECT g, value, i, array_to_string(list_sort(s), ',') AS nodes FROM (SELECT *, row_number() OVER (PARTITION BY g ORDER BY value DESC, i) AS rn FROM vz) WHERE rn = 1)"""
+
+
+_GROWN = f"looks AS (SELECT 0 AS g, v, t AS n FROM interactions), pf AS (SELECT 0 AS g, v, u, min(t) AS ft FROM interactions GROUP BY v, u), {_sieved(5, 0.2)}"
+_LIVED = f"looks AS (SELECT snap AS g, v, t AS n FROM ongrid), pf AS (SELECT snap AS g, v, u, min(t) AS ft FROM ongrid GROUP BY ALL), {_sieved(5, 0.2)}"
+_REACHED = f"""ge AS (SELECT snap, u, v, min(t) AS t FROM directed JOIN grid ON t <= snap AND snap < t + l GROUP BY ALL),
+rt(g, v, u, ft) AS (SELECT snap, x, x, min(t) FROM (SELECT snap, u AS x, t FROM ge UNION ALL SELECT snap, v, t FROM ge) GROUP BY ALL UNION SELECT q.g, q.v, e.v, greatest(q.ft, e.t) FROM rt q JOIN ge e ON e.snap = q.g AND e.u = q.u),
+pf AS (SELECT g, v, u, min(ft) AS ft FROM rt GROUP BY ALL), looks AS (SELECT g, v, ft AS n FROM pf), {_sieved(5, 0.2)}"""
+_BEST = " SELECT {g}value, i, nodes, CAST((SELECT sum(calls) FROM wz WHERE wz.g = bz.g) AS BIGINT) AS calls FROM bz"
 
 ORACLES: dict[str, str] = {
     "stream_edges": _BASE + "z AS (SELECT 1) SELECT t, u, v, l FROM interactions",
@@ -79,15 +98,22 @@ ORACLES: dict[str, str] = {
 b AS (SELECT most, min(n) AS since FROM (SELECT n, max(r) OVER (ORDER BY n) AS most FROM d) GROUP BY most), q AS (SELECT most, since, lead(since) OVER (ORDER BY since) - 1 AS until FROM b),
 i AS (SELECT since, until, unnest(generate_series(CAST(floor(ln(0.8 * most) / ln(1.2)) AS BIGINT), CAST(ceil(ln(10 * most) / ln(1.2)) AS BIGINT))) AS i FROM q)
 SELECT i, min(since) AS since, CASE WHEN bool_or(until IS NULL) THEN -1 ELSE max(until) END AS until FROM i GROUP BY i""",
-    "greedy_at": _BASE + "p AS (SELECT m AS snap, v, u FROM alive, middle), " + _greedy("p", 10) + " SELECT snap, CAST(step AS BIGINT) AS rank, v, gain FROM g WHERE step > 0",
-    "greedy_per_snapshot": _BASE + _greedy("ongrid", 5) + " SELECT snap, CAST(sum(gain) AS BIGINT) AS value FROM g GROUP BY snap",
+    "greedy_at": _BASE + "p AS (SELECT m AS snap, v, u FROM alive, middle), " + _greedy("p", 10) + " SELECT snap, CAST(step AS BIGINT) AS rank, v, gain, (SELECT count(*) FROM c) - step + 1 AS calls FROM g WHERE step > 0",
+    "greedy_per_snapshot": _BASE + _greedy("ongrid", 5) + " SELECT snap, CAST(sum(gain) AS BIGINT) AS value, string_agg(v, ',' ORDER BY step) AS nodes, CAST(sum(n - step + 1) AS BIGINT) AS calls FROM g JOIN (SELECT snap, count(*) AS n FROM c GROUP BY snap) USING (snap) WHERE step > 0 GROUP BY snap",
     "greedy_by_budget": _BASE + _greedy("ongrid", 10) + " SELECT snap, CAST(step AS BIGINT) AS budget, CAST(sum(gain) OVER (PARTITION BY snap ORDER BY step) AS BIGINT) AS value FROM g WHERE step > 0",
     "greedy_prefix": _BASE + "p AS (SELECT snap, v, u FROM interactions JOIN grid ON t <= snap), " + _greedy("p", 5) + " SELECT snap, CAST(sum(gain) AS BIGINT) AS value FROM g GROUP BY snap",
     "greedy_orders": _BASE + _ORDERS + ", " + _greedy("op", 5) + " SELECT snap, CAST(sum(gain) AS BIGINT) AS value FROM g GROUP BY snap",
     "naive_calls": _BASE + "x AS (SELECT snap, count(DISTINCT v) AS n_nodes FROM ongrid GROUP BY snap) SELECT snap, n_nodes, n_nodes * 5 AS calls, CAST(sum(n_nodes * 5) OVER (ORDER BY snap) AS BIGINT) AS total FROM x",
     "random_baseline": _BASE + """d AS (SELECT snap, v, rep, row_number() OVER (PARTITION BY snap, rep ORDER BY CAST('0x' || substr(md5('0|' || snap || '|' || v || '|' || rep), 1, 8) AS UBIGINT), v) AS r FROM (SELECT DISTINCT snap, v FROM ongrid), (SELECT unnest([1, 2, 3]) AS rep)),
 c AS (SELECT snap, rep, count(DISTINCT u) AS n FROM ongrid JOIN d USING (snap, v) WHERE r <= 5 GROUP BY ALL) SELECT snap, round(avg(n), 6) AS value FROM c GROUP BY snap""",
-    "lifetime_reduction": _BASE + _REDUCTION,
+    "lifetime_reduction": _BASE + _LIVED + _BEST.format(g="g AS snap, "),
+    "reduction_reach": _BASE + _REACHED + _BEST.format(g="g AS snap, "),
+    "sieve_prefix": _BASE + _GROWN + _BEST.format(g=""),
+    "sieve_series": _BASE + _GROWN + """, cv AS (SELECT i, u, min(greatest(ft, ins)) AS c FROM mem JOIN pf USING (g, v) GROUP BY i, u),
+gr AS (SELECT i, c AS n, sum(count(*)) OVER (PARTITION BY i ORDER BY c) AS value, lead(c) OVER (PARTITION BY i ORDER BY c) - 1 AS next FROM cv GROUP BY i, c),
+sp AS (SELECT i, greatest(n, since) AS n, value, least(coalesce(next, 1000000000000), coalesce(until, 1000000000000)) AS upto FROM gr JOIN ix USING (i)),
+ch AS (SELECT n FROM sp WHERE upto >= n UNION SELECT until + 1 FROM ix WHERE until IS NOT NULL)
+SELECT ch.n, CAST(max(value) AS BIGINT) AS value FROM ch JOIN sp ON sp.n <= ch.n AND ch.n <= sp.upto GROUP BY ch.n""",
     "reach_size": _BASE + f"{_graph()}, {_reach()} SELECT src AS x, count(*) AS reward FROM r GROUP BY src",
     "reach_gain": _BASE + f"{_graph()}, {_reach()}, c AS (SELECT dst FROM r WHERE src IN (SELECT v FROM given)) SELECT src AS x, count(*) FILTER (dst NOT IN (SELECT dst FROM c)) AS gain FROM r GROUP BY src",
     "greedy_reach": _BASE + "ge AS (SELECT DISTINCT snap, u, v FROM directed JOIN grid ON t <= snap AND snap < t + l), rr(snap, v, u) AS (SELECT snap, x, x FROM (SELECT snap, u AS x FROM ge UNION SELECT snap, v FROM ge) UNION SELECT q.snap, q.v, e.v FROM rr q JOIN ge e ON e.snap = q.snap AND e.u = q.u), " + _greedy("rr", 5) + " SELECT snap, CAST(sum(gain) AS BIGINT) AS value FROM g GROUP BY snap",
@@ -99,8 +125,25 @@ c AS (SELECT snap, rep, count(DISTINCT u) AS n FROM ongrid JOIN d USING (snap, v
     "node_degrees": _BASE + f"{_graph(0, 20)}, e AS (SELECT u AS x, 0 AS i, 1 AS o FROM a UNION ALL SELECT v, 1, 0 FROM a) SELECT x, CAST(sum(i) AS BIGINT) AS n_in, CAST(sum(o) AS BIGINT) AS n_out FROM e GROUP BY x",
     "influence_sketches": _BASE + _sketches() + " SELECT s, x FROM rr",
     "sketch_weights": _BASE + _WEIGHTS + " SELECT s, weight FROM w",
-    "sketch_budget": _BASE + _WEIGHTS + ", nn AS (SELECT (SELECT count(*) FROM o) AS n, (SELECT count(*) FROM m2) AS m) SELECT s, weight FROM (SELECT s, weight, sum(weight) OVER (ORDER BY s) AS total FROM w), nn WHERE total - weight < 0.5 * (n + m) * log2(n)",
+    "sketch_budget": _BASE + _sketches(last=16383) + _W + ", nn AS (SELECT (SELECT count(*) FROM o) AS n, (SELECT count(*) FROM m2) AS m) SELECT s, weight FROM (SELECT s, weight, sum(weight) OVER (ORDER BY s) AS total FROM w), nn WHERE total - weight < 2.0 * (n + m) * log2(n)",
     "influence_maximization": _BASE + _sketches() + ", p AS (SELECT 0 AS snap, x AS v, s AS u FROM rr), " + _greedy("p", 10) + " SELECT CAST(step AS BIGINT) AS rank, v AS x, gain FROM g WHERE step > 0",
     "influence_estimate": _BASE + _sketches() + " SELECT x, round((SELECT count(*) FROM o) * count(DISTINCT s) / (SELECT count(DISTINCT s) FROM rr), 6) AS influence FROM rr GROUP BY x",
     "sketch_update": _BASE + _sketches() + ", " + _sketches(1, "1") + " SELECT s, x, 'gained' AS change FROM (SELECT s, x FROM rr1 EXCEPT SELECT s, x FROM rr) UNION ALL SELECT s, x, 'lost' FROM (SELECT s, x FROM rr EXCEPT SELECT s, x FROM rr1)",
+    "reach_of_set": _BASE + f"{_graph(0, 20)}, {_reach()} SELECT count(DISTINCT dst) AS reward, TRUE AS close FROM r WHERE src IN (SELECT v FROM given)",
+    "reach_gain_longer": _BASE + f"{_graph(0, 20)}, {_reach()}, c AS (SELECT DISTINCT dst FROM r WHERE src IN (SELECT v FROM given)) SELECT src AS x, count(*) FILTER (dst NOT IN (SELECT dst FROM c)) AS gain FROM r GROUP BY src",
+    "influence_of_set": _BASE + _sketches() + " SELECT round((SELECT count(*) FROM o) * count(DISTINCT s) / (SELECT count(DISTINCT s) FROM rr), 6) AS influence FROM rr WHERE x IN (SELECT v FROM given)",
+    "seeds_reach": _BASE + """mg AS (SELECT snap, u, v, 2 / (1 + exp(-0.2 * count(*))) - 1 AS p FROM directed JOIN grid ON t <= snap AND snap < t + l GROUP BY ALL),
+og AS (SELECT snap, x, row_number() OVER (PARTITION BY snap ORDER BY x) - 1 AS rank, count(*) OVER (PARTITION BY snap) AS n FROM (SELECT snap, u AS x FROM mg UNION SELECT snap, v FROM mg)),
+sk AS (SELECT snap, s, CAST(CAST('0x' || substr(md5('z|' || s), 1, 8) AS UBIGINT) % n AS BIGINT) AS rank FROM (SELECT DISTINCT snap, n FROM og), (SELECT unnest(generate_series(0, 199)) AS s)),
+hs AS (SELECT snap, s, x FROM sk JOIN og USING (snap, rank) UNION SELECT q.snap, q.s, e.u FROM hs q JOIN mg e ON e.snap = q.snap AND e.v = q.x WHERE CAST('0x' || substr(md5(q.s || '|' || e.u || '|' || e.v), 1, 8) AS UBIGINT) / 4294967296.0 < e.p),
+hp AS (SELECT snap, x AS v, s AS u FROM hs), """ + _greedy("hp", 5) + """, le AS (SELECT DISTINCT u, v FROM mg WHERE snap = (SELECT max(snap) FROM grid)),
+lr AS (SELECT x AS src, x AS dst FROM (SELECT u AS x FROM le UNION SELECT v FROM le) UNION SELECT q.src, e.v FROM lr q JOIN le e ON e.u = q.dst)
+SELECT snap, string_agg(DISTINCT g.v, ',' ORDER BY g.v) AS seeds, count(DISTINCT lr.dst) AS reached FROM g LEFT JOIN lr ON lr.src = g.v WHERE step > 0 GROUP BY snap""",
+    "text_stream": _BASE + "z AS (SELECT 1) SELECT t, u, v, l FROM interactions",
+    "text_pairs": _BASE + "z AS (SELECT 1) SELECT t, u, v, CAST(1 AS BIGINT) AS l FROM interactions",
+    "text_weighted": _BASE + _multiplicity(20) + " SELECT u, v, round(p, 9) AS p FROM m2",
+    "text_graph": _BASE + _multiplicity(20) + " SELECT u, v, x AS n FROM m2",
+    "text_nodes": _BASE + _greedy("ongrid", 5) + " SELECT DISTINCT v + 1000 AS name FROM g WHERE step > 0",
+    "text_series": _BASE + _greedy("ongrid", 10) + " SELECT 'greedy' AS solver, k, snap, printf('%.2f', CAST(sum(gain) AS DOUBLE)) AS value, CAST(sum(n - step + 1) AS BIGINT) AS calls FROM g JOIN (SELECT snap, count(*) AS n FROM c GROUP BY snap) USING (snap), (SELECT CAST(unnest([5, 10]) AS BIGINT) AS k) WHERE step > 0 AND step <= k GROUP BY k, snap",
+    "streamed_windows": "SELECT CAST(epoch(h) AS BIGINT) AS start, v, count(*) AS n FROM (SELECT date_trunc('hour', ts) AS h, CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) AS v FROM events) WHERE h + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events) GROUP BY ALL",
 }

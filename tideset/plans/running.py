@@ -1,8 +1,4 @@
-"""Row numbers and running aggregates that do not gather a stream, or one key's rows, into one task.
-
-The order is cut into slices. Within a slice a window does the work; what lies before a slice comes from the slices' totals, of which there
-are few.
-"""
+"""Row numbers and running aggregates that do not gather a stream, or one key's rows, into one task."""
 
 from __future__ import annotations
 
@@ -11,41 +7,40 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SLICES = 256
+from .steps import cut
+
+_INSIDE = (1 << 33) - 1  # monotonically_increasing_id holds the partition above 33 bits and the row within it below
 
 
-def numbered(df: DataFrame, order: Sequence[str], name: str = "t", slices: int = SLICES) -> DataFrame:
-    """`df` with its rows numbered from 1 in the order of `order`; the first of these columns must be a number or a timestamp.
+def numbered(df: DataFrame, order: Sequence[str], name: str = "t") -> DataFrame:
+    """`df` with its rows numbered from 1 in the order of `order`, nulls first.
 
-    Rows with a null in the first column come first. Ties over all of `order` are numbered in any order, so end it with a key.
-    Rows are dealt by quantiles of the first column: a value that a third of the rows share is one task's.
+    The rows are sorted by ranges and kept; a row's number is its place in its partition and how many rows stand in those before. Ties over all of `order` are
+    numbered in any order, so end it with a key; then a value that many rows share in the first column is no single task's.
     """
-    kind = dict(df.dtypes)[order[0]]
-    first = F.col(order[0])
-    rank = (F.unix_micros(first.cast("timestamp")) if kind.startswith("timestamp") else first.cast("double")).cast("double")
-    shares = [i / slices for i in range(1, slices)]
-    bounds = df.select(F.percentile_approx(rank, shares, 10_000)).first()[0] or []
-    inner = sorted(set(bounds))
-    slice_ = F.coalesce(F.size(F.filter(F.array(*[F.lit(float(b)) for b in inner]), lambda b: b <= rank)), F.lit(-1)) if inner else F.lit(0)
-    cutup = df.withColumn("_slice", F.when(rank.isNull(), F.lit(-1)).otherwise(slice_).cast("int"))
-    counts = cutup.groupBy("_slice").agg(F.count("*").alias("_n"))
-    before = Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)  # over at most slices + 1 rows
-    offsets = counts.select("_slice", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    inside = F.row_number().over(Window.partitionBy("_slice").orderBy(*order))
-    return cutup.withColumn("_in", inside).join(F.broadcast(offsets), "_slice").withColumn(name, (F.col("_in") + F.col("_before")).cast("long")).drop("_slice", "_in", "_before")
+    placed = cut(df.orderBy(*order)).withColumn("_id", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_id", 33))
+    counts = placed.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each partition
+    offsets = counts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    number = F.col("_before") + F.col("_id").bitwiseAND(F.lit(_INSIDE)) + 1
+    return placed.join(F.broadcast(offsets), "_part").withColumn(name, number.cast("long")).drop("_part", "_id", "_before")
 
 
 def running(df: DataFrame, by: Sequence[str], order: str, value: str, name: str, how: str = "sum", width: int = 4096) -> DataFrame:
     """`df` with `name`, the sum or max of `value` over the rows of the same `by` up to this one in `order`, a whole number; peers are included.
 
-    Rows are windowed in slices of `width` of the order; the slices' totals of one key, `width` times fewer, make the rest.
+    Rows are windowed in slices of `width` of the order, the slices' totals in blocks of `width` slices, and the blocks' totals, `width` ** 2 times
+    fewer than a key's steps, by key.
     """
     combine: Column = F.sum if how == "sum" else F.max
+    merge = (lambda *x: sum((F.coalesce(c, F.lit(0)) for c in x[1:]), F.coalesce(x[0], F.lit(0)))) if how == "sum" else F.greatest
+    earlier = lambda keys, at: Window.partitionBy(*keys).orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
     cutup = df.withColumn("_slice", F.floor(F.col(order) / width))
-    totals = cutup.groupBy(*by, "_slice").agg(combine(value).alias("_total"))
-    before = Window.partitionBy(*by).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.select(*by, "_slice", combine("_total").over(before).alias("_before"))
+    totals = cutup.groupBy(*by, "_slice").agg(combine(value).alias("_total")).withColumn("_block", F.floor(F.col("_slice") / width))
+    blocks = totals.groupBy(*by, "_block").agg(combine("_total").alias("_total"))
+    blocks = blocks.select(*by, "_block", combine("_total").over(earlier(by, "_block")).alias("_first"))
+    totals = totals.select(*by, "_block", "_slice", combine("_total").over(earlier([*by, "_block"], "_slice")).alias("_before"))
+    totals = totals.join(blocks, [*by, "_block"]).drop("_block")
     upto = Window.partitionBy(*by, "_slice").orderBy(order).rangeBetween(Window.unboundedPreceding, 0)
     out = cutup.withColumn("_in", combine(value).over(upto)).join(totals, [*by, "_slice"])
-    merged = F.col("_in") + F.coalesce("_before", F.lit(0)) if how == "sum" else F.greatest("_in", "_before")
-    return out.withColumn(name, merged).drop("_slice", "_in", "_before")
+    return out.withColumn(name, merge(F.col("_in"), F.col("_before"), F.col("_first"))).drop("_slice", "_in", "_before", "_first")

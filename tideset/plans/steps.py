@@ -3,25 +3,31 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, DataType, MapType, StringType, StructType
 
 BROADCAST = 32 << 20
 
 
+def _folder(spark: SparkSession) -> str:
+    context = spark.sparkContext
+    if not context.getCheckpointDir():
+        at = spark.conf.get("spark.checkpoint.dir", None)
+        if not at and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(at or tempfile.mkdtemp(prefix="tideset-"))
+    return context.getCheckpointDir()
+
+
 def cut(df: DataFrame) -> DataFrame:
     """`df`, computed once and kept in the shared checkpoint folder, so that a lost executor costs no recomputation.
 
     The folder is the session's (`spark.checkpoint.dir`). Only a local session that sets none, as in tests, gets a temporary one.
     """
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        at = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not at and not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        context.setCheckpointDir(at or tempfile.mkdtemp(prefix="tideset-"))
+    _folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -42,3 +48,8 @@ def small(df: DataFrame, most: int = BROADCAST) -> DataFrame:
     """`df` with a broadcast hint if its rows take at most `most` bytes, else as it is, so that a join shuffles it. Call it on a checkpoint."""
     width = sum((_width(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields), F.lit(16)).cast("long")
     return F.broadcast(df) if (df.agg(F.sum(width)).first()[0] or 0) <= most else df
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path for a table in the folder that the driver and all executors share (see `cut`)."""
+    return f"{_folder(spark)}/{name}-{uuid.uuid4().hex}"

@@ -1,6 +1,6 @@
 """Interaction streams as DataFrames (t, u, v, l): arrival number from 1, user, venue, lifetime in steps.
 
-Text files may be compressed. Files have no order in Spark, so readers of streams number the rows by file and line offset, or by the columns that
+Text files may be compressed; a malformed row fails the job, since leaving it out would shift the arrival numbers. Files have no order in Spark, so readers of streams number the rows by file and line offset, or by the columns that
 the caller names.
 """
 
@@ -13,7 +13,7 @@ from ..plans import numbered
 
 
 def _text(spark: SparkSession, path: str, schema: str, sep: str) -> DataFrame:
-    return spark.read.schema(schema).option("sep", sep).option("comment", "#").option("mode", "DROPMALFORMED").csv(path)
+    return spark.read.schema(schema).option("sep", sep).option("comment", "#").option("mode", "FAILFAST").csv(path)
 
 
 def read_interactions(spark: SparkSession, path: str, sep: str = "\t", lifetimes: bool = True) -> DataFrame:
@@ -21,14 +21,13 @@ def read_interactions(spark: SparkSession, path: str, sep: str = "\t", lifetimes
     rows = _text(spark, path, "u long, v long" + ", l long" * lifetimes, sep)
     life = F.col("l") if lifetimes else F.lit(1).cast("long")
     rows = rows.select("u", "v", life.alias("l"), F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_line"))
-    files = rows.select("_file").distinct().withColumn("_rank", F.row_number().over(Window.orderBy("_file")))  # one row for each file
-    placed = rows.join(F.broadcast(files), "_file").withColumn("_place", F.col("_rank").cast("double") * 2.0**42 + F.col("_block"))
-    return numbered(placed, ["_place", "_line"]).select("t", "u", "v", "l")
+    return numbered(rows, ["_file", "_block", "_line"]).select("t", "u", "v", "l")
 
 
-def read_edges(spark: SparkSession, path: str, sep: str = "\t") -> DataFrame:
-    """The distinct edges (u, v) of a static graph."""
-    return _text(spark, path, "u long, v long", sep).distinct()
+def read_edges(spark: SparkSession, path: str, sep: str = "\t", distinct: bool = True) -> DataFrame:
+    """The distinct edges (u, v) of a static graph, or its list of pairs as it is."""
+    edges = _text(spark, path, "u long, v long", sep)
+    return edges.distinct() if distinct else edges
 
 
 def read_weighted(spark: SparkSession, path: str, sep: str = " ") -> DataFrame:

@@ -1,5 +1,5 @@
 """Structured Streaming forms of the operators."""
 
-from .tracking import alive_counts, track_stream
+from .live import alive_counts, run_stream
 
-__all__ = ["alive_counts", "track_stream"]
+__all__ = ["alive_counts", "run_stream"]
