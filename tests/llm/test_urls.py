@@ -1,6 +1,9 @@
+import math
 import re
+import zlib
 
 import pytest
+import xxhash
 
 from tideset.llm import urls
 
@@ -46,3 +49,31 @@ def test_training_on_one_label_or_none(spark):
     one = urls.train(spark.createDataFrame([("http://a/b", 1), ("http://c/", 1)], "url string, label int"))
     none = urls.train(spark.createDataFrame([], "url string, label int"))
     assert one.bias > 0 and none.bias == 0 and not one.weights.any()
+
+
+def test_hosts_that_training_did_not_see_are_told(spark):
+    """A fifth of the hosts is held out, then every host that holds one of a tenth of the words."""
+    rows = [(*url_parts(u), y) for u, y in urls.labelled_rows()]
+    for unseen, least in ((lambda h: zlib.crc32(h.encode()) % 5 == 0, 0.95), (lambda h: any(w in h for w in urls._BLOCKED[::10] + urls._PLAIN[::10]), 0.8)):
+        model = urls.fit([r for r in rows if not unseen(r[0])])
+        held = [r for r in rows if unseen(r[0])]
+        right = [(plain_score(model, h, p) >= 0.5) == y for h, p, y in held]
+        assert len(held) > 100 and sum(right) >= least * len(held)
+
+
+def url_parts(url):
+    m = re.match(r"(?s).*?://([^/?#]*)([^?#]*)", url)
+    return m[1], m[2]
+
+
+def plain_score(model, host, path):
+    """The logistic of the sum of weights of distinct n-grams, scaled by the root of their number."""
+    grams = [xxhash.xxh3_64_intdigest(g.encode(), seed=s) % urls.SLOTS for text, s in ((f"^{host}$", 4), (path, 5)) for g in {text[i : i + n] for n in (3, 4, 5) for i in range(len(text) - n + 1)}]
+    return 1 / (1 + math.exp(-(model.bias + sum(float(model.weights[g]) for g in grams) / max(len(grams), 1) ** 0.5)))
+
+
+def test_scores_are_those_of_a_plain_sum(spark, model):
+    listed = [u for u, _ in urls.labelled_rows()[:150]] + [f"http://{'long-' * 40_000}.com/{'x' * 200_000}"]
+    out = urls.judge(spark.createDataFrame([(u,) for u in listed], "url string"), model).collect()
+    for r in out:
+        assert abs(r["score"] - plain_score(model, r["host"], r["path"])) < 1e-5
