@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..plans import cut, small
 from ..plans.steps import BROADCAST
 
-__all__ = ["LOWER", "UPPER", "WHITE", "Runs", "connected", "cut", "grams", "mix", "sliced", "small", "texts", "unused", "word_hashes", "words"]
+__all__ = ["LOWER", "UPPER", "WHITE", "Runs", "connected", "cut", "grams", "mix", "sliced", "small", "texts", "unused", "word_hashes", "word_spans", "words"]
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WHITE = r"[\x20\x09-\x0D]+"
@@ -42,10 +42,10 @@ class Runs:
     """Hashes of runs of a sequence of hashes: polynomials modulo 2**64, by differences of prefix sums, divided by the odd base's power where the run begins."""
 
     def __init__(self, hashes: np.ndarray):
-        n, base = len(hashes), 0x9E3779B97F4A7C15
+        n = len(hashes)
+        up, self.powers = _powers(n, 0x9E3779B97F4A7C15)
         self.sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(mix(hashes) * np.multiply.accumulate(np.full(n, base, np.uint64)), out=self.sums[1:])
-        self.powers = np.multiply.accumulate(np.full(n, pow(base, -1, 1 << 64), np.uint64))
+        np.cumsum(mix(hashes) * up, out=self.sums[1:])
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """The hashes of the runs [start, end), none of them empty."""
@@ -56,23 +56,27 @@ class Runs:
         return mix((self.sums[k:] - self.sums[:-k]) * self.powers[: len(self.sums) - k] + np.uint64(k))
 
 
+def grams(self, k: int) -> np.ndarray:
+        """The hash of each run of length k, for k up to the sequence's length."""
+        return mix((self.sums[k:] - self.sums[:-k]) * self.powers[: len(self.sums) - k] + np.uint64(k))
+
+
 def grams(hashes: np.ndarray, k: int) -> np.ndarray:
     """A hash of each run of k word hashes; of the whole sequence if it is shorter; none if it is empty."""
     return Runs(hashes).grams(min(k, len(hashes))) if len(hashes) else hashes
 
 
 _BASE = 0xD6E8FEB86659FD93  # odd
-_POWERS: dict[str, np.ndarray] = {}
+_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 _BLOCK = 1 << 20
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of the base modulo 2**64, and of its inverse."""
-    if len(_POWERS.get("up", ())) < n:
+def _powers(n: int, base: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of an odd base modulo 2**64, and of its inverse."""
+    if base not in _POWERS or len(_POWERS[base][0]) < n:
         size = max(n, 1 << 14)
-        for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
-            _POWERS[name] = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(size - 1, base, np.uint64)]))
-    return _POWERS["up"][:n], _POWERS["down"][:n]
+        _POWERS[base] = tuple(np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(size - 1, b, np.uint64)])) for b in (base, pow(base, -1, 1 << 64)))
+    return _POWERS[base][0][:n], _POWERS[base][1][:n]
 
 
 _SPACE = np.zeros(256, bool)
@@ -96,19 +100,23 @@ def word_hashes(text: bytes) -> np.ndarray:
     return np.concatenate(parts) if len(parts) > 1 else parts[0]
 
 
+def word_spans(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Where each word of UTF-8 bytes starts and ends."""
+    edge = np.empty(len(text) + 2, bool)
+    edge[0] = edge[-1] = True
+    np.take(_SPACE, np.frombuffer(text, np.uint8), out=edge[1:-1])
+    turns = np.flatnonzero(edge[1:] != edge[:-1])
+    return turns[::2], turns[1::2]
+
+
 def _hashed(text: bytes) -> np.ndarray:
-    data = np.frombuffer(text, np.uint8)
-    n = len(data)
+    n = len(text)
     if not n:
         return np.zeros(0, np.uint64)
-    edge = np.empty(n + 2, bool)
-    edge[0] = edge[-1] = True
-    np.take(_SPACE, data, out=edge[1:-1])
-    turns = np.flatnonzero(edge[1:] != edge[:-1])
-    start, end = turns[::2], turns[1::2]
-    up, down = _powers(n + 1)
+    start, end = word_spans(text)
+    up, down = _powers(n + 1, _BASE)
     sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(_LETTERS[data] * up[:n], out=sums[1:])
+    np.cumsum(_LETTERS[np.frombuffer(text, np.uint8)] * up[:n], out=sums[1:])
     return mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64))
 
 

@@ -14,16 +14,12 @@ of 64 bits, and texts are never sent to other texts. The words of these windows
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
-from .common import Runs, cut, mix, sliced, small, texts, word_hashes
-
-_WORD = re.compile(rb"[^\x20\x09-\x0D]+")
+from .common import Runs, cut, mix, sliced, small, texts, word_hashes, word_spans
 
 
 def minima(hashes: np.ndarray, w: int) -> np.ndarray:
@@ -99,11 +95,11 @@ def _fingerprints(k: int, w: int):
                     own.append(False)
                     continue
                 prints, spans = found.grams[found.p], found.spans()
-                once = np.sort(np.unique(prints ^ mix(spans), return_index=True)[1])
+                own.append(len(set(prints.tolist())) < len(prints))
+                once = np.sort(np.unique(prints ^ mix(spans), return_index=True)[1]) if own[-1] else slice(None)
                 f.append(prints[once].view(np.int64))
                 c.append(spans[once].view(np.int64))
                 p.append(found.p[once].astype(np.int32))
-                own.append(len(np.unique(prints)) < len(prints))
             yield _place_rows(batch, f, c, p, own)
 
     return run
@@ -128,13 +124,15 @@ def _windows(k: int, w: int):
     return run
 
 
-def repeats(text: bytes, places: list[int], k: int, w: int) -> list[tuple[int, int]]:
-    """The runs of words [a, b) of the windows in `places` (first words, or ~p for all windows that select p) and of those that the text itself repeats."""
+def repeats(text: bytes, places: list[int], own: bool, k: int, w: int) -> list[tuple[int, int]]:
+    """The runs of words [a, b) of the windows in `places` (first words, or ~p for all windows that select p) and, with `own`, of those that the text itself repeats."""
     found = Winnowed(text, k, w)
     if not found.windows:
         return []
-    marked = np.ones(found.windows, bool)
-    marked[np.unique(found.runs.grams(found.length), return_index=True)[1]] = False
+    marked = np.zeros(found.windows, bool)
+    if own:
+        marked[:] = True
+        marked[np.unique(found.runs.grams(found.length), return_index=True)[1]] = False
     given = np.array(places, np.int64)
     marked[given[given >= 0]] = True
     which = np.searchsorted(found.p, ~given[given < 0])
@@ -148,24 +146,20 @@ def repeats(text: bytes, places: list[int], k: int, w: int) -> list[tuple[int, i
     return list(zip(turns[::2].tolist(), turns[1::2].tolist(), strict=True))
 
 
-def without(text: bytes, runs: list[tuple[int, int]]) -> tuple[bytes, list[tuple[int, int]]]:
-    """The text without the runs of words [a, b), and these runs merged. A line break beside a run stays."""
-    spans = [m.span() for m in _WORD.finditer(text)]
-    merged: list[list[int]] = []
-    for a, b in sorted(runs):
-        if merged and a <= merged[-1][1]:
-            merged[-1][1] = max(merged[-1][1], b)
-        else:
-            merged.append([a, b])
+def without(text: bytes, runs: list[tuple[int, int]]) -> bytes:
+    """The text without the runs of words [a, b), which ascend and do not touch. A line break beside a run stays."""
+    if not runs:
+        return text
+    start, end = word_spans(text)
     out, at = [], 0
-    for a, b in merged:
-        before = text[spans[a - 1][1] if a else 0 : spans[a][0]]
-        after = text[spans[b - 1][1] : spans[b][0] if b < len(spans) else len(text)]
-        out.append(text[at : spans[a][0] - len(before)])
-        if a and b < len(spans):
+    for a, b in runs:
+        before = text[end[a - 1] if a else 0 : start[a]]
+        after = text[end[b - 1] : start[b] if b < len(start) else len(text)]
+        out.append(text[at : start[a] - len(before)])
+        if a and b < len(start):
             out.append(before if b"\n" in before else after)
-        at = spans[b - 1][1] + len(after)
-    return b"".join([*out, text[at:]]), [(a, b) for a, b in merged]
+        at = end[b - 1] + len(after)
+    return b"".join([*out, text[at:]])
 
 
 def _delete(k: int, w: int):
@@ -175,10 +169,10 @@ def _delete(k: int, w: int):
         kinds = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))
         for batch in sliced(batches):
             kept, spans = [], []
-            for text, places in zip(texts(batch), batch.column("places").to_pylist(), strict=True):
-                text, merged = without(text, repeats(text, places, k, w))
-                kept.append(text.decode("utf-8", "replace"))
-                spans.append([{"start": a, "length": b - a} for a, b in merged])
+            for text, places, own in zip(texts(batch), batch.column("places").to_pylist(), batch.column("own").to_pylist(), strict=True):
+                runs = repeats(text, places, own, k, w)
+                kept.append(without(text, runs).decode("utf-8", "replace"))
+                spans.append([{"start": a, "length": b - a} for a, b in runs])
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(kept, pa.string()), pa.array(spans, kinds)], ["row", "text", "removed"])
 
     return run
@@ -192,7 +186,7 @@ def _later(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _places(named: DataFrame, kind: str, k: int, w: int) -> DataFrame:
-    """(id, h, places) of the texts of `named` (id, h, text) that hold repeats; places as in `repeats`."""
+    """(id, h, places, own) of the texts of `named` (id, h, text) that hold repeats; places as in `repeats`."""
     kinds = f"id {kind}, h long, f array<long>, c array<long>, p array<int>, own boolean"
     single = lambda df: df.select("id", "h", F.explode(F.arrays_zip("f", "c", "p")).alias("x")).select("id", "h", "x.f", "x.c", "x.p")
     winnowed = cut(named.mapInArrow(_fingerprints(k, w), kinds))
@@ -208,8 +202,9 @@ def _places(named: DataFrame, kind: str, k: int, w: int) -> DataFrame:
     opened = cut(single(named.join(small(asked), ["id", "h"]).mapInArrow(_windows(k, w), kinds)))
     _, single_later = _later(opened)
 
-    found = later.select("id", "h", (-F.col("p") - 1).alias("p")).union(single_later).union(winnowed.where("own").select("id", "h", F.lit(None).cast("int")))
-    return cut(found.groupBy("id", "h").agg(F.collect_set("p").alias("places")))
+    own = F.lit(False).alias("own")
+    found = later.select("id", "h", (-F.col("p") - 1).alias("p"), own).union(single_later.select("id", "h", "p", own)).union(winnowed.where("own").select("id", "h", F.lit(None).cast("int"), "own"))
+    return cut(found.groupBy("id", "h").agg(F.collect_set("p").alias("places"), F.max("own").alias("own")))
 
 
 def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_run: int = 50, removed_col: str = "removed", count_col: str = "n_removed") -> DataFrame:
@@ -229,7 +224,7 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     k = min_run // 2 + 1
     w = min_run - k + 1
     places = _places(source.where("id IS NOT NULL").select("id", "h", "text"), docs.schema[id_col].dataType.simpleString(), k, w)
-    asking = source.join(small(places), ["id", "h"], "left").select("row", "text", "places")
+    asking = source.join(small(places), ["id", "h"], "left").select("row", "text", "places", "own")
     spans = ArrayType(StructType([StructField("start", LongType()), StructField("length", LongType())]))
     kinds = StructType([source.schema["row"], StructField("text", StringType()), StructField("removed", spans)])
     done = asking.where("places IS NOT NULL").mapInArrow(_delete(k, w), kinds).union(asking.where("places IS NULL").select("row", "text", F.array().cast(spans)))
