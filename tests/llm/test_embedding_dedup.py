@@ -51,21 +51,36 @@ def test_awkward_rows(spark):
     assert embedding_dedup.near_vectors(df.limit(0)).count() == 0
 
 
-def test_pairs_share_a_cell_among_many():
-    import pyarrow as pa
-
-    draw, n, cosine, cells = np.random.default_rng(4), 10_000, 0.9, 1000
+def gaussian_pairs(n, cosine=0.9):
+    draw = np.random.default_rng(4)
     x = embedding_dedup.unit(draw.normal(size=(n, 64)))
     z = draw.normal(size=(n, 64))
-    y = cosine * x + (1 - cosine**2) ** 0.5 * embedding_dedup.unit(z - (z * x).sum(1, keepdims=True) * x)
+    return draw, x, cosine * x + (1 - cosine**2) ** 0.5 * embedding_dedup.unit(z - (z * x).sum(1, keepdims=True) * x)
+
+
+def test_pairs_share_a_cell_among_many():
+    cells = 1000
+    draw, x, y = gaussian_pairs(10_000)
     sample = embedding_dedup.unit(draw.normal(size=(16 * cells, 64)))
     books = [embedding_dedup.codebook(sample, cells, seed, rounds=2) for seed in range(2)]
 
     def apart(probes):
-        held = []
-        for v in (x, y):
-            batch = pa.RecordBatch.from_arrays([pa.array(range(n)), pa.array(range(n)), pa.array(list(v))], ["rep", "weight", "vector"])
-            held.append(np.concatenate([embedding_dedup._matrix(b.column("cells")) for b in embedding_dedup._assign(books, probes)([batch])]))
+        held = [np.concatenate([embedding_dedup._nearest(v, book, probes) + (i << 40) for i, book in enumerate(books)], 1) for v in (x, y)]
         return sum(not set(a) & set(b) for a, b in zip(*held, strict=True))
 
     assert apart(4) > 0 and apart(embedding_dedup.enough(4, cells)) <= 1
+
+
+def test_pairs_share_a_cell_of_two_levels():
+    draw, x, y = gaussian_pairs(3000)
+    sample = embedding_dedup.unit(draw.normal(size=(8000, 64)))
+    for cells in (1000, 64_000):
+        books = embedding_dedup.books_of(sample, cells, 250, 2, 4)
+        held = [np.concatenate([book.cells(v, 4) + (i << 40) for i, book in enumerate(books)], 1) for v in (x, y)]
+        assert held[0].shape[1] < 100 and sum(not set(a) & set(b) for a, b in zip(*held, strict=True)) <= 3
+
+
+def test_links_are_those_of_all_pairs_with_two_levels(spark):
+    data = clustered(3, 600, 24)
+    df = spark.createDataFrame(data, "vec_id long, embedding array<float>")
+    assert rows(embedding_dedup.near_vectors(df, cell_size=16, most_cells=8, block=40)) == brute(data)

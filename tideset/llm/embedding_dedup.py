@@ -3,6 +3,7 @@
 Several codebooks of unit centres are fitted on a bounded sample. Every vector is put into the nearest cells of each codebook, 4 and more the more
 cells there are (`enough`); within a cell, blocks of vectors are compared by matrix products in double precision. Of 20,000 simulated Gaussian pairs
 at a cosine of 0.9 in 64 dimensions, with 2 codebooks of 4,096 cells, 197 share no cell with 4 probes, 6 with 6 and none with 8, which are taken there.
+Beyond 4,096 cells a codebook has two levels: the second tells in which direction from a cell's centre a vector lies.
 
 A cell that holds more than `block` vectors is cut into blocks, and each pair of blocks is a group of its own, so no task
 gets more than two blocks at a time. A pair that meets in several cells counts in the first only, and a group returns one row for each of its vectors (how
@@ -12,6 +13,7 @@ many it links with, and the least id it hangs on there), never its pairs. Equal
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -51,7 +53,44 @@ def _matrix(column) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1) if len(column) else np.zeros((0, 1))
 
 
-def _assign(books: list[np.ndarray], probes: int):
+@dataclass
+class Book:
+    """Centres of cells; with `inner` each is cut into finer cells by the direction in which a vector lies from the centre."""
+
+    centres: np.ndarray
+    inner: np.ndarray | None = None
+
+    def cells(self, x: np.ndarray, probes: int) -> np.ndarray:
+        """Numbers of the cells that unit vectors are put into, a row for each vector."""
+        near = _nearest(x, self.centres, enough(probes, len(self.centres)))
+        if self.inner is None:
+            return near
+        out = []
+        for column in near.T:
+            found = _nearest(x - self.centres[column], self.inner, enough(probes, len(self.inner)))
+            out.append((column[:, None] << 20) + found)
+        return np.concatenate(out, 1)
+
+
+def _nearest(x: np.ndarray, centres: np.ndarray, n: int) -> np.ndarray:
+    n = min(n, len(centres))
+    return np.argpartition(-(x @ centres.T), n - 1, 1)[:, :n]
+
+
+def books_of(sample: np.ndarray, cells: int, most_cells: int, tables: int, probes: int) -> list[Book]:
+    """Codebooks of about `cells` cells from a sample of unit vectors; of more than `most_cells` they have two levels."""
+    books = []
+    for seed in range(tables):
+        book = Book(codebook(sample, min(cells, most_cells), seed))
+        if cells > most_cells:
+            near = _nearest(sample, book.centres, enough(probes, len(book.centres)))
+            column = near[np.arange(len(sample)), np.random.default_rng(seed).integers(0, near.shape[1], len(sample))]
+            book.inner = codebook(unit(sample - book.centres[column]), min(most_cells, math.ceil(cells / most_cells)), seed)
+        books.append(book)
+    return books
+
+
+def _assign(books: list[Book], probes: int):
     """Arrow batches (rep, weight, vector) with the cells of each vector, ascending."""
 
     def run(batches):
@@ -60,12 +99,8 @@ def _assign(books: list[np.ndarray], probes: int):
         for batch in batches:
             for at in range(0, batch.num_rows, 2048):
                 part = batch.slice(at, 2048)
-                x, cells = unit(_matrix(part.column("vector"))), []
-                for i, book in enumerate(books):
-                    near = min(probes, len(book))
-                    best = np.argpartition(-(x @ book.T), near - 1, 1)[:, :near]
-                    cells.append(np.sort(best, 1) + i * (1 << 24))
-                found = np.concatenate(cells, 1).astype(np.int64)
+                x = unit(_matrix(part.column("vector")))
+                found = np.sort(np.concatenate([book.cells(x, probes) + (i << 40) for i, book in enumerate(books)], 1), 1).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("rep", "weight", "vector")), pa.array(list(found), pa.list_(pa.int64()))], ["rep", "weight", "vector", "cells"])
 
     return run
@@ -97,8 +132,9 @@ def _compare(threshold: float):
             p, q = own[p], right[q]
             keep = rep[p] < rep[q] if i == j else np.ones(len(p), bool)
             p, q = p[keep], q[keep]
-            for start in range(0, len(p), 65_536):
-                s, t = p[start : start + 65_536], q[start : start + 65_536]
+            step = max(1, (1 << 24) // cells.shape[1] ** 2)
+            for start in range(0, len(p), step):
+                s, t = p[start : start + step], q[start : start + step]
                 first = _first_shared(cell, cells[s], cells[t])
                 s, t = s[first], t[first]
                 np.add.at(links, s, weight[t])
@@ -122,9 +158,9 @@ def _compare(threshold: float):
 def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.9, tables: int = 2, probes: int = 4, cell_size: int = 256, most_cells: int = 4096, sample_each: int = 32, block: int = 1024) -> DataFrame:
     """One row (id_col, n_links, component_id, kept) for each row of `vectors`; links are pairs with a cosine of `threshold` or more.
 
-    The codebooks are fitted on a sample of `sample_each` vectors for each cell (least hashes of the vectors first), at most sample_each * most_cells in all;
-    every vector is indexed and compared. The number of cells grows with the vectors up to `most_cells`, beyond which cells grow instead
-    and are cut into more blocks. A vector is put into `probes` cells of each codebook, into more of them from 40 cells on.
+    The codebooks are fitted on a sample of about `sample_each` vectors for each cell (those of small hashes), sample_each * most_cells in all at most;
+    every vector is indexed and compared. The number of cells is in proportion to the vectors: beyond `most_cells` each is cut into up to
+    `most_cells` more, so that cells stay at `cell_size` vectors and a vector is copied equally often from there on.
 
     Defined cases: vectors that are null, empty or zero or have null or non-finite components link with nothing. Vectors link only with
     vectors of their own length. Repeated rows link with each other like other equal vectors; rows of one id are in one component. A row with a null id
@@ -148,14 +184,16 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
         one = own.join(classes.where(F.col("length") == length).withColumnRenamed("rep", "id").select("id", "h1", "h2", "weight"), ["id", "h1", "h2"]).dropDuplicates(["id", "h1", "h2"])
         # a class is named by a hash of its vector, since one id may have several vectors
         one = cut(one.select(F.col("h1").alias("rep"), "weight", "vector"))
-        cells = max(1, min(most_cells, math.ceil(n / cell_size)))
-        drawn = one.orderBy(F.xxhash64("rep"), "rep").limit(sample_each * cells).select("vector").toArrow()
-        sample = unit(_matrix(drawn.column("vector")))
-        books = [codebook(sample, cells, seed) for seed in range(tables)]
-        placed = one.mapInArrow(_assign(books, enough(probes, cells)), "rep long, weight long, vector array<double>, cells array<long>")
+        cells = max(1, math.ceil(n / cell_size))
+        share = min(1.0, sample_each * min(cells, most_cells) / n)
+        drawn = one.where(F.pmod(F.xxhash64("rep"), F.lit(1_000_003)) < math.ceil(share * 1_000_003)).select("rep", "vector").toArrow()
+        drawn = drawn if drawn.num_rows else one.select("rep", "vector").limit(1).toArrow()  # a table of a few vectors
+        order = np.argsort(drawn.column("rep").to_numpy())  # so that a codebook can be fitted again
+        books = books_of(unit(_matrix(drawn.column("vector")))[order], cells, most_cells, tables, probes)
+        placed = one.mapInArrow(_assign(books, probes), "rep long, weight long, vector array<double>, cells array<long>")
         placed = placed.withColumn("cell", F.explode("cells"))
         sizes = cut(placed.groupBy("cell").count().select("cell", F.ceil(F.col("count") / block).cast("int").alias("blocks")))
-        dealt = placed.join(F.broadcast(sizes), "cell")  # at most tables * most_cells rows
+        dealt = placed.join(small(sizes), "cell")
         dealt = dealt.withColumn("block", F.pmod(F.xxhash64("rep", "cell"), F.col("blocks")).cast("int"))
         pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: F.struct(F.least(b, F.col("block")).alias("i"), F.greatest(b, F.col("block")).alias("j")))
         dealt = dealt.withColumn("pair", F.explode(pairs)).select("cell", F.col("pair.i").alias("i"), F.col("pair.j").alias("j"), "block", "rep", "weight", "vector", "cells")
