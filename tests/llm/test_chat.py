@@ -29,3 +29,10 @@ def test_awkward_rows(spark):
     assert got[None] == [[("user", "a")]] * 2 and got[1] == [[("", ""), ("assistant", ""), ("assistant", "b"), ("assistant", "b")]]
     assert len(got[2][0][0][1]) == 400_000 and got[3] == [[("user", "")]]
     assert chat.format_conversations(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_a_conversation_of_thousands_of_turns(spark):
+    data = [(1, t, ["user", "assistant"][t % 2], PARTS[t % len(PARTS)] * 3) for t in range(5000)]
+    out = chat.format_conversations(spark.createDataFrame([(*r, None, None) for r in data], SCHEMA)).withColumns({"back": chat.parse(chat.F.col("formatted")), "learned": chat.learned_text(chat.F.col("formatted"), chat.F.col("loss_spans"))}).first()
+    assert [(t["role"], t["text"]) for t in out["back"]] == [r[2:] for r in data] and out["escaped"]
+    assert out["learned"] == "".join(text for _, _, role, text in data if role == "assistant")

@@ -48,6 +48,14 @@ def test_every_id_lies_in_one_piece_and_padding_is_small(spark):
     assert n <= 1.02 * least + 2
 
 
+def test_ids_are_those_of_the_tokenizers_file_on_all_documents(spark):
+    docs = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()]
+    encode, other = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), packing._encoder(None, tuple(packing.SPECIAL.items()))
+    texts = [t or "" for _, t in docs] + ["see <|endoftext|> here", "\u00a0\u2028x \t\r\n  y", "\U0001f469\u200d\U0001f4bb e\u0301 \ufb01", "'s 'LL 123456 \x00\x7f"]
+    for text, own in zip(texts, encode.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert own.ids == other.encode(text, allowed_special="all")
+
+
 def test_awkward_rows(spark, awkward):
     docs = [*awkward, (20, "see <|endoftext|> here", 1, None, "r", 0.5, "s")]
     check(packing.pack(spark.createDataFrame(docs, AWKWARD)).collect(), [r[:2] for r in docs])
