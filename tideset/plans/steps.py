@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, DataType, MapType, StringType, StructType
 
-BROADCAST = 32 << 20
+BROADCAST = 10 << 20  # as Spark's own threshold
 
 
 def _folder(spark: SparkSession) -> str:
