@@ -206,6 +206,36 @@ def test_sketches_estimate_exact_influences(spark):
     assert [round(r[0], 6) for r in spark.range(4).select(activation(F.col("id"))).collect()] == [0, 0.099668, 0.197375, 0.291313]
 
 
+def test_sketches_grow_until_their_weights_reach_the_budget(spark):
+    graph = frame(spark, [(0, 1, 0.4), (1, 2, 0.5), (2, 0, 0.6), (2, 3, 0.7)], "u long, v long, p double")
+    held = influence.enough_sketches(graph, 8.0, start=4)
+    weights = {r["s"]: r["weight"] for r in influence.sketch_weights(held, graph).collect()}
+    total = sum(weights.values())
+    assert sorted(weights) == list(range(len(weights))) and len(weights) > 4
+    assert total >= 8 * (4 + 4) * 2 > total - weights[max(weights)]
+    assert rows(held) == rows(influence.sketch_nodes(graph, len(weights)))
+
+
+def test_gains_weighed_are_those_of_a_replay(spark):
+    data = [(0, t, u, v) for t, u, v, _ in random_stream(31, 80, 12, 9, 2)]
+    df = frame(spark, data, "stream long, t long, u long, v long")
+    first, points = rewards.first_times(df, ["stream"]), df.selectExpr("stream", "v", "t AS n")
+    sets, ranges = sieve.sieve(first, points, 3, 0.2, ["stream"])
+    got = {i: c for _, i, c in rows(sieve.gains_weighed(sets, ranges, points, 3, ["stream"]))}
+    held, most, cover, want = {}, 0, {}, {}
+    for _, _, u, v in data:
+        cover.setdefault(v, set()).add(u)
+        most = max(most, len(cover[v]))
+        low, high = math.floor(math.log(0.8 * most) / math.log(1.2)), math.ceil(math.log(6 * most) / math.log(1.2))
+        held = {i: held.get(i, []) for i in range(low, high + 1)}
+        for i, own in held.items():
+            if len(own) < 3 and v not in own:
+                want[i] = want.get(i, 0) + 1
+                if len(cover[v] - set().union(*(cover[x] for x in own))) >= 1.2**i / 6:
+                    own.append(v)
+    assert got == want
+
+
 def test_random_sets_are_of_the_nodes_and_repeatable(spark):
     pairs = lifetimes.alive_on(frame(spark, random_stream(4, 100, 20, 15, 10), STREAM), 20, 100, 20)
     one, two = (rows(baselines.random_sets(pairs, 4, 2, 7)) for _ in range(2))

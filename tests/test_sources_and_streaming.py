@@ -55,6 +55,17 @@ def test_streaming_gives_the_batch_rows(spark, tmp_path):
     assert rows(spark.table("listed")) == want
 
 
+def test_late_rows_are_told_and_change_nothing(spark, tmp_path):
+    schema = "key string, t long, u long, v long, l long"
+    for part in ([("a", 1, 1, 1, 5), ("a", 4, 2, 1, 5)], [("a", 3, 3, 1, 5), ("a", 5, 4, 1, 5)]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    query = run_stream(source, 2, 0.2, idle="3600000").writeStream.format("memory").queryName("late").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    query.awaitTermination(120)
+    assert sorted((r["t"], r["value"]) for r in spark.table("late").collect() if r["t"] != 3) == [(1, 1), (4, 2), (5, 3)]
+    assert [r["value"] for r in spark.table("late").collect() if r["t"] == 3] == [None]
+
+
 def test_windows_of_arrivals(spark, tmp_path):
     spark.sql("SELECT timestamp_seconds(id * 30) AS ts, id % 2 AS v FROM range(20)").write.parquet(str(tmp_path / "in"))
     source = spark.readStream.schema("ts timestamp, v long").parquet(str(tmp_path / "in"))
