@@ -75,9 +75,18 @@ def prefix_reward(spark, sf_dir):
     return rewards.reward_so_far(rewards.first_times(_stream(spark, sf_dir))).select("v", "n", F.col("reward").cast("long").alias("reward"))
 
 
+def _steps(steps: DataFrame) -> DataFrame:
+    return steps.groupBy("step").agg(F.count("*").alias("n_rows"), F.countDistinct("v").alias("n_affected"), F.max("t").alias("last_row"))
+
+
 def batch_steps(spark, sf_dir):
-    steps = lifetimes.in_batches(_stream(spark, sf_dir), 64)
-    return steps.groupBy("step").agg(F.count("*").alias("n_rows"), F.countDistinct("v").alias("n_affected"))
+    """Steps of 64 arrivals, and the row at which each ends."""
+    return _steps(lifetimes.in_batches(_stream(spark, sf_dir), 64))
+
+
+def batch_steps_to_end(spark, sf_dir):
+    """The first ten steps of 30 arrivals: a run that is stopped."""
+    return _steps(lifetimes.in_batches(_stream(spark, sf_dir), 30, end=10))
 
 
 def venue_reward(spark, sf_dir):
@@ -390,7 +399,7 @@ def streamed_list(spark, sf_dir):
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        stream_edges, directed_edges, alive_edges, alive_size_per_step, prefix_reward, batch_steps, venue_reward, max_singleton_per_step, set_reward, set_gain, given_set_eval,
+        stream_edges, directed_edges, alive_edges, alive_size_per_step, prefix_reward, batch_steps, batch_steps_to_end, venue_reward, max_singleton_per_step, set_reward, set_gain, given_set_eval,
         largest_reward_so_far, threshold_ranges, greedy_at, greedy_per_snapshot, greedy_prefix, greedy_orders, naive_calls, random_baseline, sieve_prefix, sieve_series,
         lifetime_reduction, pruned_list_series, solution_quality, greedy_by_budget, pruned_list_sweep, reach_size, reach_gain, greedy_reach, reduction_reach, affected_nodes, scc, scc_edges, sketched_reach,
         edge_probabilities, node_degrees, influence_sketches, sketch_weights, sketch_budget, influence_maximization, influence_estimate, sketch_update,

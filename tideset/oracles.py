@@ -87,7 +87,8 @@ ORACLES: dict[str, str] = {
     "alive_edges": _BASE + "z AS (SELECT 1) SELECT t, u, v, l FROM alive",
     "alive_size_per_step": _BASE + "d AS (SELECT t AS step, 1 AS d FROM interactions UNION ALL SELECT t + l, -1 FROM interactions) SELECT step, CAST(sum(sum(d)) OVER (ORDER BY step) AS BIGINT) AS n_alive FROM d GROUP BY step",
     "prefix_reward": _BASE + "f AS (SELECT v, u, min(t) AS n FROM interactions GROUP BY v, u) SELECT v, n, count(*) OVER (PARTITION BY v ORDER BY n) AS reward FROM f",
-    "batch_steps": _BASE + "b AS (SELECT (t - 1) // 64 + 1 AS step, v FROM interactions) SELECT step, count(*) AS n_rows, count(DISTINCT v) AS n_affected FROM b GROUP BY step HAVING count(*) = 64",
+    "batch_steps": _BASE + "b AS (SELECT (t - 1) // 64 + 1 AS step, v, t FROM interactions) SELECT step, count(*) AS n_rows, count(DISTINCT v) AS n_affected, max(t) AS last_row FROM b GROUP BY step HAVING count(*) = 64",
+    "batch_steps_to_end": _BASE + "b AS (SELECT (t - 1) // 30 + 1 AS step, v, t FROM interactions) SELECT step, count(*) AS n_rows, count(DISTINCT v) AS n_affected, max(t) AS last_row FROM b WHERE step <= 10 GROUP BY step HAVING count(*) = 30",
     "venue_reward": _BASE + "z AS (SELECT 1) SELECT v, count(DISTINCT u) AS reward FROM alive GROUP BY v",
     "max_singleton_per_step": _BASE + "x AS (SELECT s AS snap, v, count(DISTINCT u) AS d FROM (SELECT v, u, unnest(generate_series(t, least(t + l - 1, n))) AS s FROM interactions, size) GROUP BY ALL) SELECT snap, max(d) AS most FROM x GROUP BY snap",
     "set_reward": _BASE + "z AS (SELECT 1) SELECT snap, count(DISTINCT u) AS reward FROM ongrid WHERE v IN (SELECT v FROM given) GROUP BY snap",
