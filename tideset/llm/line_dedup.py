@@ -182,24 +182,25 @@ def _later(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Of rows (id, h, f, c, p): the first place (f, c, s, n) of each f and c, and the rows (id, h, p) that stand at another one."""
     firsts = cut(rows.groupBy("f", "c").agg(F.min(F.struct("id", "h", "p")).alias("s"), F.count("*").alias("n")))
     again = cut(firsts.where("n > 1").select("f", "c", "s"))
-    return firsts, rows.join(small(again), ["f", "c"]).where("NOT (id = s.id AND h = s.h AND p = s.p)").select("id", "h", "p")
+    return firsts, rows.join(again, ["f", "c"]).where("NOT (id = s.id AND h = s.h AND p = s.p)").select("id", "h", "p")
 
 
 def _places(named: DataFrame, kind: str, k: int, w: int) -> DataFrame:
     """(id, h, places, own) of the texts of `named` (id, h, text) that hold repeats; places as in `repeats`."""
+    # places are joined without hints: both sides are kept tables, so Spark splits a common fingerprint's rows or broadcasts a side by its measured size
     kinds = f"id {kind}, h long, f array<long>, c array<long>, p array<int>, own boolean"
     single = lambda df: df.select("id", "h", F.explode(F.arrays_zip("f", "c", "p")).alias("x")).select("id", "h", "x.f", "x.c", "x.p")
     winnowed = cut(named.mapInArrow(_fingerprints(k, w), kinds))
     held = single(winnowed)
     shared = cut(held.groupBy("f").count().where("count > 1").select("f"))
-    met = cut(held.join(small(shared), "f", "left_semi"))
+    met = cut(held.join(shared, "f", "left_semi"))
     firsts, later = _later(met)
 
     # fingerprints with several spans: their windows one by one
     mixed = cut(firsts.groupBy("f").count().where("count > 1").select("f"))
-    asked = firsts.join(small(mixed), "f", "left_semi").select("s.id", "s.h", "s.p")
+    asked = firsts.join(mixed, "f", "left_semi").select("s.id", "s.h", "s.p")
     asked = cut(asked.groupBy("id", "h").agg(F.collect_list("p").alias("asked")))
-    opened = cut(single(named.join(small(asked), ["id", "h"]).mapInArrow(_windows(k, w), kinds)))
+    opened = single(cut(named.join(small(asked), ["id", "h"]).mapInArrow(_windows(k, w), kinds)))
     _, single_later = _later(opened)
 
     own = F.lit(False).alias("own")
