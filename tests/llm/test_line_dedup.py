@@ -1,8 +1,9 @@
+import duckdb
 import numpy as np
 import pytest
 from support import rows
 
-from tideset.llm import line_dedup
+from tideset.llm import line_dedup, queries
 from tideset.llm.common import grams, word_hashes
 
 from texts import AWKWARD, words
@@ -97,3 +98,9 @@ def test_word_hashes_are_of_the_words_alone():
         assert [names[w] for w in found] == hashes.tolist() and len(set(names.values())) == len(names)
     a, b = word_hashes(b"q r s t u v"), word_hashes(b"r s t u")
     assert grams(a, 4)[1] == grams(b, 4)[0] and len(grams(b, 9)) == 1 and len(grams(a[:0], 3)) == 0
+
+
+def test_removed_words_are_those_of_the_sql(spark):
+    con, sf = duckdb.connect(), "/root/testdata/sf0.001"
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    assert rows(queries.line_dedup_words(spark, sf), "doc_id", "n_removed") == sorted(con.execute(queries.ORACLES["line_dedup_words"]).fetchall())

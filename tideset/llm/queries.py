@@ -42,6 +42,11 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.repeated_runs(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "text", "n_removed")
 
 
+def line_dedup_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words of each document `op5_line_dedup` removes, which SQL can tell."""
+    return op5_line_dedup(spark, sf_dir).select("doc_id", "n_removed")
+
+
 def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_vectors(table(spark, sf_dir, "embeddings"))
 
@@ -81,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
     "op9_html_extraction": op9_html_extraction,
     "op10_chat_formatting": op10_chat_formatting,
+    "line_dedup_words": line_dedup_words,
 }
 
 _ITEMS = rf"""
@@ -108,6 +114,14 @@ SELECT doc_id, slot, CAST(string_split('{",".join(map(str, sharding.lookup_table
 FROM (SELECT doc_id, CAST(CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), 'text:' || coalesce(text, ''))), 1, 15) AS BIGINT) % {sharding.SLOTS} AS BIGINT) AS slot FROM documents)
 """
 
+_REPEATS = rf"""
+WITH wd AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{WHITE}'), lambda x: x <> '') AS w FROM documents),
+g AS (SELECT doc_id, p, md5(array_to_string(w[p:p + 49], ' ')) AS m FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 49)) AS p FROM wd WHERE len(w) >= 50)),
+f AS (SELECT doc_id, p, row_number() OVER (PARTITION BY m ORDER BY doc_id, p) AS r FROM g),
+c AS (SELECT DISTINCT doc_id, unnest(generate_series(p, p + 49)) AS p FROM f WHERE r > 1)
+SELECT doc_id, count(c.p) AS n_removed FROM documents LEFT JOIN c USING (doc_id) GROUP BY doc_id
+"""
+
 _GROUPS = "SELECT a, b FROM e UNION ALL SELECT b, a FROM e"
 
 _NEAR = rf"""
@@ -130,6 +144,7 @@ SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS
 """
 
 ORACLES: dict[str, str] = {
+    "line_dedup_words": _REPEATS,
     "op3_benchmark_decontamination": _ITEMS,
     "op4_lookup_sharding": _SHARDS,
     "op6_embedding_near_dedup": _VECTORS,
