@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..plans import cut, small
 from ..plans.steps import BROADCAST
 
-__all__ = ["LOWER", "UPPER", "WHITE", "Runs", "connected", "cut", "grams", "mix", "sliced", "small", "texts", "unused", "word_hashes", "word_spans", "words"]
+__all__ = ["LOWER", "UPPER", "WHITE", "Runs", "connected", "cut", "exact_hashes", "grams", "mix", "sliced", "small", "texts", "unused", "word_hashes", "word_spans", "words"]
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WHITE = r"[\x20\x09-\x0D]+"
@@ -56,11 +56,6 @@ class Runs:
         return mix((self.sums[k:] - self.sums[:-k]) * self.powers[: len(self.sums) - k] + np.uint64(k))
 
 
-def grams(self, k: int) -> np.ndarray:
-        """The hash of each run of length k, for k up to the sequence's length."""
-        return mix((self.sums[k:] - self.sums[:-k]) * self.powers[: len(self.sums) - k] + np.uint64(k))
-
-
 def grams(hashes: np.ndarray, k: int) -> np.ndarray:
     """A hash of each run of k word hashes; of the whole sequence if it is shorter; none if it is empty."""
     return Runs(hashes).grams(min(k, len(hashes))) if len(hashes) else hashes
@@ -82,10 +77,11 @@ def _powers(n: int, base: int) -> tuple[np.ndarray, np.ndarray]:
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LETTERS = mix(np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], np.uint64) + np.uint64(1))
+_AS_THEY_ARE = mix(np.arange(256, dtype=np.uint64) + np.uint64(1))
 
 
-def word_hashes(text: bytes) -> np.ndarray:
-    """A hash of each word `[^\\x20\\x09-\\x0D]+` of UTF-8 bytes, A-Z lower-cased, the same in every process.
+def word_hashes(text: bytes, letters: np.ndarray = _LETTERS) -> np.ndarray:
+    """A hash of each word `[^\\x20\\x09-\\x0D]+` of UTF-8 bytes, A-Z lower-cased, the same in every process; `letters` gives a number to each byte.
 
     A word's hash is a polynomial of its bytes modulo 2**64, taken as a difference of prefix sums; long texts go in blocks that end at white space.
     """
@@ -94,12 +90,17 @@ def word_hashes(text: bytes) -> np.ndarray:
         end = at + _BLOCK
         while end < len(text) and not _SPACE[text[end]]:
             end += 1
-        parts.append(_hashed(text[at:end]))
+        parts.append(_hashed(text[at:end], letters))
         at = end
-    parts.append(_hashed(text[at:]))
+    parts.append(_hashed(text[at:], letters))
     return np.concatenate(parts) if len(parts) > 1 else parts[0]
 
 
+def exact_hashes(text: bytes) -> np.ndarray:
+    """`word_hashes` of words as they are."""
+    return word_hashes(text, _AS_THEY_ARE)
+
+
 def word_spans(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Where each word of UTF-8 bytes starts and ends."""
     edge = np.empty(len(text) + 2, bool)
@@ -109,14 +110,14 @@ def word_spans(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     return turns[::2], turns[1::2]
 
 
-def _hashed(text: bytes) -> np.ndarray:
+def _hashed(text: bytes, letters: np.ndarray) -> np.ndarray:
     n = len(text)
     if not n:
         return np.zeros(0, np.uint64)
     start, end = word_spans(text)
     up, down = _powers(n + 1, _BASE)
     sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(_LETTERS[np.frombuffer(text, np.uint8)] * up[:n], out=sums[1:])
+    np.cumsum(letters[np.frombuffer(text, np.uint8)] * up[:n], out=sums[1:])
     return mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64))
 
 

@@ -1,4 +1,4 @@
-"""The thin queries of the ten operators over the standard tables, and their SQL where SQL can express them."""
+"""The thin queries of the operators over the standard tables, and their SQL where SQL can express them."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, embedding_dedup, html_text, line_dedup, near_dedup, packing, sharding, toxicity, urls
+from . import chat, decontaminate, embedding_dedup, html_text, line_dedup, merkle, near_dedup, packing, sharding, substring_dedup, toxicity, urls, whitening
 from .common import LOWER, UPPER, WHITE
 
 
@@ -75,6 +75,26 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Half of the documents, by a hash of their ids, have lost their line breaks since the manifest was made."""
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0, F.translate("text", "\n", "")).otherwise(F.col("text"))
+    return merkle.manifest(table(spark, sf_dir, "documents"), altered={"text": tampered})
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def whitening_deviations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can tell of `op12_embedding_whitening`: the vectors, their number and exact deviations."""
+    return op12_embedding_whitening(spark, sf_dir).select("vec_id", "component", "n", "deviation")
+
+
+def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substring_dedup.without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_factorization_machine_toxicity": op1_factorization_machine_toxicity,
     "op2_column_generation_packing": op2_column_generation_packing,
@@ -86,7 +106,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
     "op9_html_extraction": op9_html_extraction,
     "op10_chat_formatting": op10_chat_formatting,
+    "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_embedding_whitening": op12_embedding_whitening,
+    "op13_substring_dedup": op13_substring_dedup,
     "line_dedup_words": line_dedup_words,
+    "whitening_deviations": whitening_deviations,
 }
 
 _ITEMS = rf"""
@@ -143,6 +167,51 @@ r(x, y) AS (SELECT vec_id, vec_id FROM v UNION SELECT r.x, u.b FROM r JOIN u ON
 SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept FROM v JOIN (SELECT x AS vec_id, min(y) AS component_id FROM r GROUP BY x) USING (vec_id) LEFT JOIN (SELECT a AS vec_id, count(*) AS n FROM u GROUP BY a) USING (vec_id)
 """
 
+_CRC = "xor(list_reduce(list_concat([CAST(4294967295 AS BIGINT)], list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))), lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295)"
+
+
+def _leaf(text: str) -> str:
+    values = [f"CAST({c} AS VARCHAR)" for c in ("doc_id", "source", "lang", "n_chars")] + [text]
+    return "sha256(" + " || ".join(f"coalesce(strlen({v}) || ':' || {v}, '-')" for v in values) + ")"
+
+
+def _tree(nodes: str, name: str) -> str:
+    """CTEs from leaves (g, i, h) to {name} (g, l, i, h, s, n): the nodes of each level l, s the digests of a run, n how many nodes the level has."""
+    return f"""{name}(g, l, i, h, s, n) AS (SELECT g, 0, i, h, '', count(*) OVER (PARTITION BY g) FROM {nodes}
+  UNION ALL SELECT g, l, i, sha256(s), s, count(*) OVER (PARTITION BY g) FROM (SELECT g, l + 1 AS l, i // 3 AS i, string_agg(h, '' ORDER BY i) AS s FROM {name} WHERE n > 1 GROUP BY g, l, i // 3))"""
+
+
+def _walk(leaves: str, tree: str, name: str) -> str:
+    """CTEs from leaves (id, g, i, f, p) to {name}: the digests f and the siblings p on the way up the tree, l levels up."""
+    place = "(w.j % 3)"
+    before, after = f"substr(t.s, 1, 64 * {place})", f"substr(t.s, 64 * {place} + 65)"
+    return f"{name}(id, g, l, j, f, p) AS (SELECT id, g, 0, i, f, p FROM {leaves} UNION ALL SELECT w.id, w.g, w.l + 1, w.j // 3, sha256({before} || w.f || {after}), w.p || {before} || {after} FROM {name} w JOIN {tree} t ON t.g = w.g AND t.l = w.l + 1 AND t.i = w.j // 3)"
+
+
+_MANIFEST = f"""
+WITH RECURSIVE own AS (SELECT row_number() OVER () AS id, doc_id, coalesce(source, '') AS src, source IS NULL AS none, {_leaf("text")} AS h, CASE WHEN {_CRC} % 2 = 0 THEN {_leaf("replace(text, chr(10), '')")} ELSE {_leaf("text")} END AS x FROM documents),
+lf AS (SELECT id, doc_id, h, x, dense_rank() OVER (ORDER BY NOT none, encode(src)) - 1 AS g, row_number() OVER (PARTITION BY none, src ORDER BY doc_id NULLS FIRST, h, x) - 1 AS i FROM own),
+{_tree("lf", "tr")}, sr AS (SELECT g, h FROM tr WHERE n = 1), sn AS (SELECT 0 AS g, g AS i, h FROM sr), {_tree("sn", "st")}, rt AS (SELECT h FROM st WHERE n = 1),
+w0 AS (SELECT id, g, i, x AS f, '' AS p FROM lf), {_walk("w0", "tr", "wa")}, top1 AS (SELECT id, g, max_by(f, l) AS f, max_by(p, l) AS p FROM wa GROUP BY id, g),
+w1 AS (SELECT id, 0 AS g, g AS i, f, p FROM top1), {_walk("w1", "st", "wb")}, top2 AS (SELECT id, max_by(f, l) AS f, max_by(p, l) AS p FROM wb GROUP BY id)
+SELECT doc_id, lf.h AS leaf, sr.h AS subroot, rt.h AS root, sha256(p) AS proof_sha256, f AS folded_root, f = rt.h AS verified FROM lf JOIN sr USING (g) JOIN top2 USING (id), rt
+"""
+
+_DEVIATIONS = """
+WITH v AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda c: CAST(floor(1024 * CAST(c AS DOUBLE)) AS BIGINT) + 100000) AS x FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+e AS (SELECT r, vec_id, unnest(x) AS x, unnest(generate_series(1, len(x))) AS d FROM v), s AS (SELECT d, sum(x) AS s, count(*) AS n FROM e GROUP BY d)
+SELECT vec_id, CAST(component AS INTEGER) AS component, any_value(n) AS n, CAST(sum((n * CAST(x AS HUGEINT) - s) * (n * CAST(x AS HUGEINT) - s)) AS BIGINT) AS deviation FROM e JOIN s USING (d), (SELECT unnest(generate_series(1, 8)) AS component) GROUP BY r, vec_id, component
+"""
+
+_WINDOWS = rf"""
+WITH wd AS (SELECT row_number() OVER () AS r, doc_id, list_filter(string_split_regex(coalesce(text, ''), '{WHITE}'), lambda x: x <> '') AS w FROM documents),
+g AS (SELECT r, p, array_to_string(w[p:p + 34], ' ') AS m FROM (SELECT r, w, unnest(generate_series(1, len(w) - 34)) AS p FROM wd WHERE len(w) >= 35)),
+f AS (SELECT r, p FROM g JOIN (SELECT m FROM g GROUP BY m HAVING count(*) > 1) USING (m)),
+c AS (SELECT r, list(DISTINCT p + o) AS gone FROM f, (SELECT unnest(generate_series(0, 34)) AS o) GROUP BY r),
+k AS (SELECT r, string_agg(x, ' ' ORDER BY p) AS kept FROM (SELECT r, unnest(w) AS x, unnest(generate_series(1, len(w))) AS p FROM wd) x WHERE NOT EXISTS (FROM (SELECT r, unnest(gone) AS p FROM c) y WHERE y.r = x.r AND y.p = x.p) GROUP BY r)
+SELECT doc_id, len(w) AS n_words, coalesce(len(gone), 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM wd LEFT JOIN c USING (r) LEFT JOIN k USING (r)
+"""
+
 ORACLES: dict[str, str] = {
     "line_dedup_words": _REPEATS,
     "op3_benchmark_decontamination": _ITEMS,
@@ -150,4 +219,7 @@ ORACLES: dict[str, str] = {
     "op6_embedding_near_dedup": _VECTORS,
     "op8_minhash_near_dedup": _NEAR,
     "op10_chat_formatting": _CHATS,
+    "op11_merkle_manifest": _MANIFEST,
+    "op13_substring_dedup": _WINDOWS,
+    "whitening_deviations": _DEVIATIONS,
 }
