@@ -4,8 +4,8 @@ A window is `window` consecutive words of one document. Its minimiser is the run
 windows have equal minimisers at equal places. Consecutive windows of one minimiser form a super-k-mer: the words from the first window's start to the last one's
 end, at most `window` - `gram` + 1 windows, so a 64-bit mask tells which of them repeat.
 
-Super-k-mers are counted by 128 bits of hashes first (a combined aggregate, so copies shrink where they lie). Where all of a minimiser are
-alike, that count tells all. Only of a minimiser that has different super-k-mers does one packed string of each travel to the minimiser's bucket, where
+Minimisers are counted first (a combined aggregate, so copies shrink where they lie): one that stands once repeats nothing, and where all super-k-mers of a minimiser are
+alike, by 128 bits of hashes, all their windows repeat. Only of a minimiser that has different super-k-mers does one packed string of each travel to the minimiser's bucket, where
 windows are sorted and counted by their bytes, each with its super-k-mer's count. Buckets are made as the strings need them. A minimiser with more than `most` different
 strings (the rims of a passage that very many documents hold) is split over buckets; a window that a part holds once is then compared with
 the other parts' windows by two independent hashes, a row for each window and part.
@@ -19,9 +19,9 @@ from hashlib import blake2b
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StringType, StructField, StructType
+from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
-from .common import Runs, cut, exact_hashes, sliced, small, texts, word_spans
+from .common import Runs, cut, exact_hashes, sliced, texts, word_spans
 from .line_dedup import minima
 
 
@@ -85,15 +85,32 @@ def _found(window: int, gram: int):
     return run
 
 
+def _zipped(batches):
+    """Arrow batches (k1, k2, row, text) with their texts compressed."""
+    import pyarrow as pa
+    import zstandard
+
+    zip_one = zstandard.ZstdCompressor(level=3).compress
+    for batch in sliced(batches):
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("k1", "k2", "row")), pa.array([zip_one(t) for t in texts(batch)], pa.binary())], ["k1", "k2", "row", "text"])
+
+
+def _unzipped(batch):
+    import zstandard
+
+    unzip_one = zstandard.ZstdDecompressor().decompress
+    return (unzip_one(t) for t in batch.column("text").to_pylist())
+
+
 def _packed(window: int, gram: int):
-    """Arrow batches (text, asked) to a row (mini, whole, n, part, parts, packed) for each super-k-mer asked for."""
+    """Arrow batches (text, asked), the text compressed, to a row (mini, whole, n, part, parts, packed) for each super-k-mer asked for."""
 
     def run(batches):
         import pyarrow as pa
 
         kinds = pa.schema([("mini", pa.int64()), ("whole", pa.int64()), ("n", pa.int64()), ("part", pa.int64()), ("parts", pa.int64()), ("packed", pa.binary())])
         for batch in sliced(batches):
-            for text, asked in zip(texts(batch), batch.column("asked").to_pylist(), strict=True):
+            for text, asked in zip(_unzipped(batch), batch.column("asked").to_pylist(), strict=True):
                 found = SuperKmers(text, window, gram)
                 at = {x: i for i, x in enumerate(found.whole.tolist())}
                 which = np.array([at[x["whole"]] for x in asked], np.int64)
@@ -174,14 +191,14 @@ def _counted(window: int):
 
 
 def _kept(window: int, gram: int):
-    """Arrow batches (row, text, marks) to (row, text, n_words, n_removed)."""
+    """Arrow batches (row, text, marks), the text compressed, to (row, text, n_words, n_removed)."""
 
     def run(batches):
         import pyarrow as pa
 
         for batch in sliced(batches):
             kept, n_words, n_removed = [], [], []
-            for text, marks in zip(texts(batch), batch.column("marks").to_pylist(), strict=True):
+            for text, marks in zip(_unzipped(batch), batch.column("marks").to_pylist(), strict=True):
                 if not marks:
                     words = text.split()
                     kept.append(b" ".join(words).decode("utf-8", "replace"))
@@ -199,29 +216,35 @@ def _kept(window: int, gram: int):
     return run
 
 
-def _marks(named: DataFrame, window: int, gram: int, most: int, each: int) -> DataFrame:
-    """(k1, k2, marks) of the texts of `named` (k1, k2, text) that hold repeated windows: marks lists (whole, mask) of their super-k-mers."""
-    found = cut(named.mapInArrow(_found(window, gram), "k1 long, k2 long, mini array<long>, whole array<long>, n array<long>"))
-    single = found.select("k1", "k2", F.explode(F.arrays_zip("mini", "whole", "n")).alias("x")).select("k1", "k2", "x.mini", "x.whole", "x.n")
-    strings = cut(single.groupBy("mini", "whole").agg(F.sum("n").alias("n"), F.min(F.struct("k1", "k2")).alias("s")))
-    minis = cut(strings.groupBy("mini").agg(F.count("*").alias("d"), F.sum("n").alias("total")).where("total > 1").select("mini", "d"))
-    alike = strings.where("n > 1").join(minis.where("d = 1").select("mini"), "mini", "left_semi").select("mini", "whole", F.lit(-1).cast("long").alias("mask"))
+def _marks(named: DataFrame, zipped: DataFrame, window: int, gram: int, most: int, each: int) -> DataFrame:
+    """(k1, k2, marks) of the texts of `named` (k1, k2, text) that hold repeated windows: marks lists (whole, mask) of their super-k-mers.
 
-    mixed = strings.join(minis.where("d > 1"), "mini").withColumn("parts", F.ceil(F.col("d") / most).cast("long")).withColumn("part", F.pmod("whole", "parts"))
-    asked = cut(mixed.groupBy("s").agg(F.collect_list(F.struct("mini", "whole", "n", "part", "parts")).alias("asked")).select("s.k1", "s.k2", "asked"))
-    total = asked.agg(F.sum(F.size("asked"))).first()[0] or 0
+    All joins are of tables that grow with the texts and have no hints, so their form is one at any size, and Spark splits the rows of a common minimiser.
+    """
+    found = named.mapInArrow(_found(window, gram), "k1 long, k2 long, mini array<long>, whole array<long>, n array<long>")
+    single = found.select("k1", "k2", F.explode(F.arrays_zip("mini", "whole", "n")).alias("x")).select("k1", "k2", "x.mini", "x.whole", "x.n")
+    minis = single.groupBy("mini").agg(F.sum("n").alias("total"), F.min("whole").alias("low"), F.max("whole").alias("high")).where("total > 1")
+    minis = cut(minis.select("mini", (F.col("low") != F.col("high")).alias("mixed")))
+    held = cut(single.join(minis, "mini"))  # the super-k-mers whose minimiser stands at several places
+    alike = held.where("NOT mixed").select("k1", "k2", "whole", F.lit(-1).cast("long").alias("mask"))
+
+    mixed = held.where("mixed").drop("mixed")
+    strings = cut(mixed.groupBy("mini", "whole").agg(F.sum("n").alias("n"), F.min(F.struct("k1", "k2")).alias("s")))
+    parts = strings.groupBy("mini").agg(F.ceil(F.count("*") / most).cast("long").alias("parts"))
+    dealt = strings.join(parts, "mini").withColumn("part", F.pmod("whole", "parts"))
+    asked = cut(dealt.groupBy("s").agg(F.collect_list(F.struct("mini", "whole", "n", "part", "parts")).alias("asked")).select("s.k1", "s.k2", "asked"))
+    total = strings.count()
     kinds = "mini long, whole long, n long, part long, parts long, packed binary"
-    sent = named.join(small(asked), ["k1", "k2"]).select("text", "asked").mapInArrow(_packed(window, gram), kinds)
+    sent = zipped.select("k1", "k2", "text").join(asked, ["k1", "k2"]).select("text", "asked").mapInArrow(_packed(window, gram), kinds)
     bucket = F.pmod(F.xxhash64("mini", "part"), F.lit(max(1, math.ceil(total / each))))
     counted = cut(sent.withColumn("bucket", bucket).groupBy("bucket").applyInArrow(_counted(window), "mini long, whole long, mask long, w1 long, w2 long, alone boolean, bit int"))
 
     parted = counted.where("w1 IS NOT NULL")
     across = parted.groupBy("w1", "w2").count().where("count > 1").select("w1", "w2")
     late = parted.where("alone").join(across, ["w1", "w2"]).select("mini", "whole", F.expr("shiftleft(1L, bit)").alias("mask"))
-    masks = counted.where("mask IS NOT NULL").select("mini", "whole", "mask").union(late).groupBy("mini", "whole").agg(F.bit_or("mask").alias("mask"))
-    masks = cut(alike.union(masks))
-    # joined without hints: both sides are kept tables, so Spark splits the rows of a common super-k-mer, or broadcasts a side by its measured size
-    return cut(single.join(masks, ["mini", "whole"]).groupBy("k1", "k2").agg(F.collect_set(F.struct("whole", "mask")).alias("marks")))
+    masks = cut(counted.where("mask IS NOT NULL").select("mini", "whole", "mask").union(late).groupBy("mini", "whole").agg(F.bit_or("mask").alias("mask")))
+    marked = alike.union(mixed.join(masks, ["mini", "whole"]).select("k1", "k2", "whole", "mask"))
+    return cut(marked.groupBy("k1", "k2").agg(F.collect_set(F.struct("whole", "mask")).alias("marks")))
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 35, gram: int = 8, most: int = 4096, each: int = 8192, words_col: str = "n_words", removed_col: str = "n_removed") -> DataFrame:
@@ -242,9 +265,11 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     key = [F.xxhash64(F.lit(i), F.col(f"`{id_col}`"), text).alias(f"k{i}") for i in (1, 2)]
     source = docs.select(*key, text.alias("text"), row)
+    kinds = StructType([*(source.schema[c] for c in ("k1", "k2", "row")), StructField("text", BinaryType())])
+    zipped = source.select("k1", "k2", "row", "text").mapInArrow(_zipped, kinds)  # texts are shuffled twice, so they travel compressed
     # rows of equal id and text have one key: their super-k-mers count as often as they stand there
-    marks = _marks(source.select("k1", "k2", "text"), window, gram, most, each)
+    marks = _marks(source.select("k1", "k2", "text"), zipped, window, gram, most, each)
     kinds = StructType([source.schema["row"], StructField("text", StringType()), StructField("n_words", LongType()), StructField("n_removed", LongType())])
-    done = source.join(small(marks), ["k1", "k2"], "left").select("row", "text", "marks").mapInArrow(_kept(window, gram), kinds)
+    done = zipped.join(marks, ["k1", "k2"], "left").select("row", "text", "marks").mapInArrow(_kept(window, gram), kinds)
     own = [F.col("text").alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns]
     return done.select(*own, F.col("n_words").alias(words_col), F.col("n_removed").alias(removed_col))
