@@ -171,7 +171,7 @@ def test_reach_components_and_affected_nodes(spark):
     cover = replay.reach(edges)
     pairs = graphs.reach(graph)
     assert rows(pairs, "v", "u") == sorted((v, u) for v, c in cover.items() for u in c)
-    scc = graphs.components(pairs)
+    scc = graphs.components(graph)
     assert rows(scc) == [(1, 1), (2, 2), (3, 3), (4, 4), (6, 4)]
     assert rows(graphs.condensed(graph, scc)) == [(1, 2), (1, 3), (2, 3), (3, 4)]
     before = graphs.reach(graphs.edges(frame(spark, [(0, *e) for e in edges[:-2]], "t long, u long, v long")))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from . import experiments
 from .functions import activation
-from .operators import baselines, graphs, greedy, influence, lifetimes, pruned_list, rewards, sieve
+from .operators import baselines, graphs, greedy, influence, lifetimes, pruned_list, registers, rewards, sieve
 from .plans import cut, shared_path
 from .sources import directed, from_events, from_orders, read_edges, read_interactions, read_map, read_nodes, read_weighted, write_nodes, write_series, write_snapshot
 from .streaming import alive_counts, run_stream
@@ -248,12 +248,70 @@ def affected_nodes(spark, sf_dir):
 
 
 def scc(spark, sf_dir):
-    return graphs.components(graphs.reach(graphs.edges(_graph(spark, sf_dir, longer=MIXED))))
+    return graphs.components(graphs.edges(_graph(spark, sf_dir, longer=MIXED)))
 
 
 def scc_edges(spark, sf_dir):
     edges = cut(graphs.edges(_graph(spark, sf_dir, longer=MIXED)))
-    return graphs.condensed(edges, graphs.components(graphs.reach(edges)))
+    return graphs.condensed(edges, graphs.components(edges))
+
+
+def _graphs(spark, sf_dir):
+    """The directed edges (snap, u, v) alive on the grid, with lifetimes times `MIXED`."""
+    rows = directed(_stream(spark, sf_dir)).withColumn("l", F.col("l") * MIXED)
+    return cut(graphs.edges(lifetimes.alive_on(rows, *_grid(spark, sf_dir)), ["snap"]))
+
+
+def _registers(rows):
+    return rows.select("snap", "x", F.col("register").cast("long").alias("register"), F.col("rank").cast("long").alias("rank"))
+
+
+def reach_registers(spark, sf_dir):
+    """The registers of what each node reaches on each snapshot, sent along edges."""
+    return _registers(registers.propagated(_graphs(spark, sf_dir), ["snap"]))
+
+
+def reach_registers_by_levels(spark, sf_dir):
+    """The same, by one merge for each level of the condensation."""
+    return _registers(registers.by_levels(_graphs(spark, sf_dir), ["snap"]))
+
+
+def reach_estimate(spark, sf_dir):
+    found = registers.estimated(registers.propagated(_graphs(spark, sf_dir), ["snap"]), ["snap", "x"])
+    return found.select("snap", "x", F.round("reward", 6).alias("reward"))
+
+
+def _given_nodes(spark):
+    return _given(spark).withColumnRenamed("v", "x")
+
+
+def reach_set_estimate(spark, sf_dir):
+    found = registers.set_reward(registers.propagated(_graphs(spark, sf_dir), ["snap"]), _given_nodes(spark), ["snap"])
+    return found.select("snap", F.round("reward", 6).alias("reward"))
+
+
+def reach_gain_estimate(spark, sf_dir):
+    found = registers.gains(cut(registers.propagated(_graphs(spark, sf_dir), ["snap"])), _given_nodes(spark), ["snap"])
+    return found.select("snap", "x", F.round("gain", 6).alias("gain"))
+
+
+def scc_levels(spark, sf_dir):
+    """The level of each component of each snapshot: how many edges the longest way down from it has."""
+    edges = _graphs(spark, sf_dir)
+    scc = cut(graphs.components(edges, ["snap"]))
+    found = graphs.levels(graphs.condensed(edges, scc, ["snap"]), scc.select("snap", F.col("scc").alias("x")), ["snap"])
+    return found.select("snap", "x", F.col("level").cast("long").alias("level"))
+
+
+def reach_size_by_levels(spark, sf_dir):
+    return graphs.reach_by_levels(_graphs(spark, sf_dir), ["snap"])
+
+
+def affected_by_batches(spark, sf_dir):
+    """The nodes whose reach grows with each eighth of the directed stream, which is never forgotten."""
+    every = max(1, _length(spark, sf_dir) // 8)
+    stream = directed(_stream(spark, sf_dir)).withColumn("step", (F.floor((F.col("t") - 1) / every) + 1).cast("long"))
+    return graphs.affected_by_batches(stream)
 
 
 def sketched_reach(spark, sf_dir):
@@ -402,6 +460,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         stream_edges, directed_edges, alive_edges, alive_size_per_step, prefix_reward, batch_steps, batch_steps_to_end, venue_reward, max_singleton_per_step, set_reward, set_gain, given_set_eval,
         largest_reward_so_far, threshold_ranges, greedy_at, greedy_per_snapshot, greedy_prefix, greedy_orders, naive_calls, random_baseline, sieve_prefix, sieve_series,
         lifetime_reduction, pruned_list_series, solution_quality, greedy_by_budget, pruned_list_sweep, reach_size, reach_gain, greedy_reach, reduction_reach, affected_nodes, scc, scc_edges, sketched_reach,
+        reach_registers, reach_registers_by_levels, reach_estimate, reach_set_estimate, reach_gain_estimate, scc_levels, reach_size_by_levels, affected_by_batches,
         edge_probabilities, node_degrees, influence_sketches, sketch_weights, sketch_budget, influence_maximization, influence_estimate, sketch_update,
         reach_of_set, reach_gain_longer, influence_of_set, seeds_reach, text_stream, text_pairs, text_weighted, text_graph, text_nodes, text_series, streamed_windows, streamed_list,
     )

@@ -22,13 +22,18 @@ def _reach(graph: str = "a", name: str = "r") -> str:
 
 
 def _greedy(pairs: str, k: int) -> str:
-    """CTEs from `pairs` (snap, v, u) to g (snap, step, v, gain, ...): greedy with the smallest id among equal gains."""
-    return f"""c AS (SELECT snap, v, list(DISTINCT u) AS us FROM {pairs} GROUP BY ALL),
-g AS (SELECT DISTINCT snap, 0 AS step, CAST(-1 AS BIGINT) AS v, CAST(0 AS BIGINT) AS gain, CAST([] AS BIGINT[]) AS cov, CAST([] AS BIGINT[]) AS took FROM c
-  UNION ALL SELECT snap, step, v, gain, cov, took FROM (
-    SELECT g.snap, g.step + 1 AS step, c.v, CAST(len(list_filter(c.us, lambda x: NOT list_contains(g.cov, x))) AS BIGINT) AS gain, list_distinct(list_concat(g.cov, c.us)) AS cov, list_append(g.took, c.v) AS took,
-      row_number() OVER (PARTITION BY g.snap ORDER BY len(list_filter(c.us, lambda x: NOT list_contains(g.cov, x))) DESC, c.v) AS rn
-    FROM g JOIN c ON c.snap = g.snap WHERE g.step < {k} AND NOT list_contains(g.took, c.v)) WHERE rn = 1)"""
+    """CTEs from `pairs` (snap, v, u) to g (snap, step, v, gain, calls, ...): greedy with the smallest id among equal gains, and the gains that a round of lazy evaluation weighs.
+
+    bnd holds the gain of each candidate when it was last weighed; a round weighs that of the largest bound (ti), then the candidates that its gain does not beat (ask).
+    """
+    return f"""c AS (SELECT snap, list(v ORDER BY v) AS vs, list(us ORDER BY v) AS uss FROM (SELECT snap, v, list(DISTINCT u) AS us FROM {pairs} GROUP BY ALL) GROUP BY snap),
+g AS (SELECT snap, 0 AS step, CAST(-1 AS BIGINT) AS v, CAST(0 AS BIGINT) AS gain, CAST(0 AS BIGINT) AS calls, CAST([] AS BIGINT[]) AS cov, CAST([] AS BIGINT[]) AS took, list_transform(vs, lambda x: CAST(1000000000000 AS BIGINT)) AS bnd FROM c
+  UNION ALL SELECT snap, step + 1, vs[pick], gains[pick], CAST(len(ask) AS BIGINT), list_distinct(list_concat(cov, uss[pick])), list_append(took, vs[pick]), list_transform(gains, lambda x, i: CASE WHEN list_contains(ask, i) THEN x ELSE bnd[i] END) FROM (
+    SELECT *, list_filter(ask, lambda i: gains[i] = list_max(list_transform(ask, lambda j: gains[j])))[1] AS pick FROM (
+      SELECT *, list_filter(open, lambda i: i = ti OR bnd[i] > gains[ti] OR bnd[i] = gains[ti] AND i < ti) AS ask FROM (
+        SELECT *, list_filter(open, lambda i: bnd[i] = list_max(list_transform(open, lambda j: bnd[j])))[1] AS ti FROM (
+          SELECT g.*, c.vs, c.uss, list_transform(c.uss, lambda us: CAST(len(list_filter(us, lambda x: NOT list_contains(g.cov, x))) AS BIGINT)) AS gains, list_filter(range(1, len(c.vs) + 1), lambda i: NOT list_contains(g.took, c.vs[i])) AS open
+          FROM g JOIN c ON c.snap = g.snap WHERE g.step < {k}) WHERE len(open) > 0))))"""
 
 
 def _multiplicity(longer: int = 1, after: int = 0, graph: str = "a", name: str = "m2") -> str:
@@ -81,6 +86,21 @@ rt(g, v, u, ft) AS (SELECT snap, x, x, min(t) FROM (SELECT snap, u AS x, t FROM
 pf AS (SELECT g, v, u, min(ft) AS ft FROM rt GROUP BY ALL), looks AS (SELECT g, v, ft AS n FROM pf), {_sieved(5, 0.2)}"""
 _BEST = " SELECT {g}value, i, nodes, CAST((SELECT sum(calls) FROM wz WHERE wz.g = bz.g) AS BIGINT) AS calls FROM bz"
 
+_GRAPHS = """ge AS (SELECT DISTINCT snap, u, v FROM directed JOIN grid ON t <= snap AND snap < t + l * 3),
+rr(snap, v, u) AS (SELECT snap, x, x FROM (SELECT snap, u AS x FROM ge UNION SELECT snap, v FROM ge) UNION SELECT q.snap, q.v, e.v FROM rr q JOIN ge e ON e.snap = q.snap AND e.u = q.u),
+hx AS (SELECT DISTINCT u, CAST('0x' || substr(md5(CAST(u AS VARCHAR)), 1, 15) AS BIGINT) AS h FROM rr),
+rg AS (SELECT snap, v AS x, h & 255 AS register, max(53 - CASE WHEN h >> 8 = 0 THEN 0 ELSE length(bin(h >> 8)) END) AS rank FROM rr JOIN hx USING (u) GROUP BY snap, v, h & 255),
+sc AS (SELECT x.snap, x.v AS x, min(x.u) AS scc FROM rr x JOIN rr y ON y.snap = x.snap AND y.u = x.v AND y.v = x.u GROUP BY x.snap, x.v)"""
+
+
+def _estimated(rows: str, keys: str, name: str) -> str:
+    """A CTE {name} (keys, reward): what registers of `rows` tell together for each of `keys`."""
+    return f"""{name} AS (SELECT {keys}, CASE WHEN raw <= 640 AND c < 256 THEN 256 * ln(256.0 / (256 - c)) ELSE raw END AS reward FROM (
+  SELECT {keys}, c, 0.7213 / (1 + 1.079 / 256) * 65536 / (z + 256 - c) AS raw FROM (SELECT {keys}, sum(pow(2.0, -rank)) AS z, count(*) AS c FROM (SELECT {keys}, register, max(rank) AS rank FROM {rows} GROUP BY ALL) GROUP BY {keys})))"""
+
+
+_SET = "(SELECT snap, register, rank FROM rg WHERE x IN (SELECT v FROM given))"
+
 ORACLES: dict[str, str] = {
     "stream_edges": _BASE + "z AS (SELECT 1) SELECT t, u, v, l FROM interactions",
     "directed_edges": _BASE + "z AS (SELECT 1) SELECT t, u, v, l FROM directed",
@@ -99,8 +119,8 @@ ORACLES: dict[str, str] = {
 b AS (SELECT most, min(n) AS since FROM (SELECT n, max(r) OVER (ORDER BY n) AS most FROM d) GROUP BY most), q AS (SELECT most, since, lead(since) OVER (ORDER BY since) - 1 AS until FROM b),
 i AS (SELECT since, until, unnest(generate_series(CAST(floor(ln(0.8 * most) / ln(1.2)) AS BIGINT), CAST(ceil(ln(10 * most) / ln(1.2)) AS BIGINT))) AS i FROM q)
 SELECT i, min(since) AS since, CASE WHEN bool_or(until IS NULL) THEN -1 ELSE max(until) END AS until FROM i GROUP BY i""",
-    "greedy_at": _BASE + "p AS (SELECT m AS snap, v, u FROM alive, middle), " + _greedy("p", 10) + " SELECT snap, CAST(step AS BIGINT) AS rank, v, gain, (SELECT count(*) FROM c) - step + 1 AS calls FROM g WHERE step > 0",
-    "greedy_per_snapshot": _BASE + _greedy("ongrid", 5) + " SELECT snap, CAST(sum(gain) AS BIGINT) AS value, string_agg(v, ',' ORDER BY step) AS nodes, CAST(sum(n - step + 1) AS BIGINT) AS calls FROM g JOIN (SELECT snap, count(*) AS n FROM c GROUP BY snap) USING (snap) WHERE step > 0 GROUP BY snap",
+    "greedy_at": _BASE + "p AS (SELECT m AS snap, v, u FROM alive, middle), " + _greedy("p", 10) + " SELECT snap, CAST(step AS BIGINT) AS rank, v, gain, calls FROM g WHERE step > 0",
+    "greedy_per_snapshot": _BASE + _greedy("ongrid", 5) + " SELECT snap, CAST(sum(gain) AS BIGINT) AS value, string_agg(v, ',' ORDER BY step) AS nodes, CAST(sum(calls) AS BIGINT) AS calls FROM g WHERE step > 0 GROUP BY snap",
     "greedy_by_budget": _BASE + _greedy("ongrid", 10) + " SELECT snap, CAST(step AS BIGINT) AS budget, CAST(sum(gain) OVER (PARTITION BY snap ORDER BY step) AS BIGINT) AS value FROM g WHERE step > 0",
     "greedy_prefix": _BASE + "p AS (SELECT snap, v, u FROM interactions JOIN grid ON t <= snap), " + _greedy("p", 5) + " SELECT snap, CAST(sum(gain) AS BIGINT) AS value FROM g GROUP BY snap",
     "greedy_orders": _BASE + _ORDERS + ", " + _greedy("op", 5) + " SELECT snap, CAST(sum(gain) AS BIGINT) AS value FROM g GROUP BY snap",
@@ -122,6 +142,14 @@ SELECT ch.n, CAST(max(value) AS BIGINT) AS value FROM ch JOIN sp ON sp.n <= ch.n
     "scc": _BASE + f"{_graph(0, 3)}, {_reach()} SELECT x.src AS x, min(x.dst) AS scc FROM r x JOIN r y ON x.src = y.dst AND x.dst = y.src GROUP BY x.src",
     "scc_edges": _BASE + f"{_graph(0, 3)}, {_reach()}, s AS (SELECT x.src AS x, min(x.dst) AS scc FROM r x JOIN r y ON x.src = y.dst AND x.dst = y.src GROUP BY x.src) SELECT DISTINCT p.scc AS u, q.scc AS v FROM a JOIN s p ON p.x = a.u JOIN s q ON q.x = a.v WHERE p.scc <> q.scc",
     "sketched_reach": _BASE + f"{_graph(0, 20)}, {_reach()} SELECT src AS x, count(*) AS reward, TRUE AS close FROM r GROUP BY src",
+    "reach_registers": _BASE + _GRAPHS + " SELECT snap, x, register, CAST(rank AS BIGINT) AS rank FROM rg",
+    "reach_registers_by_levels": _BASE + _GRAPHS + " SELECT snap, x, register, CAST(rank AS BIGINT) AS rank FROM rg",
+    "reach_estimate": _BASE + _GRAPHS + ", " + _estimated("rg", "snap, x", "es") + " SELECT snap, x, round(reward, 6) AS reward FROM es",
+    "reach_set_estimate": _BASE + _GRAPHS + ", " + _estimated(_SET, "snap", "es") + " SELECT snap, round(reward, 6) AS reward FROM es",
+    "reach_gain_estimate": _BASE + _GRAPHS + ", " + _estimated(_SET, "snap", "es") + ", bo AS (SELECT n.snap, n.x, register, rank FROM (SELECT DISTINCT snap, x FROM rg) n JOIN " + _SET + " USING (snap) UNION ALL SELECT snap, x, register, rank FROM rg), " + _estimated("bo", "snap, x", "eb") + " SELECT snap, x, round(eb.reward - coalesce(es.reward, 0), 6) AS gain FROM eb LEFT JOIN es USING (snap)",
+    "scc_levels": _BASE + _GRAPHS + ", de AS (SELECT DISTINCT snap, p.scc AS u, q.scc AS v FROM ge JOIN sc p USING (snap) JOIN sc q USING (snap) WHERE p.x = ge.u AND q.x = ge.v AND p.scc <> q.scc), lv(snap, x, d) AS (SELECT DISTINCT snap, scc, 0 FROM sc UNION SELECT l.snap, de.u, l.d + 1 FROM lv l JOIN de ON de.snap = l.snap AND de.v = l.x) SELECT snap, x, CAST(max(d) AS BIGINT) AS level FROM lv GROUP BY snap, x",
+    "reach_size_by_levels": _BASE + _GRAPHS + " SELECT snap, v AS x, count(*) AS reward FROM rr GROUP BY snap, v",
+    "affected_by_batches": _BASE + "bt AS (SELECT u, v, min((t - 1) // e + 1) AS b FROM directed, (SELECT greatest(1, n // 8) AS e FROM size) GROUP BY u, v), rt(v, u, b) AS (SELECT x, x, min(b) FROM (SELECT u AS x, b FROM bt UNION ALL SELECT v, b FROM bt) GROUP BY x UNION SELECT q.v, e.v, greatest(q.b, e.b) FROM rt q JOIN bt e ON e.u = q.u), f AS (SELECT v, u, min(b) AS b FROM rt GROUP BY v, u) SELECT DISTINCT b AS step, v AS x FROM f",
     "edge_probabilities": _BASE + _multiplicity(20) + " SELECT u, v, x, round(p, 6) AS p FROM m2",
     "node_degrees": _BASE + f"{_graph(0, 20)}, e AS (SELECT u AS x, 0 AS i, 1 AS o FROM a UNION ALL SELECT v, 1, 0 FROM a) SELECT x, CAST(sum(i) AS BIGINT) AS n_in, CAST(sum(o) AS BIGINT) AS n_out FROM e GROUP BY x",
     "influence_sketches": _BASE + _sketches() + " SELECT s, x FROM rr",
@@ -145,6 +173,6 @@ SELECT snap, string_agg(DISTINCT g.v, ',' ORDER BY g.v) AS seeds, count(DISTINCT
     "text_weighted": _BASE + _multiplicity(20) + " SELECT u, v, round(p, 9) AS p FROM m2",
     "text_graph": _BASE + _multiplicity(20) + " SELECT u, v, x AS n FROM m2",
     "text_nodes": _BASE + _greedy("ongrid", 5) + " SELECT DISTINCT v + 1000 AS name FROM g WHERE step > 0",
-    "text_series": _BASE + _greedy("ongrid", 10) + " SELECT 'greedy' AS solver, k, snap, printf('%.2f', CAST(sum(gain) AS DOUBLE)) AS value, CAST(sum(n - step + 1) AS BIGINT) AS calls FROM g JOIN (SELECT snap, count(*) AS n FROM c GROUP BY snap) USING (snap), (SELECT CAST(unnest([5, 10]) AS BIGINT) AS k) WHERE step > 0 AND step <= k GROUP BY k, snap",
+    "text_series": _BASE + _greedy("ongrid", 10) + " SELECT 'greedy' AS solver, k, snap, printf('%.2f', CAST(sum(gain) AS DOUBLE)) AS value, CAST(sum(calls) AS BIGINT) AS calls FROM g, (SELECT CAST(unnest([5, 10]) AS BIGINT) AS k) WHERE step > 0 AND step <= k GROUP BY k, snap",
     "streamed_windows": "SELECT CAST(epoch(h) AS BIGINT) AS start, v, count(*) AS n FROM (SELECT date_trunc('hour', ts) AS h, CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) AS v FROM events) WHERE h + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events) GROUP BY ALL",
 }

@@ -1,6 +1,6 @@
 """How jobs are put together: checkpoints, size-checked broadcasts, distributed numbering and running aggregates."""
 
 from .running import numbered, running
-from .steps import cut, shared_path, small
+from .steps import BROADCAST, Kept, cut, shared_path, small
 
-__all__ = ["cut", "numbered", "running", "shared_path", "small"]
+__all__ = ["BROADCAST", "Kept", "cut", "numbered", "running", "shared_path", "small"]

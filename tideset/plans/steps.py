@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,6 +32,25 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+class Kept:
+    """A table that grows by deltas, each kept as it comes. `FAN` parts of one size class become one of the next, so a row is written again a few times at most."""
+
+    FAN = 4
+
+    def __init__(self, first: DataFrame):
+        self._parts = [(0, first)]
+
+    def add(self, delta: DataFrame) -> None:
+        """Add a kept delta."""
+        self._parts.append((0, delta))
+        while len(self._parts) >= self.FAN and self._parts[-1][0] == self._parts[-self.FAN][0]:
+            merged = [self._parts.pop() for _ in range(self.FAN)]
+            self._parts.append((merged[0][0] + 1, cut(reduce(DataFrame.unionByName, [df for _, df in merged]))))
+
+    def table(self) -> DataFrame:
+        return reduce(DataFrame.unionByName, [df for _, df in self._parts])
+
+
 def _width(column: Column, kind: DataType) -> Column:
     """About how many bytes a value takes."""
     if isinstance(kind, (StringType, BinaryType)):
