@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from . import experiments
 from .functions import activation
-from .operators import baselines, graphs, greedy, influence, lifetimes, pruned_list, registers, rewards, sieve
-from .plans import cut, shared_path
+from .operators import baselines, bitmaps, changes, graphs, greedy, influence, lifetimes, pruned_list, registers, rewards, sieve
+from .plans import cut, observed, shared_path
 from .sources import directed, from_events, from_orders, read_edges, read_interactions, read_map, read_nodes, read_weighted, write_nodes, write_series, write_snapshot
 from .streaming import alive_counts, run_stream
 
@@ -383,6 +383,57 @@ def seeds_reach(spark, sf_dir):
     return seeds.groupBy("snap").agg(F.array_join(F.array_sort(F.collect_list("v")), ",").alias("seeds")).join(reached, "snap", "left").select("snap", "seeds", F.coalesce("reached", F.lit(0)).alias("reached"))
 
 
+def edge_changes(spark, sf_dir):
+    """The inserts, changes of probability and erasures of edges at every step of the stream."""
+    feed = changes.edge_changes(directed(_stream(spark, sf_dir)))
+    return feed.withColumn("p", F.round("p", 6))
+
+
+def vertex_changes(spark, sf_dir):
+    return changes.vertex_changes(directed(_stream(spark, sf_dir)))
+
+
+def edges_from_changes(spark, sf_dir):
+    """The live pairs at the middle of the stream, from the feed of changes up to there."""
+    feed = changes.edge_changes(directed(_stream(spark, sf_dir)))
+    return changes.at_step(feed, _middle(spark, sf_dir), ["u", "v"], ["x", "p"]).withColumn("p", F.round("p", 6))
+
+
+def bitmap_set_reward(spark, sf_dir):
+    return bitmaps.set_reward(bitmaps.bitmaps(_on_grid(spark, sf_dir), ["snap"]), _given(spark), ["snap"])
+
+
+def bitmap_set_gain(spark, sf_dir):
+    """Gains over the given set of every venue on the grid."""
+    maps = cut(bitmaps.bitmaps(_on_grid(spark, sf_dir), ["snap"]))
+    covered = bitmaps.union(maps.join(_given(spark), "v", "left_semi"), ["snap"])
+    return bitmaps.gains(maps, covered, ["snap"])
+
+
+def bitmap_greedy(spark, sf_dir):
+    picks = bitmaps.max_coverage(_on_grid(spark, sf_dir), K)
+    return picks.select("snap", F.col("rank").cast("long").alias("rank"), "v", "gain")
+
+
+def replayed_sets(spark, sf_dir):
+    """Greedy's sets through text files, and their rewards on snapshots that are built again: what was told beside what is found."""
+    at = shared_path(spark, "sets")
+    picks = cut(greedy.max_coverage(_on_grid(spark, sf_dir), K))
+    picks.select("snap", "v").write.option("sep", "\t").csv(at)
+    saved = spark.read.schema("snap long, v long").option("sep", "\t").csv(at)
+    told = picks.groupBy("snap").agg(F.sum("gain").alias("told"))
+    return told.join(rewards.set_reward(_on_grid(spark, sf_dir), saved, ["snap"]), "snap", "left").select("snap", "told", F.coalesce("reward", F.lit(0)).alias("found"))
+
+
+def observed_run(spark, sf_dir):
+    """A run of greedy over the grid, and what was gathered while it wrote: live rows, snapshots, calls."""
+    rows, told = observed(_on_grid(spark, sf_dir), live=F.count("*"), last=F.max("snap"))
+    best, made = observed(greedy.solution_value(greedy.max_coverage(cut(rows), K)), snapshots=F.count("*"), calls=F.sum("calls"))
+    best.write.parquet(shared_path(spark, "observed"))
+    figures = {**told.get, **made.get}
+    return spark.createDataFrame([tuple(figures[c] for c in ("live", "last", "snapshots", "calls"))], "live long, last long, snapshots long, calls long")
+
+
 def _written(df: DataFrame, name: str, sep: str = "\t", **options: str) -> str:
     at = shared_path(df.sparkSession, name)
     df.write.options(sep=sep, **options).csv(at)
@@ -461,6 +512,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         largest_reward_so_far, threshold_ranges, greedy_at, greedy_per_snapshot, greedy_prefix, greedy_orders, naive_calls, random_baseline, sieve_prefix, sieve_series,
         lifetime_reduction, pruned_list_series, solution_quality, greedy_by_budget, pruned_list_sweep, reach_size, reach_gain, greedy_reach, reduction_reach, affected_nodes, scc, scc_edges, sketched_reach,
         reach_registers, reach_registers_by_levels, reach_estimate, reach_set_estimate, reach_gain_estimate, scc_levels, reach_size_by_levels, affected_by_batches,
+        edge_changes, vertex_changes, edges_from_changes, bitmap_set_reward, bitmap_set_gain, bitmap_greedy, replayed_sets, observed_run,
         edge_probabilities, node_degrees, influence_sketches, sketch_weights, sketch_budget, influence_maximization, influence_estimate, sketch_update,
         reach_of_set, reach_gain_longer, influence_of_set, seeds_reach, text_stream, text_pairs, text_weighted, text_graph, text_nodes, text_series, streamed_windows, streamed_list,
     )

@@ -99,6 +99,13 @@ def _estimated(rows: str, keys: str, name: str) -> str:
   SELECT {keys}, c, 0.7213 / (1 + 1.079 / 256) * 65536 / (z + 256 - c) AS raw FROM (SELECT {keys}, sum(pow(2.0, -rank)) AS z, count(*) AS c FROM (SELECT {keys}, register, max(rank) AS rank FROM {rows} GROUP BY ALL) GROUP BY {keys})))"""
 
 
+def _changed(keys: str, lives: str) -> str:
+    """(keys, n, x, before) of `lives` (keys, t, l): running counts of lives at the steps that change them."""
+    return f"(SELECT {keys}, n, d, sum(d) OVER (PARTITION BY {keys} ORDER BY n) AS x FROM (SELECT {keys}, n, sum(d) AS d FROM (SELECT {keys}, t AS n, 1 AS d FROM {lives} UNION ALL SELECT {keys}, t + l, -1 FROM {lives}) GROUP BY ALL HAVING sum(d) <> 0))"
+
+
+_KIND = "CASE WHEN x = d THEN 'insert' WHEN x = 0 THEN 'erase' ELSE 'change' END AS change"
+_P = "round(2 / (1 + exp(-0.2 * x)) - 1, 6) AS p"
 _SET = "(SELECT snap, register, rank FROM rg WHERE x IN (SELECT v FROM given))"
 
 ORACLES: dict[str, str] = {
@@ -150,6 +157,14 @@ SELECT ch.n, CAST(max(value) AS BIGINT) AS value FROM ch JOIN sp ON sp.n <= ch.n
     "scc_levels": _BASE + _GRAPHS + ", de AS (SELECT DISTINCT snap, p.scc AS u, q.scc AS v FROM ge JOIN sc p USING (snap) JOIN sc q USING (snap) WHERE p.x = ge.u AND q.x = ge.v AND p.scc <> q.scc), lv(snap, x, d) AS (SELECT DISTINCT snap, scc, 0 FROM sc UNION SELECT l.snap, de.u, l.d + 1 FROM lv l JOIN de ON de.snap = l.snap AND de.v = l.x) SELECT snap, x, CAST(max(d) AS BIGINT) AS level FROM lv GROUP BY snap, x",
     "reach_size_by_levels": _BASE + _GRAPHS + " SELECT snap, v AS x, count(*) AS reward FROM rr GROUP BY snap, v",
     "affected_by_batches": _BASE + "bt AS (SELECT u, v, min((t - 1) // e + 1) AS b FROM directed, (SELECT greatest(1, n // 8) AS e FROM size) GROUP BY u, v), rt(v, u, b) AS (SELECT x, x, min(b) FROM (SELECT u AS x, b FROM bt UNION ALL SELECT v, b FROM bt) GROUP BY x UNION SELECT q.v, e.v, greatest(q.b, e.b) FROM rt q JOIN bt e ON e.u = q.u), f AS (SELECT v, u, min(b) AS b FROM rt GROUP BY v, u) SELECT DISTINCT b AS step, v AS x FROM f",
+    "edge_changes": _BASE + f"z AS (SELECT 1) SELECT n, u, v, CAST(x AS BIGINT) AS x, {_P}, {_KIND} FROM " + _changed("u, v", "directed"),
+    "vertex_changes": _BASE + f"ends AS (SELECT u AS node, t, l FROM directed UNION ALL SELECT v, t, l FROM directed) SELECT n, node AS x, change FROM (SELECT *, {_KIND} FROM " + _changed("node", "ends") + ") WHERE change <> 'change'",
+    "edges_from_changes": _BASE + f"{_graph()} SELECT u, v, count(*) AS x, round(2 / (1 + exp(-0.2 * count(*))) - 1, 6) AS p FROM a GROUP BY u, v",
+    "bitmap_set_reward": _BASE + "z AS (SELECT 1) SELECT snap, count(DISTINCT u) AS reward FROM ongrid WHERE v IN (SELECT v FROM given) GROUP BY snap",
+    "bitmap_set_gain": _BASE + "c AS (SELECT DISTINCT snap, u, 1 AS held FROM ongrid WHERE v IN (SELECT v FROM given)) SELECT snap, v, count(DISTINCT u) FILTER (held IS NULL) AS gain FROM ongrid LEFT JOIN c USING (snap, u) GROUP BY snap, v",
+    "bitmap_greedy": _BASE + _greedy("ongrid", 5) + " SELECT snap, CAST(step AS BIGINT) AS rank, v, gain FROM g WHERE step > 0",
+    "replayed_sets": _BASE + _greedy("ongrid", 5) + " SELECT snap, CAST(sum(gain) AS BIGINT) AS told, CAST(sum(gain) AS BIGINT) AS found FROM g GROUP BY snap",
+    "observed_run": _BASE + _greedy("ongrid", 5) + " SELECT (SELECT count(*) FROM ongrid) AS live, (SELECT max(snap) FROM ongrid) AS last, count(DISTINCT snap) AS snapshots, CAST(sum(calls) AS BIGINT) AS calls FROM g",
     "edge_probabilities": _BASE + _multiplicity(20) + " SELECT u, v, x, round(p, 6) AS p FROM m2",
     "node_degrees": _BASE + f"{_graph(0, 20)}, e AS (SELECT u AS x, 0 AS i, 1 AS o FROM a UNION ALL SELECT v, 1, 0 FROM a) SELECT x, CAST(sum(i) AS BIGINT) AS n_in, CAST(sum(o) AS BIGINT) AS n_out FROM e GROUP BY x",
     "influence_sketches": _BASE + _sketches() + " SELECT s, x FROM rr",
