@@ -15,7 +15,7 @@ from .functions import activation
 from .operators import baselines, bitmaps, changes, graphs, greedy, influence, lifetimes, pruned_list, registers, rewards, sieve
 from .plans import cut, observed, shared_path
 from .sources import directed, from_events, from_orders, read_edges, read_interactions, read_map, read_nodes, read_weighted, write_nodes, write_series, write_snapshot
-from .streaming import alive_counts, run_stream
+from .streaming import alive_counts, live_rewards, run_stream
 
 K, EPS, SKETCHES, LONG, MIXED, LANES = 5, 0.2, 200, 20, 3, 64
 
@@ -494,6 +494,24 @@ def streamed_windows(spark, sf_dir):
     return spark.read.schema("start timestamp, `end` timestamp, v long, n long").parquet(at).select(F.unix_seconds("start").alias("start"), "v", "n")
 
 
+def streamed_rewards(spark, sf_dir):
+    """Each venue's reward as rows come and die, by Structured Streaming: the first half of the stream, and, after a restart, the second. Steps before the last arrival."""
+    stream, half, last = cut(_stream(spark, sf_dir)), _middle(spark, sf_dir), _length(spark, sf_dir)
+    at, out, state = (shared_path(spark, name) for name in ("rows", "rewards", "state"))
+    store = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(store)
+    spark.conf.set(store, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        for part in (F.col("t") <= half, F.col("t") > half):
+            stream.where(part).write.mode("append").parquet(at)
+            rows = spark.readStream.schema("t long, u long, v long, l long").parquet(at)
+            run = live_rewards(rows).writeStream.outputMode("append").format("parquet").option("checkpointLocation", state)
+            run.trigger(availableNow=True).start(out).awaitTermination()
+    finally:
+        spark.conf.set(store, before)
+    return spark.read.schema("v long, n long, reward long").parquet(out).where(F.col("n") < last)
+
+
 def streamed_list(spark, sf_dir):
     """The pruned list of each group of venues by Structured Streaming with keyed state."""
     at = shared_path(spark, "arrivals")
@@ -512,7 +530,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         largest_reward_so_far, threshold_ranges, greedy_at, greedy_per_snapshot, greedy_prefix, greedy_orders, naive_calls, random_baseline, sieve_prefix, sieve_series,
         lifetime_reduction, pruned_list_series, solution_quality, greedy_by_budget, pruned_list_sweep, reach_size, reach_gain, greedy_reach, reduction_reach, affected_nodes, scc, scc_edges, sketched_reach,
         reach_registers, reach_registers_by_levels, reach_estimate, reach_set_estimate, reach_gain_estimate, scc_levels, reach_size_by_levels, affected_by_batches,
-        edge_changes, vertex_changes, edges_from_changes, bitmap_set_reward, bitmap_set_gain, bitmap_greedy, replayed_sets, observed_run,
+        streamed_rewards, edge_changes, vertex_changes, edges_from_changes, bitmap_set_reward, bitmap_set_gain, bitmap_greedy, replayed_sets, observed_run,
         edge_probabilities, node_degrees, influence_sketches, sketch_weights, sketch_budget, influence_maximization, influence_estimate, sketch_update,
         reach_of_set, reach_gain_longer, influence_of_set, seeds_reach, text_stream, text_pairs, text_weighted, text_graph, text_nodes, text_series, streamed_windows, streamed_list,
     )

@@ -157,6 +157,10 @@ SELECT ch.n, CAST(max(value) AS BIGINT) AS value FROM ch JOIN sp ON sp.n <= ch.n
     "scc_levels": _BASE + _GRAPHS + ", de AS (SELECT DISTINCT snap, p.scc AS u, q.scc AS v FROM ge JOIN sc p USING (snap) JOIN sc q USING (snap) WHERE p.x = ge.u AND q.x = ge.v AND p.scc <> q.scc), lv(snap, x, d) AS (SELECT DISTINCT snap, scc, 0 FROM sc UNION SELECT l.snap, de.u, l.d + 1 FROM lv l JOIN de ON de.snap = l.snap AND de.v = l.x) SELECT snap, x, CAST(max(d) AS BIGINT) AS level FROM lv GROUP BY snap, x",
     "reach_size_by_levels": _BASE + _GRAPHS + " SELECT snap, v AS x, count(*) AS reward FROM rr GROUP BY snap, v",
     "affected_by_batches": _BASE + "bt AS (SELECT u, v, min((t - 1) // e + 1) AS b FROM directed, (SELECT greatest(1, n // 8) AS e FROM size) GROUP BY u, v), rt(v, u, b) AS (SELECT x, x, min(b) FROM (SELECT u AS x, b FROM bt UNION ALL SELECT v, b FROM bt) GROUP BY x UNION SELECT q.v, e.v, greatest(q.b, e.b) FROM rt q JOIN bt e ON e.u = q.u), f AS (SELECT v, u, min(b) AS b FROM rt GROUP BY v, u) SELECT DISTINCT b AS step, v AS x FROM f",
+    "streamed_rewards": _BASE + """r AS (SELECT v, u, t, t + l AS e, max(t + l) OVER (PARTITION BY v, u ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pe FROM interactions),
+i AS (SELECT v, u, t, e, sum(CASE WHEN pe IS NULL OR t > pe THEN 1 ELSE 0 END) OVER (PARTITION BY v, u ORDER BY t) AS k FROM r), s AS (SELECT v, min(t) AS a, max(e) AS b FROM i GROUP BY v, u, k),
+ev AS (SELECT v, n, sum(d) AS d FROM (SELECT v, a AS n, 1 AS d FROM s UNION ALL SELECT v, b, -1 FROM s UNION ALL SELECT v, t, 0 FROM interactions) GROUP BY v, n)
+SELECT v, w.n, CAST(x AS BIGINT) AS reward FROM (SELECT v, n, sum(d) OVER (PARTITION BY v ORDER BY n) AS x FROM ev) w, size WHERE w.n < size.n""",
     "edge_changes": _BASE + f"z AS (SELECT 1) SELECT n, u, v, CAST(x AS BIGINT) AS x, {_P}, {_KIND} FROM " + _changed("u, v", "directed"),
     "vertex_changes": _BASE + f"ends AS (SELECT u AS node, t, l FROM directed UNION ALL SELECT v, t, l FROM directed) SELECT n, node AS x, change FROM (SELECT *, {_KIND} FROM " + _changed("node", "ends") + ") WHERE change <> 'change'",
     "edges_from_changes": _BASE + f"{_graph()} SELECT u, v, count(*) AS x, round(2 / (1 + exp(-0.2 * count(*))) - 1, 6) AS p FROM a GROUP BY u, v",

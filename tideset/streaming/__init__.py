@@ -1,5 +1,6 @@
 """Structured Streaming forms of the operators."""
 
 from .live import alive_counts, run_stream
+from .lives import live_rewards
 
-__all__ = ["alive_counts", "run_stream"]
+__all__ = ["alive_counts", "live_rewards", "run_stream"]
