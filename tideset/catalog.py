@@ -15,7 +15,7 @@ from .functions import activation
 from .operators import baselines, bitmaps, changes, graphs, greedy, influence, lifetimes, pruned_list, registers, rewards, sieve
 from .plans import cut, observed, shared_path
 from .sources import directed, from_events, from_orders, read_edges, read_interactions, read_map, read_nodes, read_weighted, write_nodes, write_series, write_snapshot
-from .streaming import alive_counts, live_rewards, run_stream
+from .streaming import alive_counts, keep_sieve, live_rewards, run_stream, sieved
 
 K, EPS, SKETCHES, LONG, MIXED, LANES = 5, 0.2, 200, 20, 3, 64
 
@@ -512,6 +512,17 @@ def streamed_rewards(spark, sf_dir):
     return spark.read.schema("v long, n long, reward long").parquet(out).where(F.col("n") < last)
 
 
+def streamed_sieve(spark, sf_dir):
+    """The sieve kept over four micro-batches of equal counts, with a restart before each: the best set at the end of each batch."""
+    stream, n = cut(_stream(spark, sf_dir).withColumn("stream", F.lit(0))), _length(spark, sf_dir)
+    at, kept, state = (shared_path(spark, name) for name in ("rows", "sieve", "state"))
+    for part in range(4):
+        stream.where((F.col("t") > part * n // 4) & (F.col("t") <= (part + 1) * n // 4)).write.mode("append").parquet(at)
+        rows = spark.readStream.schema("t long, u long, v long, l long, stream int").parquet(at)
+        keep_sieve(rows, kept, state, K, EPS).awaitTermination()
+    return sieved(spark, kept).select("n", "value", "i", F.array_join("nodes", ",").alias("nodes"))
+
+
 def streamed_list(spark, sf_dir):
     """The pruned list of each group of venues by Structured Streaming with keyed state."""
     at = shared_path(spark, "arrivals")
@@ -532,6 +543,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         reach_registers, reach_registers_by_levels, reach_estimate, reach_set_estimate, reach_gain_estimate, scc_levels, reach_size_by_levels, affected_by_batches,
         streamed_rewards, edge_changes, vertex_changes, edges_from_changes, bitmap_set_reward, bitmap_set_gain, bitmap_greedy, replayed_sets, observed_run,
         edge_probabilities, node_degrees, influence_sketches, sketch_weights, sketch_budget, influence_maximization, influence_estimate, sketch_update,
-        reach_of_set, reach_gain_longer, influence_of_set, seeds_reach, text_stream, text_pairs, text_weighted, text_graph, text_nodes, text_series, streamed_windows, streamed_list,
+        reach_of_set, reach_gain_longer, influence_of_set, seeds_reach, text_stream, text_pairs, text_weighted, text_graph, text_nodes, text_series, streamed_windows, streamed_sieve, streamed_list,
     )
 }

@@ -22,46 +22,73 @@ from ..plans import cut, running, small
 from .rewards import largest_so_far
 
 
-def index_ranges(first: DataFrame, k: int, eps: float, by: Sequence[str]) -> DataFrame:
+def levels(first: DataFrame, by: Sequence[str]) -> DataFrame:
+    """(by, most, since): each value that the largest reward of one node takes, and the step from which it does."""
+    return largest_so_far(first, by).groupBy(*by, "most").agg(F.min("n").alias("since"))
+
+
+def ranges_of(levels: DataFrame, k: int, eps: float, by: Sequence[str]) -> DataFrame:
     """(by, i, since, until): the steps at which each threshold index is kept; `until` is null for those kept to the end."""
     by = list(by)
-    most = largest_so_far(first, by).groupBy(*by, "most").agg(F.min("n").alias("since"))  # a row for each value that the largest reward takes
-    ranges = most.withColumn("until", F.lead("since").over(Window.partitionBy(*by).orderBy("since")) - 1)
+    ranges = levels.withColumn("until", F.lead("since").over(Window.partitionBy(*by).orderBy("since")) - 1)
     indexed = ranges.select(*by, "since", "until", F.explode(F.sequence(lowest_index(F.col("most"), eps), highest_index(F.col("most"), k, eps))).alias("i"))
     until = F.when(F.count(F.when(F.col("until").isNull(), 1)) == 0, F.max("until"))
     return indexed.groupBy(*by, "i").agg(F.min("since").alias("since"), until.alias("until"))
 
 
+def index_ranges(first: DataFrame, k: int, eps: float, by: Sequence[str]) -> DataFrame:
+    """`ranges_of` the levels of a stream."""
+    return ranges_of(levels(first, by), k, eps, by)
+
+
 def sieve(first: DataFrame, points: DataFrame, k: int, eps: float, by: Sequence[str] = ("snap",)) -> tuple[DataFrame, DataFrame]:
     """The sets (by, i, v, ins) with the step of each insertion, and the index ranges of `index_ranges`.
 
     first: (by, v, u, ft); points: (by, v, n), the steps at which candidates are looked at. At one step, nodes are looked at by ascending id, after all of the step's rows.
     """
-    by = list(by)
     ranges = cut(index_ranges(first, k, eps, by))
+    return grown(first, points, ranges, k, eps, by), ranges
+
+
+def grown(first: DataFrame, points: DataFrame, ranges: DataFrame, k: int, eps: float, by: Sequence[str] = ("snap",), held: DataFrame | None = None) -> DataFrame:
+    """The insertions (by, i, v, ins) at `points` into the sets `held` of earlier points (none: empty sets).
+
+    Only what the points ask for need be in `first`: the rows, of all steps, of the nodes looked at and of those held.
+    """
+    by = list(by)
+    key = [*by, "i"]
     first = cut(first.select(*by, "v", "u", "ft"))
     points = cut(points.select(*by, "v", "n").distinct())
-    degree = first.groupBy(*by, "v").agg(F.count("*").alias("_d"))
-    live = cut(ranges.join(degree, by).where(F.col("_d") >= threshold(F.col("i"), k, eps)).select(*by, "i", "v", "since", "until"))  # the others never reach it
-    key = [*by, "i"]
+    degree = first.join(points.select(*by, "v").distinct(), [*by, "v"], "left_semi").groupBy(*by, "v").agg(F.count("*").alias("_d"))
+    able = ranges.join(degree, by).where(F.col("_d") >= threshold(F.col("i"), k, eps)).select(*by, "i", "v", "since", "until")  # the others never reach it
     chosen: list[DataFrame] = []
     covered = last = None  # (key, u, c): when the set covers an element; (key, ins, at): its last insertion
-    for _ in range(k):
-        pool = live if last is None else live.join(last, key)
-        if chosen:
-            pool = pool.join(reduce(DataFrame.union, [c.select(*key, "v") for c in chosen]), [*key, "v"], "left_anti")
+    if held is None:
+        live = cut(able.withColumn("room", F.lit(k)))
+    else:
+        held = cut(held.select(*key, "v", "ins"))
+        last = held.groupBy(*key).agg(F.max(F.struct("ins", "v")).alias("x"), F.count("*").alias("size")).select(*key, F.col("x.ins").alias("ins"), F.col("x.v").alias("at"), "size")
+        covered = cut(held.join(first, [*by, "v"]).groupBy(*key, "u").agg(F.min(F.greatest("ft", "ins")).alias("c")))
+        begun = able.join(last, key, "left").withColumn("room", k - F.coalesce("size", F.lit(0)))
+        live = cut(begun.drop("size").where("room > 0").join(held.select(*key, "v"), [*key, "v"], "left_anti"))
+    for turn in range(k):
+        if turn:
+            taken = reduce(DataFrame.union, [c.select(*key, "v") for c in chosen])
+            pool = live.drop("ins", "at").where(F.col("room") > turn).join(last, key).join(taken, [*key, "v"], "left_anti")
+        else:
+            pool = live
         at = ["since", "until"] + (["ins", "at"] if last is not None else [])
         gain = pool.join(first, [*by, "v"])
         deltas = gain.select(*key, "v", F.col("ft").alias("n"), F.lit(1).alias("d"))
         if covered is not None:
-            held = gain.join(covered, [*key, "u"], "left").where("c IS NULL OR c > ft")
-            deltas = held.select(*key, "v", F.col("ft").alias("n"), F.lit(1).alias("d")).union(held.where("c IS NOT NULL").select(*key, "v", "c", F.lit(-1)))
+            left = gain.join(covered, [*key, "u"], "left").where("c IS NULL OR c > ft")
+            deltas = left.select(*key, "v", F.col("ft").alias("n"), F.lit(1).alias("d")).union(left.where("c IS NOT NULL").select(*key, "v", "c", F.lit(-1)))
         looks = pool.select(*key, "v").join(points, [*by, "v"]).select(*key, "v", "n", F.lit(0).alias("d"), F.lit(1).alias("look"))
         steps = deltas.withColumn("look", F.lit(0)).unionByName(looks).groupBy(*key, "v", "n").agg(F.sum("d").alias("d"), F.max("look").alias("look"))
         found = running(steps, [*key, "v"], "n", "d", "gain").where("look = 1").where(F.col("gain") >= threshold(F.col("i"), k, eps)).join(pool.select(*key, "v", *at), [*key, "v"])
         found = found.where("n >= since AND (until IS NULL OR n <= until)")
         if last is not None:
-            found = found.where("n > ins OR n = ins AND v > at")
+            found = found.where("ins IS NULL OR n > ins OR n = ins AND v > at")
         new = cut(found.groupBy(*key).agg(F.min(F.struct("n", "v")).alias("x")).select(*key, F.col("x.n").alias("ins"), F.col("x.v").alias("v")))
         if new.isEmpty():
             break
@@ -70,9 +97,8 @@ def sieve(first: DataFrame, points: DataFrame, k: int, eps: float, by: Sequence[
         own = new.join(first, [*by, "v"]).select(*key, "u", F.greatest("ft", "ins").alias("c"))
         covered = cut((own if covered is None else own.union(covered)).groupBy(*key, "u").agg(F.min("c").alias("c")))
     if not chosen:
-        empty = live.select(*key, "v", F.lit(0).cast("long").alias("ins")).limit(0)
-        return empty, ranges
-    return reduce(DataFrame.union, [c.select(*key, "v", "ins") for c in chosen]), ranges
+        return live.select(*key, "v", F.lit(0).cast("long").alias("ins")).limit(0)
+    return reduce(DataFrame.union, [c.select(*key, "v", "ins") for c in chosen])
 
 
 def _covers(sets: DataFrame, first: DataFrame, by: Sequence[str]) -> DataFrame:

@@ -142,6 +142,11 @@ gr AS (SELECT i, c AS n, sum(count(*)) OVER (PARTITION BY i ORDER BY c) AS value
 sp AS (SELECT i, greatest(n, since) AS n, value, least(coalesce(next, 1000000000000), coalesce(until, 1000000000000)) AS upto FROM gr JOIN ix USING (i)),
 ch AS (SELECT n FROM sp WHERE upto >= n UNION SELECT until + 1 FROM ix WHERE until IS NOT NULL)
 SELECT ch.n, CAST(max(value) AS BIGINT) AS value FROM ch JOIN sp ON sp.n <= ch.n AND ch.n <= sp.upto GROUP BY ch.n""",
+    "streamed_sieve": _BASE + _GROWN + """, en AS (SELECT DISTINCT p * n // 4 AS e FROM size, (SELECT unnest([1, 2, 3, 4]) AS p)),
+cv AS (SELECT e, i, u FROM mem JOIN en ON ins <= e JOIN pf USING (g, v) WHERE ft <= e GROUP BY ALL),
+va AS (SELECT e, i, count(*) AS value FROM cv JOIN ix USING (i) WHERE since <= e AND (until IS NULL OR until >= e) GROUP BY e, i),
+be AS (SELECT e, max(value) AS value, arg_max(i, value * 1000 - i) AS i FROM va GROUP BY e)
+SELECT e AS n, value, CAST(be.i AS BIGINT) AS i, (SELECT string_agg(CAST(v AS VARCHAR), ',' ORDER BY v) FROM mem WHERE mem.i = be.i AND mem.ins <= be.e) AS nodes FROM be""",
     "reach_size": _BASE + f"{_graph()}, {_reach()} SELECT src AS x, count(*) AS reward FROM r GROUP BY src",
     "reach_gain": _BASE + f"{_graph()}, {_reach()}, c AS (SELECT dst FROM r WHERE src IN (SELECT v FROM given)) SELECT src AS x, count(*) FILTER (dst NOT IN (SELECT dst FROM c)) AS gain FROM r GROUP BY src",
     "greedy_reach": _BASE + "ge AS (SELECT DISTINCT snap, u, v FROM directed JOIN grid ON t <= snap AND snap < t + l), rr(snap, v, u) AS (SELECT snap, x, x FROM (SELECT snap, u AS x FROM ge UNION SELECT snap, v FROM ge) UNION SELECT q.snap, q.v, e.v FROM rr q JOIN ge e ON e.snap = q.snap AND e.u = q.u), " + _greedy("rr", 5) + " SELECT snap, CAST(sum(gain) AS BIGINT) AS value FROM g GROUP BY snap",

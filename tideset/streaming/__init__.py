@@ -2,5 +2,6 @@
 
 from .live import alive_counts, run_stream
 from .lives import live_rewards
+from .sieves import KeptSieve, keep_sieve, sieved
 
-__all__ = ["alive_counts", "live_rewards", "run_stream"]
+__all__ = ["KeptSieve", "alive_counts", "keep_sieve", "live_rewards", "run_stream", "sieved"]
