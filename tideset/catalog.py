@@ -6,13 +6,14 @@ The stream is that of `events` (see `sources.from_events`). Snapshots lie at the
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import experiments
 from .functions import activation
-from .operators import baselines, bitmaps, changes, graphs, greedy, influence, lifetimes, pruned_list, registers, rewards, sieve
+from .operators import baselines, bitmaps, changes, graphs, greedy, influence, lifetimes, pruned_list, registers, repair, rewards, sieve
 from .plans import cut, observed, shared_path
 from .sources import directed, from_events, from_orders, read_edges, read_interactions, read_map, read_nodes, read_weighted, write_nodes, write_series, write_snapshot
 from .streaming import alive_counts, keep_sieve, live_rewards, run_stream, sieved
@@ -366,6 +367,21 @@ def sketch_update(spark, sf_dir):
     return gained.union(before.join(after, ["s", "x"], "left_anti").select("s", "x", F.lit("lost").alias("change")))
 
 
+def sketch_repair(spark, sf_dir):
+    """The rows that sketches gain and lose over four moves of ten steps each, by repair of those that the changes touch."""
+    rows = cut(directed(_stream(spark, sf_dir)).withColumn("l", F.col("l") * LONG))
+    edges, vertices = cut(changes.edge_changes(rows)), cut(changes.vertex_changes(rows))
+    slots = spark.read.parquet(f"{sf_dir}/events.parquet").agg(F.max("user_id")).first()[0] + 1
+    at, told = _middle(spark, sf_dir), []
+    kept = repair.KeptSketches(changes.at_step(edges, at, ["u", "v"], ["p"]), SKETCHES, slots)
+    for step in range(1, 5):
+        now = changes.at_step(edges, at + 10, ["u", "v"], ["p"])
+        moved = kept.move(now, changes.between(edges, at, at + 10, ["u", "v"], F.col("p")), changes.between(vertices, at, at + 10, ["x"], F.lit(1)))
+        told.append(moved.select(F.lit(step).alias("step"), "s", "x", "change"))
+        at += 10
+    return reduce(DataFrame.union, told)
+
+
 def influence_of_set(spark, sf_dir):
     held, graph = _sketches(spark, sf_dir)
     return influence.influence(held, _given(spark).withColumnRenamed("v", "x"), nodes=graphs.nodes(graph)).select(F.round("influence", 6).alias("influence"))
@@ -542,7 +558,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         lifetime_reduction, pruned_list_series, solution_quality, greedy_by_budget, pruned_list_sweep, reach_size, reach_gain, greedy_reach, reduction_reach, affected_nodes, scc, scc_edges, sketched_reach,
         reach_registers, reach_registers_by_levels, reach_estimate, reach_set_estimate, reach_gain_estimate, scc_levels, reach_size_by_levels, affected_by_batches,
         streamed_rewards, edge_changes, vertex_changes, edges_from_changes, bitmap_set_reward, bitmap_set_gain, bitmap_greedy, replayed_sets, observed_run,
-        edge_probabilities, node_degrees, influence_sketches, sketch_weights, sketch_budget, influence_maximization, influence_estimate, sketch_update,
+        edge_probabilities, node_degrees, influence_sketches, sketch_weights, sketch_budget, influence_maximization, influence_estimate, sketch_update, sketch_repair,
         reach_of_set, reach_gain_longer, influence_of_set, seeds_reach, text_stream, text_pairs, text_weighted, text_graph, text_nodes, text_series, streamed_windows, streamed_sieve, streamed_list,
     )
 }

@@ -47,3 +47,12 @@ def at_step(feed: DataFrame, step: int, keys: Sequence[str], columns: Sequence[s
     """(keys, columns) as a feed left them at a step, without what is erased: each key's last row up to it."""
     last = feed.where(F.col("n") <= step).groupBy(*keys).agg(F.max_by(F.struct("change", *columns), "n").alias("_last"))
     return last.where("_last.change <> 'erase'").select(*keys, *[F.col(f"_last.{c}").alias(c) for c in columns])
+
+
+def between(feed: DataFrame, after: int, upto: int, keys: Sequence[str], column: Column) -> DataFrame:
+    """(keys, before, now): `column` of the keys that a feed tells of in the steps after < n <= upto, as it was at `after` and is at `upto`; null where a key is not there."""
+    asked = feed.where((F.col("n") > after) & (F.col("n") <= upto)).select(*keys).distinct()
+    told = feed.where(F.col("n") <= upto).join(asked, list(keys), "left_semi").select(*keys, "n", F.when(F.col("change") != "erase", column).alias("_x"))
+    early = F.col("n") <= after
+    last = told.groupBy(*keys).agg(F.max_by(F.struct("_x"), F.when(early, F.col("n"))).alias("_b"), F.max_by(F.struct("_x"), "n").alias("_a"))
+    return last.select(*keys, F.col("_b._x").alias("before"), F.col("_a._x").alias("now"))

@@ -184,6 +184,14 @@ SELECT v, w.n, CAST(x AS BIGINT) AS reward FROM (SELECT v, n, sum(d) OVER (PARTI
     "sketch_update": _BASE + _sketches() + ", " + _sketches(1, "1") + " SELECT s, x, 'gained' AS change FROM (SELECT s, x FROM rr1 EXCEPT SELECT s, x FROM rr) UNION ALL SELECT s, x, 'lost' FROM (SELECT s, x FROM rr EXCEPT SELECT s, x FROM rr1)",
     "reach_of_set": _BASE + f"{_graph(0, 20)}, {_reach()} SELECT count(DISTINCT dst) AS reward, TRUE AS close FROM r WHERE src IN (SELECT v FROM given)",
     "reach_gain_longer": _BASE + f"{_graph(0, 20)}, {_reach()}, c AS (SELECT DISTINCT dst FROM r WHERE src IN (SELECT v FROM given)) SELECT src AS x, count(*) FILTER (dst NOT IN (SELECT dst FROM c)) AS gain FROM r GROUP BY src",
+    "sketch_repair": _BASE + """ks AS (SELECT unnest([0, 1, 2, 3, 4]) AS k),
+gm AS (SELECT k, u, v, 2 / (1 + exp(-0.2 * count(*))) - 1 AS p FROM directed, middle, ks WHERE t <= m + 10 * k AND m + 10 * k < t + l * 20 GROUP BY k, u, v),
+nd AS (SELECT DISTINCT k, x FROM (SELECT k, u AS x FROM gm UNION ALL SELECT k, v FROM gm)),
+dw AS (SELECT s, j, CAST(CAST('0x' || substr(md5('z|' || s || '|' || j), 1, 8) AS UBIGINT) % (SELECT max(u) + 1 FROM interactions) AS BIGINT) AS x FROM (SELECT unnest(generate_series(0, 199)) AS s), (SELECT unnest(generate_series(0, 999)) AS j)),
+tk AS (SELECT k, s, arg_min(x, j) AS x FROM dw JOIN nd USING (x) GROUP BY k, s),
+hk(k, s, x) AS (SELECT k, s, x FROM tk UNION SELECT q.k, q.s, e.u FROM hk q JOIN gm e ON e.k = q.k AND e.v = q.x WHERE CAST('0x' || substr(md5(q.s || '|' || e.u || '|' || e.v), 1, 8) AS UBIGINT) / 4294967296.0 < e.p)
+SELECT k AS step, s, x, 'gained' AS change FROM (SELECT k, s, x FROM hk WHERE k > 0 EXCEPT SELECT k + 1, s, x FROM hk)
+UNION ALL SELECT k, s, x, 'lost' FROM (SELECT k + 1 AS k, s, x FROM hk WHERE k < 4 EXCEPT SELECT k, s, x FROM hk)""",
     "influence_of_set": _BASE + _sketches() + " SELECT round((SELECT count(*) FROM o) * count(DISTINCT s) / (SELECT count(DISTINCT s) FROM rr), 6) AS influence FROM rr WHERE x IN (SELECT v FROM given)",
     "seeds_reach": _BASE + """mg AS (SELECT snap, u, v, 2 / (1 + exp(-0.2 * count(*))) - 1 AS p FROM directed JOIN grid ON t <= snap AND snap < t + l GROUP BY ALL),
 og AS (SELECT snap, x, row_number() OVER (PARTITION BY snap ORDER BY x) - 1 AS rank, count(*) OVER (PARTITION BY snap) AS n FROM (SELECT snap, u AS x FROM mg UNION SELECT snap, v FROM mg)),
