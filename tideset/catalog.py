@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from . import experiments
 from .functions import activation
-from .operators import baselines, bitmaps, changes, graphs, greedy, influence, lifetimes, pruned_list, registers, repair, rewards, sieve
+from .operators import baselines, bitmaps, changes, expiry_list, graphs, greedy, influence, lifetimes, pruned_list, registers, repair, rewards, sieve
 from .plans import cut, observed, shared_path
 from .sources import directed, from_events, from_orders, read_edges, read_interactions, read_map, read_nodes, read_weighted, write_nodes, write_series, write_snapshot
 from .streaming import alive_counts, keep_sieve, live_rewards, run_stream, sieved
@@ -192,6 +192,16 @@ def pruned_list_series(spark, sf_dir):
     return pruned_list.run_list(_lanes(_stream(spark, sf_dir), LANES), K, EPS, ["lane"])
 
 
+def pruned_list_batches(spark, sf_dir):
+    """The list of the whole stream, not dealt by keys, after each of five batches; lifetimes are stretched to outlive a batch."""
+    n = _length(spark, sf_dir)
+    stream = cut(_stream(spark, sf_dir).withColumn("l", F.col("l") * max(1, n // 250)))
+    kept = expiry_list.ExpiryList(spark, shared_path(spark, "list"), K, EPS, max(1, n // 40))
+    for part in range(5):
+        kept.take(stream.where((F.col("t") > part * n // 5) & (F.col("t") <= (part + 1) * n // 5)), part)
+    return kept.told(spark).withColumn("nodes", F.array_join("nodes", ","))
+
+
 def solution_quality(spark, sf_dir):
     """Each solver's value, and its share of greedy's, on the grid and by groups of venues."""
     values = experiments.solver_values(_lanes(_stream(spark, sf_dir), 4), *_grid(spark, sf_dir), K, EPS, by=["lane"])
@@ -555,7 +565,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         stream_edges, directed_edges, alive_edges, alive_size_per_step, prefix_reward, batch_steps, batch_steps_to_end, venue_reward, max_singleton_per_step, set_reward, set_gain, given_set_eval,
         largest_reward_so_far, threshold_ranges, greedy_at, greedy_per_snapshot, greedy_prefix, greedy_orders, naive_calls, random_baseline, sieve_prefix, sieve_series,
-        lifetime_reduction, pruned_list_series, solution_quality, greedy_by_budget, pruned_list_sweep, reach_size, reach_gain, greedy_reach, reduction_reach, affected_nodes, scc, scc_edges, sketched_reach,
+        lifetime_reduction, pruned_list_series, pruned_list_batches, solution_quality, greedy_by_budget, pruned_list_sweep, reach_size, reach_gain, greedy_reach, reduction_reach, affected_nodes, scc, scc_edges, sketched_reach,
         reach_registers, reach_registers_by_levels, reach_estimate, reach_set_estimate, reach_gain_estimate, scc_levels, reach_size_by_levels, affected_by_batches,
         streamed_rewards, edge_changes, vertex_changes, edges_from_changes, bitmap_set_reward, bitmap_set_gain, bitmap_greedy, replayed_sets, observed_run,
         edge_probabilities, node_degrees, influence_sketches, sketch_weights, sketch_budget, influence_maximization, influence_estimate, sketch_update, sketch_repair,

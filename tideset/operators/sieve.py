@@ -67,7 +67,7 @@ def grown(first: DataFrame, points: DataFrame, ranges: DataFrame, k: int, eps: f
         live = cut(able.withColumn("room", F.lit(k)))
     else:
         held = cut(held.select(*key, "v", "ins"))
-        last = held.groupBy(*key).agg(F.max(F.struct("ins", "v")).alias("x"), F.count("*").alias("size")).select(*key, F.col("x.ins").alias("ins"), F.col("x.v").alias("at"), "size")
+        last = held.groupBy(*key).agg(F.max(F.struct("ins", "v")).alias("_x"), F.count("*").alias("size")).select(*key, F.col("_x.ins").alias("ins"), F.col("_x.v").alias("at"), "size")
         covered = cut(held.join(first, [*by, "v"]).groupBy(*key, "u").agg(F.min(F.greatest("ft", "ins")).alias("c")))
         begun = able.join(last, key, "left").withColumn("room", k - F.coalesce("size", F.lit(0)))
         live = cut(begun.drop("size").where("room > 0").join(held.select(*key, "v"), [*key, "v"], "left_anti"))
@@ -89,7 +89,7 @@ def grown(first: DataFrame, points: DataFrame, ranges: DataFrame, k: int, eps: f
         found = found.where("n >= since AND (until IS NULL OR n <= until)")
         if last is not None:
             found = found.where("ins IS NULL OR n > ins OR n = ins AND v > at")
-        new = cut(found.groupBy(*key).agg(F.min(F.struct("n", "v")).alias("x")).select(*key, F.col("x.n").alias("ins"), F.col("x.v").alias("v")))
+        new = cut(found.groupBy(*key).agg(F.min(F.struct("n", "v")).alias("_x")).select(*key, F.col("_x.n").alias("ins"), F.col("_x.v").alias("v")))
         if new.isEmpty():
             break
         chosen.append(new)
