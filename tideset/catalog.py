@@ -193,12 +193,12 @@ def pruned_list_series(spark, sf_dir):
 
 
 def pruned_list_batches(spark, sf_dir):
-    """The list of the whole stream, not dealt by keys, after each of five batches; lifetimes are stretched to outlive a batch."""
+    """The list of the whole stream, not dealt by keys, after each of three batches; lifetimes are stretched to outlive a batch."""
     n = _length(spark, sf_dir)
     stream = cut(_stream(spark, sf_dir).withColumn("l", F.col("l") * max(1, n // 250)))
-    kept = expiry_list.ExpiryList(spark, shared_path(spark, "list"), K, EPS, max(1, n // 40))
-    for part in range(5):
-        kept.take(stream.where((F.col("t") > part * n // 5) & (F.col("t") <= (part + 1) * n // 5)), part)
+    kept = expiry_list.ExpiryList(spark, shared_path(spark, "list"), K, EPS, max(1, n // 20))
+    for part in range(3):
+        kept.take(stream.where((F.col("t") > part * n // 3) & (F.col("t") <= (part + 1) * n // 3)), part)
     return kept.told(spark).withColumn("nodes", F.array_join("nodes", ","))
 
 
