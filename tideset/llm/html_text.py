@@ -1,13 +1,15 @@
 """Main text of web pages by removal of site templates.
 
 Each page is read into elements, and every block element gets a hash of all that it holds, built bottom-up from those of the elements in it.
-Spark counts these hashes per host, and subtrees that recur on many pages of a host (`min_pages`, and a share of `min_share` of its pages) are
+Blocks that hold links only, or little text and are no part of an article by their tag, role, class or place, get a second hash, their outline: the same
+without the text, runs of equal children counted as one. So menus, adverts and footers that are drawn anew for each page recur too. Spark counts these hashes per host, and subtrees that recur on many pages of a host (`min_pages`, and a share of `min_share` of its pages) are
 deleted as its template. Pages are told apart by their longest block, but for blocks that stand on most of the host's pages: copies of one article
 count once, though their titles, links or scripts differ, so an article is no template of a host that copies it. Running text of an article (paragraphs, headings, lists)
 is never taken for a template, however often it recurs, and a page that is nothing but templates keeps them.
 
-What stands on one page only can't be told by counts. Elements that are never part of an article (menus, forms, scripts, comments of readers
-and so on) go by tag, role or class (`by_name`), and where what is left lies in part in an `article` or `main` element, that part is taken (`by_article`).
+Only what these counts leave undecided is judged by lists: blocks with too much text for an outline, and outlines on too few pages. Of these, elements that are
+never part of an article (menus, forms, scripts, comments of readers and so on) go by tag, role or class (`by_name`), and where what is left lies in part in an
+`article` or `main` element, that part is taken (`by_article`).
 
 Reading takes time in proportion to the page: nothing is read twice, and elements deeper than 512 levels become siblings, as in browsers.
 """
@@ -40,6 +42,7 @@ _HEAD_HINTS = frozenset("header masthead topbar".split())
 _CLOSES = {"li": ("li", "ul ol menu dir"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "tr": ("tr", "table"), "td": ("td th", "tr table"), "th": ("td th", "tr table"), "tbody": ("tbody thead tfoot", "table"), "thead": ("tbody thead tfoot", "table"), "tfoot": ("tbody thead tfoot", "table"), "option": ("option", "select datalist"), "body": ("head", "html")}
 _UNSEEN = frozenset("head script style title template noscript iframe object svg canvas noembed noframes".split())
 DEPTH, SALTS = 512, 16
+LITTLE = 256  # characters outside of links, below which a block has an outline
 _CLOSES = {k: (frozenset(a.split()), frozenset(b.split())) for k, (a, b) in _CLOSES.items()}
 
 _MARKUP = re.compile(r"<(?:!--|[!?]|/[a-zA-Z]|[a-zA-Z])")
@@ -52,8 +55,8 @@ _END = {t: re.compile(rf"</{t}(?=[\s/>])", re.I) for t in _RAW}
 
 @dataclass
 class Page:
-    """Elements in page order: parent, tag, class and id, words of these that tell, role, whether hidden, hash (None: no text in it, or no block), length of
-    its own text without that of blocks in it.
+    """Elements in page order: parent, tag, class and id, words of these that tell, role, whether hidden, hash (None: no text in it, or no block), outline, length of
+    its own text without that of blocks in it, length of all text in it that is in no link.
 
     `flow` holds (element, text), and None for a block's edge.
     """
@@ -65,7 +68,9 @@ class Page:
     role: list[str] = field(default_factory=list)
     hidden: list[bool] = field(default_factory=list)
     hash: list[int | None] = field(default_factory=list)
+    outline: list[int] = field(default_factory=list)
     size: list[int] = field(default_factory=list)
+    loose: list[int] = field(default_factory=list)
     flow: list[tuple[int, str | None]] = field(default_factory=list)
 
 
@@ -75,12 +80,17 @@ def _marks(classes: str, id_: str) -> frozenset[str]:
     return frozenset(_NAMES.findall(classes)) | (frozenset(own) if own and all(w in _HINTS or w in _HEAD_HINTS for w in own) else frozenset())
 
 
+def _digest(*parts: str) -> int:
+    return xxhash.xxh3_64_intdigest("\x1f".join(parts).encode("utf-8", "surrogatepass")) - (1 << 63)
+
+
 class _Reader:
     """Reads a page. Missing end tags are implied as browsers do for paragraphs, list items and tables; stray end tags are ignored."""
 
     def __init__(self, text: str):
         self.text, self.page, self.stack, self.open = text, Page(), [], Counter()
         self.parts: list[list[str]] = []  # of each open element, what its hash is made of
+        self.drawn: list[list[str]] = []  # and its outline
         self.full: list[bool] = []  # whether it holds text
         self.plain = False  # after an attribute that does not end, tags end at the next > whatever their quotes
         self.lacking: set[str] = set()  # quotes of which no more follow
@@ -91,23 +101,34 @@ class _Reader:
             inner = " ".join(text.split())
             if inner:
                 self.parts[-1].append(inner)
+                self.draw("~")
                 self.full[-1] = True
                 self.page.size[self.stack[-1]] += len(inner)
+                if not self.open["a"]:
+                    self.page.loose[self.stack[-1]] += len(inner)
+
+    def draw(self, part: str) -> None:
+        if not self.drawn[-1] or self.drawn[-1][-1] != part:
+            self.drawn[-1].append(part)
 
     def close(self, depth: int) -> None:
         page, flow = self.page, self.page.flow
         while len(self.stack) > depth:
-            x, parts, full = self.stack.pop(), self.parts.pop(), self.full.pop()
+            x, parts, drawn, full = self.stack.pop(), self.parts.pop(), self.drawn.pop(), self.full.pop()
             tag = page.tag[x]
             self.open[tag] -= 1
             if tag in _BLOCK:
                 flow.append((x, None))
-            digest = xxhash.xxh3_64_intdigest("\x1f".join([tag, page.names[x], *parts]).encode("utf-8", "surrogatepass")) - (1 << 63)
+            digest = _digest(tag, page.names[x], *parts)
+            page.outline[x] = _digest("~", tag, page.names[x], *drawn)
             if full and tag in _BLOCK:
                 page.hash[x] = digest
             if self.stack:
                 if tag not in _BLOCK and tag not in _UNSEEN:
                     page.size[self.stack[-1]] += page.size[x]
+                if tag not in _UNSEEN:
+                    page.loose[self.stack[-1]] += page.loose[x]
+                    self.draw(f"\x1e{page.outline[x]}")
                 self.parts[-1].append(f"\x1e{digest}")
                 self.full[-1] = self.full[-1] or full
 
@@ -178,7 +199,9 @@ class _Reader:
         page.role.append(role)
         page.hidden.append(hidden)
         page.hash.append(None)
+        page.outline.append(0)
         page.size.append(0)
+        page.loose.append(0)
         if name in _BLOCK:
             page.flow.append((x, None))
         if name in _VOID or attributes.endswith("/") and name not in _BLOCK and name not in _RAW and not _ATTRIBUTE.search(attributes):
@@ -187,6 +210,7 @@ class _Reader:
             return False
         self.stack.append(x)
         self.parts.append([])
+        self.drawn.append([])
         self.full.append(False)
         self.open[name] += 1
         return True
@@ -266,6 +290,20 @@ def subtrees(page: Page, inside: list[bool]) -> dict[int, int]:
     return {x: h for x, h in enumerate(page.hash) if h is not None and page.tag[x] not in ("html", "body", "head") and not (inside[x] and page.tag[x] in _PROSE)}
 
 
+def outlines(page: Page, inside: list[bool], never: list[bool], by_article: bool = True) -> dict[int, int]:
+    """Outlines of the elements that may belong to a template drawn anew for each page: all their text is in links, or there is little of it and it is
+    beside the page's article or in what is never part of one. What lies in an article or holds one has none."""
+    holds: set[int] = set()
+    for x, own in enumerate(inside):
+        p = page.parent[x]
+        if own and (p < 0 or not inside[p]):
+            while p >= 0 and p not in holds:
+                holds.add(p)
+                p = page.parent[p]
+    beside = by_article and any(inside)
+    return {x: page.outline[x] for x, h in enumerate(page.hash) if h is not None and not inside[x] and x not in holds and page.tag[x] not in ("html", "body", "head") and page.loose[x] < LITTLE and (beside or never[x] or not page.loose[x])}
+
+
 def _blocks(page: Page, taken) -> list[str]:
     """The text of the blocks, of the elements that `taken` takes (-1: of none)."""
     found, parts = [], []
@@ -280,24 +318,28 @@ def _blocks(page: Page, taken) -> list[str]:
     return [b for b in (" ".join(b.split()) for b in found) if b]
 
 
-def main_text(page: Page, templates: set[int], by_name: bool = True, by_article: bool = True) -> str:
-    """What is left without templates and what is never part of an article: the article's blocks, or without an element for it all of them."""
+def main_text(page: Page, templates: set[int], undecided: set[int] | None = None, by_name: bool = True, by_article: bool = True) -> str:
+    """What is left without templates and without what lists tell of the rest: the article's blocks, or without an element for it all of them.
+
+    `templates` holds hashes of subtrees and outlines. Lists judge what has no outline, and outlines in `undecided` (None: all).
+    """
     inside, never = roles(page, by_name)
+    drawn = outlines(page, inside, never, by_article)
 
-    def left(templates: set[int]) -> list[str]:
-        gone = list(never)
-        if templates:
-            for x, h in subtrees(page, inside).items():
-                gone[x] = gone[x] or h in templates
+    def left(templates: set[int], undecided: set[int] | None) -> list[str]:
+        whole = subtrees(page, inside) if templates else {}
+        gone, unseen, decided = [], [], []
         for x, p in enumerate(page.parent):
-            gone[x] = gone[x] or p >= 0 and gone[p]
-        own = _blocks(page, lambda x: x >= 0 and inside[x] and not gone[x]) if by_article else []
-        return own or _blocks(page, lambda x: x < 0 or not gone[x])
+            unseen.append(page.tag[x] in _UNSEEN or p >= 0 and unseen[p])
+            decided.append(p >= 0 and decided[p] or undecided is not None and x in drawn and drawn[x] not in undecided)
+            gone.append(p >= 0 and gone[p] or unseen[x] or never[x] and not decided[x] or whole.get(x) in templates or drawn.get(x) in templates)
+        own = by_article and _blocks(page, lambda x: x >= 0 and inside[x] and not gone[x])
+        return _blocks(page, lambda x: x < 0 and not own or x >= 0 and not gone[x] and (not own or inside[x] or decided[x]))
 
-    return "\n\n".join(left(templates) or left(set()))
+    return "\n\n".join(left(templates, undecided) or left(set(), None))
 
 
-def _hashes(by_name: bool):
+def _hashes(by_name: bool, by_article: bool):
     def run(batches):
         import pyarrow as pa
 
@@ -306,10 +348,12 @@ def _hashes(by_name: bool):
             for text in part.column("html").to_pylist():
                 page = read(text)
                 sizes: dict[int, int] = {}
-                for x, h in subtrees(page, roles(page, by_name)[0]).items():
+                inside, never = roles(page, by_name)
+                for x, h in subtrees(page, inside).items():
                     sizes[h] = max(sizes.get(h, 0), page.size[x])
-                found.append([{"subtree": h, "size": n} for h, n in sorted(sizes.items())])
-            kinds = pa.list_(pa.struct([("subtree", pa.int64()), ("size", pa.int32())]))
+                drawn = sorted(set(outlines(page, inside, never, by_article).values()))
+                found.append([{"subtree": h, "size": n, "outline": False} for h, n in sorted(sizes.items())] + [{"subtree": h, "size": 0, "outline": True} for h in drawn])
+            kinds = pa.list_(pa.struct([("subtree", pa.int64()), ("size", pa.int32()), ("outline", pa.bool_())]))
             yield pa.RecordBatch.from_arrays([part.column("host"), part.column("h"), pa.array(found, kinds)], ["host", "h", "found"])
 
     return run
@@ -320,7 +364,8 @@ def _texts(by_name: bool, by_article: bool):
         import pyarrow as pa
 
         for part in sliced(batches):
-            out = [main_text(read(text), set(t or ()), by_name, by_article) for text, t in zip(part.column("html").to_pylist(), part.column("templates").to_pylist(), strict=True)]
+            held = zip(part.column("html").to_pylist(), part.column("templates").to_pylist(), part.column("undecided").to_pylist(), strict=True)
+            out = [main_text(read(text), set(t or ()), set(u or ()), by_name, by_article) for text, t, u in held]
             yield pa.RecordBatch.from_arrays([part.column("page"), part.column("url"), pa.array(out, pa.string())], ["page", "url", "text"])
 
     return run
@@ -330,7 +375,8 @@ def extract(pages: DataFrame, page_col: str = "page_id", url_col: str = "url", h
     """One row (page_col, url_col, text, n_chars) for each row of `pages`.
 
     Blocks of the text are joined by two line breaks; within one, white space is a single space and character references are decoded.
-    With neither `by_name` nor `by_article` only counts per host tell what is not part of a text, but for scripts and other elements that aren't shown.
+    With neither `by_name` nor `by_article` only counts per host tell what is not part of a text, but for scripts and other elements that aren't shown; outlines then
+    are those of blocks that hold links only.
 
     Defined cases: null or empty HTML gives an empty text. Pages with a null URL, or one without `://`, share the empty host. Pages with equal
     host and HTML count once and get equal texts; ids may repeat or be null. Where a tag or comment does not end, the rest of the page is text or comment;
@@ -339,7 +385,7 @@ def extract(pages: DataFrame, page_col: str = "page_id", url_col: str = "url", h
     host = split_url(url_col)[0]
     source = pages.select(F.col(page_col).alias("page"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"), host.alias("host"))
     source = source.withColumn("h", F.xxhash64("html"))
-    read_ = cut(source.select("host", "h", "html").mapInArrow(_hashes(by_name), "host string, h long, found array<struct<subtree:long,size:int>>").distinct())
+    read_ = cut(source.select("host", "h", "html").mapInArrow(_hashes(by_name, by_article), "host string, h long, found array<struct<subtree:long,size:int,outline:boolean>>").distinct())
     found = read_.select("host", "h", F.inline("found")).withColumn("salt", F.pmod("h", F.lit(SALTS)).cast("int"))
     often = found.groupBy("host", "subtree").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
     often = cut(often.join(small(cut(read_.groupBy("host").agg(F.count("*").alias("pages")))), "host"))
@@ -352,9 +398,10 @@ def extract(pages: DataFrame, page_col: str = "page_id", url_col: str = "url", h
     met = cut(found.select("h", *at).join(small(cut(often.select("host", "subtree", salts.alias("salt")))), at))
     counts = met.join(cut(told_apart), ["host", "h"], "left").select("host", "subtree", F.coalesce("key.subtree", "h").alias("key")).distinct().groupBy("host", "subtree").agg(F.count("*").alias("n"))
     least = F.greatest(F.lit(min_pages), F.ceil(F.col("pages") * min_share))
-    templates = cut(counts.join(often.select("host", "subtree", "pages"), ["host", "subtree"]).where(F.col("n") >= least).select("host", "subtree", salts.alias("salt")))
-    matched = cut(met.join(small(templates), at, "left_semi").groupBy("host", "h").agg(F.collect_set("subtree").alias("templates")))
-    told = source.join(small(matched), ["host", "h"], "left").select("page", "url", "html", "templates")
+    templates = (counts.join(often.select("host", "subtree", "pages"), ["host", "subtree"]).where(F.col("n") >= least).select("host", "subtree", salts.alias("salt")))
+    judged = found.join(small(cut(templates.withColumn("often", F.lit(True)))), at, "left").where("often OR outline")
+    matched = cut(judged.groupBy("host", "h").agg(F.collect_set(F.when(F.col("often"), F.col("subtree"))).alias("templates"), F.collect_set(F.when(F.col("often").isNull(), F.col("subtree"))).alias("undecided")))
+    told = source.join(small(matched), ["host", "h"], "left").select("page", "url", "html", "templates", "undecided")
     kinds = pages.schema
     done = told.mapInArrow(_texts(by_name, by_article), f"page {kinds[page_col].dataType.simpleString()}, url {kinds[url_col].dataType.simpleString()}, text string")
     return done.select(F.col("page").alias(page_col), F.col("url").alias(url_col), "text", F.length("text").cast("long").alias("n_chars"))
