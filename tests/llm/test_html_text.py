@@ -59,6 +59,41 @@ def test_articles_of_the_tables_are_whole(spark):
         assert r["n_chars"] == len(r["text"])
 
 
+@pytest.mark.parametrize("lists", [{"by_name": False}, {"by_article": False}])
+def test_either_list_can_be_missing_where_templates_are_counted(spark, lists):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    few = html_text.split_url("url")[0]
+    hosts = pages.groupBy(few.alias("host")).count().where("count >= 8").select("host")
+    pages = pages.withColumn("host", few).join(hosts, "host").cache()
+    assert pages.count() > 50
+    assert rows(html_text.extract(pages, **lists), "page_id", "text") == rows(html_text.extract(pages), "page_id", "text")
+
+
+def test_without_templates_what_they_tell_stays(spark):
+    source = [r["html"] for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()]
+    for markup in source:
+        page = html_text.read(markup)
+        inside, never = html_text.roles(page)
+        drawn = set(html_text.outlines(page, inside, never).values())
+        told, none = html_text.main_text(page, drawn, set()), html_text.main_text(page, set(), set())
+        assert told == html_text.main_text(page, set()) and none != told and len(none) > len(told)
+
+
+def test_menus_and_adverts_drawn_anew_for_each_page_go(spark):
+    """Only links, or little text beside an article: outlines recur. Little text of a page without an article stays, rare adverts go by name."""
+    menu = lambda i: "<div><ul>" + "".join(f"<li><a href=/{i}-{j}>to {i} {j}</a></li>" for j in range(3 + i % 4)) + "</ul></div>"
+    bare = [(i, "http://a/x", f"<body>{menu(i)}<div>Title {i}</div><div>Story <a>number</a> {i}, told.</div></body>") for i in range(9)]
+    with_article = [(20 + i, "http://b/x", f"<body>{menu(i)}<div>Buy {i} now</div><article><p>Story {i}</p></article>{'<div class=ad>once</div>' * (i == 3)}</body>") for i in range(9)]
+    few = [(40 + i, "http://c/x", f"<body>{menu(i)}<p>Story {i}</p><div class=advert>x{i}</div></body>") for i in range(3)]
+    df = spark.createDataFrame([(*r, None, None, None) for r in bare + with_article + few], PAGE)
+    got = {r["page_id"]: r["text"] for r in html_text.extract(df).collect()}
+    assert got[4] == "Title 4\n\nStory number 4, told."
+    assert [got[i] for i in (22, 23)] == ["Story 2", "Story 3"]
+    assert got[41] == "to 1 0\n\nto 1 1\n\nto 1 2\n\nto 1 3\n\nStory 1"
+    alone = {r["page_id"]: r["text"] for r in html_text.extract(df, by_name=False, by_article=False).collect()}
+    assert alone[4] == got[4] and alone[22] == "Buy 2 now\n\nStory 2"
+
+
 def test_awkward_rows(spark):
     deep, many = "<div>" * 3000 + "deep" + "</div>" * 3000, "<article>" + "<p>w\U0001f600</p>" * 30_000 + "</article>"
     data = [(None, None, None), (1, None, ""), (2, "no url", "<p>x"), (2, "no url", "<p>x"), (3, "http://a", deep), (4, "http://a", many), (5, "http://a", "<a b='c" * 2000), (6, "http://a", "</p></div><<>&amp")]

@@ -1,7 +1,7 @@
 """URL filtering: allow and block rules by host and path, and a logistic regression for what no rule decides.
 
-The regression's terms are character n-grams of the host (between marks) and of the path, hashed into a fixed number of slots. It is
-trained on the driver from a small labelled table of URLs. Its score is a sum over terms, so a host's part is computed once for a task.
+The regression's terms are character n-grams of the host (between marks) and of the path, in which all digits are alike, hashed into a fixed number of
+slots. It is trained on the driver from a small labelled table of URLs (`url_table`). Its score is a sum over terms, so a host's part is computed once for a task.
 """
 
 from __future__ import annotations
@@ -16,49 +16,17 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .common import LOWER, UPPER
+from .url_table import ALLOW, BLOCK
 
 SLOTS = 1 << 18
+HOST_SIZES, PATH_SIZES = (2, 3, 4, 5), (3,)
+_DIGITS = str.maketrans("123456789", "000000000")
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
 
-# Words of hosts and paths that are commonly blocked, and of plain ones.
-_BLOCKED = """casino poker bet bets betting jackpot slots lottery roulette viagra pills pharma meds rx adult xxx porn cams escort hookup payday loan loans forex
-replica cheap discount bonus giveaway prize winner win free crack warez keygen torrent serial affiliate ads adserver clicks tracker redirect popup
-backlinks linkfarm spam seo bulk followers likes weightloss miracle""".split()
-_PLAIN = """library museum school university hospital city garden cooking recipes weather railway parliament bank bakery theatre orchestra village church
-history science journal astronomy geology forum bicycle chess football news radio travel guide hotel camping nature birds forest river mountain
-archive dictionary encyclopedia docs health dental clinic law council planning energy solar water transport airport ferry books music film art
-craft wool ceramics insurance college physics maths biology market harbour bridge castle tower records photos maps atlas help support blog shop""".split()
-_BLOCKED_PATHS, _PLAIN_PATHS = "win buy offer bonus deal promo spin play now join claim order".split(), "about contact news help docs history events team article index research archive".split()
-_SYLLABLES = "ba co di fe gu ha jo ka li mo na pe ri so ta ve wo an er in on us al th st ch nd rk ell ght ham ton ley berg dorf ville".split()
 
-
-def _drawn(*of) -> int:
-    """A number that is drawn by a hash, the same everywhere."""
-    return xxhash.xxh3_64_intdigest(repr(of).encode())
-
-
-def labelled_rows(n: int = 1200) -> list[tuple[str, int]]:
-    """The small labelled table: `n` URLs (url, label), a third of them to block.
-
-    Hosts are one, two or three words joined in the ways that hosts are, among plain ones also names that mean nothing; schemes, top-level domains, www,
-    language folders, numbers and queries are drawn alike for both labels, so that they tell nothing.
-    """
-    rows = []
-    for i in range(n):
-        label = int(i % 3 == 0)
-        pick = lambda words, *of, i=i: words[_drawn(i, *of) % len(words)]
-        words = _BLOCKED if label else _PLAIN
-        if not label and i % 3 == 2:
-            name = "".join(pick(_SYLLABLES, "s", j) for j in range(2 + _drawn(i, "length") % 3))
-        else:
-            own = [pick(words, "w", j) for j in range(1 + _drawn(i, "words") % 3)]
-            own = own if label or _drawn(i, "mixed") % 2 else [*own, "".join(pick(_SYLLABLES, "m", j) for j in range(2))]
-            name = ("-", "-", "")[_drawn(i, "joined") % 3].join(dict.fromkeys(own))
-        parts = [pick(["http", "https"], "scheme"), "://", pick(["", "", "www.", "m.", "blog."], "sub"), name, pick([".com", ".org", ".net", ".info", ".example.com", ".example.org", ".example.net"], "tld")]
-        folder = pick(["", "", "/en", "/de", "/fr", "/es"], "folder")
-        leaf = pick(_BLOCKED_PATHS if label else _PLAIN_PATHS, "leaf") if _drawn(i, "kind") % 2 else str(_drawn(i, "n") % 10_000)
-        rows.append(("".join([*parts, folder, "/", leaf, pick(["", "", "/", ".html", "?ref=x", "?page=2", "#top"], "end")]), label))
-    return rows
+def labelled_rows() -> list[tuple[str, int]]:
+    """The small labelled table (url, label): 1 to block, 0 to allow."""
+    return [*((u, 1) for u in BLOCK), *((u, 0) for u in ALLOW)]
 
 
 def split_url(url: str | Column) -> tuple[Column, Column]:
@@ -82,13 +50,17 @@ def matched_rule(host: Column, path: Column, rules: Sequence[tuple[str, str]] =
     return F.lit(None).cast("struct<rule:string,verdict:string>") if found is None else found
 
 
-def grams(text: str, kind: str, sizes: Sequence[int] = (3, 4, 5)) -> list[int]:
+def grams(text: str, kind: str, sizes: Sequence[int]) -> list[int]:
     """The slots of a text's distinct character n-grams; `kind` keeps those of host and path apart."""
     return [xxhash.xxh3_64_intdigest(g.encode("utf-8", "surrogatepass"), seed=len(kind)) % SLOTS for g in {text[i : i + n] for n in sizes for i in range(len(text) - n + 1)}]
 
 
-def _terms(host: str, path: str) -> list[int]:
-    return [*grams(f"^{host}$", "host"), *grams(path, "path.")]
+def host_terms(host: str) -> list[int]:
+    return grams(f"^{host}$", "host", HOST_SIZES)
+
+
+def path_terms(path: str) -> list[int]:
+    return grams(path.translate(_DIGITS), "path.", PATH_SIZES)
 
 
 @dataclass
@@ -107,7 +79,7 @@ def fit(rows: list[tuple[str, str, int]], l2: float = 0.0002, steps: int = 1500,
     if not len(rows) or labels.min() == labels.max():
         share = (labels.sum() + 0.5) / (len(labels) + 1)
         return Model(weights, float(np.log(share / (1 - share))))
-    terms = [_terms(h, p) for h, p, _ in rows]
+    terms = [host_terms(h) + path_terms(p) for h, p, _ in rows]
     slots, ids = np.unique(np.concatenate([np.array(t, np.int64) for t in terms]), return_inverse=True)
     own = np.repeat(np.arange(len(rows)), [len(t) for t in terms])
     value = 1 / np.sqrt(np.array([max(len(t), 1) for t in terms]))[own]
@@ -130,7 +102,7 @@ def train(labelled: DataFrame, url_col: str = "url", label_col: str = "label", m
 
 
 def labelled_urls(spark: SparkSession) -> DataFrame:
-    """The small labelled table that the query uses (see `labelled_rows`)."""
+    """The small labelled table that the query uses (see `url_table`)."""
     return spark.createDataFrame(labelled_rows(), "url string, label int")
 
 
@@ -150,9 +122,9 @@ def _scores(model: Model):
                 if known is None:
                     if len(hosts) > 200_000:
                         hosts.clear()
-                    terms = grams(f"^{host}$", "host")
+                    terms = host_terms(host)
                     known = hosts[host] = (len(terms), sum(kept.get(t, 0.0) for t in terms))
-                terms = grams(path, "path.")
+                terms = path_terms(path)
                 z = bias + (known[1] + sum(kept.get(t, 0.0) for t in terms)) / max(known[0] + len(terms), 1) ** 0.5
                 out.append(1 / (1 + float(np.exp(-z))))
             yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("host"), batch.column("path"), pa.array(out, pa.float64())], ["row", "host", "path", "score"])
