@@ -58,3 +58,13 @@ def test_awkward_rows(spark, awkward, tmp_path):
     sharding.write_shards(out, str(tmp_path / "out"), files=2)
     assert rows(spark.read.parquet(str(tmp_path / "out")), "doc_id", "shard") == rows(out, "doc_id", "shard")
     assert sharding.shard(df.limit(0), names, slots=101).count() == 0
+
+
+def test_shards_are_written_whole_whatever_the_columns(spark, tmp_path):
+    df = spark.range(40).selectExpr("id", "IF(id % 4 = 0, NULL, id % 2) AS shard", "id % 3 AS _salt", "map('k', id) AS m")
+    df = df.union(df)
+    sharding.write_shards(df, str(tmp_path / "out"), files=3)
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert rows(back.selectExpr("id", "shard", "_salt", "m['k']"), "id", "shard", "_salt", "m[k]") == rows(df.selectExpr("id", "shard", "_salt", "m['k']"), "id", "shard", "_salt", "m[k]")
+    sharding.write_shards(df.limit(0), str(tmp_path / "none"))
+    assert not [f for f in (tmp_path / "none").iterdir() if f.name.startswith("shard=")]

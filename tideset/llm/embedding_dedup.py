@@ -162,6 +162,8 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     every vector is indexed and compared. The number of cells is in proportion to the vectors: beyond `most_cells` each is cut into up to
     `most_cells` more, so that cells stay at `cell_size` vectors and a vector is copied equally often from there on.
 
+    Ids are whole numbers, or texts of these; other ids stop the query with a cast error.
+
     Defined cases: vectors that are null, empty or zero or have null or non-finite components link with nothing. Vectors link only with
     vectors of their own length. Repeated rows link with each other like other equal vectors; rows of one id are in one component. A row with a null id
     links with nothing, has no component and is kept. Other columns are ignored.

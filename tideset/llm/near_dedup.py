@@ -245,6 +245,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if it has fewer, nothing if it has none. Two texts link if 100 * intersection >= percent * union of the full sets.
     A pair at a similarity of 0.75 meets in some band with probability 1 - (1 - 0.75 ** rows) ** bands, 0.9999 here.
 
+    Ids are whole numbers, or texts of these; other ids stop the query with a cast error.
+
     Defined cases: a null or empty text links with nothing. Rows with equal ids are one document: a link of any of them links all.
     A row with a null id links with nothing, its component_id is null and it is kept. Other columns are ignored.
     """

@@ -12,6 +12,8 @@ import hashlib
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import unused
+
 SLOTS = 65_537
 MOST_SLOTS = 1_000_003
 
@@ -59,6 +61,12 @@ def shard(df: DataFrame, shards: list[str], key_col: str = "doc_id", spread_col:
 
 
 def write_shards(df: DataFrame, path: str, shard_col: str = "shard", files: int = 8) -> None:
-    """Write each shard to a folder of its own in about `files` files; the salt keeps a large shard from being one task's."""
-    salted = df.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(files)))
-    salted.repartition(shard_col, "_salt").drop("_salt").write.partitionBy(shard_col).parquet(path)
+    """Write each shard to a folder of its own in about `files` files; the salt keeps a large shard from being one task's.
+
+    Defined cases: rows with a null shard get the folder that Spark names for null; an empty table writes no folder of a shard. A column `_salt` of `df` stays.
+    The salt is a hash of the row but for maps, so a task that runs again deals its rows as before; many equal rows of one shard share a file.
+    """
+    salt = unused(df, "_salt")
+    hashed = [F.col(f"`{f.name}`") for f in df.schema if "map<" not in f.dataType.simpleString()]
+    salted = df.withColumn(salt, F.pmod(F.xxhash64(*hashed), F.lit(files)))
+    salted.repartition(shard_col, salt).drop(salt).write.partitionBy(shard_col).parquet(path)
