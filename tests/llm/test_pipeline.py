@@ -70,3 +70,27 @@ def test_all_stages_bear_an_empty_table(spark):
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, SF).count() == 0
     assert decontaminate.clean(docs, spark.read.parquet(f"{SF}/benchmark.parquet")).count() == 0
+
+
+def test_stages_bound_the_bytes_of_arrow_batches(spark):
+    def counted(batches):
+        import pyarrow as pa
+
+        yield pa.RecordBatch.from_arrays([pa.array([sum(1 for _ in batches)])], ["n"])
+
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
+    wide = spark.range(40, numPartitions=1).selectExpr("repeat(string(id % 10), 1000000) AS text")
+    try:
+        for step, stage in corpus_pipeline.STAGES:
+            if step != "decontamination":  # without Python workers
+                for given in ("64m", "1g", "67108864"):
+                    spark.conf.set(name, given)
+                    stage(spark, docs, SF)
+                    assert spark.conf.get(name) == f"{4 << 20}b", step
+        assert wide.mapInArrow(counted, "n long").first()["n"] >= 8
+        spark.conf.set(name, "1m")
+        corpus_pipeline.sequence_packing(spark, docs, SF)
+        assert spark.conf.get(name) == "1m"
+    finally:
+        spark.conf.unset(name)

@@ -93,6 +93,37 @@ def test_awkward_rows(spark, awkward):
     assert toxicity.score(df.limit(0), none).count() == 0
 
 
+def test_a_text_is_sent_to_python_once(spark, monkeypatch):
+    def sizes(*_):
+        def run(batches):
+            import pyarrow as pa
+
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([float(batch.nbytes)] * batch.num_rows)], ["row", "score"])
+
+        return run
+
+    df = spark.createDataFrame([(1, "x" * 500_000, 5)], "doc_id long, Text string, n int").coalesce(1)
+    monkeypatch.setattr(toxicity, "_scores", sizes)
+    assert toxicity.score(df, None).first()["score"] < 600_000
+
+
+def test_the_text_may_stand_anywhere(spark):
+    model = toxicity.Model(np.array(sorted({s for s in toxicity.terms("insult")})), np.full(5, 1.0), np.zeros((5, 4)), -1.0)
+    want = [1 / (1 + np.exp(-4)), 1 / (1 + np.exp(1))]
+    df = spark.createDataFrame([(1, "an insult", "b"), (2, "praise", "insult")], "doc_id long, Text string, other string")
+    for docs, name in ((df, "text"), (df.select("other", "Text"), "Text"), (df.select("Text"), "Text"), (df.selectExpr("doc_id", "struct(Text, other) AS s", "other AS text"), "s.Text")):
+        out = toxicity.score(docs, model, text_col=name)
+        assert out.columns == [*docs.columns, "score"] and np.allclose(sorted(r["score"] for r in out.collect()), sorted(want))
+        assert rows(out.drop("score")) == rows(docs)
+
+
+def test_the_words_kept_are_few():
+    cache = toxicity._Terms()
+    assert all(cache[f"w{i}"] == toxicity.terms(f"w{i}") for i in range(0, 300_000, 7)) and all(cache[f"v{i}"] for i in range(200_000))
+    assert len(cache) <= 1 << 17
+
+
 def test_the_remainder_is_that_of_the_text_of_the_id(spark):
     import zlib
 

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
-from .common import cut, sliced, texts
+from .common import cut, sliced, texts, unused
 
 SLOTS = 1 << 22
 _WORD = re.compile(r"\w+")
@@ -41,14 +41,16 @@ def words_of(text: bytes) -> set[str]:
 
 
 class _Terms(dict):
-    """word to slots; `only`: the slots that count."""
+    """word to slots, of the words met last; `only`: the slots that count."""
+
+    MOST = 1 << 17  # some 30 MB
 
     def __init__(self, only: dict[int, int] | None = None):
         super().__init__()
         self.only = only
 
     def __missing__(self, word: str) -> tuple[int, ...]:
-        if len(self) > 1_000_000:
+        if len(self) >= self.MOST:
             self.clear()
         found = terms(word)
         self[word] = found = found if self.only is None else tuple(self.only[x] for x in found if x in self.only)
@@ -217,19 +219,21 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return fit([useful[x] for x in rows], known, paired=in_pairs, **options)
 
 
-def _scores(model: Model):
+def _scores(model: Model, at: int):
+    """Arrow batches (row) to (row, score), by the text that is the field number `at` of a row."""
+
     def run(batches):
         import pyarrow as pa
 
         cache = _Terms({int(s): i for i, s in enumerate(model.slots)})
         for batch in sliced(batches):
-            out = []
-            for text in texts(batch):
+            out, row = [], batch.column(0)
+            for text in texts(pa.RecordBatch.from_arrays([row.field(at)], ["text"])):
                 ids = set()
                 for word in words_of(text):
                     ids.update(cache[word])
                 out.append(model.score(np.fromiter(ids, np.int64, len(ids))))
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(batch.num_columns - 1)), pa.array(out, pa.float64())], [*batch.schema.names[:-1], "score"])
+            yield pa.RecordBatch.from_arrays([row, pa.array(out, pa.float64())], ["row", "score"])
 
     return run
 
@@ -237,12 +241,15 @@ def _scores(model: Model):
 def score(docs: DataFrame, model: Model, text_col: str = "text", score_col: str = "score") -> DataFrame:
     """The rows of `docs` with their texts' probabilities of label 1 in `score_col` (a column of that name is replaced).
 
-    Every text is read whole. Null and empty texts have no terms and score the bias alone.
+    Every text is read whole, and is sent to Python once, within its row. Null and empty texts have no terms and score the bias alone.
     """
     kept = docs.drop(score_col)
-    inner = kept.select(F.struct(*[F.col(f"`{c}`") for c in kept.columns]).alias("row"), F.col(text_col).alias("text"))
-    scored = inner.mapInArrow(_scores(model), StructType([inner.schema["row"], StructField("score", DoubleType())]))
-    return scored.select("row.*", F.col("score").alias(score_col))
+    names = [c.lower() for c in kept.columns]
+    at = kept.columns.index(text_col) if text_col in kept.columns else names.index(text_col.lower()) if text_col.lower() in names else len(names)
+    apart = [F.col(text_col).alias(unused(kept, "text"))] if at == len(names) else []  # a field of a struct
+    inner = kept.select(F.struct(*[F.col(f"`{c}`") for c in kept.columns], *apart).alias("row"))
+    scored = inner.mapInArrow(_scores(model, at), StructType([inner.schema["row"], StructField("score", DoubleType())]))
+    return scored.select(*[F.col(f"row.`{c}`") for c in kept.columns], F.col("score").alias(score_col))
 
 
 def remainder(id_: str | Column) -> Column:
