@@ -2,12 +2,14 @@
 
 import random
 
+import pandas as pd
 import pytest
 import replay
 from support import rows
 
-from tideset.operators import rewards, sieve
+from tideset.operators import graphs, rewards, sieve
 from tideset.streaming import KeptSieve
+from tideset.streaming.lives import _Lives
 
 K, EPS = 3, 0.3
 
@@ -45,3 +47,59 @@ def test_a_kept_sieve_by_slices_gives_the_values_of_a_replay(spark, tmp_path, mo
     for number, part in enumerate(parts):
         kept.take(spark.createDataFrame([(0, *r) for r in part], "stream int, t long, u long, v long"), number)
     assert rows(kept.table(spark, "best"), "n", "value") == [(p[-1][0], value[p[-1][0]]) for p in parts]
+
+
+class _Ends:
+    """A map state that counts its calls."""
+
+    def __init__(self):
+        self.held, self.calls = {}, 0
+
+    def iterator(self):
+        return iter(list(self.held.items()))
+
+    def updateValue(self, key, value):
+        self.held[key], self.calls = value, self.calls + 1
+
+    def removeKey(self, key):
+        del self.held[key]
+        self.calls += 1
+
+
+class _Handle:
+    def __init__(self):
+        self.ends, self.timers = _Ends(), []
+
+    def getMapState(self, name, keys, *values):
+        return self.ends
+
+    def registerTimer(self, at):
+        self.timers.append(at)
+
+
+def test_users_that_come_and_go_within_a_batch_never_reach_the_state_store():
+    draw = random.Random(4)
+    stream = [(t, draw.randrange(30), draw.choice([1, 2, 7, 15])) for t in range(1, 401)]
+    lives, told = _Lives(), {}
+    handle = _Handle()
+    lives.init(handle)
+    for part in (stream[:250], stream[250:]):
+        for out in lives.handleInputRows((7,), iter([pd.DataFrame(part, columns=["t", "u", "l"])]), None):
+            told |= dict(zip(out.n, out.reward))
+    alive = lambda n: len({u for t, u, life in stream if t <= n < t + life})
+    assert told == {n: alive(n) for n in told} and {t for t, _, _ in stream} <= set(told)
+    assert handle.ends.held == {(u,): (max(t + life for t, x, life in stream if x == u),) for u in {x for t, x, life in stream if t + life > 400}}
+    assert handle.ends.calls <= 2 * alive(250) + alive(400) and len(handle.timers) <= alive(250) + alive(400)
+
+
+@pytest.mark.parametrize(("seed", "size"), [(1, 8), (2, 20), (3, 60)])
+def test_components_that_grow_tell_whose_reach_does(spark, seed, size):
+    draw = random.Random(seed)
+    edges = [(1 + at // 12, draw.randrange(size), draw.randrange(size)) for at in range(48)]
+    found = rows(graphs.affected_by_batches(spark.createDataFrame(edges, "step long, u long, v long")), "step", "x")
+    wanted, before = [], {}
+    for step in range(1, 5):
+        after = replay.reach([(u, v) for s, u, v in edges if s <= step])
+        wanted += [(step, x) for x in sorted(after) if after[x] != before.get(x)]
+        before = after
+    assert found == wanted
