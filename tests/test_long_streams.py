@@ -7,7 +7,7 @@ import pytest
 import replay
 from support import rows
 
-from tideset.operators import graphs, rewards, sieve
+from tideset.operators import graphs, pruned_list, rewards, sieve
 from tideset.streaming import KeptSieve
 from tideset.streaming.lives import _Lives
 
@@ -103,3 +103,19 @@ def test_components_that_grow_tell_whose_reach_does(spark, seed, size):
         wanted += [(step, x) for x in sorted(after) if after[x] != before.get(x)]
         before = after
     assert found == wanted
+
+
+def test_values_at_single_steps_walk_their_periods_only(spark):
+    draw = random.Random(9)
+    stream = [(draw.choice("ab"), t, draw.randrange(9), draw.randrange(6), draw.choice([1, 1, 2, 9])) for t in range(1, 201)]
+    df = spark.createDataFrame(stream, "key string, t long, u long, v long, l long")
+    held, period, wanted = {}, {}, []
+    for key, t, u, v, life in stream:
+        period[key] = period.get(key, 0) + (held.get(key, 0) < t)
+        held[key] = max(held.get(key, 0), t + life - 1)
+        wanted.append((key, t, period[key]))
+    assert max(period.values()) > 3
+    assert rows(pruned_list.periods(df, ["key"]), "key", "t", "period") == sorted(wanted)
+    steps = df.where("t % 7 = 0")
+    full = rows(pruned_list.run_list(df, 3, 0.2, ["key"]).where("t % 7 = 0"), "key", "t", "value")
+    assert rows(pruned_list.values_at(df, steps, 3, 0.2, ["key"]), "key", "t", "value") == full

@@ -38,7 +38,8 @@ def solver_values(stream: DataFrame, start: int, stop: int, every: int, k: int,
     first = rewards.first_times(rows, group)
     sets, ranges = sieve.sieve(first, rows.select(*group, "v", F.col("t").alias("n")), k, eps, group)
     latest = rows.groupBy(*group).agg(F.max("t").alias("t"))
-    listed = pruned_list.run_list(stream, k, eps, by).select(*by, "t", "value").join(latest, [*by, "t"])
+    latest = cut(latest)
+    listed = pruned_list.values_at(stream, latest, k, eps, by).join(latest, [*by, "t"])
     found = {
         "greedy": greedy.solution_value(greedy.max_coverage(rows, k, group), group),
         "reduction": sieve.best_set(sets, ranges, first, group),

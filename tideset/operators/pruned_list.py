@@ -18,6 +18,9 @@ from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..plans import cut, running
 
 
 class Coverage:
@@ -180,3 +183,22 @@ def run_list(stream: DataFrame, k: int, eps: float, by: Sequence[str] = (), rewa
                 yield pd.DataFrame(out, columns=[*by, "t", "value", "nodes", "calls", "n_sieves"])
 
     return placed.mapInPandas(walk, ", ".join([*(f"{c} {kinds[c]}" for c in by), SCHEMA]))
+
+
+def periods(stream: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """The stream with `period`: it grows at each row of a key that comes when no earlier row of it is alive. No sieve outlives a period, so each begins with an empty list."""
+    by = list(by)
+    keyed = stream.withColumns({"_all": F.lit(0), "_last": F.col("t") + F.col("l") - 1})
+    ends = keyed.groupBy("_all", *by, "t").agg(F.max("_last").alias("_last"))
+    gone = running(ends.select("_all", *by, (F.col("t") + 1).alias("t"), "_last", F.lit(0).alias("_row")).unionByName(ends.select("_all", *by, "t", F.lit(None).cast("long").alias("_last"), F.lit(1).alias("_row"))), ["_all", *by], "t", "_last", "_held", "max")
+    begun = cut(gone.where("_row = 1").select("_all", *by, "t", F.when(F.coalesce(F.col("_held") >= F.col("t"), F.lit(False)), 0).otherwise(1).alias("_new")))
+    return keyed.join(running(begun, ["_all", *by], "t", "_new", "period").drop("_new"), ["_all", *by, "t"]).drop("_all", "_last")
+
+
+def values_at(stream: DataFrame, steps: DataFrame, k: int, eps: float, by: Sequence[str] = (), reward: str = "coverage") -> DataFrame:
+    """(by, t, value) of `run_list` at `steps` (by, t). Only periods (see `periods`) that hold such a step can tell its value, so only these are walked, side by side."""
+    by = list(by)
+    placed = cut(periods(stream, by))
+    asked = placed.join(steps.select(*by, "t").distinct(), [*by, "t"], "left_semi").groupBy(*by, "period").agg(F.max("t").alias("_end"))
+    held = placed.join(asked, [*by, "period"]).where("t <= _end")
+    return run_list(held, k, eps, [*by, "period"], reward).select(*by, "t", "value").join(steps.select(*by, "t").distinct(), [*by, "t"], "left_semi")
