@@ -14,6 +14,11 @@ from pyspark.sql import functions as F
 from ..plans import Kept, cut, small
 
 
+def _kept(df: DataFrame) -> DataFrame:
+    """`df`, kept in at most as many parts as shuffles have. Kept tables and their unions hand their parts on from join to join, so that these add up in loops."""
+    return cut(df.coalesce(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+
+
 def edges(stream: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """The distinct edges (by, u, v) without self-loops."""
     return stream.where("u <> v").select(*by, "u", "v").distinct()
@@ -67,19 +72,19 @@ def components(graph: DataFrame, by: Sequence[str] = (), trims: int = 3) -> Data
     lie within one colour each, so only edges of one colour outside of those found are left. No pairs of nodes are ever made but edges.
     """
     by = list(by)
-    graph = cut(edges(graph, by))
+    graph = _kept(edges(graph, by))
     left, found = graph, []
     while True:
         for _ in range(trims):
             inner = left.select(*by, F.col("u").alias("x")).intersect(left.select(*by, F.col("v")))
             left = left.join(inner.withColumnRenamed("x", "u"), [*by, "u"], "left_semi").join(inner.withColumnRenamed("x", "v"), [*by, "v"], "left_semi").select(*by, "u", "v")
-        left = cut(left)
+        left = _kept(left)
         if left.isEmpty():
             break
-        colour = cut(_colours(left, by))
+        colour = _kept(_colours(left, by))
         same = left.join(colour.select(*by, F.col("x").alias("u"), "c"), [*by, "u"]).join(colour.select(*by, F.col("x").alias("v"), "c"), [*by, "v", "c"])
-        same = cut(same.select(*by, "c", "u", "v"))
-        members = cut(_reaching(colour.where("x = c"), same, [*by, "c"]))
+        same = _kept(same.select(*by, "c", "u", "v"))
+        members = _kept(_reaching(colour.where("x = c"), same, [*by, "c"]))
         found.append(members)
         for end in ("u", "v"):
             same = same.join(members.select(*by, F.col("x").alias(end)), [*by, end], "left_anti")
@@ -95,24 +100,25 @@ def components(graph: DataFrame, by: Sequence[str] = (), trims: int = 3) -> Data
 
 def _colours(graph: DataFrame, by: list[str]) -> DataFrame:
     """(by, x, c): the smallest node that reaches each node."""
-    fresh = cut(nodes(graph, by).withColumn("c", F.col("x")))
+    fresh = _kept(nodes(graph, by).withColumn("c", F.col("x")))
     known = Kept(fresh)
     while True:
         held = known.table().groupBy(*by, "x").agg(F.min("c").alias("c"))
         sent = fresh.withColumnRenamed("x", "u").join(graph, [*by, "u"]).groupBy(*by, F.col("v").alias("x")).agg(F.min("c").alias("_c"))
-        fresh = cut(sent.join(held, [*by, "x"]).where("_c < c").select(*by, "x", F.col("_c").alias("c")))
+        fresh = _kept(sent.join(held, [*by, "x"]).where("_c < c").select(*by, "x", F.col("_c").alias("c")))
         if fresh.isEmpty():
             return held
         known.add(fresh)
 
 
-def _reaching(roots: DataFrame, graph: DataFrame, by: list[str]) -> DataFrame:
-    """(by, x): the nodes that reach the roots (by, x)."""
-    fresh = cut(roots.select(*by, "x"))
+def _reaching(roots: DataFrame, graph: DataFrame, by: list[str], of: Sequence[str] = ()) -> DataFrame:
+    """(by, of, x): the nodes that reach the roots (by, of, x); `of` names roots and is no column of the graph."""
+    own = [*by, *of]
+    fresh = _kept(roots.select(*own, "x"))
     known = Kept(fresh)
     while True:
-        back = fresh.withColumnRenamed("x", "v").join(graph, [*by, "v"]).select(*by, F.col("u").alias("x")).distinct()
-        fresh = cut(back.join(known.table(), [*by, "x"], "left_anti"))
+        back = fresh.withColumnRenamed("x", "v").join(graph, [*by, "v"]).select(*own, F.col("u").alias("x")).distinct()
+        fresh = _kept(back.join(known.table(), [*own, "x"], "left_anti"))
         if fresh.isEmpty():
             return known.table()
         known.add(fresh)
@@ -241,12 +247,64 @@ class GrowingReach:
         return cut(loops.union(gained))
 
 
+class GrowingComponents:
+    """The components of a graph that grows by batches of edges, and the edges between them; it tells whose reach a batch grows, without the pairs that `GrowingReach` holds.
+
+    A node's reach grows where it reaches the start of a new edge but not its end. Whole components do so together, and a batch's edges within a component change nothing. So
+    what is searched are components above the ends of edges between two of them: marks go up the order once for all edges to nodes seen first, and by ends for the others.
+    A batch's components are those of the order so far and the batch's edges between components, not of the graph.
+    """
+
+    def __init__(self):
+        self.members = self.order = self.added = None  # (x, c): a node's component; (u, v) between components; those of the last batch
+
+    def _settle(self) -> None:
+        """Merge the components that the last batch has joined."""
+        graph = self.added if self.order is None else self.order.unionByName(self.added)
+        scc = _kept(components(graph, trims=1))
+        renamed = self.members.join(scc.withColumnRenamed("x", "c"), "c", "left")
+        self.members, self.order, self.added = _kept(renamed.select("x", F.coalesce("scc", "c").alias("c"))), _kept(condensed(graph, scc)), None
+
+    def extend(self, batch: DataFrame) -> DataFrame:
+        """Add edges (u, v); the nodes (x) whose reach grows, kept."""
+        batch = _kept(edges(batch))
+        if self.members is None:
+            fresh = _kept(nodes(batch))
+            self.members, self.added = fresh.select("x", F.col("x").alias("c")), batch
+            return fresh
+        if self.added is not None:
+            self._settle()
+        fresh = _kept(nodes(batch).join(self.members, "x", "left_anti"))
+        placed = _kept(self.members.unionByName(fresh.select("x", F.col("x").alias("c"))))
+        named = batch.join(placed.select(F.col("x").alias("u"), F.col("c").alias("_u")), "u").join(placed.select(F.col("x").alias("v"), F.col("c").alias("_v")), "v")
+        named = _kept(named.where("_u <> _v").select(F.col("_u").alias("u"), F.col("_v").alias("v")).distinct())
+        if named.isEmpty():
+            return fresh  # and none is new
+        grown = self.members.join(self._gaining(named, fresh).select(F.col("x").alias("c")), "c", "left_semi").select("x")
+        grown = _kept(grown.union(fresh))
+        self.members, self.added = placed, named
+        return grown
+
+    def _gaining(self, named: DataFrame, fresh: DataFrame) -> DataFrame:
+        """The known components (x) that reach more by the edges `named` between components, of which `fresh` are new nodes."""
+        start, end = fresh.select(F.col("x").alias("u")), fresh.select(F.col("x").alias("v"))
+        old = _kept(named.join(start, "u", "left_anti"))
+        found = _kept(_reaching(old.join(end, "v", "left_semi").select(F.col("u").alias("x")).distinct(), self.order, []))
+        pairs = _kept(old.join(end, "v", "left_anti").join(found.select(F.col("x").alias("u")), "u", "left_anti"))
+        if pairs.isEmpty():
+            return found
+        ends = pairs.select(F.col("u").alias("e")).union(pairs.select("v")).distinct()
+        above = _kept(_reaching(ends.withColumn("x", F.col("e")), self.order, [], ["e"]))
+        gain = pairs.join(above.withColumnRenamed("e", "u"), "u").select("v", "x").distinct()
+        return found.union(gain.join(above.withColumnRenamed("e", "v"), ["v", "x"], "left_anti").select("x")).distinct()
+
+
 def affected_by_batches(stream: DataFrame, step: str = "step") -> DataFrame:
     """(step, x): the nodes whose reach grows with each batch of edges (step, u, v), batches in ascending order."""
-    stream = cut(stream.select(step, "u", "v"))
-    grown, out = GrowingReach(), None
+    stream = cut(stream.groupBy("u", "v").agg(F.min(step).alias(step)))  # an edge that comes again changes nothing
+    grown, out = GrowingComponents(), None
     for row in stream.select(step).distinct().orderBy(step).collect():  # a batch is a job of its own, as it would be on a stream
         gained = grown.extend(stream.where(F.col(step) == row[0]))
-        one = gained.select(F.lit(row[0]).alias(step), F.col("v").alias("x")).distinct()
+        one = gained.select(F.lit(row[0]).alias(step), "x")
         out = one if out is None else out.union(one)
     return out if out is not None else stream.select(step, F.col("u").alias("x"))
